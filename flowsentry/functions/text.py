@@ -1,0 +1,20 @@
+"""Text helpers that must print numbers the way Python does."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+
+@F.pandas_udf(StringType())
+def _fixed1(v: pd.Series) -> pd.Series:
+    return v.map(lambda x: None if pd.isna(x) else "%.1f" % x)
+
+
+def py_fixed1(c: Column) -> Column:
+    """``'%.1f' % x`` with Python's rounding of the exact binary value
+    (half-even on true ties), which Java's formatter does not reproduce.
+    Used only on already-filtered alert rows, never on the flow table."""
+    return _fixed1(c)
