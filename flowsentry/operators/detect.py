@@ -102,12 +102,21 @@ def horizontal_threshold(n_rows: int, cfg: DetectionConfig = DEFAULT_CONFIG) ->
     return max(cfg.horizontal_min_dsts, int(n_rows * cfg.horizontal_share))
 
 
+def _horizontal_hit(n_rows: int, cfg: DetectionConfig) -> Column:
+    return F.col("unique_dsts") >= horizontal_threshold(n_rows, cfg)
+
+
+def _botnet_hit(cfg: DetectionConfig) -> Column:
+    return (F.col("src_flows") > cfg.botnet_min_flows) & (F.col("unique_dsts") > cfg.botnet_min_dsts)
+
+
 def detect_horizontal_scan(pairs: DataFrame, sources: DataFrame, n_rows: int,
-                           cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
+                           cfg: DetectionConfig = DEFAULT_CONFIG, lists: DataFrame | None = None) -> DataFrame:
     """D3: sources reaching >= max(15, int(0.05 * n)) distinct destinations."""
-    hits = sources.where(F.col("unique_dsts") >= horizontal_threshold(n_rows, cfg))
+    hits = sources.where(_horizontal_hit(n_rows, cfg))
     n = F.col("unique_dsts")
-    return (hits.join(destination_lists(pairs, hits), "src_ip", "left")
+    lists = destination_lists(pairs, hits) if lists is None else lists
+    return (hits.join(lists, "src_ip", "left")
             .select("src_ip", F.coalesce(F.col("dst_list"), F.lit("")).alias("dst_ip"),
                     F.lit(HORIZONTAL_SCAN_TYPE).alias("threat_type"),
                     F.when(n > cfg.horizontal_high_dsts, F.lit("high")).otherwise(F.lit("medium")).alias("severity"),
@@ -118,12 +127,12 @@ def detect_horizontal_scan(pairs: DataFrame, sources: DataFrame, n_rows: int,
 
 
 def detect_botnet(pairs: DataFrame, sources: DataFrame,
-                  cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
+                  cfg: DetectionConfig = DEFAULT_CONFIG, lists: DataFrame | None = None) -> DataFrame:
     """Sources with more than 50 flows and more than 30 distinct destinations."""
-    hits = sources.where((F.col("src_flows") > cfg.botnet_min_flows)
-                         & (F.col("unique_dsts") > cfg.botnet_min_dsts))
+    hits = sources.where(_botnet_hit(cfg))
     flows, n = F.col("src_flows"), F.col("unique_dsts")
-    return (hits.join(destination_lists(pairs, hits), "src_ip", "left")
+    lists = destination_lists(pairs, hits) if lists is None else lists
+    return (hits.join(lists, "src_ip", "left")
             .select("src_ip", F.coalesce(F.col("dst_list"), F.lit("")).alias("dst_ip"),
                     F.lit(BOTNET_TYPE).alias("threat_type"),
                     F.lit("confirmed").alias("severity"),
@@ -178,10 +187,12 @@ def union_alerts(flows: DataFrame, threats: DataFrame, n_rows: int,
     """UNION ALL of D1-D5 (8 alert columns, ``confidence`` unrounded)."""
     pairs = pair_summary(flows)
     sources = source_summary(pairs)
+    # one destination-list pass for every source flagged by D3 or D4
+    lists = destination_lists(pairs, sources.where(_horizontal_hit(n_rows, cfg) | _botnet_hit(cfg)))
     parts = [dedup_flow_alerts(threats),
              detect_port_scan(pairs, cfg),
-             detect_horizontal_scan(pairs, sources, n_rows, cfg),
-             detect_botnet(pairs, sources, cfg),
+             detect_horizontal_scan(pairs, sources, n_rows, cfg, lists),
+             detect_botnet(pairs, sources, cfg, lists),
              detect_icmp_sweep(flows, cfg)]
     out = parts[0]
     for p in parts[1:]:

@@ -184,8 +184,10 @@ def raw_scores(model: ForestModel, vec: DataFrame, spark=None) -> F.Column:
     return _score_udf(bc, model.depth, model.psi)(*[F.col(c) for c in FEATURE_COLUMNS])
 
 
-def fit(features: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG, n_rows: int | None = None) -> ForestModel:
-    """M1-M6 on a frame carrying ``row_id`` and the P-features."""
+def fit(features: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG, n_rows: int | None = None,
+        with_threshold: bool = True) -> ForestModel:
+    """M1-M6 on a frame carrying ``row_id`` and the P-features.
+    ``with_threshold=False`` skips the M6 cut (unused when nothing is labelled)."""
     vec = feature_vector(features, cfg)
     if n_rows is None:
         n_rows = features.count()
@@ -196,9 +198,10 @@ def fit(features: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG, n_rows: int
         m = min(n_rows, cfg.train_cap)
         feature, value, path, psi, depth = fit_trees(scaled, m, cfg)
         model = ForestModel(moments, feature, value, path, psi, depth)
-        # M6: the contamination cut on training scores (linear interpolation)
-        train = scaled.select(raw_scores(model, scaled).alias("s"))
-        model.threshold = float(train.agg(F.percentile("s", 1.0 - cfg.contamination)).first()[0])
+        if with_threshold:
+            # M6: the contamination cut on training scores (linear interpolation)
+            train = scaled.select(raw_scores(model, scaled).alias("s"))
+            model.threshold = float(train.agg(F.percentile("s", 1.0 - cfg.contamination)).first()[0])
     finally:
         sample.unpersist()
     return model

@@ -66,7 +66,7 @@ def score_flows(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
             vec = iforest.feature_vector(feats, cfg)
             moments = iforest.feature_moments(iforest.training_sample(vec, thr.n_rows, cfg))
     elif ml is not None and thr.n_rows > 0:
-        model = iforest.fit(feats, cfg, n_rows=thr.n_rows)
+        model = iforest.fit(feats, cfg, n_rows=thr.n_rows, with_threshold=(ml == "intent"))
         scored, cached = iforest.attach_scores(scored, model, polarity=ml, cfg=cfg)
         persisted.append(cached)
         moments = model.moments
@@ -88,3 +88,88 @@ def alerts_before_cut(sf: ScoredFlows, cfg: DetectionConfig = DEFAULT_CONFIG) ->
 def final_alerts(sf: ScoredFlows, cfg: DetectionConfig = DEFAULT_CONFIG, by: str = "confidence") -> DataFrame:
     """K8 on top of :func:`alerts_before_cut`."""
     return cal.rank_alerts(alerts_before_cut(sf, cfg), cfg, by=by)
+
+
+# columns the detectors, statistics and charts read after scoring
+SCORED_COLUMNS = ("row_id", "src_ip", "dst_ip", "dst_port", "protocol", "packets", "bytes",
+                  "bytes_per_packet", "packets_per_sec", "flow_duration", "start_time",
+                  "rule_threat_type", "rule_severity", "rule_confidence")
+
+
+@dataclass
+class AnalysisResult:
+    stats: DataFrame            # one row (A7)
+    alerts: DataFrame           # final ranked alerts (K8), 8 columns
+    histogram: DataFrame        # A8
+    threats_over_time: DataFrame  # A9/A10
+    scored: ScoredFlows
+    alerts_all: DataFrame = None  # every calibrated alert, before the cut
+
+    def release(self):
+        self.scored.release()
+
+
+def analyze(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG, ml: str | None = "as_shipped",
+            materialize: bool = True, timings: dict | None = None) -> AnalysisResult:
+    """The whole run on one flow table.
+
+    With ``materialize`` the per-flow verdicts (a narrow column set) are
+    written once as parquet under the session's checkpoint directory and
+    read back: every later branch scans that table instead of recomputing
+    features, rules and forest scores, lineage is cut (a lost executor only
+    costs the tasks of the current stage), and the plans stay small.
+    """
+    import time
+    from ..operators import iforest, stats as st
+    from ..session import scratch_path
+    timings = {} if timings is None else timings
+    clock = [time.time()]
+
+    def mark(name):
+        now = time.time()
+        timings[name] = round(now - clock[0], 3)
+        clock[0] = now
+
+    spark = flows.sparkSession
+    feats = with_features(flows, cfg)
+    thr = adaptive_thresholds(feats, cfg)
+    mark("thresholds")
+    scored = with_rule_scores(feats, thr)
+    model = None
+    keep = list(SCORED_COLUMNS)
+    if ml is not None and thr.n_rows > 0:
+        model = iforest.fit(feats, cfg, n_rows=thr.n_rows, with_threshold=(ml == "intent"))
+        mark("forest_fit")
+        scored = iforest._with_raw(scored, model, cfg)
+        keep.append("anomaly_score")
+    persisted = []
+    base = scored.select(*keep)
+    if materialize:
+        path = scratch_path(spark, "scored-flows")
+        base.write.parquet(path)
+        base = spark.read.parquet(path)
+        mark("score_and_write")
+    else:
+        base = base.persist(StorageLevel.MEMORY_AND_DISK)
+        persisted.append(base)
+    if model is not None:
+        lo, hi = base.agg(F.min("anomaly_score"), F.max("anomaly_score")).first()
+        model.score_min, model.score_max = float(lo), float(hi)
+        rng = (hi - lo) if hi > lo else 1.0
+        s = F.col("anomaly_score")
+        if ml == "intent":
+            base = base.withColumn("ml_score", (s - F.lit(lo)) / F.lit(rng)) \
+                       .withColumn("ml_label", F.when(s > F.lit(model.threshold), 1).otherwise(0))
+        else:
+            base = base.withColumn("ml_score", (F.lit(hi) - s) / F.lit(rng)).withColumn("ml_label", F.lit(0))
+        mark("score_range")
+    out = arb.arbitrate(base, cfg, moments=model.moments if model else None)
+    sf = ScoredFlows(out, thr, model, persisted)
+    every = alerts_before_cut(sf, cfg)
+    alerts = cal.rank_alerts(every, cfg).select(*cal.FINAL_COLUMNS)
+    threats = arb.threat_flows(out)
+    stats = st.run_stats(out, processing_time_sec=None)
+    hist = st.score_histogram(out, "ml_score", cfg.histogram_bins)
+    timeline = st.threats_over_time(threats, cfg)
+    mark("plan_outputs")
+    return AnalysisResult(stats, alerts, hist, timeline, sf, every)

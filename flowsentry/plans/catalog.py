@@ -267,3 +267,272 @@ def rank_alerts_top1000(spark, sf_dir):
     return (cal.rank_alerts(_alerts(spark, sf_dir), by="confidence_raw")
             .select("src_ip", "dst_ip", "threat_type", "protocol", "flow_count", "confidence_raw",
                     "severity", "evidence"))
+
+
+# ---------------------------------------------------------------- A
+from ..operators import evaluate as ev  # noqa: E402
+from ..operators import search as se  # noqa: E402
+from ..operators import stats as st  # noqa: E402
+
+
+def _final(spark, sf_dir) -> DataFrame:
+    """Final ranked alerts; ``confidence`` carries the unrounded value so both
+    engines agree on the cut and on every number derived from it."""
+    return (cal.rank_alerts(_alerts(spark, sf_dir), by="confidence_raw")
+            .select("src_ip", "dst_ip", "threat_type", "protocol", "flow_count",
+                    F.col("confidence_raw").alias("confidence"), "severity", "evidence"))
+
+
+@register("threats_detected", O.with_ctes(*O.BASE_SHIPPED)
+          + "select count(*) as total_flows, count(*) filter (where threat_type is not null) as threats_detected "
+            "from arb")
+def threats_detected(spark, sf_dir):
+    """A1 + A2."""
+    return st.threats_detected(_scored(spark, sf_dir).flows)
+
+
+@register("protocol_counts", "with " + O.flows_cte_duckdb() + "\nselect protocol, count(*) as count from flows group by protocol")
+def protocol_counts(spark, sf_dir):
+    """A3."""
+    return st.protocol_counts(_flows(spark, sf_dir))
+
+
+@register("protocol_distribution", "with " + O.flows_cte_duckdb()
+          + "\nselect coalesce(upper(protocol), 'NONE') as protocol, count(*) as count from flows group by 1")
+def protocol_distribution(spark, sf_dir):
+    """A4 (long form of the record's map)."""
+    return st.protocol_distribution(_flows(spark, sf_dir))
+
+
+_TOP = """
+select {k} as {ok}, n as {oc} from (select {k}, count(*) as n from threats group by {k})
+order by n desc, {k} limit 1"""
+
+
+@register("top_attacker", O.with_ctes(*O.BASE_SHIPPED)
+          + _TOP.format(k="src_ip", ok="top_attacker_ip", oc="top_attacker_count"))
+def top_attacker(spark, sf_dir):
+    """A5."""
+    return st.top_attacker(arb.threat_flows(_scored(spark, sf_dir).flows))
+
+
+@register("top_threat_type", O.with_ctes(*O.BASE_SHIPPED)
+          + _TOP.format(k="threat_type", ok="top_threat_type", oc="top_threat_count"))
+def top_threat_type(spark, sf_dir):
+    """A6."""
+    return st.top_threat_type(arb.threat_flows(_scored(spark, sf_dir).flows))
+
+
+@register("run_stats", O.with_ctes(*O.BASE_SHIPPED) + """
+select (select count(*) from arb) as total_flows, (select count(*) from threats) as threats_detected,
+       coalesce(a.k, 'N/A') as top_attacker_ip, coalesce(a.n, 0) as top_attacker_count,
+       coalesce(t.k, 'N/A') as top_threat_type, coalesce(t.n, 0) as top_threat_count
+from (select 1 as one) o
+left join (select src_ip as k, count(*) as n from threats group by 1 order by n desc, k limit 1) a on true
+left join (select threat_type as k, count(*) as n from threats group by 1 order by n desc, k limit 1) t on true""")
+def run_stats(spark, sf_dir):
+    """A7 (the map column is checked in long form by protocol_distribution)."""
+    return st.run_stats(_scored(spark, sf_dir).flows, with_map=False)
+
+
+@register("score_histogram", O.with_ctes(*O.BASE_INJECTED) + f"""
+select g.bin, round(g.bin::DOUBLE * 0.05::DOUBLE, 2) as bin_start,
+       round(case when g.bin + 1 = 20 then 1.0::DOUBLE else (g.bin + 1)::DOUBLE * 0.05::DOUBLE end, 2) as bin_end,
+       coalesce(c.n, 0) as count
+from (select range::integer as bin from range(20)) g
+left join (select {O.numpy_bin('ml_score')} as bin, count(*) as n from arb group by 1) c on g.bin = c.bin""")
+def score_histogram(spark, sf_dir):
+    """A8 on injected model scores."""
+    return st.score_histogram(_scored(spark, sf_dir, injected=True).flows)
+
+
+@register("threats_over_time", O.with_ctes(*O.BASE_SHIPPED, O.TIMELINE)
+          + "select bin, time, threat_count from timeline")
+def threats_over_time(spark, sf_dir):
+    """A9 + A10."""
+    return st.threats_over_time(arb.threat_flows(_scored(spark, sf_dir).flows))
+
+
+@register("alerts_by_severity", O.with_ctes(*O.ALERTS_FINAL)
+          + "select severity, count(*) as alerts from final group by severity")
+def alerts_by_severity(spark, sf_dir):
+    """A11."""
+    return st.alerts_by_severity(_final(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- E
+@register("detection_metrics", O.with_ctes(*O.ALERTS_FINAL) + """
+select case when n > 0 then th::DOUBLE / n * 100 else 0.0::DOUBLE end as detection_rate_percent,
+       th as threats_detected, n as total_flows, na as num_alerts,
+       case when na > 0 then th::DOUBLE / na else 0.0::DOUBLE end as aggregation_ratio
+from (select (select count(*) from arb) as n, (select count(*) from threats) as th,
+             (select count(*) from final) as na)""")
+def detection_metrics(spark, sf_dir):
+    """E1 + E2 (unrounded)."""
+    sf = _scored(spark, sf_dir)
+    return ev.detection_metrics(st.run_stats(sf.flows, with_map=False), _final(spark, sf_dir), rounded=False)
+
+
+@register("severity_distribution", O.with_ctes(*O.ALERTS_FINAL) + """
+select severity, count(*) as count, round(avg(confidence), 6) as avg_confidence,
+       count(*) * 100.0::DOUBLE / (select count(*) from final) as percent
+from final group by severity""")
+def severity_distribution(spark, sf_dir):
+    """E3 + E6 (mean confidence to 6 places: float sums depend on order)."""
+    return (ev.severity_distribution(_final(spark, sf_dir), rounded=False)
+            .withColumn("avg_confidence", F.round("avg_confidence", 6))
+            .withColumn("percent", F.col("count") * 100.0 / F.sum("count").over(ev._everything())))
+
+
+@register("threat_type_distribution", O.with_ctes(*O.ALERTS_FINAL)
+          + "select threat_type, count(*) as count from final group by threat_type")
+def threat_type_distribution(spark, sf_dir):
+    """E4."""
+    return ev.threat_type_distribution(_final(spark, sf_dir))
+
+
+@register("top5_threat_types", O.with_ctes(*O.ALERTS_FINAL) + """
+select threat_type, count(*) as count, count(*)::DOUBLE / (select count(*) from final) * 100 as percent
+from final group by threat_type order by count desc, threat_type limit 5""")
+def top5_threat_types(spark, sf_dir):
+    """E7."""
+    return ev.top_threat_types(_final(spark, sf_dir), 5)
+
+
+@register("ground_truth_counts", "with " + O.flows_cte_duckdb() + """
+select count(*) as total_ground_truth,
+       count(*) filter (where contains(label, 'BENIGN')) as benign_count,
+       count(*) filter (where not contains(label, 'BENIGN') or label is null) as threat_count from flows""")
+def ground_truth_counts(spark, sf_dir):
+    """E8 + E9."""
+    configure(spark)
+    return ev.ground_truth_counts(ev.label_ground_truth(labelled_flows(spark, sf_dir)))
+
+
+@register("ip_outcomes", O.with_ctes(*O.ALERTS_FINAL, O.GROUND_TRUTH)
+          + "select ground_truth, src_ip, outcome from outcomes")
+def ip_outcomes(spark, sf_dir):
+    """Per (class, source IP) outcome against the detected set."""
+    truth = ev.label_ground_truth(labelled_flows(spark, sf_dir))
+    return ev.ip_outcomes(truth, _final(spark, sf_dir))
+
+
+_ACC_COLS = ["unique_threat_ips", "unique_benign_ips", "true_positives", "false_positives", "true_negatives",
+             "false_negatives", "precision", "recall", "f1_score", "accuracy", "false_positive_rate",
+             "false_negative_rate"]
+
+
+@register("precision_recall_f1", O.with_ctes(*O.ALERTS_FINAL, O.GROUND_TRUTH)
+          + "select " + ", ".join(_ACC_COLS) + " from acc")
+def precision_recall_f1(spark, sf_dir):
+    """E14 (unrounded)."""
+    truth = ev.label_ground_truth(labelled_flows(spark, sf_dir))
+    return ev.accuracy(truth, _final(spark, sf_dir), rounded=False).select(*_ACC_COLS)
+
+
+@register("accuracy_gate", O.with_ctes(*O.ALERTS_FINAL, O.GROUND_TRUTH) + """
+select precision, recall, f1_score, precision >= 0.75 and recall >= 0.60 and f1_score >= 0.65 as passed
+from acc""")
+def accuracy_gate(spark, sf_dir):
+    """E15."""
+    truth = ev.label_ground_truth(labelled_flows(spark, sf_dir))
+    return ev.accuracy_gate(ev.accuracy(truth, _final(spark, sf_dir), rounded=False))
+
+
+# ---------------------------------------------------------------- Q
+_FINAL_COLS = "src_ip, dst_ip, threat_type, protocol, flow_count, confidence, severity, evidence"
+
+
+@register("search_alerts", O.with_ctes(*O.ALERTS_FINAL) + f"""
+select {_FINAL_COLS} from final
+where upper(coalesce(severity, '')) = 'CONFIRMED' and upper(coalesce(protocol, '')) = 'TCP'
+  and (contains(coalesce(src_ip, ''), '10.0') or contains(coalesce(dst_ip, ''), '10.0'))""")
+def search_alerts(spark, sf_dir):
+    """Q1, Q2, Q4, Q5: severity 'confirmed', protocol 'tcp', IP term ' 10.0 '."""
+    return se.search_alerts(_final(spark, sf_dir), severity="confirmed", protocol="tcp", ip=" 10.0 ")
+
+
+@register("search_threat_type", O.with_ctes(*O.ALERTS_FINAL)
+          + f"select {_FINAL_COLS} from final where coalesce(threat_type, '') = 'Flood'")
+def search_threat_type(spark, sf_dir):
+    """Q3: exact type equality."""
+    return se.search_alerts(_final(spark, sf_dir), threat_type="Flood")
+
+
+@register("distinct_protocols", O.with_ctes(*O.ALERTS_FINAL) + """
+select upper(coalesce(protocol, '')) as protocol from final where upper(coalesce(protocol, '')) <> ''
+union select coalesce(upper(protocol), 'NONE') from flows""")
+def distinct_protocols(spark, sf_dir):
+    """Q6: alert protocols UNION the run's protocol names."""
+    return se.distinct_protocols(_final(spark, sf_dir), st.protocol_distribution(_flows(spark, sf_dir)))
+
+
+@register("distinct_threat_types", O.with_ctes(*O.ALERTS_FINAL)
+          + "select distinct threat_type from final where threat_type is not null and threat_type <> ''")
+def distinct_threat_types(spark, sf_dir):
+    """Q7."""
+    return se.distinct_threat_types(_final(spark, sf_dir))
+
+
+@register("confidence_histogram", O.with_ctes(*O.ALERTS_FINAL) + """
+select g.bin, round(g.bin::DOUBLE * 0.05::DOUBLE, 2) as bin_start, round((g.bin + 1)::DOUBLE * 0.05::DOUBLE, 2)
+       as bin_end, coalesce(c.n, 0) as count
+from (select range::integer as bin from range(20)) g
+left join (select least(cast(floor(coalesce(confidence, 0.0::DOUBLE) / 0.05::DOUBLE) as integer), 19) as bin,
+                  count(*) as n from final group by 1) c on g.bin = c.bin""")
+def confidence_histogram(spark, sf_dir):
+    """Q8 over all final alerts."""
+    return se.confidence_histogram(_final(spark, sf_dir))
+
+
+@register("scaled_timeline", O.with_ctes(*O.ALERTS_FINAL, O.TIMELINE) + """
+select bin, time, cast(floor(threat_count * ((select count(*) from final where severity = 'CONFIRMED')::DOUBLE
+                                             / (select count(*) from final)) + 0.5) as bigint) as threat_count
+from timeline""")
+def scaled_timeline(spark, sf_dir):
+    """Q9: the timeline scaled by the share of CONFIRMED alerts."""
+    sf = _scored(spark, sf_dir)
+    final = _final(spark, sf_dir)
+    shown = se.search_alerts(final, severity="CONFIRMED").count()
+    total = final.count()
+    return se.scaled_timeline(st.threats_over_time(arb.threat_flows(sf.flows)), shown, total)
+
+
+@register("explode_dst_ips", O.with_ctes(*O.ALERTS_FINAL) + """
+select src_ip, threat_type, pos - 1 as position, destination
+from (select src_ip, threat_type,
+             unnest(list_filter(list_transform(string_split(coalesce(dst_ip, ''), ','), lambda x: trim(x)), lambda x: x <> ''))
+               as destination,
+             generate_subscripts(list_filter(list_transform(string_split(coalesce(dst_ip, ''), ','), lambda x: trim(x)),
+                                             lambda x: x <> ''), 1) as pos
+      from final)""")
+def explode_dst_ips(spark, sf_dir):
+    """Q10."""
+    return se.explode_dst_ips(_final(spark, sf_dir))
+
+
+@register("dst_ip_preview", O.with_ctes(*O.ALERTS_FINAL) + """
+select src_ip, threat_type, array_to_string(l[1:3], ', ') as preview, greatest(len(l) - 3, 0) as more
+from (select src_ip, threat_type,
+             list_filter(list_transform(string_split(coalesce(dst_ip, ''), ','), lambda x: trim(x)), lambda x: x <> '') as l
+      from final)""")
+def dst_ip_preview(spark, sf_dir):
+    """Q11 (preview as comma-joined text)."""
+    return (se.dst_ip_preview(_final(spark, sf_dir))
+            .withColumn("preview", F.array_join("preview", ", ")))
+
+
+@register("protocol_split", "with " + O.flows_cte_duckdb()
+          + "\nselect coalesce(upper(protocol), 'NONE') as name, count(*) as value from flows group by 1")
+def protocol_split(spark, sf_dir):
+    """Q12: the record's protocol map exploded to (name, value)."""
+    return se.protocol_split(st.protocol_distribution_map(_flows(spark, sf_dir)))
+
+
+@register("filtered_count", O.with_ctes(*O.ALERTS_FINAL) + """
+select (select count(*) from final where upper(coalesce(protocol, '')) = 'UDP') as shown,
+       (select count(*) from final) as total""")
+def filtered_count(spark, sf_dir):
+    """Q13 for the protocol filter 'udp'."""
+    final = _final(spark, sf_dir)
+    return se.filtered_count(se.search_alerts(final, protocol="udp"), final)

@@ -256,3 +256,68 @@ def with_ctes(*parts: str) -> str:
 BASE_SHIPPED = (FEAT, P95, THR, RULES, ARB_SHIPPED)
 BASE_INJECTED = (FEAT, P95, THR, RULES, MOMENTS, ARB_INJECTED)
 ALERTS_SHIPPED = BASE_SHIPPED + (DETECT, CALIBRATE)
+
+# final alerts with the unrounded confidence under the library's column name
+FINAL = """
+final as (select src_ip, dst_ip, threat_type, protocol, flow_count, confidence_raw as confidence,
+                 severity, evidence from ranked)"""
+
+TIMELINE = f"""
+tt as (select start_time as t from threats where start_time is not null and not isnan(start_time)
+         and abs(start_time) <> 'inf'::DOUBLE),
+tb as (select min(t) as lo, max(t) as hi,
+              (case when max(t) - min(t) <= 0 then 1.0{D} else max(t) - min(t) end) / 30.0{D} as width from tt),
+tc as (select least(greatest(cast(floor((t - (select lo from tb)) / (select width from tb)) as integer), 0), 29)
+              as bin, count(*) as c from tt group by 1),
+timeline as (
+  select g.bin,
+         case when (select lo from tb) > 1e9 then
+              strftime(make_timestamp(cast(floor(((select lo from tb) + (g.bin + 0.5{D}) * (select width from tb))
+                                                 * 1000000.0{D}) as bigint)), '%H:%M:%S')
+              else 'T+' || round(((select lo from tb) + (g.bin + 0.5{D}) * (select width from tb))
+                                 - (select lo from tb), 1)::varchar || 's' end as time,
+         coalesce(tc.c, 0) as threat_count
+  from (select range::integer as bin from range(30)) g left join tc on g.bin = tc.bin
+  where (select lo from tb) is not null
+  union all select 0, 'N/A', 0 where (select lo from tb) is null)"""
+
+GROUND_TRUTH = """
+truth as (select src_ip, case when contains(label, 'BENIGN') then 'benign' else 'threat' end as ground_truth
+          from flows),
+det as (select distinct src_ip from final where src_ip is not null and src_ip <> ''),
+outcomes as (
+  select t.ground_truth, t.src_ip,
+         case when t.ground_truth = 'threat' and d.src_ip is not null then 'tp'
+              when t.ground_truth = 'threat' then 'fn'
+              when d.src_ip is not null then 'fp' else 'tn' end as outcome
+  from (select distinct ground_truth, src_ip from truth) t left join det d on t.src_ip = d.src_ip),
+conf as (
+  select count(*) filter (where ground_truth = 'threat') as unique_threat_ips,
+         count(*) filter (where ground_truth = 'benign') as unique_benign_ips,
+         count(*) filter (where outcome = 'tp') as true_positives,
+         count(*) filter (where outcome = 'fp') as false_positives,
+         count(*) filter (where outcome = 'tn') as true_negatives,
+         count(*) filter (where outcome = 'fn') as false_negatives from outcomes),
+rates as (
+  select *,
+    coalesce(true_positives::DOUBLE / nullif(true_positives + false_positives, 0), 0.0::DOUBLE) as precision,
+    coalesce(true_positives::DOUBLE / nullif(true_positives + false_negatives, 0), 0.0::DOUBLE) as recall,
+    coalesce((true_positives + true_negatives)::DOUBLE / nullif(unique_threat_ips + unique_benign_ips, 0),
+             0.0::DOUBLE) as accuracy,
+    coalesce(false_positives::DOUBLE / nullif(unique_benign_ips, 0), 0.0::DOUBLE) as false_positive_rate,
+    coalesce(false_negatives::DOUBLE / nullif(unique_threat_ips, 0), 0.0::DOUBLE) as false_negative_rate
+  from conf),
+acc as (select *, case when precision + recall > 0 then 2 * (precision * recall) / (precision + recall)
+                       else 0.0::DOUBLE end as f1_score from rates)"""
+
+ALERTS_FINAL = ALERTS_SHIPPED + (FINAL,)
+
+
+def numpy_bin(col: str) -> str:
+    """DuckDB text of the 20-bin index with evenly spaced edges (see stats.histogram_bin)."""
+    raw = f"least(cast(floor({col} * 20) as integer), 19)"
+    lower = f"({raw})::DOUBLE * 0.05{D}"
+    upper = f"(case when {raw} + 1 = 20 then 1.0{D} else ({raw} + 1)::DOUBLE * 0.05{D} end)"
+    return (f"case when {col} >= 0 and {col} <= 1 and not isnan({col}) then "
+            f"case when {col} < {lower} then {raw} - 1 when {raw} < 19 and {col} >= {upper} then {raw} + 1 "
+            f"else {raw} end end")

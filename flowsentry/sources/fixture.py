@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .partitioning import ensure_parallelism
+
 SPARK_EPOCH_US = "unix_micros(cast(ts as timestamp))"
 DUCKDB_EPOCH_US = "epoch_us(ts)"
 
@@ -75,4 +77,4 @@ def labelled_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows in the ingest schema (``row_id`` + the 11 flow columns)."""
-    return labelled_flows(spark, sf_dir).drop("label")
+    return ensure_parallelism(labelled_flows(spark, sf_dir).drop("label"))
