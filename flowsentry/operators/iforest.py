@@ -207,36 +207,31 @@ def fit(features: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG, n_rows: int
     return model
 
 
-def attach_scores(scored: DataFrame, model: ForestModel, polarity: str = "as_shipped",
-                  cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
-    """M5, M8, M9, M6: adds ``anomaly_score`` (raw), ``ml_score`` and
-    ``ml_label`` as columns of the same plan.  The raw-score frame is
-    persisted (MEMORY_AND_DISK) so the score UDF runs once per row for the
-    min/max pass and every later reader; lost blocks are recomputed from the
-    scan.  The caller unpersists it (see ``ScoredFlows.release``).
-
-    ``polarity="intent"``: high score = anomalous, label 1 for the top share.
-    ``polarity="as_shipped"``: the shipped code negates a score that is
-    already high-for-anomalous and tests for a label value the model never
-    emits, so ``ml_score`` is mirrored and no flow is labelled."""
-    with_raw = _with_raw(scored, model, cfg).persist(StorageLevel.MEMORY_AND_DISK)
-    lo, hi = with_raw.agg(F.min("anomaly_score"), F.max("anomaly_score")).first()
-    model.score_min, model.score_max = float(lo), float(hi)
-    rng = (hi - lo) if hi > lo else 1.0
-    s = F.col("anomaly_score")
-    if polarity == "intent":
-        out = with_raw.withColumn("ml_score", (s - F.lit(lo)) / F.lit(rng)) \
-                      .withColumn("ml_label", F.when(s > F.lit(model.threshold), 1).otherwise(0))
-    else:
-        out = with_raw.withColumn("ml_score", (F.lit(hi) - s) / F.lit(rng)).withColumn("ml_label", F.lit(0))
-    return out, with_raw
-
-
-def _with_raw(scored: DataFrame, model: ForestModel, cfg: DetectionConfig) -> DataFrame:
-    """Scaled, sanitised features computed inline and fed to the score UDF."""
+def with_raw_scores(scored: DataFrame, model: ForestModel, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
+    """M5: ``anomaly_score`` (high = anomalous) from the sanitised, scaled
+    features computed inline and fed to the Arrow UDF."""
     from ..functions.features import sanitize
     m = model.moments
     scaled = [(sanitize(F.col(c), cfg) - F.lit(m[c][0])) / F.lit(m[c][1]) for c in FEATURE_COLUMNS]
     bc = scored.sparkSession.sparkContext.broadcast((model.feature, model.value, model.path))
     udf = _score_udf(bc, model.depth, model.psi)
     return scored.withColumn("anomaly_score", udf(*scaled))
+
+
+def normalise_scores(scored: DataFrame, model: ForestModel, polarity: str = "as_shipped") -> DataFrame:
+    """M8, M9, M6 on a frame that already holds ``anomaly_score`` (written or
+    cached, so the UDF does not run again): one min/max pass, then
+    ``ml_score`` and ``ml_label`` as plain columns.
+
+    ``polarity="intent"``: high score = anomalous, label 1 above the
+    contamination cut.  ``polarity="as_shipped"``: the shipped code negates a
+    score that is already high-for-anomalous and tests for a label value the
+    model never emits, so ``ml_score`` is mirrored and nothing is labelled."""
+    lo, hi = scored.agg(F.min("anomaly_score"), F.max("anomaly_score")).first()
+    model.score_min, model.score_max = float(lo), float(hi)
+    rng = (hi - lo) if hi > lo else 1.0
+    s = F.col("anomaly_score")
+    if polarity == "intent":
+        return scored.withColumn("ml_score", (s - F.lit(lo)) / F.lit(rng)) \
+                     .withColumn("ml_label", F.when(s > F.lit(model.threshold), 1).otherwise(0))
+    return scored.withColumn("ml_score", (F.lit(hi) - s) / F.lit(rng)).withColumn("ml_label", F.lit(0))

@@ -89,14 +89,14 @@ def scaled_timeline(timeline: DataFrame, shown: int, total: int) -> DataFrame:
 
 def explode_dst_ips(alerts: DataFrame) -> DataFrame:
     """Q10: one row per listed destination (comma split, trimmed, empties dropped)."""
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col("dst_ip"), F.lit("")), ","), F.trim),
+    parts = F.filter(F.transform(F.split(F.coalesce(F.col("dst_ip"), F.lit("")), ","), lambda x: F.trim(x)),
                      lambda x: x != "")
     return alerts.select("src_ip", "threat_type", F.posexplode(parts).alias("position", "destination"))
 
 
 def dst_ip_preview(alerts: DataFrame, shown: int = 3) -> DataFrame:
     """Q11: the first three destinations and how many more there are."""
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col("dst_ip"), F.lit("")), ","), F.trim),
+    parts = F.filter(F.transform(F.split(F.coalesce(F.col("dst_ip"), F.lit("")), ","), lambda x: F.trim(x)),
                      lambda x: x != "")
     return alerts.select("src_ip", "threat_type",
                          F.slice(parts, 1, shown).alias("preview"),

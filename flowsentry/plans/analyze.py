@@ -1,19 +1,19 @@
 """End-to-end analysis of one flow table.
 
 ``read -> features -> thresholds (4 scalars) -> rule flags -> [forest scores]
--> arbitrate -> persist`` and then the detectors, calibration, escalation and
-top-k as one lazy plan, with statistics and chart tables beside it.  The driver
-only ever receives scalars (row count, percentiles, score range) and the final
-bounded outputs.
+-> write the per-flow verdict table -> arbitrate`` and then the detectors,
+calibration, escalation and top-k as one lazy plan, with statistics and chart
+tables beside it.  The driver only ever receives scalars (row count,
+percentiles, score range, time range) and the final bounded outputs.
 """
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..config import DEFAULT_CONFIG, DetectionConfig
 from ..functions.features import with_features
@@ -21,15 +21,24 @@ from ..functions.rules import with_rule_scores
 from ..operators import arbitrate as arb
 from ..operators import calibrate as cal
 from ..operators import detect
+from ..operators import iforest
+from ..operators import stats as st
 from ..operators.thresholds import Thresholds, adaptive_thresholds
+from ..session import scratch_path
+
+# columns the detectors, statistics and charts read after scoring
+SCORED_COLUMNS = ("row_id", "src_ip", "dst_ip", "dst_port", "protocol", "packets", "bytes",
+                  "bytes_per_packet", "packets_per_sec", "flow_duration", "start_time",
+                  "rule_threat_type", "rule_severity", "rule_confidence")
 
 
 @dataclass
 class ScoredFlows:
-    flows: DataFrame            # features + rules + model columns + arbitration
+    flows: DataFrame            # verdict columns + arbitration
     thresholds: Thresholds
-    model: object = None        # forest model summary when the forest ran
+    model: object = None        # forest model when the forest ran
     persisted: list = field(default_factory=list)
+    path: str | None = None     # where the verdict table was written
 
     def release(self):
         for df in self.persisted:
@@ -39,42 +48,67 @@ class ScoredFlows:
 
 def score_flows(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
                 ml: str | None = "as_shipped", scores: DataFrame | None = None,
-                inject: dict | None = None, persist: bool = True) -> ScoredFlows:
+                inject: dict | None = None, persist: bool = True, materialize: bool = False,
+                timings: dict | None = None) -> ScoredFlows:
     """Per-flow part of the analysis.
 
     ``ml``: ``None`` skips the forest (score 0, label 0); ``"as_shipped"`` runs
     it for the score histogram but, like the shipped code, labels nothing;
     ``"intent"`` labels the top ``contamination`` share as outliers.
-    ``scores``: optional ``(row_id, ml_score, ml_label)`` frame to use instead
-    of the forest (joined on ``row_id``); ``inject``: the same as Column
-    expressions over the flow row.  Model evidence (M10) then uses the
-    moments of the training sample.
+    ``scores``: optional ``(row_id, ml_score, ml_label)`` frame used instead of
+    the forest (joined on ``row_id``); ``inject``: the same as Column
+    expressions over the flow row.  Model evidence (M10) then uses the moments
+    of the training sample.
+
+    ``materialize``: write the verdict table (a narrow column set, plus the raw
+    forest score) as parquet under the session's checkpoint directory and read
+    it back.  Every later branch scans that table, with column pruning,
+    instead of recomputing features, rules and forest scores; lineage is cut,
+    so a lost executor only costs tasks of the current stage; plans stay small.
+    ``persist`` (when not materialising) caches the frame instead.
     """
+    timings = {} if timings is None else timings
+    clock = [time.time()]
+
+    def mark(name):
+        now = time.time()
+        timings[name] = round(now - clock[0], 3)
+        clock[0] = now
+
+    spark = flows.sparkSession
     feats = with_features(flows, cfg)
     thr = adaptive_thresholds(feats, cfg)
+    mark("thresholds")
     scored = with_rule_scores(feats, thr)
-    from ..operators import iforest
-    moments = None
-    model = None
-    persisted = []
-    if scores is not None or inject is not None:
-        if scores is not None:
-            scored = scored.join(scores.select("row_id", "ml_score", "ml_label"), "row_id", "left")
-        for name, col in (inject or {}).items():
-            scored = scored.withColumn(name, col)
-        if thr.n_rows > 0:
-            vec = iforest.feature_vector(feats, cfg)
-            moments = iforest.feature_moments(iforest.training_sample(vec, thr.n_rows, cfg))
-    elif ml is not None and thr.n_rows > 0:
+    model, moments, persisted, path = None, None, [], None
+    if scores is not None:
+        scored = scored.join(scores.select("row_id", "ml_score", "ml_label"), "row_id", "left")
+    for name, col in (inject or {}).items():
+        scored = scored.withColumn(name, col)
+    supplied = scores is not None or inject is not None
+    if supplied and thr.n_rows > 0:
+        vec = iforest.feature_vector(feats, cfg)
+        moments = iforest.feature_moments(iforest.training_sample(vec, thr.n_rows, cfg))
+    run_forest = not supplied and ml is not None and thr.n_rows > 0
+    if run_forest:
         model = iforest.fit(feats, cfg, n_rows=thr.n_rows, with_threshold=(ml == "intent"))
-        scored, cached = iforest.attach_scores(scored, model, polarity=ml, cfg=cfg)
-        persisted.append(cached)
         moments = model.moments
+        scored = iforest.with_raw_scores(scored, model, cfg)
+        mark("forest_fit")
+    if materialize:
+        extra = [c for c in ("ml_score", "ml_label", "anomaly_score") if c in scored.columns]
+        path = scratch_path(spark, "scored-flows")
+        scored.select(*SCORED_COLUMNS, *extra).write.parquet(path)
+        scored = spark.read.parquet(path)
+        mark("score_and_write")
+    elif persist:
+        scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+        persisted.append(scored)
+    if run_forest:
+        scored = iforest.normalise_scores(scored, model, polarity=ml)
+        mark("score_range")
     out = arb.arbitrate(scored, cfg, moments=moments)
-    if persist and not persisted:
-        out = out.persist(StorageLevel.MEMORY_AND_DISK)
-        persisted.append(out)
-    return ScoredFlows(out, thr, model, persisted)
+    return ScoredFlows(out, thr, model, persisted, path)
 
 
 def alerts_before_cut(sf: ScoredFlows, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
@@ -90,17 +124,11 @@ def final_alerts(sf: ScoredFlows, cfg: DetectionConfig = DEFAULT_CONFIG, by: str
     return cal.rank_alerts(alerts_before_cut(sf, cfg), cfg, by=by)
 
 
-# columns the detectors, statistics and charts read after scoring
-SCORED_COLUMNS = ("row_id", "src_ip", "dst_ip", "dst_port", "protocol", "packets", "bytes",
-                  "bytes_per_packet", "packets_per_sec", "flow_duration", "start_time",
-                  "rule_threat_type", "rule_severity", "rule_confidence")
-
-
 @dataclass
 class AnalysisResult:
-    stats: DataFrame            # one row (A7)
-    alerts: DataFrame           # final ranked alerts (K8), 8 columns
-    histogram: DataFrame        # A8
+    stats: DataFrame              # one row (A7)
+    alerts: DataFrame             # final ranked alerts (K8), 8 columns
+    histogram: DataFrame          # A8
     threats_over_time: DataFrame  # A9/A10
     scored: ScoredFlows
     alerts_all: DataFrame = None  # every calibrated alert, before the cut
@@ -111,65 +139,15 @@ class AnalysisResult:
 
 def analyze(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG, ml: str | None = "as_shipped",
             materialize: bool = True, timings: dict | None = None) -> AnalysisResult:
-    """The whole run on one flow table.
-
-    With ``materialize`` the per-flow verdicts (a narrow column set) are
-    written once as parquet under the session's checkpoint directory and
-    read back: every later branch scans that table instead of recomputing
-    features, rules and forest scores, lineage is cut (a lost executor only
-    costs the tasks of the current stage), and the plans stay small.
-    """
-    import time
-    from ..operators import iforest, stats as st
-    from ..session import scratch_path
+    """The whole run on one flow table; outputs are lazy frames."""
     timings = {} if timings is None else timings
-    clock = [time.time()]
-
-    def mark(name):
-        now = time.time()
-        timings[name] = round(now - clock[0], 3)
-        clock[0] = now
-
-    spark = flows.sparkSession
-    feats = with_features(flows, cfg)
-    thr = adaptive_thresholds(feats, cfg)
-    mark("thresholds")
-    scored = with_rule_scores(feats, thr)
-    model = None
-    keep = list(SCORED_COLUMNS)
-    if ml is not None and thr.n_rows > 0:
-        model = iforest.fit(feats, cfg, n_rows=thr.n_rows, with_threshold=(ml == "intent"))
-        mark("forest_fit")
-        scored = iforest._with_raw(scored, model, cfg)
-        keep.append("anomaly_score")
-    persisted = []
-    base = scored.select(*keep)
-    if materialize:
-        path = scratch_path(spark, "scored-flows")
-        base.write.parquet(path)
-        base = spark.read.parquet(path)
-        mark("score_and_write")
-    else:
-        base = base.persist(StorageLevel.MEMORY_AND_DISK)
-        persisted.append(base)
-    if model is not None:
-        lo, hi = base.agg(F.min("anomaly_score"), F.max("anomaly_score")).first()
-        model.score_min, model.score_max = float(lo), float(hi)
-        rng = (hi - lo) if hi > lo else 1.0
-        s = F.col("anomaly_score")
-        if ml == "intent":
-            base = base.withColumn("ml_score", (s - F.lit(lo)) / F.lit(rng)) \
-                       .withColumn("ml_label", F.when(s > F.lit(model.threshold), 1).otherwise(0))
-        else:
-            base = base.withColumn("ml_score", (F.lit(hi) - s) / F.lit(rng)).withColumn("ml_label", F.lit(0))
-        mark("score_range")
-    out = arb.arbitrate(base, cfg, moments=model.moments if model else None)
-    sf = ScoredFlows(out, thr, model, persisted)
+    sf = score_flows(flows, cfg, ml=ml, materialize=materialize, timings=timings)
+    t = time.time()
     every = alerts_before_cut(sf, cfg)
     alerts = cal.rank_alerts(every, cfg).select(*cal.FINAL_COLUMNS)
-    threats = arb.threat_flows(out)
-    stats = st.run_stats(out, processing_time_sec=None)
-    hist = st.score_histogram(out, "ml_score", cfg.histogram_bins)
+    threats = arb.threat_flows(sf.flows)
+    stats = st.run_stats(sf.flows)
+    hist = st.score_histogram(sf.flows, "ml_score", cfg.histogram_bins)
     timeline = st.threats_over_time(threats, cfg)
-    mark("plan_outputs")
+    timings["plan_outputs"] = round(time.time() - t, 3)
     return AnalysisResult(stats, alerts, hist, timeline, sf, every)

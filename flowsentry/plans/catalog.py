@@ -60,10 +60,12 @@ def _injected_scores():
 
 
 def _scored(spark, sf_dir, injected: bool = False) -> ScoredFlows:
+    """Rule-scored flows, written once to the checkpoint folder (see
+    ``score_flows(materialize=True)``); the model columns are absent (as
+    shipped) or injected."""
     flows = _flows(spark, sf_dir)
-    if injected:
-        return score_flows(flows, DEFAULT_CONFIG, ml=None, inject=_injected_scores(), persist=False)
-    return score_flows(flows, DEFAULT_CONFIG, ml=None, persist=False)
+    return score_flows(flows, DEFAULT_CONFIG, ml=None, inject=_injected_scores() if injected else None,
+                       materialize=True)
 
 
 def _alerts(spark, sf_dir):
