@@ -538,3 +538,73 @@ def filtered_count(spark, sf_dir):
     """Q13 for the protocol filter 'udp'."""
     final = _final(spark, sf_dir)
     return se.filtered_count(se.search_alerts(final, protocol="udp"), final)
+
+
+# ---------------------------------------------------------------- S / C
+from ..session import scratch_path  # noqa: E402
+from ..sources import flowcsv  # noqa: E402
+from ..sources.ledger import new_ledger  # noqa: E402
+
+_FLOW_OUT = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol", "packets", "bytes", "flows",
+             "start_time", "end_time"]
+
+
+def _write_csv(df: DataFrame, path: str, header: bool) -> None:
+    (df.write.option("header", header).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
+@register("scan_flow_csv", "with " + O.flows_cte_duckdb() + "\nselect " + ", ".join(_FLOW_OUT) + " from flows")
+def scan_flow_csv(spark, sf_dir):
+    """The flows written as a headered CSV (numbers in
+    Spark's text form), then read back through header detection, trimming,
+    validation and the whole-column casts."""
+    path = scratch_path(spark, "flows-csv")
+    _write_csv(_flows(spark, sf_dir).drop("row_id", "tos"), path, header=True)
+    return flowcsv.read_flow_csv(spark, path).select(*_FLOW_OUT)
+
+
+_TS = "strftime(make_timestamp(cast(floor({c} * 1000000) as bigint)), '%Y-%m-%d %H:%M:%S')"
+
+
+@register("scan_flow_csv_headerless", "with " + O.flows_cte_duckdb() + """
+select src_ip, dst_ip, src_port, dst_port, protocol, packets, bytes, flows,
+       floor(start_time) as start_time, floor(end_time) as end_time, '0' as tos from flows""")
+def scan_flow_csv_headerless(spark, sf_dir):
+    """A headerless CSV with padded addresses and
+    ``yyyy-MM-dd HH:mm:ss`` times; positional names, whitespace trimmed,
+    times parsed to whole epoch seconds."""
+    path = scratch_path(spark, "flows-csv-headerless")
+    flows = _flows(spark, sf_dir)
+    ts = lambda c: F.date_format(F.timestamp_seconds(F.col(c)), "yyyy-MM-dd HH:mm:ss")
+    text = flows.select(F.concat(F.lit(" "), "src_ip", F.lit("\t")).alias("src_ip"), "dst_ip", "src_port",
+                        "dst_port", "protocol", "tos", "packets", "bytes", "flows",
+                        ts("start_time").alias("start_time"), ts("end_time").alias("end_time"))
+    _write_csv(text, path, header=False)
+    return flowcsv.read_flow_csv(spark, path).select(*_FLOW_OUT, "tos")
+
+
+@register("select_input_files")
+def select_input_files(spark, sf_dir):
+    """.csv files of at most 200 MB in a folder of written flow CSVs
+    (paths are fresh per run, so only the row count is comparable)."""
+    path = scratch_path(spark, "flows-csv-files")
+    _write_csv(_flows(spark, sf_dir).drop("row_id"), path, header=True)
+    return flowcsv.select_input_files(spark, path)
+
+
+@register("ledger_latest_alerts", O.with_ctes(*O.ALERTS_FINAL) + f"select {_FINAL_COLS} from final")
+def ledger_latest_alerts(spark, sf_dir):
+    """Two runs appended to a fresh ledger (an empty one first), then
+    the alerts of the newest run read back through the run_id semi join."""
+    ledger = new_ledger(spark)
+    final = _final(spark, sf_dir)
+    sf = _scored(spark, sf_dir)
+    stats = st.run_stats(sf.flows)
+    hist = st.score_histogram(sf.flows)
+    timeline = st.threats_over_time(arb.threat_flows(sf.flows))
+    first = ledger.write_run(stats, hist, timeline, "empty.csv")
+    ledger.write_alerts(final.limit(0), first)
+    run = ledger.write_run(stats, hist, timeline, "flows.csv")
+    ledger.write_alerts(final, run)
+    return ledger.alerts_of_latest_run().select(*cal.FINAL_COLUMNS)
