@@ -49,15 +49,22 @@ def dedup_flow_alerts(threats: DataFrame) -> DataFrame:
             .select(*ALERT_COLUMNS))
 
 
+def _is_icmp() -> Column:
+    return F.upper(F.col("protocol")) == "ICMP"
+
+
 def pair_summary(flows: DataFrame) -> DataFrame:
-    """One row per (src_ip, dst_ip): the shared input of D2-D4."""
+    """One row per (src_ip, dst_ip): the shared input of D2-D5."""
+    icmp = _is_icmp()
     return (flows.groupBy("src_ip", "dst_ip")
             .agg(F.count(F.lit(1)).alias("pair_flows"),
                  F.count_distinct("dst_port").alias("ports_non_null"),
                  F.max(F.col("dst_port").isNull()).alias("port_null"),
                  F.avg("packets").alias("avg_packets"),
                  F.min("row_id").alias("first_row"),
-                 F.min_by("protocol", "row_id").alias("first_protocol")))
+                 F.min_by("protocol", "row_id").alias("first_protocol"),
+                 F.count_if(icmp).alias("icmp_flows"),
+                 F.sum(F.when(icmp, F.col("packets"))).alias("icmp_packets")))
 
 
 def detect_port_scan(pairs: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
@@ -81,21 +88,31 @@ def detect_port_scan(pairs: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG) ->
 
 def source_summary(pairs: DataFrame) -> DataFrame:
     """One row per src_ip from the pair rows: flows, distinct destinations
-    (null counted once) and the protocol of the source's first flow."""
+    (null counted once), the protocol of the source's first flow, and the
+    same for its ICMP flows only."""
+    icmp_pair = F.col("icmp_flows") > 0
     return (pairs.groupBy("src_ip")
             .agg(F.sum("pair_flows").alias("src_flows"),
                  F.count("dst_ip").alias("dst_non_null"),
                  F.max(F.col("dst_ip").isNull()).alias("dst_null"),
-                 F.min_by("first_protocol", "first_row").alias("first_protocol"))
-            .withColumn("unique_dsts", _nulls_as_one(F.col("dst_non_null"), F.col("dst_null"))))
+                 F.min_by("first_protocol", "first_row").alias("first_protocol"),
+                 F.count_if(icmp_pair & F.col("dst_ip").isNotNull()).alias("icmp_dst_non_null"),
+                 F.max(icmp_pair & F.col("dst_ip").isNull()).alias("icmp_dst_null"),
+                 F.sum("icmp_packets").alias("icmp_packets"))
+            .withColumn("unique_dsts", _nulls_as_one(F.col("dst_non_null"), F.col("dst_null")))
+            .withColumn("icmp_unique_dsts", _nulls_as_one(F.col("icmp_dst_non_null"), F.col("icmp_dst_null"))))
 
 
 def destination_lists(pairs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Sorted, de-duplicated, comma-joined destinations of the given sources."""
-    return (pairs.select("src_ip", "dst_ip").where(F.col("dst_ip").isNotNull())
+    """Sorted, de-duplicated, comma-joined destinations of the given sources:
+    all of them (``dst_list``) and those reached over ICMP (``icmp_dst_list``).
+    Built from the pair rows of flagged sources only (semi join first)."""
+    return (pairs.select("src_ip", "dst_ip", "icmp_flows").where(F.col("dst_ip").isNotNull())
             .join(sources.select("src_ip"), "src_ip", "left_semi")
             .groupBy("src_ip")
-            .agg(F.array_join(F.array_sort(F.collect_list("dst_ip")), ", ").alias("dst_list")))
+            .agg(F.array_join(F.array_sort(F.collect_list("dst_ip")), ", ").alias("dst_list"),
+                 F.array_join(F.array_sort(F.collect_list(F.when(F.col("icmp_flows") > 0, F.col("dst_ip")))),
+                              ", ").alias("icmp_dst_list")))
 
 
 def horizontal_threshold(n_rows: int, cfg: DetectionConfig = DEFAULT_CONFIG) -> int:
@@ -110,13 +127,22 @@ def _botnet_hit(cfg: DetectionConfig) -> Column:
     return (F.col("src_flows") > cfg.botnet_min_flows) & (F.col("unique_dsts") > cfg.botnet_min_dsts)
 
 
-def detect_horizontal_scan(pairs: DataFrame, sources: DataFrame, n_rows: int,
-                           cfg: DetectionConfig = DEFAULT_CONFIG, lists: DataFrame | None = None) -> DataFrame:
+def _icmp_hit(cfg: DetectionConfig) -> Column:
+    return F.col("icmp_unique_dsts") >= cfg.icmp_min_dsts
+
+
+def flagged_sources(pairs: DataFrame, sources: DataFrame, n_rows: int,
+                    cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Sources flagged by D3, D4 or D5, with their destination lists: one
+    semi join, one aggregate and one join serve all three detectors."""
+    hits = sources.where(_horizontal_hit(n_rows, cfg) | _botnet_hit(cfg) | _icmp_hit(cfg))
+    return hits.join(destination_lists(pairs, hits), "src_ip", "left")
+
+
+def detect_horizontal_scan(flagged: DataFrame, n_rows: int, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
     """D3: sources reaching >= max(15, int(0.05 * n)) distinct destinations."""
-    hits = sources.where(_horizontal_hit(n_rows, cfg))
     n = F.col("unique_dsts")
-    lists = destination_lists(pairs, hits) if lists is None else lists
-    return (hits.join(lists, "src_ip", "left")
+    return (flagged.where(_horizontal_hit(n_rows, cfg))
             .select("src_ip", F.coalesce(F.col("dst_list"), F.lit("")).alias("dst_ip"),
                     F.lit(HORIZONTAL_SCAN_TYPE).alias("threat_type"),
                     F.when(n > cfg.horizontal_high_dsts, F.lit("high")).otherwise(F.lit("medium")).alias("severity"),
@@ -126,13 +152,10 @@ def detect_horizontal_scan(pairs: DataFrame, sources: DataFrame, n_rows: int,
                     F.format_string("Scanning %d unique destination IPs", n).alias("evidence")))
 
 
-def detect_botnet(pairs: DataFrame, sources: DataFrame,
-                  cfg: DetectionConfig = DEFAULT_CONFIG, lists: DataFrame | None = None) -> DataFrame:
+def detect_botnet(flagged: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
     """Sources with more than 50 flows and more than 30 distinct destinations."""
-    hits = sources.where(_botnet_hit(cfg))
     flows, n = F.col("src_flows"), F.col("unique_dsts")
-    lists = destination_lists(pairs, hits) if lists is None else lists
-    return (hits.join(lists, "src_ip", "left")
+    return (flagged.where(_botnet_hit(cfg))
             .select("src_ip", F.coalesce(F.col("dst_list"), F.lit("")).alias("dst_ip"),
                     F.lit(BOTNET_TYPE).alias("threat_type"),
                     F.lit("confirmed").alias("severity"),
@@ -143,21 +166,12 @@ def detect_botnet(pairs: DataFrame, sources: DataFrame,
                                     flows, n).alias("evidence")))
 
 
-def detect_icmp_sweep(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
+def detect_icmp_sweep(flagged: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
     """ICMP flows (any case) by source reaching >= 2 distinct destinations."""
-    icmp = flows.where(F.upper(F.col("protocol")) == "ICMP").select("src_ip", "dst_ip", "packets")
-    icmp_pairs = (icmp.groupBy("src_ip", "dst_ip")
-                  .agg(F.sum("packets").alias("pair_packets")))
-    per_src = (icmp_pairs.groupBy("src_ip")
-               .agg(F.count("dst_ip").alias("dst_non_null"),
-                    F.max(F.col("dst_ip").isNull()).alias("dst_null"),
-                    F.sum("pair_packets").alias("total_packets"))
-               .withColumn("unique_dsts", _nulls_as_one(F.col("dst_non_null"), F.col("dst_null")))
-               .where(F.col("unique_dsts") >= cfg.icmp_min_dsts))
-    n = F.col("unique_dsts")
-    total = F.coalesce(F.col("total_packets"), F.lit(0.0))
-    return (per_src.join(destination_lists(icmp_pairs, per_src), "src_ip", "left")
-            .select("src_ip", F.coalesce(F.col("dst_list"), F.lit("")).alias("dst_ip"),
+    n = F.col("icmp_unique_dsts")
+    total = F.coalesce(F.col("icmp_packets"), F.lit(0.0))
+    return (flagged.where(_icmp_hit(cfg))
+            .select("src_ip", F.coalesce(F.col("icmp_dst_list"), F.lit("")).alias("dst_ip"),
                     F.lit(ICMP_SWEEP_TYPE).alias("threat_type"),
                     F.lit("confirmed").alias("severity"),
                     F.lit("ICMP").alias("protocol"),
@@ -186,14 +200,12 @@ def union_alerts(flows: DataFrame, threats: DataFrame, n_rows: int,
                  cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
     """UNION ALL of D1-D5 (8 alert columns, ``confidence`` unrounded)."""
     pairs = pair_summary(flows)
-    sources = source_summary(pairs)
-    # one destination-list pass for every source flagged by D3 or D4
-    lists = destination_lists(pairs, sources.where(_horizontal_hit(n_rows, cfg) | _botnet_hit(cfg)))
+    flagged = flagged_sources(pairs, source_summary(pairs), n_rows, cfg)
     parts = [dedup_flow_alerts(threats),
              detect_port_scan(pairs, cfg),
-             detect_horizontal_scan(pairs, sources, n_rows, cfg, lists),
-             detect_botnet(pairs, sources, cfg, lists),
-             detect_icmp_sweep(flows, cfg)]
+             detect_horizontal_scan(flagged, n_rows, cfg),
+             detect_botnet(flagged, cfg),
+             detect_icmp_sweep(flagged, cfg)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p.select(*ALERT_COLUMNS))

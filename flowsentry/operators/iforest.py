@@ -1,14 +1,19 @@
 """Distributed isolation forest (M1-M9, M6 threshold).
 
-* M1 training sample: the ``train_cap`` rows with the smallest
-  ``xxhash64(row_id, seed)`` (TakeOrderedAndProject: bounded, and the same for
-  any partitioning), or every row when there are fewer.
-* M2-M3 moments and standard scaling: one aggregate over the sample.
-* M4 fit: each row of the sample is routed to the trees whose hash
-  ``u(row, tree) < p`` (a generator over tree ids, no join); each tree keeps
-  its ``psi`` smallest-``u`` rows, so the subsample is exactly the psi rows of
-  smallest hash.  ``groupBy(tree_id).applyInPandas`` grows the trees, one task
-  per tree, at most ``~2 psi`` rows each.
+* M1 training sample: every row when there are at most ``train_cap``, else
+  the rows whose hash ``u(row_id, seed)`` falls below ``train_cap / n`` (a
+  per-row predicate: no global sort, the same rows for any partitioning,
+  ``train_cap`` rows in expectation).
+* M2-M3 moments and standard scaling: one aggregate over the sample, computed
+  only where model evidence needs it.  Trees split on uniform thresholds
+  between a node's min and max, so they are unchanged by per-feature affine
+  scaling; fitting and scoring use the sanitised features directly.
+* M4 fit, in one job over the table: each sampled row is routed to the trees
+  whose hash ``u(row, tree) < p`` (explode over tree ids, then a filter; no
+  join); each tree keeps its ``psi`` smallest-``u`` rows, so its subsample is
+  exactly the psi sampled rows of smallest hash.
+  ``groupBy(tree_id).applyInPandas`` grows the trees, one group per tree of
+  about ``2 psi`` rows.
 * M5 score: the node table (``n_trees x (2^(depth+1)-1)`` entries, a size fixed
   by the parameters, never by the data) is broadcast to a vectorised Arrow UDF.
 * M8 min-max normalisation from a global min/max.
@@ -50,12 +55,16 @@ def _unit_hash(seed: int, *cols) -> F.Column:
     return (h.bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).cast("double")) / F.lit(float(2 ** 63))
 
 
+def sample_predicate(n_rows: int, cfg: DetectionConfig = DEFAULT_CONFIG) -> F.Column:
+    """M1 membership of a row (by ``row_id``)."""
+    if n_rows <= cfg.train_cap:
+        return F.lit(True)
+    return _unit_hash(cfg.seed, F.col("row_id"), F.lit(-1)) < F.lit(cfg.train_cap / n_rows)
+
+
 def training_sample(vec: DataFrame, n_rows: int, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
     """M1."""
-    if n_rows <= cfg.train_cap:
-        return vec
-    return (vec.withColumn("__h", F.xxhash64("row_id", F.lit(cfg.seed)))
-            .orderBy("__h", "row_id").limit(cfg.train_cap).drop("__h"))
+    return vec.where(sample_predicate(n_rows, cfg))
 
 
 def feature_moments(sample: DataFrame) -> dict:
@@ -127,18 +136,18 @@ class ForestModel:
 
 
 def fit_trees(scaled_sample: DataFrame, m: int, cfg: DetectionConfig = DEFAULT_CONFIG):
-    """M4: returns (feature, value, path, psi, depth) arrays."""
+    """M4 over the sample (``m`` rows expected): returns (feature, value, path,
+    psi, depth) arrays."""
     psi = min(cfg.max_samples, m)
     depth = max(1, int(math.ceil(math.log2(max(psi, 2)))))
     trees = cfg.n_trees
 
     def attempt(p: float) -> pd.DataFrame:
-        u = lambda t: _unit_hash(cfg.seed, F.col("row_id"), t)
-        routed = scaled_sample.select(
-            "row_id", *FEATURE_COLUMNS,
-            F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: u(t) < F.lit(p)))
-             .alias("tree_id"))
-        routed = routed.withColumn("__u", u(F.col("tree_id")))
+        routed = (scaled_sample
+                  .select("row_id", *FEATURE_COLUMNS,
+                          F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree_id"))
+                  .withColumn("__u", _unit_hash(cfg.seed, F.col("row_id"), F.col("tree_id")))
+                  .where(F.col("__u") < F.lit(p)))
         nodes = (routed.groupBy("tree_id")
                  .applyInPandas(_grow(psi, depth, cfg.seed), _tree_schema()))
         return nodes.toPandas()   # bounded: trees x (2^(depth+1)-1) rows
@@ -185,37 +194,36 @@ def raw_scores(model: ForestModel, vec: DataFrame, spark=None) -> F.Column:
 
 
 def fit(features: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG, n_rows: int | None = None,
-        with_threshold: bool = True) -> ForestModel:
+        with_threshold: bool = True, with_moments: bool = True) -> ForestModel:
     """M1-M6 on a frame carrying ``row_id`` and the P-features.
-    ``with_threshold=False`` skips the M6 cut (unused when nothing is labelled)."""
+    ``with_threshold`` computes the M6 cut (only needed when labelling);
+    ``with_moments`` the M2 moments (only needed for model evidence)."""
     vec = feature_vector(features, cfg)
     if n_rows is None:
         n_rows = features.count()
-    sample = training_sample(vec, n_rows, cfg).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        moments = feature_moments(sample)
-        scaled = standard_scale(sample, moments)
-        m = min(n_rows, cfg.train_cap)
-        feature, value, path, psi, depth = fit_trees(scaled, m, cfg)
-        model = ForestModel(moments, feature, value, path, psi, depth)
-        if with_threshold:
-            # M6: the contamination cut on training scores (linear interpolation)
-            train = scaled.select(raw_scores(model, scaled).alias("s"))
-            model.threshold = float(train.agg(F.percentile("s", 1.0 - cfg.contamination)).first()[0])
-    finally:
-        sample.unpersist()
+    sample = training_sample(vec, n_rows, cfg)
+    moments = feature_moments(sample) if with_moments else {}
+    m = min(n_rows, cfg.train_cap)
+    feature, value, path, psi, depth = fit_trees(sample, m, cfg)
+    model = ForestModel(moments, feature, value, path, psi, depth)
+    if with_threshold:
+        # M6: the contamination cut on training scores (linear interpolation)
+        train = sample.select(raw_scores(model, sample).alias("s"))
+        model.threshold = float(train.agg(F.percentile("s", 1.0 - cfg.contamination)).first()[0])
     return model
 
 
-def with_raw_scores(scored: DataFrame, model: ForestModel, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
-    """M5: ``anomaly_score`` (high = anomalous) from the sanitised, scaled
-    features computed inline and fed to the Arrow UDF."""
+def anomaly_score(model: ForestModel, spark, cfg: DetectionConfig = DEFAULT_CONFIG) -> F.Column:
+    """M5 as a Column over the raw flow features (sanitised inline)."""
     from ..functions.features import sanitize
-    m = model.moments
-    scaled = [(sanitize(F.col(c), cfg) - F.lit(m[c][0])) / F.lit(m[c][1]) for c in FEATURE_COLUMNS]
-    bc = scored.sparkSession.sparkContext.broadcast((model.feature, model.value, model.path))
+    bc = spark.sparkContext.broadcast((model.feature, model.value, model.path))
     udf = _score_udf(bc, model.depth, model.psi)
-    return scored.withColumn("anomaly_score", udf(*scaled))
+    return udf(*[sanitize(F.col(c), cfg) for c in FEATURE_COLUMNS])
+
+
+def with_raw_scores(scored: DataFrame, model: ForestModel, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
+    """M5: adds ``anomaly_score`` (high = anomalous)."""
+    return scored.withColumn("anomaly_score", anomaly_score(model, scored.sparkSession, cfg))
 
 
 def normalise_scores(scored: DataFrame, model: ForestModel, polarity: str = "as_shipped") -> DataFrame:

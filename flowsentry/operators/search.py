@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stats import _zero_filled
+from .stats import binned_counts
 
 
 def severity_is(value: str) -> Column:
@@ -72,8 +72,7 @@ def confidence_histogram(alerts: DataFrame, bins: int = 20) -> DataFrame:
     width = 1.0 / bins
     c = F.coalesce(F.col("confidence"), F.lit(0.0))
     idx = F.least(F.floor(c / F.lit(width)).cast("int"), F.lit(bins - 1))
-    counts = alerts.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    return (_zero_filled(alerts.sparkSession, counts, bins)
+    return (binned_counts(alerts, idx, bins)
             .select("bin",
                     F.round(F.col("bin").cast("double") * F.lit(width), 2).alias("bin_start"),
                     F.round((F.col("bin") + 1).cast("double") * F.lit(width), 2).alias("bin_end"),

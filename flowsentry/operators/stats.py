@@ -2,8 +2,8 @@
 
 All are aggregates with partial aggregation; the one-row run record is
 assembled by a union of one-row frames folded with ``first(ignorenulls)``
-(no join).  Chart bins are zero-filled from ``spark.range(bins)``: a frame
-whose size is the bin count, so broadcasting it is bounded by a parameter.
+(no join).  Chart bins are zero-filled by a union with one zero row per bin
+(a frame sized by the bin count) and a sum - no join.
 """
 
 from __future__ import annotations
@@ -101,20 +101,20 @@ def histogram_bin(c: Column, bins: int = 20) -> Column:
     return F.when((c >= 0.0) & (c <= 1.0) & ~F.isnan(c), adj)
 
 
-def _zero_filled(spark, counts: DataFrame, bins: int, key: str = "bin") -> DataFrame:
-    grid = spark.range(bins).select(F.col("id").cast("int").alias(key))
-    return (grid.join(F.broadcast(counts), key, "left")
-            .withColumn("count", F.coalesce(F.col("count"), F.lit(0)).cast("long")))
+def binned_counts(df: DataFrame, bin_col: Column, bins: int) -> DataFrame:
+    """Zero-filled counts per bin: a partial-aggregated count per bin, unioned
+    with one zero row per bin (``spark.range(bins)``) and summed - no join."""
+    counts = (df.select(bin_col.alias("bin")).where(F.col("bin").isNotNull())
+              .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
+    zeros = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), F.lit(0).cast("long").alias("count"))
+    return counts.unionByName(zeros).groupBy("bin").agg(F.sum("count").alias("count"))
 
 
 def score_histogram(scored: DataFrame, column: str = "ml_score", bins: int = 20) -> DataFrame:
     """20 equal bins on [0, 1], zero-filled; ``bin_start``/``bin_end``
     rounded to 2 places."""
-    counts = (scored.select(histogram_bin(F.col(column), bins).alias("bin"))
-              .where(F.col("bin").isNotNull())
-              .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
     step = 1.0 / bins
-    return (_zero_filled(scored.sparkSession, counts, bins)
+    return (binned_counts(scored, histogram_bin(F.col(column), bins), bins)
             .select("bin",
                     F.round(F.col("bin").cast("double") * F.lit(step), 2).alias("bin_start"),
                     F.round(F.when(F.col("bin") + 1 == bins, F.lit(1.0))
@@ -156,14 +156,13 @@ def threats_over_time(threats: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
     t = F.col("start_time")
     finite = t.isNotNull() & ~F.isnan(t) & (F.abs(t) != F.lit(float("inf")))
     idx = F.least(F.greatest(F.floor((t - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(0)), F.lit(bins - 1))
-    counts = threats.where(finite).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = binned_counts(threats.where(finite), idx, bins)
     centre = F.lit(lo) + (F.col("bin").cast("double") + 0.5) * F.lit(width)
     if lo > 1e9:
         label = F.date_format(F.timestamp_seconds(centre), "HH:mm:ss")
     else:
         label = F.concat(F.lit("T+"), _py_round1_text(centre - F.lit(lo)), F.lit("s"))
-    return (_zero_filled(spark, counts, bins)
-            .select("bin", label.alias("time"), F.col("count").alias("threat_count")))
+    return counts.select("bin", label.alias("time"), F.col("count").alias("threat_count"))
 
 
 def alerts_by_severity(alerts: DataFrame) -> DataFrame:

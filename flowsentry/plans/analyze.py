@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import DEFAULT_CONFIG, DetectionConfig
 from ..functions.features import with_features
@@ -26,19 +27,20 @@ from ..operators import stats as st
 from ..operators.thresholds import Thresholds, adaptive_thresholds
 from ..session import scratch_path
 
-# columns the detectors, statistics and charts read after scoring
-SCORED_COLUMNS = ("row_id", "src_ip", "dst_ip", "dst_port", "protocol", "packets", "bytes",
-                  "bytes_per_packet", "packets_per_sec", "flow_duration", "start_time",
-                  "rule_threat_type", "rule_severity", "rule_confidence")
+# columns the thresholds, rules, forest, detectors, statistics and charts read
+FEATURE_TABLE_COLUMNS = ("row_id", "src_ip", "dst_ip", "dst_port", "protocol", "packets", "bytes", "flows",
+                         "bytes_per_packet", "packets_per_sec", "flow_duration", "udp_ratio", "dst_port_flag",
+                         "start_time")
 
 
 @dataclass
 class ScoredFlows:
-    flows: DataFrame            # verdict columns + arbitration
+    flows: DataFrame            # features + rules + model columns + arbitration
     thresholds: Thresholds
     model: object = None        # forest model when the forest ran
     persisted: list = field(default_factory=list)
-    path: str | None = None     # where the verdict table was written
+    path: str | None = None     # where the feature table was written
+    scores: DataFrame | None = None   # ``ml_score`` per flow, for the histogram
 
     def release(self):
         for df in self.persisted:
@@ -46,6 +48,13 @@ class ScoredFlows:
         self.persisted.clear()
 
 
+def _write_read(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path), path
+
+
 def score_flows(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
                 ml: str | None = "as_shipped", scores: DataFrame | None = None,
                 inject: dict | None = None, persist: bool = True, materialize: bool = False,
@@ -60,12 +69,12 @@ def score_flows(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
     expressions over the flow row.  Model evidence (M10) then uses the moments
     of the training sample.
 
-    ``materialize``: write the verdict table (a narrow column set, plus the raw
-    forest score) as parquet under the session's checkpoint directory and read
-    it back.  Every later branch scans that table, with column pruning,
-    instead of recomputing features, rules and forest scores; lineage is cut,
-    so a lost executor only costs tasks of the current stage; plans stay small.
-    ``persist`` (when not materialising) caches the frame instead.
+    ``materialize``: first write the narrow feature table as parquet under the
+    session's checkpoint directory and read it back.  Thresholds, the forest
+    and every later branch scan that table (in parallel, with column pruning)
+    instead of re-deriving features from the source; lineage is cut, so a
+    lost executor only costs tasks of the current stage; plans stay small.
+    Without it, ``persist`` caches the scored frame instead.
     """
     timings = {} if timings is None else timings
     clock = [time.time()]
@@ -75,12 +84,15 @@ def score_flows(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
         timings[name] = round(now - clock[0], 3)
         clock[0] = now
 
-    spark = flows.sparkSession
     feats = with_features(flows, cfg)
+    path = None
+    if materialize:
+        feats, path = _write_read(feats.select(*FEATURE_TABLE_COLUMNS), "flow-features")
+        mark("features_write")
     thr = adaptive_thresholds(feats, cfg)
     mark("thresholds")
     scored = with_rule_scores(feats, thr)
-    model, moments, persisted, path = None, None, [], None
+    model, moments, persisted, hist_scores = None, None, [], None
     if scores is not None:
         scored = scored.join(scores.select("row_id", "ml_score", "ml_label"), "row_id", "left")
     for name, col in (inject or {}).items():
@@ -90,25 +102,35 @@ def score_flows(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
         vec = iforest.feature_vector(feats, cfg)
         moments = iforest.feature_moments(iforest.training_sample(vec, thr.n_rows, cfg))
     run_forest = not supplied and ml is not None and thr.n_rows > 0
-    if run_forest:
-        model = iforest.fit(feats, cfg, n_rows=thr.n_rows, with_threshold=(ml == "intent"))
+    if run_forest and ml == "intent":
+        # labels feed every branch: score once into the verdict table
+        model = iforest.fit(feats, cfg, n_rows=thr.n_rows)
         moments = model.moments
+        mark("forest_fit")
         scored = iforest.with_raw_scores(scored, model, cfg)
+        if materialize:
+            scored, _ = _write_read(scored, "scored-flows")
+        else:
+            scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+            persisted.append(scored)
+        scored = iforest.normalise_scores(scored, model, "intent")
+        mark("score_and_range")
+    elif run_forest:
+        # as shipped nothing is labelled, so only the histogram reads scores:
+        # a one-column frame, cached for the range pass and the histogram
+        model = iforest.fit(feats, cfg, n_rows=thr.n_rows, with_threshold=False, with_moments=False)
         mark("forest_fit")
-    if materialize:
-        extra = [c for c in ("ml_score", "ml_label", "anomaly_score") if c in scored.columns]
-        path = scratch_path(spark, "scored-flows")
-        scored.select(*SCORED_COLUMNS, *extra).write.parquet(path)
-        scored = spark.read.parquet(path)
-        mark("score_and_write")
-    elif persist:
+        raw = feats.select(iforest.anomaly_score(model, feats.sparkSession, cfg).alias("anomaly_score")) \
+                   .persist(StorageLevel.MEMORY_AND_DISK)
+        persisted.append(raw)
+        hist_scores = iforest.normalise_scores(raw, model, "as_shipped")
+        scored = scored.withColumn("ml_score", F.lit(0.0)).withColumn("ml_label", F.lit(0))
+        mark("score_range")
+    elif not materialize and persist:
         scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
         persisted.append(scored)
-    if run_forest:
-        scored = iforest.normalise_scores(scored, model, polarity=ml)
-        mark("score_range")
     out = arb.arbitrate(scored, cfg, moments=moments)
-    return ScoredFlows(out, thr, model, persisted, path)
+    return ScoredFlows(out, thr, model, persisted, path, hist_scores if hist_scores is not None else out)
 
 
 def alerts_before_cut(sf: ScoredFlows, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
@@ -147,7 +169,7 @@ def analyze(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG, ml: str | N
     alerts = cal.rank_alerts(every, cfg).select(*cal.FINAL_COLUMNS)
     threats = arb.threat_flows(sf.flows)
     stats = st.run_stats(sf.flows)
-    hist = st.score_histogram(sf.flows, "ml_score", cfg.histogram_bins)
+    hist = st.score_histogram(sf.scores, "ml_score", cfg.histogram_bins)
     timeline = st.threats_over_time(threats, cfg)
     timings["plan_outputs"] = round(time.time() - t, 3)
     return AnalysisResult(stats, alerts, hist, timeline, sf, every)

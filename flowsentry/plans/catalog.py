@@ -199,20 +199,23 @@ def detect_horizontal_scan(spark, sf_dir):
     flows = _flows(spark, sf_dir)
     pairs = detect.pair_summary(flows)
     n = flows.count()
-    return detect.detect_horizontal_scan(pairs, detect.source_summary(pairs), n)
+    return detect.detect_horizontal_scan(detect.flagged_sources(pairs, detect.source_summary(pairs), n), n)
 
 
 @register("detect_botnet", O.with_ctes(*O.BASE_SHIPPED, O.DETECT) + _ALERT_SEL + "d4")
 def detect_botnet(spark, sf_dir):
     """D4."""
-    pairs = detect.pair_summary(_flows(spark, sf_dir))
-    return detect.detect_botnet(pairs, detect.source_summary(pairs))
+    flows = _flows(spark, sf_dir)
+    pairs = detect.pair_summary(flows)
+    return detect.detect_botnet(detect.flagged_sources(pairs, detect.source_summary(pairs), flows.count()))
 
 
 @register("detect_icmp_sweep", O.with_ctes(*O.BASE_SHIPPED, O.DETECT) + _ALERT_SEL + "d5")
 def detect_icmp_sweep(spark, sf_dir):
     """D5."""
-    return detect.detect_icmp_sweep(_flows(spark, sf_dir))
+    flows = _flows(spark, sf_dir)
+    pairs = detect.pair_summary(flows)
+    return detect.detect_icmp_sweep(detect.flagged_sources(pairs, detect.source_summary(pairs), flows.count()))
 
 
 @register("temporal_correlation", O.with_ctes(*O.BASE_SHIPPED, O.DETECT)
