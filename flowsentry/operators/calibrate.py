@@ -45,38 +45,44 @@ def monitor_confidence(c: Column) -> Column:
     return F.least(F.lit(0.60), F.greatest(F.lit(0.40), x))
 
 
+# K2 as Spark SQL text: one expression per column keeps plan building cheap.
+# ``D`` marks double literals (plain decimals would be DECIMAL in Spark SQL).
+_RM = "(contains(threat_type, '(Rule + ML)') OR contains(threat_type, 'Aggregated'))"
+_BRANCH = f"""CASE
+  WHEN contains(threat_type, 'Port Scan') OR contains(threat_type, 'Horizontal Scan') THEN 1
+  WHEN flow_count = 1 AND NOT {_RM} THEN 2
+  WHEN {_RM} OR (temporal AND severity = 'CONFIRMED') THEN 3
+  WHEN flow_count = 2 AND NOT temporal THEN 4
+  WHEN severity = 'CONFIRMED' THEN 5
+  WHEN severity = 'HIGH' THEN 6
+  ELSE 7 END"""
+_NEW_SEVERITY = """CASE WHEN branch IN (1, 3, 5) THEN 'CONFIRMED' WHEN branch = 4 THEN 'SUSPICIOUS'
+  WHEN branch = 6 THEN 'HIGH' ELSE 'MONITOR' END"""
+_CONF = """least(CASE
+  WHEN branch = 1 THEN 0.85D + 0.14D * confidence
+  WHEN branch = 2 THEN least(0.60D, greatest(0.40D, CASE
+      WHEN confidence < 0.6D THEN 0.40D + 0.05D * (confidence / 0.6D)
+      WHEN confidence < 0.8D THEN 0.45D + 0.10D * ((confidence - 0.6D) / 0.2D)
+      ELSE 0.55D + 0.05D * ((confidence - 0.8D) / 0.2D) END))
+  WHEN branch IN (3, 5) THEN 0.75D + 0.24D * confidence
+  WHEN branch IN (4, 6) THEN 0.55D + 0.20D * confidence
+  ELSE 0.40D + 0.20D * confidence END, 0.99D)"""
+_RANK_SQL = ("CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SEVERITY_RANK.items())
+             + " ELSE 0 END")
+_NAME_SQL = ("CASE {c} " + " ".join(f"WHEN {v} THEN '{k}'" for k, v in SEVERITY_RANK.items()) + " END")
+
+
 def calibrate(alerts: DataFrame, temporal: DataFrame) -> DataFrame:
     """K2 + K3.  Adds ``branch`` (1..7), ``confidence_raw`` (capped at .99,
     unrounded) and ``confidence`` (rounded to 2 places)."""
-    df = join_temporal(alerts, temporal)
-    t, c, sev, n = F.col("threat_type"), F.col("confidence"), F.col("severity"), F.col("flow_count")
-    tp = F.col("temporal")
-    scan = t.contains("Port Scan") | t.contains("Horizontal Scan")
-    rm = t.contains("(Rule + ML)") | t.contains("Aggregated")
-    branch = (F.when(scan, 1)
-              .when((n == 1) & ~rm, 2)
-              .when(rm | (tp & (sev == "CONFIRMED")), 3)
-              .when((n == 2) & ~tp, 4)
-              .when(sev == "CONFIRMED", 5)
-              .when(sev == "HIGH", 6)
-              .otherwise(7))
-    df = df.withColumn("branch", branch)
-    b = F.col("branch")
-    new_sev = (F.when(b.isin(1, 3, 5), F.lit("CONFIRMED")).when(b == 2, F.lit("MONITOR"))
-               .when(b == 4, F.lit("SUSPICIOUS")).when(b == 6, F.lit("HIGH")).otherwise(F.lit("MONITOR")))
-    conf = (F.when(b == 1, 0.85 + 0.14 * c)
-            .when(b == 2, monitor_confidence(c))
-            .when(b.isin(3, 5), 0.75 + 0.24 * c)
-            .when(b.isin(4, 6), 0.55 + 0.20 * c)
-            .otherwise(0.40 + 0.20 * c))
-    evidence = F.coalesce(F.nullif(F.col("evidence"), F.lit("")),
-                          F.concat(F.lit(DEFAULT_EVIDENCE_PREFIX), t))
-    return df.select(
+    df = join_temporal(alerts, temporal).selectExpr("*", f"{_BRANCH} AS branch")
+    prefix = DEFAULT_EVIDENCE_PREFIX.replace("'", "\\'")
+    return df.selectExpr(
         "src_ip", "dst_ip", "threat_type", "protocol", "flow_count",
-        new_sev.alias("severity"),
-        F.least(conf, F.lit(0.99)).alias("confidence_raw"),
-        F.round(F.least(conf, F.lit(0.99)), 2).alias("confidence"),
-        evidence.alias("evidence"),
+        f"{_NEW_SEVERITY} AS severity",
+        f"{_CONF} AS confidence_raw",
+        f"round({_CONF}, 2) AS confidence",
+        f"coalesce(nullif(evidence, ''), concat('{prefix}', threat_type)) AS evidence",
         "branch", "temporal")
 
 
@@ -85,9 +91,9 @@ def per_source_profile(calibrated: DataFrame) -> DataFrame:
     The set of types per source is bounded by the number of possible labels
     (rule combinations, the ML suffix, four detector names), so a set-valued
     partial aggregate is safe and needs one shuffle instead of two."""
-    return (calibrated.groupBy("src_ip")
-            .agg(F.size(F.collect_set("threat_type")).alias("threat_types"),
-                 F.max(severity_rank(F.col("severity"))).alias("max_rank")))
+    return calibrated.groupBy("src_ip").agg(
+        F.expr("size(collect_set(threat_type))").alias("threat_types"),
+        F.expr(f"max({_RANK_SQL.format(c='severity')})").alias("max_rank"))
 
 
 def escalate(calibrated: DataFrame) -> DataFrame:
@@ -95,20 +101,16 @@ def escalate(calibrated: DataFrame) -> DataFrame:
     highest severity, +0.10 confidence (capped, not re-rounded) and a suffix.
     Adds ``escalated`` (K7 counts it)."""
     prof = per_source_profile(calibrated)
-    df = calibrated.join(prof, "src_ip", "left")
-    top = rank_to_severity(F.col("max_rank"))
-    lift = (F.col("threat_types") >= 2) & (F.col("severity") != top)
-    lift = F.coalesce(lift, F.lit(False))
-    return df.select(
+    top = _NAME_SQL.format(c="max_rank")
+    lifted = calibrated.join(prof, "src_ip", "left").selectExpr(
+        "*", f"coalesce(threat_types >= 2 AND severity <> {top}, false) AS lift", f"{top} AS top")
+    return lifted.selectExpr(
         "src_ip", "dst_ip", "threat_type", "protocol", "flow_count",
-        F.when(lift, F.least(F.lit(0.99), F.col("confidence") + 0.10)).otherwise(F.col("confidence"))
-         .alias("confidence"),
-        F.when(lift, F.least(F.lit(0.99), F.col("confidence_raw") + 0.10)).otherwise(F.col("confidence_raw"))
-         .alias("confidence_raw"),
-        F.when(lift, top).otherwise(F.col("severity")).alias("severity"),
-        F.when(lift, F.concat(F.col("evidence"), F.lit(ESCALATION_SUFFIX))).otherwise(F.col("evidence"))
-         .alias("evidence"),
-        lift.alias("escalated"), "branch")
+        "CASE WHEN lift THEN least(0.99D, confidence + 0.10D) ELSE confidence END AS confidence",
+        "CASE WHEN lift THEN least(0.99D, confidence_raw + 0.10D) ELSE confidence_raw END AS confidence_raw",
+        "CASE WHEN lift THEN top ELSE severity END AS severity",
+        f"CASE WHEN lift THEN concat(evidence, '{ESCALATION_SUFFIX}') ELSE evidence END AS evidence",
+        "lift AS escalated", "branch")
 
 
 def escalated_count(escalated: DataFrame) -> DataFrame:
@@ -125,7 +127,7 @@ def rank_alerts(escalated: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
     if by == "confidence":
         keys.append(F.desc("confidence_raw"))
     return (escalated
-            .withColumn("severity_rank", severity_rank(F.col("severity")))
+            .selectExpr("*", f"{_RANK_SQL.format(c='severity')} AS severity_rank")
             .orderBy(*keys, "src_ip", "dst_ip", "threat_type", "protocol", "flow_count", "evidence")
             .limit(cfg.max_alerts)
             .drop("severity_rank"))

@@ -66,7 +66,9 @@ def flows_cte_duckdb() -> str:
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    """The events table, spread over the cluster's cores if it arrives in
+    fewer splits (the derivation below then runs in parallel)."""
+    return ensure_parallelism(spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet"), "event_id")
 
 
 def labelled_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +79,4 @@ def labelled_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows in the ingest schema (``row_id`` + the 11 flow columns)."""
-    return ensure_parallelism(labelled_flows(spark, sf_dir).drop("label"))
+    return labelled_flows(spark, sf_dir).drop("label")
