@@ -611,3 +611,49 @@ def ledger_latest_alerts(spark, sf_dir):
     run = ledger.write_run(stats, hist, timeline, "flows.csv")
     ledger.write_alerts(final, run)
     return ledger.alerts_of_latest_run().select(*cal.FINAL_COLUMNS)
+
+
+# ---------------------------------------------------------------- M
+from ..config import FEATURE_COLUMNS as _FC  # noqa: E402
+from ..functions.features import feature_vector as _fv  # noqa: E402
+from ..operators import iforest  # noqa: E402
+
+_SAN = {c: (f"case when {c} is null or isnan({c}) then 0.0::DOUBLE when {c} = 'inf'::DOUBLE then 1e9::DOUBLE "
+            f"when {c} = '-inf'::DOUBLE then -1e9::DOUBLE else {c} end") for c in _FC}
+_VEC = "vec as (select row_id, " + ", ".join(f"{_SAN[c]} as {c}" for c in _FC) + " from feat)"
+_MOM = "mom8 as (select " + ", ".join(
+    f"avg({c}) as m_{c}, stddev_pop({c}) + 1e-9 as s_{c}" for c in _FC) + " from vec)"
+
+
+@register("feature_moments", O.with_ctes(O.FEAT, _VEC, _MOM) + " union all ".join(
+    f"select '{c}' as feature, round(m_{c}, 6) as mean, round(s_{c}, 6) as std from mom8" for c in _FC))
+def feature_moments(spark, sf_dir):
+    """M1 + M2: mean and population std (+1e-9) of the training sample (every
+    row up to 50,000; rounded to 6 places, float sums depend on order)."""
+    flows = _flows(spark, sf_dir)
+    vec = _fv(with_features(flows))
+    n = flows.count()
+    mom = iforest.feature_moments(iforest.training_sample(vec, n))
+    rows = [(c, round(m, 6), round(s, 6)) for c, (m, s) in mom.items()]
+    # tiny result frame; the rounding above is Python's, so round again in Spark
+    return spark.createDataFrame(rows, "feature string, mean double, std double").select(
+        "feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@register("standard_scale", O.with_ctes(O.FEAT, _VEC, _MOM) + "select row_id, " + ", ".join(
+    f"round(({c} - m_{c}) / s_{c}, 6) as {c}" for c in _FC) + " from vec, mom8")
+def standard_scale(spark, sf_dir):
+    """M3: (x - mean) / std per feature (rounded to 6 places)."""
+    flows = _flows(spark, sf_dir)
+    vec = _fv(with_features(flows))
+    mom = iforest.feature_moments(iforest.training_sample(vec, flows.count()))
+    return iforest.standard_scale(vec, mom).select("row_id", *[F.round(c, 6).alias(c) for c in _FC])
+
+
+@register("isolation_forest_scores")
+def isolation_forest_scores(spark, sf_dir):
+    """M1, M4-M9 (intended polarity): raw anomaly score, min-max normalised
+    score and the contamination label for every flow.  No SQL form: checked
+    by the property tests."""
+    sf = score_flows(_flows(spark, sf_dir), DEFAULT_CONFIG, ml="intent", materialize=True)
+    return sf.flows.select("row_id", "anomaly_score", "ml_score", "ml_label", "threat_type", "severity")
