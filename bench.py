@@ -26,7 +26,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     from flowsentry.operators import evaluate as ev
     from flowsentry.operators import search as se
-    from flowsentry.plans.analyze import analyze
+    from flowsentry.plans.analyze import analyze_and_collect
     from flowsentry.session import build_session
     from flowsentry.sources.fixture import labelled_flows, load_flows
 
@@ -34,20 +34,10 @@ def main() -> None:
 
     def run(path: str, timings: dict) -> dict:
         t0 = time.time()
-        res = analyze(load_flows(spark, path), timings=timings)
-        t = time.time()
-        alerts = res.alerts.collect()
-        timings["alerts"] = round(time.time() - t, 3)
-        t = time.time()
-        stats = res.stats.collect()
-        timings["run_stats"] = round(time.time() - t, 3)
-        t = time.time()
-        hist = res.histogram.collect()
-        timeline = res.threats_over_time.collect()
-        timings["charts"] = round(time.time() - t, 3)
+        res, rows = analyze_and_collect(load_flows(spark, path), timings=timings)
         total = time.time() - t0
-        return {"total": total, "alerts": alerts, "stats": stats, "hist": hist, "timeline": timeline,
-                "result": res}
+        return {"total": total, "alerts": rows["alerts"], "stats": rows["stats"], "hist": rows["histogram"],
+                "timeline": rows["threats_over_time"], "result": res}
 
     warm_dir = os.path.join(os.path.dirname(sf_dir), "sf0.001")
     if os.path.isdir(warm_dir) and warm_dir != sf_dir:

@@ -10,6 +10,7 @@ percentiles, score range, time range) and the final bounded outputs.
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -48,6 +49,17 @@ class ScoredFlows:
         self.persisted.clear()
 
 
+def run_concurrently(*tasks):
+    """Run independent driver-side steps (each builds a plan and runs its
+    jobs) from separate threads, so Spark schedules their stages side by
+    side instead of one job after another.  Results keep the task order."""
+    if len(tasks) == 1:
+        return [tasks[0]()]
+    with ThreadPoolExecutor(max_workers=len(tasks)) as pool:
+        futures = [pool.submit(t) for t in tasks]
+        return [f.result() for f in futures]
+
+
 def _write_read(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, name)
@@ -89,24 +101,31 @@ def score_flows(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
     if materialize:
         feats, path = _write_read(feats.select(*FEATURE_TABLE_COLUMNS), "flow-features")
         mark("features_write")
-    thr = adaptive_thresholds(feats, cfg)
-    mark("thresholds")
-    scored = with_rule_scores(feats, thr)
     model, moments, persisted, hist_scores = None, None, [], None
+    supplied = scores is not None or inject is not None
+    if not supplied and ml is not None:
+        # the forest does not depend on the thresholds: fit it alongside them
+        n_rows = feats.count()
+        fit = (lambda: iforest.fit(feats, cfg, n_rows=n_rows)) if ml == "intent" else \
+              (lambda: iforest.fit(feats, cfg, n_rows=n_rows, with_threshold=False, with_moments=False))
+        thr, model = run_concurrently(lambda: adaptive_thresholds(feats, cfg),
+                                      (fit if n_rows > 0 else (lambda: None)))
+        mark("thresholds_and_forest_fit")
+    else:
+        thr = adaptive_thresholds(feats, cfg)
+        mark("thresholds")
+    scored = with_rule_scores(feats, thr)
     if scores is not None:
         scored = scored.join(scores.select("row_id", "ml_score", "ml_label"), "row_id", "left")
     for name, col in (inject or {}).items():
         scored = scored.withColumn(name, col)
-    supplied = scores is not None or inject is not None
     if supplied and thr.n_rows > 0:
         vec = iforest.feature_vector(feats, cfg)
         moments = iforest.feature_moments(iforest.training_sample(vec, thr.n_rows, cfg))
     run_forest = not supplied and ml is not None and thr.n_rows > 0
     if run_forest and ml == "intent":
         # labels feed every branch: score once into the verdict table
-        model = iforest.fit(feats, cfg, n_rows=thr.n_rows)
         moments = model.moments
-        mark("forest_fit")
         scored = iforest.with_raw_scores(scored, model, cfg)
         if materialize:
             scored, _ = _write_read(scored, "scored-flows")
@@ -118,8 +137,6 @@ def score_flows(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
     elif run_forest:
         # as shipped nothing is labelled, so only the histogram reads scores:
         # a one-column frame, cached for the range pass and the histogram
-        model = iforest.fit(feats, cfg, n_rows=thr.n_rows, with_threshold=False, with_moments=False)
-        mark("forest_fit")
         raw = feats.select(iforest.anomaly_score(model, feats.sparkSession, cfg).alias("anomaly_score")) \
                    .persist(StorageLevel.MEMORY_AND_DISK)
         persisted.append(raw)
@@ -159,6 +176,43 @@ class AnalysisResult:
         self.scored.release()
 
 
+def analyze_and_collect(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG, ml: str | None = "as_shipped",
+                        materialize: bool = True, timings: dict | None = None):
+    """:func:`analyze`, then the four outputs built and collected
+    concurrently (each is small: 1000 alerts, one record, 20 + 30 bins).
+    Returns ``(result, {"alerts": rows, "stats": rows, "histogram": rows,
+    "threats_over_time": rows})``."""
+    timings = {} if timings is None else timings
+    sf = score_flows(flows, cfg, ml=ml, materialize=materialize, timings=timings)
+    t = time.time()
+    threats = arb.threat_flows(sf.flows)
+    built = {}
+
+    def alerts():
+        built["alerts_all"] = alerts_before_cut(sf, cfg)
+        built["alerts"] = cal.rank_alerts(built["alerts_all"], cfg).select(*cal.FINAL_COLUMNS)
+        return built["alerts"].collect()
+
+    def stats():
+        built["stats"] = st.run_stats(sf.flows)
+        return built["stats"].collect()
+
+    def histogram():
+        built["histogram"] = st.score_histogram(sf.scores, "ml_score", cfg.histogram_bins)
+        return built["histogram"].collect()
+
+    def timeline():
+        built["threats_over_time"] = st.threats_over_time(threats, cfg)
+        return built["threats_over_time"].collect()
+
+    names = ("alerts", "stats", "histogram", "threats_over_time")
+    rows = dict(zip(names, run_concurrently(alerts, stats, histogram, timeline)))
+    timings["outputs"] = round(time.time() - t, 3)
+    res = AnalysisResult(built["stats"], built["alerts"], built["histogram"], built["threats_over_time"],
+                         sf, built["alerts_all"])
+    return res, rows
+
+
 def analyze(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG, ml: str | None = "as_shipped",
             materialize: bool = True, timings: dict | None = None) -> AnalysisResult:
     """The whole run on one flow table; outputs are lazy frames."""
