@@ -14,29 +14,52 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_CONFIG, EVIDENCE_TEXTS, ML_ONLY_TYPE, RULE_ML_SUFFIX, DetectionConfig
 
 
-def ml_evidence(moments: dict | None) -> Column:
-    """First-match cascade on ``feature > mean + 2*std`` of the training
-    sample; ``moments`` maps feature -> (mean, std).  Label 0 gives ''."""
+# evidence codes of the M10 cascade, in cascade order (0 = not labelled)
+EVIDENCE_BY_CODE = {
+    0: "",
+    1: EVIDENCE_TEXTS["packets"] + "; " + EVIDENCE_TEXTS["bytes"],
+    2: EVIDENCE_TEXTS["packets"],
+    3: EVIDENCE_TEXTS["bytes"],
+    4: EVIDENCE_TEXTS["packets_per_sec"],
+    5: EVIDENCE_TEXTS["bytes_per_packet"],
+    6: EVIDENCE_TEXTS["flow_duration"],
+    7: EVIDENCE_TEXTS["fallback"],
+}
+
+
+def ml_evidence_code(moments: dict | None) -> Column:
+    """M10 as a small integer: first-match cascade on ``feature > mean + 2*std``
+    of the training sample (``moments`` maps feature -> (mean, std)).  An
+    integer keeps "first evidence per group" a hash-aggregatable ``min_by``."""
     label = F.col("ml_label") == 1
     if not moments:
-        return F.when(label, F.lit(EVIDENCE_TEXTS["fallback"])).otherwise(F.lit(""))
+        return F.when(label, F.lit(7)).otherwise(F.lit(0))
 
     def high(c):
         m, s = moments[c]
         return F.col(c) > F.lit(m + 2 * s)
 
     m, s = moments["flow_duration"]
-    short = F.col("flow_duration") < F.lit(m - 2 * s)
-    text = (F.when(~label, F.lit(""))
-            .when(high("packets"), F.concat(F.lit(EVIDENCE_TEXTS["packets"] + "; "),
-                                            F.when(high("bytes"), F.lit(EVIDENCE_TEXTS["bytes"] + "; "))
-                                            .otherwise(F.lit(""))))
-            .when(high("bytes"), F.lit(EVIDENCE_TEXTS["bytes"] + "; "))
-            .when(high("packets_per_sec"), F.lit(EVIDENCE_TEXTS["packets_per_sec"] + "; "))
-            .when(high("bytes_per_packet"), F.lit(EVIDENCE_TEXTS["bytes_per_packet"] + "; "))
-            .when(short, F.lit(EVIDENCE_TEXTS["flow_duration"] + "; "))
-            .otherwise(F.lit(EVIDENCE_TEXTS["fallback"])))
-    return F.btrim(text, F.lit("; "))
+    return (F.when(~label, F.lit(0))
+            .when(high("packets"), F.when(high("bytes"), F.lit(1)).otherwise(F.lit(2)))
+            .when(high("bytes"), F.lit(3))
+            .when(high("packets_per_sec"), F.lit(4))
+            .when(high("bytes_per_packet"), F.lit(5))
+            .when(F.col("flow_duration") < F.lit(m - 2 * s), F.lit(6))
+            .otherwise(F.lit(7)))
+
+
+def evidence_text(code: Column) -> Column:
+    """Text of an M10 evidence code."""
+    out = F.lit(None).cast("string")
+    for k, v in EVIDENCE_BY_CODE.items():
+        out = F.when(code == k, F.lit(v)).otherwise(out)
+    return out
+
+
+def ml_evidence(moments: dict | None) -> Column:
+    """M10 text ('' when the flow is not labelled)."""
+    return evidence_text(ml_evidence_code(moments))
 
 
 def arbitrate(scored: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
@@ -53,7 +76,8 @@ def arbitrate(scored: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
     score = F.col("ml_score")
     rule_type, rule_sev, rule_conf = F.col("rule_threat_type"), F.col("rule_severity"), F.col("rule_confidence")
     has_rule = rule_type.isNotNull()
-    df = df.withColumn("ml_evidence", ml_evidence(moments)) \
+    df = df.withColumn("ml_evidence_code", ml_evidence_code(moments))
+    df = df.withColumn("ml_evidence", evidence_text(F.col("ml_evidence_code"))) \
            .withColumn("ml_confidence", F.when(label, 0.5 + 0.4 * score).otherwise(F.lit(0.0)))
     mc = F.col("ml_confidence")
     conf = (F.when(has_rule & label, rule_conf + (1.0 - rule_conf) * mc * 0.5)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import py_fixed1
+from .arbitrate import evidence_text
 from ..config import (BOTNET_TYPE, DEFAULT_CONFIG, HORIZONTAL_SCAN_TYPE, ICMP_SWEEP_TYPE,
                       PORT_SCAN_TYPE, DetectionConfig)
 
@@ -41,14 +42,24 @@ def _py_float_text(c: Column) -> Column:
 
 
 def dedup_flow_alerts(threats: DataFrame) -> DataFrame:
-    """Threat flows grouped by (src, dst, type, severity, protocol)."""
+    """Threat flows grouped by (src, dst, type, severity, protocol); the
+    evidence of the group's first flow travels as its integer code."""
     return (threats.groupBy("src_ip", "dst_ip", "threat_type", "severity", "protocol")
             .agg(F.count(F.lit(1)).alias("flow_count"),
                  F.max("confidence").alias("confidence"),
-                 F.min_by("ml_evidence", "row_id").alias("evidence"))
+                 F.min_by("ml_evidence_code", "row_id").alias("evidence_code"))
+            .withColumn("evidence", evidence_text(F.col("evidence_code")))
             .select(*ALERT_COLUMNS))
 
 
+def first_protocol(rows: DataFrame, flows: DataFrame) -> DataFrame:
+    """Protocol of the flow ``first_row`` for the given (already flagged)
+    rows.  Aggregates carry only ``min(row_id)`` (hash-aggregatable); the
+    text is looked up afterwards, and AQE broadcasts the flagged side."""
+    return rows.join(flows.select(F.col("row_id").alias("first_row"), F.col("protocol").alias("first_protocol")),
+                     "first_row", "left")
+
+
 def _is_icmp() -> Column:
     return F.upper(F.col("protocol")) == "ICMP"
 
@@ -62,17 +73,16 @@ def pair_summary(flows: DataFrame) -> DataFrame:
                  F.max(F.col("dst_port").isNull()).alias("port_null"),
                  F.avg("packets").alias("avg_packets"),
                  F.min("row_id").alias("first_row"),
-                 F.min_by("protocol", "row_id").alias("first_protocol"),
                  F.count_if(icmp).alias("icmp_flows"),
                  F.sum(F.when(icmp, F.col("packets"))).alias("icmp_packets")))
 
 
-def detect_port_scan(pairs: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
+def detect_port_scan(pairs: DataFrame, flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
     """>= 5 distinct destination ports and average packets < 5 per pair."""
     ports = _nulls_as_one(F.col("ports_non_null"), F.col("port_null"))
-    hits = (pairs.withColumn("unique_ports", ports)
-            .where((F.col("unique_ports") >= cfg.port_scan_min_ports)
-                   & (F.col("avg_packets") < cfg.port_scan_max_avg_packets)))
+    hits = first_protocol(pairs.withColumn("unique_ports", ports)
+                          .where((F.col("unique_ports") >= cfg.port_scan_min_ports)
+                                 & (F.col("avg_packets") < cfg.port_scan_max_avg_packets)), flows)
     n = F.col("unique_ports")
     return hits.select(
         "src_ip", "dst_ip",
@@ -95,7 +105,7 @@ def source_summary(pairs: DataFrame) -> DataFrame:
             .agg(F.sum("pair_flows").alias("src_flows"),
                  F.count("dst_ip").alias("dst_non_null"),
                  F.max(F.col("dst_ip").isNull()).alias("dst_null"),
-                 F.min_by("first_protocol", "first_row").alias("first_protocol"),
+                 F.min("first_row").alias("first_row"),
                  F.count_if(icmp_pair & F.col("dst_ip").isNotNull()).alias("icmp_dst_non_null"),
                  F.max(icmp_pair & F.col("dst_ip").isNull()).alias("icmp_dst_null"),
                  F.sum("icmp_packets").alias("icmp_packets"))
@@ -131,12 +141,12 @@ def _icmp_hit(cfg: DetectionConfig) -> Column:
     return F.col("icmp_unique_dsts") >= cfg.icmp_min_dsts
 
 
-def flagged_sources(pairs: DataFrame, sources: DataFrame, n_rows: int,
+def flagged_sources(pairs: DataFrame, sources: DataFrame, flows: DataFrame, n_rows: int,
                     cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
-    """Sources flagged by D3, D4 or D5, with their destination lists: one
-    semi join, one aggregate and one join serve all three detectors."""
+    """Sources flagged by D3, D4 or D5, with their destination lists and first
+    protocol: one semi join, one aggregate and two joins serve all three."""
     hits = sources.where(_horizontal_hit(n_rows, cfg) | _botnet_hit(cfg) | _icmp_hit(cfg))
-    return hits.join(destination_lists(pairs, hits), "src_ip", "left")
+    return first_protocol(hits.join(destination_lists(pairs, hits), "src_ip", "left"), flows)
 
 
 def detect_horizontal_scan(flagged: DataFrame, n_rows: int, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
@@ -200,9 +210,9 @@ def union_alerts(flows: DataFrame, threats: DataFrame, n_rows: int,
                  cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
     """UNION ALL of D1-D5 (8 alert columns, ``confidence`` unrounded)."""
     pairs = pair_summary(flows)
-    flagged = flagged_sources(pairs, source_summary(pairs), n_rows, cfg)
+    flagged = flagged_sources(pairs, source_summary(pairs), flows, n_rows, cfg)
     parts = [dedup_flow_alerts(threats),
-             detect_port_scan(pairs, cfg),
+             detect_port_scan(pairs, flows, cfg),
              detect_horizontal_scan(flagged, n_rows, cfg),
              detect_botnet(flagged, cfg),
              detect_icmp_sweep(flagged, cfg)]

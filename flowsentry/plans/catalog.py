@@ -190,7 +190,8 @@ def dedup_flow_alerts_rule_ml(spark, sf_dir):
 @register("detect_port_scan", O.with_ctes(*O.BASE_SHIPPED, O.DETECT) + _ALERT_SEL + "d2")
 def detect_port_scan(spark, sf_dir):
     """D2."""
-    return detect.detect_port_scan(detect.pair_summary(_flows(spark, sf_dir)))
+    flows = _flows(spark, sf_dir)
+    return detect.detect_port_scan(detect.pair_summary(flows), flows)
 
 
 @register("detect_horizontal_scan", O.with_ctes(*O.BASE_SHIPPED, O.DETECT) + _ALERT_SEL + "d3")
@@ -199,7 +200,7 @@ def detect_horizontal_scan(spark, sf_dir):
     flows = _flows(spark, sf_dir)
     pairs = detect.pair_summary(flows)
     n = flows.count()
-    return detect.detect_horizontal_scan(detect.flagged_sources(pairs, detect.source_summary(pairs), n), n)
+    return detect.detect_horizontal_scan(detect.flagged_sources(pairs, detect.source_summary(pairs), flows, n), n)
 
 
 @register("detect_botnet", O.with_ctes(*O.BASE_SHIPPED, O.DETECT) + _ALERT_SEL + "d4")
@@ -207,7 +208,7 @@ def detect_botnet(spark, sf_dir):
     """D4."""
     flows = _flows(spark, sf_dir)
     pairs = detect.pair_summary(flows)
-    return detect.detect_botnet(detect.flagged_sources(pairs, detect.source_summary(pairs), flows.count()))
+    return detect.detect_botnet(detect.flagged_sources(pairs, detect.source_summary(pairs), flows, flows.count()))
 
 
 @register("detect_icmp_sweep", O.with_ctes(*O.BASE_SHIPPED, O.DETECT) + _ALERT_SEL + "d5")
@@ -215,7 +216,7 @@ def detect_icmp_sweep(spark, sf_dir):
     """D5."""
     flows = _flows(spark, sf_dir)
     pairs = detect.pair_summary(flows)
-    return detect.detect_icmp_sweep(detect.flagged_sources(pairs, detect.source_summary(pairs), flows.count()))
+    return detect.detect_icmp_sweep(detect.flagged_sources(pairs, detect.source_summary(pairs), flows, flows.count()))
 
 
 @register("temporal_correlation", O.with_ctes(*O.BASE_SHIPPED, O.DETECT)

@@ -12,24 +12,28 @@ def _ports(n, avg_packets=1.0, null_port=False, src="10.0.0.9", dst="10.0.0.10")
 
 
 def test_port_scan_boundaries(make_flows):
-    assert detect.detect_port_scan(detect.pair_summary(make_flows(_ports(4)))).count() == 0
-    assert detect.detect_port_scan(detect.pair_summary(make_flows(_ports(5)))).count() == 1
+    assert _port_scan(make_flows(_ports(4))).count() == 0
+    assert _port_scan(make_flows(_ports(5))).count() == 1
     # a null port counts as one distinct value
-    assert detect.detect_port_scan(detect.pair_summary(make_flows(_ports(4, null_port=True)))).count() == 1
-    assert detect.detect_port_scan(detect.pair_summary(make_flows(_ports(6, avg_packets=4.9)))).count() == 1
-    assert detect.detect_port_scan(detect.pair_summary(make_flows(_ports(6, avg_packets=5.0)))).count() == 0
+    assert _port_scan(make_flows(_ports(4, null_port=True))).count() == 1
+    assert _port_scan(make_flows(_ports(6, avg_packets=4.9))).count() == 1
+    assert _port_scan(make_flows(_ports(6, avg_packets=5.0))).count() == 0
 
 
 def test_port_scan_evidence_rounds_like_python(make_flows):
     rows = _ports(4, avg_packets=2.0) + _ports(4, avg_packets=2.5)[:4]
     rows = [dict(r, dst_port=float(2000 + i)) for i, r in enumerate(rows)]
-    ev = detect.detect_port_scan(detect.pair_summary(make_flows(rows))).first().evidence
+    ev = _port_scan(make_flows(rows)).first().evidence
     assert ev == "Scanning 8 unique destination ports with small average packet size (2.2)"  # 2.25 -> 2.2
 
 
 def _flagged(flows):
     pairs = detect.pair_summary(flows)
-    return detect.flagged_sources(pairs, detect.source_summary(pairs), flows.count())
+    return detect.flagged_sources(pairs, detect.source_summary(pairs), flows, flows.count())
+
+
+def _port_scan(flows):
+    return detect.detect_port_scan(detect.pair_summary(flows), flows)
 
 
 def _horizontal(n_dst, src="10.0.0.9"):
