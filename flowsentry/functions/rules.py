@@ -47,26 +47,46 @@ def rules_fired(flags: list[Column]) -> Column:
                     lambda x: x.isNotNull())
 
 
+def _d(v: float) -> str:
+    """A double literal for Spark SQL text (``repr`` round-trips exactly)."""
+    return f"{float(v)!r}D"
+
+
+def rule_sql(thr: Thresholds) -> dict[str, str]:
+    """R1-R8 as Spark SQL text, the same predicates as :func:`rule_predicates`
+    (one expression per column keeps plan building cheap)."""
+    cfg = thr.cfg
+    protos = ", ".join(f"'{p}'" for p in SUSPICIOUS_PROTOCOLS)
+    ports = ", ".join(_d(p) for p in BRUTE_FORCE_PORTS)
+    preds = {
+        "flood_score": f"packets > {_d(cfg.flood_packets)}",
+        "suspicious_protocol_score": f"upper(protocol) IN ({protos})",
+        "ddos_score": f"packets_per_sec > {_d(thr.ddos_pps)} AND packets > {_d(thr.ddos_packets)}",
+        "udp_flood_score": f"udp_ratio = 1.0D AND packets_per_sec > {_d(thr.udp_flood_pps)} "
+                           f"AND packets > {_d(cfg.udp_flood_packets)}",
+        "exfil_score": f"bytes > {_d(thr.exfil_bytes)} AND bytes_per_packet > {_d(thr.exfil_bpp)}",
+        "brute_score": f"dst_port IN ({ports}) AND packets > {_d(thr.brute_packets)}",
+        "large_flow_score": f"bytes > {_d(thr.large_flow_bytes)} AND flow_duration < {_d(cfg.large_flow_duration)}",
+        "icmp_sweep_score": "false",
+    }
+    return {k: f"CASE WHEN {v} THEN 1 ELSE 0 END" for k, v in preds.items()}
+
+
 def with_rule_scores(features: DataFrame, thr: Thresholds) -> DataFrame:
     """Flags, total, severity, label and confidence columns."""
     cfg = thr.cfg
-    preds = rule_predicates(thr)
-    df = features.select("*", *[F.when(p, F.lit(1)).otherwise(F.lit(0)).alias(name)
-                                for name, p in preds.items()])
-    flags = [F.col(name) for name, _ in RULE_SLOTS]
-    total = flags[0]
-    for f in flags[1:]:
-        total = total + f
-    df = df.withColumn("total_rule_score", total)
-    t = F.col("total_rule_score")
-    return df.select(
+    flags = rule_sql(thr)
+    df = features.selectExpr("*", *[f"{v} AS {k}" for k, v in flags.items()])
+    total = " + ".join(name for name, _ in RULE_SLOTS)
+    slots = ", ".join(f"CASE WHEN {name} > 0 THEN '{label}' ELSE '' END" for name, label in RULE_SLOTS)
+    return df.selectExpr("*", f"{total} AS total_rule_score").selectExpr(
         "*",
-        F.when(t == 0, F.lit(None).cast("string")).when(t == 1, F.lit("HIGH"))
-         .otherwise(F.lit("CONFIRMED")).alias("rule_severity"),
-        F.when(t == 0, F.lit(None).cast("string")).otherwise(threat_label(flags)).alias("rule_threat_type"),
-        F.when(t == 0, F.lit(0.0)).when(t == 1, F.lit(cfg.one_rule_confidence))
-         .otherwise(F.lit(cfg.multi_rule_confidence)).alias("rule_confidence"),
-    )
+        "CASE WHEN total_rule_score = 0 THEN CAST(NULL AS STRING) WHEN total_rule_score = 1 THEN 'HIGH' "
+        "ELSE 'CONFIRMED' END AS rule_severity",
+        f"CASE WHEN total_rule_score = 0 THEN CAST(NULL AS STRING) "
+        f"ELSE btrim(replace(concat_ws(';', {slots}), ';;', ';'), ';') END AS rule_threat_type",
+        f"CASE WHEN total_rule_score = 0 THEN 0.0D WHEN total_rule_score = 1 THEN {_d(cfg.one_rule_confidence)} "
+        f"ELSE {_d(cfg.multi_rule_confidence)} END AS rule_confidence")
 
 
 def rule_hit_count(scored: DataFrame) -> DataFrame:

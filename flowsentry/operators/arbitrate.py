@@ -62,39 +62,53 @@ def ml_evidence(moments: dict | None) -> Column:
     return evidence_text(ml_evidence_code(moments))
 
 
+def _d(v: float) -> str:
+    return f"{float(v)!r}D"
+
+
+def ml_evidence_code_sql(moments: dict | None) -> str:
+    """:func:`ml_evidence_code` as Spark SQL text."""
+    if not moments:
+        return "CASE WHEN ml_label = 1 THEN 7 ELSE 0 END"
+
+    def high(c):
+        m, s = moments[c]
+        return f"{c} > {_d(m + 2 * s)}"
+
+    m, s = moments["flow_duration"]
+    return (f"CASE WHEN NOT (ml_label = 1) THEN 0 "
+            f"WHEN {high('packets')} THEN CASE WHEN {high('bytes')} THEN 1 ELSE 2 END "
+            f"WHEN {high('bytes')} THEN 3 WHEN {high('packets_per_sec')} THEN 4 "
+            f"WHEN {high('bytes_per_packet')} THEN 5 WHEN flow_duration < {_d(m - 2 * s)} THEN 6 ELSE 7 END")
+
+
+def evidence_text_sql(code: str) -> str:
+    return f"CASE {code} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in EVIDENCE_BY_CODE.items()) + " END"
+
+
 def arbitrate(scored: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
               moments: dict | None = None) -> DataFrame:
     """B1-B4 on rule-scored flows.  Adds ``ml_score``/``ml_label`` (0) when the
-    frame has none, then ``ml_evidence``, ``ml_confidence``, ``threat_type``,
-    ``severity`` and ``confidence``."""
-    df = scored
-    if "ml_score" not in df.columns:
-        df = df.withColumn("ml_score", F.lit(0.0))
-    if "ml_label" not in df.columns:
-        df = df.withColumn("ml_label", F.lit(0))
-    label = F.col("ml_label") == 1
-    score = F.col("ml_score")
-    rule_type, rule_sev, rule_conf = F.col("rule_threat_type"), F.col("rule_severity"), F.col("rule_confidence")
-    has_rule = rule_type.isNotNull()
-    df = df.withColumn("ml_evidence_code", ml_evidence_code(moments))
-    df = df.withColumn("ml_evidence", evidence_text(F.col("ml_evidence_code"))) \
-           .withColumn("ml_confidence", F.when(label, 0.5 + 0.4 * score).otherwise(F.lit(0.0)))
-    mc = F.col("ml_confidence")
-    conf = (F.when(has_rule & label, rule_conf + (1.0 - rule_conf) * mc * 0.5)
-            .when(has_rule, rule_conf)
-            .when(label, mc)
-            .otherwise(F.lit(0.0)))
-    return df.select(
+    frame has none, then ``ml_evidence_code``, ``ml_evidence``,
+    ``ml_confidence``, ``threat_type``, ``severity`` and ``confidence``
+    (Spark SQL text: one expression per column)."""
+    missing = [e for c, e in (("ml_score", "0.0D AS ml_score"), ("ml_label", "0 AS ml_label"))
+               if c not in scored.columns]
+    df = scored.selectExpr("*", *missing) if missing else scored
+    df = df.selectExpr("*", f"{ml_evidence_code_sql(moments)} AS ml_evidence_code")
+    df = df.selectExpr("*", f"{evidence_text_sql('ml_evidence_code')} AS ml_evidence",
+                       "CASE WHEN ml_label = 1 THEN 0.5D + 0.4D * ml_score ELSE 0.0D END AS ml_confidence")
+    rule, both = "rule_threat_type IS NOT NULL", "rule_threat_type IS NOT NULL AND ml_label = 1"
+    return df.selectExpr(
         "*",
-        F.when(has_rule & label, F.concat(rule_type, F.lit(RULE_ML_SUFFIX)))
-         .when(has_rule, rule_type)
-         .when(label & (score > cfg.ml_type_score), F.lit(ML_ONLY_TYPE))
-         .alias("threat_type"),
-        F.when((rule_sev == "CONFIRMED") | (label & (score > cfg.ml_confirmed_score)), F.lit("CONFIRMED"))
-         .when((rule_sev == "HIGH") | (label & (score > cfg.ml_type_score)), F.lit("HIGH"))
-         .otherwise(F.lit("MONITOR")).alias("severity"),
-        F.least(F.greatest(conf, F.lit(0.0)), F.lit(1.0)).alias("confidence"),
-    )
+        f"CASE WHEN {both} THEN concat(rule_threat_type, '{RULE_ML_SUFFIX}') WHEN {rule} THEN rule_threat_type "
+        f"WHEN ml_label = 1 AND ml_score > {_d(cfg.ml_type_score)} THEN '{ML_ONLY_TYPE}' END AS threat_type",
+        f"CASE WHEN rule_severity = 'CONFIRMED' OR (ml_label = 1 AND ml_score > {_d(cfg.ml_confirmed_score)}) "
+        f"THEN 'CONFIRMED' WHEN rule_severity = 'HIGH' OR (ml_label = 1 AND ml_score > {_d(cfg.ml_type_score)}) "
+        f"THEN 'HIGH' ELSE 'MONITOR' END AS severity",
+        f"least(greatest(CASE WHEN {both} THEN rule_confidence + (1.0D - rule_confidence) * ml_confidence * 0.5D "
+        f"WHEN {rule} THEN rule_confidence WHEN ml_label = 1 THEN ml_confidence ELSE 0.0D END, 0.0D), 1.0D) "
+        f"AS confidence")
 
 
 def threat_flows(arbitrated: DataFrame) -> DataFrame:
