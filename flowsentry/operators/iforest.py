@@ -243,3 +243,10 @@ def normalise_scores(scored: DataFrame, model: ForestModel, polarity: str = "as_
         return scored.withColumn("ml_score", (s - F.lit(lo)) / F.lit(rng)) \
                      .withColumn("ml_label", F.when(s > F.lit(model.threshold), 1).otherwise(0))
     return scored.withColumn("ml_score", (F.lit(hi) - s) / F.lit(rng)).withColumn("ml_label", F.lit(0))
+
+
+def ml_hit_count(scored: DataFrame) -> DataFrame:
+    """M7: flows labelled anomalous, and their share of all flows in percent."""
+    return scored.agg(F.sum("ml_label").cast("long").alias("ml_hits"),
+                      (F.coalesce(F.try_divide(F.sum("ml_label").cast("double") * 100.0,
+                                               F.count(F.lit(1)).cast("double")), F.lit(0.0))).alias("ml_hit_percent"))

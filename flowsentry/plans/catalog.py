@@ -658,3 +658,25 @@ def isolation_forest_scores(spark, sf_dir):
     by the property tests."""
     sf = score_flows(_flows(spark, sf_dir), DEFAULT_CONFIG, ml="intent", materialize=True)
     return sf.flows.select("row_id", "anomaly_score", "ml_score", "ml_label", "threat_type", "severity")
+
+
+@register("ml_hit_count", O.with_ctes(*O.BASE_INJECTED) + """
+select cast(sum(ml_label) as bigint) as ml_hits,
+       coalesce(sum(ml_label)::DOUBLE * 100.0::DOUBLE / count(*)::DOUBLE, 0.0::DOUBLE) as ml_hit_percent from arb""")
+def ml_hit_count(spark, sf_dir):
+    """M7 on injected labels."""
+    return iforest.ml_hit_count(_scored(spark, sf_dir, injected=True).flows)
+
+
+@register("export_alerts_csv", O.with_ctes(*O.ALERTS_FINAL) + """
+select coalesce(src_ip, '') as src_ip, coalesce(dst_ip, '') as dst_ip, coalesce(protocol, '') as protocol,
+       coalesce(threat_type, '') as threat_type, cast(flow_count as varchar) as flows,
+       cast(cast(floor(coalesce(confidence, 0.0::DOUBLE) * 100 + 0.5) as bigint) as varchar) || '%' as confidence,
+       coalesce(severity, '') as severity, coalesce(evidence, '') as evidence from final""")
+def export_alerts_csv_q(spark, sf_dir):
+    """The final alerts exported as an all-quoted CSV and read back as text."""
+    from ..sources.ledger import export_alerts_csv
+    path = scratch_path(spark, "alerts-export")
+    export_alerts_csv(_final(spark, sf_dir), path)
+    return (spark.read.option("header", True).option("escape", '"').csv(path)
+            .select("src_ip", "dst_ip", "protocol", "threat_type", "flows", "confidence", "severity", "evidence"))

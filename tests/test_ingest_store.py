@@ -92,3 +92,13 @@ def test_ledger_roundtrip_and_export(spark):
     export_alerts_csv(alerts, out)
     text = "".join(open(os.path.join(out, f)).read() for f in sorted(os.listdir(out)) if f.endswith(".csv"))
     assert '"say ""hi"", ok"' in text and '"55%"' in text and '"flows"' in text
+
+
+def test_typed_sources_cast(spark):
+    import datetime
+    df = spark.createDataFrame(
+        [(0, "a", "b", 1, 2, "TCP", 3, 4, 5, datetime.datetime(2024, 7, 1, 12, 30), 1719837060)],
+        "row_id long, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, packets int, "
+        "bytes int, flows int, start_time timestamp, end_time long")
+    r = flowcsv.type_flow_columns(df).first()
+    assert r.start_time == 1719837000.0 and r.end_time == 1719837060.0 and r.packets == 3.0
