@@ -41,14 +41,22 @@ def _py_float_text(c: Column) -> Column:
     return F.when(whole, F.concat(c.cast("long").cast("string"), F.lit(".0"))).otherwise(c.cast("string"))
 
 
-def dedup_flow_alerts(threats: DataFrame) -> DataFrame:
-    """Threat flows grouped by (src, dst, type, severity, protocol); the
-    evidence of the group's first flow travels as its integer code."""
+def threat_groups(threats: DataFrame) -> DataFrame:
+    """The D1 aggregate, with each group's first and last start time so that
+    D6 can be rolled up from it instead of re-reading the threat flows."""
     return (threats.groupBy("src_ip", "dst_ip", "threat_type", "severity", "protocol")
             .agg(F.count(F.lit(1)).alias("flow_count"),
                  F.max("confidence").alias("confidence"),
-                 F.min_by("ml_evidence_code", "row_id").alias("evidence_code"))
-            .withColumn("evidence", evidence_text(F.col("evidence_code")))
+                 F.min_by("ml_evidence_code", "row_id").alias("evidence_code"),
+                 F.min("start_time").alias("first_seen"),
+                 F.max("start_time").alias("last_seen")))
+
+
+def dedup_flow_alerts(threats: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Threat flows grouped by (src, dst, type, severity, protocol); the
+    evidence of the group's first flow travels as its integer code."""
+    groups = threat_groups(threats) if groups is None else groups
+    return (groups.withColumn("evidence", evidence_text(F.col("evidence_code")))
             .select(*ALERT_COLUMNS))
 
 
@@ -191,14 +199,23 @@ def detect_icmp_sweep(flagged: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG)
                              _py_float_text(total), F.lit(" total packets")).alias("evidence")))
 
 
-def temporal_correlation(threats: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
+def temporal_correlation(threats: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
+                         groups: DataFrame | None = None) -> DataFrame:
     """Per source over threat flows, whether (n >= 2 and span <= 60 s) or
     (n >= 3 and span <= 300 s).  Span is first-to-last over the whole input.
-    A source whose times are all null is not correlated."""
-    per_src = (threats.groupBy("src_ip")
-               .agg(F.min("start_time").alias("first_seen"),
-                    F.max("start_time").alias("last_seen"),
-                    F.count(F.lit(1)).alias("threat_flow_count")))
+    A source whose times are all null is not correlated.  Given the D1
+    ``groups``, it is rolled up from them (min of minima, max of maxima, sum
+    of counts) instead of re-reading the threat flows."""
+    if groups is None:
+        per_src = (threats.groupBy("src_ip")
+                   .agg(F.min("start_time").alias("first_seen"),
+                        F.max("start_time").alias("last_seen"),
+                        F.count(F.lit(1)).alias("threat_flow_count")))
+    else:
+        per_src = (groups.groupBy("src_ip")
+                   .agg(F.min("first_seen").alias("first_seen"),
+                        F.max("last_seen").alias("last_seen"),
+                        F.sum("flow_count").alias("threat_flow_count")))
     span = F.col("last_seen") - F.col("first_seen")
     cond = F.lit(False)
     for min_flows, max_span in cfg.temporal_rules:
@@ -207,11 +224,11 @@ def temporal_correlation(threats: DataFrame, cfg: DetectionConfig = DEFAULT_CONF
 
 
 def union_alerts(flows: DataFrame, threats: DataFrame, n_rows: int,
-                 cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
+                 cfg: DetectionConfig = DEFAULT_CONFIG, groups: DataFrame | None = None) -> DataFrame:
     """UNION ALL of D1-D5 (8 alert columns, ``confidence`` unrounded)."""
     pairs = pair_summary(flows)
     flagged = flagged_sources(pairs, source_summary(pairs), flows, n_rows, cfg)
-    parts = [dedup_flow_alerts(threats),
+    parts = [dedup_flow_alerts(threats, groups),
              detect_port_scan(pairs, flows, cfg),
              detect_horizontal_scan(flagged, n_rows, cfg),
              detect_botnet(flagged, cfg),

@@ -153,8 +153,9 @@ def score_flows(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
 def alerts_before_cut(sf: ScoredFlows, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
     """Every calibrated and escalated alert (before the top-k)."""
     threats = arb.threat_flows(sf.flows)
-    raw = detect.union_alerts(sf.flows, threats, sf.thresholds.n_rows, cfg)
-    temporal = detect.temporal_correlation(threats, cfg)
+    groups = detect.threat_groups(threats)
+    raw = detect.union_alerts(sf.flows, threats, sf.thresholds.n_rows, cfg, groups)
+    temporal = detect.temporal_correlation(threats, cfg, groups)
     return cal.escalate(cal.calibrate(raw, temporal))
 
 
