@@ -1,8 +1,7 @@
 """Summary statistics and chart tables.
 
-All are aggregates with partial aggregation; the one-row run record is
-assembled by a union of one-row frames folded with ``first(ignorenulls)``
-(no join).  Chart bins are zero-filled by a union with one zero row per bin
+All are aggregates with partial aggregation; the one-row run record comes
+from one GROUPING SETS aggregate (one scan, one shuffle) folded into a row.  Chart bins are zero-filled by a union with one zero row per bin
 (a frame sized by the bin count) and a sum - no join.
 """
 
@@ -63,24 +62,34 @@ def top_threat_type(threats: DataFrame) -> DataFrame:
 
 def run_stats(arbitrated: DataFrame, processing_time_sec: float | None = None,
               with_map: bool = True) -> DataFrame:
-    """The one-row record.  Parts are unioned (missing columns null) and
-    folded with ``first(..., ignorenulls=True)``."""
-    threats = arbitrated.where(F.col("threat_type").isNotNull())
-    parts = [threats_detected(arbitrated), top_attacker(threats), top_threat_type(threats)]
+    """The one-row record from one scan: a GROUPING SETS aggregate over
+    (src_ip), (threat_type), (protocol name) and () - partial aggregation
+    after the expand, one shuffle - then a fold of that small result.  Top
+    values take the largest count, ties to the smallest key."""
+    keyed = arbitrated.select("src_ip", "threat_type", _protocol_key().alias("proto"))
+    sets = keyed.sparkSession.sql(
+        "SELECT grouping_id() AS gid, src_ip, threat_type, proto, count(1) AS n, "
+        "count_if(threat_type IS NOT NULL) AS nt FROM {t} "
+        "GROUP BY GROUPING SETS ((src_ip), (threat_type), (proto), ())", t=keyed)
+    # grouping_id bits follow (src_ip, threat_type, proto): 3 = by source,
+    # 5 = by type, 6 = by protocol, 7 = grand total
+    folds = [
+        "max(n) FILTER (WHERE gid = 7) AS total_flows",
+        "max(nt) FILTER (WHERE gid = 7) AS threats_detected",
+        "min(named_struct('neg', -nt, 'k', src_ip)) FILTER (WHERE gid = 3 AND nt > 0) AS a",
+        "min(named_struct('neg', -n, 'k', threat_type)) FILTER (WHERE gid = 5 AND threat_type IS NOT NULL) AS t",
+    ]
     if with_map:
-        parts.append(protocol_distribution_map(arbitrated))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p, allowMissingColumns=True)
-    cols = ["total_flows", "threats_detected", "top_attacker_ip", "top_attacker_count",
-            "top_threat_type", "top_threat_count"] + (["protocol_distribution"] if with_map else [])
-    row = u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
+        folds.append("map_from_entries(array_sort(collect_list(named_struct('protocol', proto, 'count', n)) "
+                     "FILTER (WHERE gid = 6))) AS protocol_distribution")
+    row = sets.selectExpr("*").agg(*[F.expr(f) for f in folds])
     out = row.select(
-        "total_flows", "threats_detected",
-        F.coalesce("top_attacker_ip", F.lit("N/A")).alias("top_attacker_ip"),
-        F.coalesce("top_attacker_count", F.lit(0)).cast("long").alias("top_attacker_count"),
-        F.coalesce("top_threat_type", F.lit("N/A")).alias("top_threat_type"),
-        F.coalesce("top_threat_count", F.lit(0)).cast("long").alias("top_threat_count"),
+        F.coalesce("total_flows", F.lit(0)).cast("long").alias("total_flows"),
+        F.coalesce("threats_detected", F.lit(0)).cast("long").alias("threats_detected"),
+        F.coalesce(F.col("a.k"), F.lit("N/A")).alias("top_attacker_ip"),
+        F.coalesce(-F.col("a.neg"), F.lit(0)).cast("long").alias("top_attacker_count"),
+        F.coalesce(F.col("t.k"), F.lit("N/A")).alias("top_threat_type"),
+        F.coalesce(-F.col("t.neg"), F.lit(0)).cast("long").alias("top_threat_count"),
         *(["protocol_distribution"] if with_map else []))
     if processing_time_sec is not None:
         out = out.withColumn("processing_time_sec", F.round(F.lit(float(processing_time_sec)), 3))
