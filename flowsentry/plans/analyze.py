@@ -181,10 +181,13 @@ def analyze_and_collect(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
                         materialize: bool = True, timings: dict | None = None):
     """:func:`analyze`, then the four outputs built and collected
     concurrently (each is small: 1000 alerts, one record, 20 + 30 bins).
-    Returns ``(result, {"alerts": rows, "stats": rows, "histogram": rows,
-    "threats_over_time": rows})``."""
+    As shipped, no flow is labelled, so only the histogram depends on the
+    forest: fitting and scoring then run alongside the alert job instead of
+    before it.  Returns ``(result, {"alerts": rows, "stats": rows,
+    "histogram": rows, "threats_over_time": rows})``."""
     timings = {} if timings is None else timings
-    sf = score_flows(flows, cfg, ml=ml, materialize=materialize, timings=timings)
+    overlap = ml == "as_shipped" and materialize
+    sf = score_flows(flows, cfg, ml=None if overlap else ml, materialize=materialize, timings=timings)
     t = time.time()
     threats = arb.threat_flows(sf.flows)
     built = {}
@@ -199,7 +202,17 @@ def analyze_and_collect(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
         return built["stats"].collect()
 
     def histogram():
-        built["histogram"] = st.score_histogram(sf.scores, "ml_score", cfg.histogram_bins)
+        scores = sf.scores
+        if overlap and sf.thresholds.n_rows > 0:
+            feats = sf.flows.sparkSession.read.parquet(sf.path)
+            model = iforest.fit(feats, cfg, n_rows=sf.thresholds.n_rows, with_threshold=False, with_moments=False)
+            raw = feats.select(iforest.anomaly_score(model, feats.sparkSession, cfg).alias("anomaly_score")) \
+                       .persist(StorageLevel.MEMORY_AND_DISK)
+            sf.persisted.append(raw)
+            sf.model = model
+            scores = iforest.normalise_scores(raw, model, "as_shipped")
+            sf.scores = scores
+        built["histogram"] = st.score_histogram(scores, "ml_score", cfg.histogram_bins)
         return built["histogram"].collect()
 
     def timeline():
