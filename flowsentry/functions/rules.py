@@ -73,14 +73,18 @@ def rule_sql(thr: Thresholds) -> dict[str, str]:
 
 
 def with_rule_scores(features: DataFrame, thr: Thresholds) -> DataFrame:
-    """Flags, total, severity, label and confidence columns."""
+    """Flags, total, severity, label and confidence columns, plus
+    ``rules_fired``: the fired rule names as a clean array (the label keeps
+    the exact separator artefacts)."""
     cfg = thr.cfg
     flags = rule_sql(thr)
     df = features.selectExpr("*", *[f"{v} AS {k}" for k, v in flags.items()])
     total = " + ".join(name for name, _ in RULE_SLOTS)
     slots = ", ".join(f"CASE WHEN {name} > 0 THEN '{label}' ELSE '' END" for name, label in RULE_SLOTS)
+    fired = ", ".join(f"CASE WHEN {name} > 0 THEN '{label}' END" for name, label in RULE_SLOTS)
     return df.selectExpr("*", f"{total} AS total_rule_score").selectExpr(
         "*",
+        f"filter(array({fired}), x -> x IS NOT NULL) AS rules_fired",
         "CASE WHEN total_rule_score = 0 THEN CAST(NULL AS STRING) WHEN total_rule_score = 1 THEN 'HIGH' "
         "ELSE 'CONFIRMED' END AS rule_severity",
         f"CASE WHEN total_rule_score = 0 THEN CAST(NULL AS STRING) "

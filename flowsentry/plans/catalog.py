@@ -23,6 +23,15 @@ from ..operators.thresholds import adaptive_thresholds, thresholds_frame
 from ..session import configure
 from ..sources.fixture import labelled_flows, load_flows
 from . import oracle as O
+from ..operators import evaluate as ev
+from ..operators import search as se
+from ..operators import stats as st
+from ..session import scratch_path
+from ..sources import flowcsv
+from ..sources.ledger import new_ledger
+from ..config import FEATURE_COLUMNS as _FC
+from ..functions.features import feature_vector as _fv
+from ..operators import iforest
 from .analyze import ScoredFlows, alerts_before_cut, score_flows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -276,9 +285,6 @@ def rank_alerts_top1000(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- A
-from ..operators import evaluate as ev  # noqa: E402
-from ..operators import search as se  # noqa: E402
-from ..operators import stats as st  # noqa: E402
 
 
 def _final(spark, sf_dir) -> DataFrame:
@@ -545,9 +551,6 @@ def filtered_count(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- S / C
-from ..session import scratch_path  # noqa: E402
-from ..sources import flowcsv  # noqa: E402
-from ..sources.ledger import new_ledger  # noqa: E402
 
 _FLOW_OUT = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol", "packets", "bytes", "flows",
              "start_time", "end_time"]
@@ -615,9 +618,6 @@ def ledger_latest_alerts(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- M
-from ..config import FEATURE_COLUMNS as _FC  # noqa: E402
-from ..functions.features import feature_vector as _fv  # noqa: E402
-from ..operators import iforest  # noqa: E402
 
 _SAN = {c: (f"case when {c} is null or isnan({c}) then 0.0::DOUBLE when {c} = 'inf'::DOUBLE then 1e9::DOUBLE "
             f"when {c} = '-inf'::DOUBLE then -1e9::DOUBLE else {c} end") for c in _FC}

@@ -100,6 +100,7 @@ def test_severity_and_confidence(make_flows):
     assert (two.rule_severity, two.rule_confidence, two.rule_threat_type) == \
         ("CONFIRMED", 0.85, "Flood;Suspicious Protocol")
     assert none.rule_threat_type is None and none.rule_confidence == 0.0
+    assert two.rules_fired == ["Flood", "Suspicious Protocol"] and none.rules_fired == []
 
 
 def test_feature_vector_order(make_flows):
