@@ -26,7 +26,7 @@ from ..operators import detect
 from ..operators import iforest
 from ..operators import stats as st
 from ..operators.thresholds import Thresholds, adaptive_thresholds
-from ..session import scratch_path
+from ..session import configure, scratch_path
 
 # columns the thresholds, rules, forest, detectors, statistics and charts read
 FEATURE_TABLE_COLUMNS = ("row_id", "src_ip", "dst_ip", "dst_port", "protocol", "packets", "bytes", "flows",
@@ -96,6 +96,7 @@ def score_flows(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
         timings[name] = round(now - clock[0], 3)
         clock[0] = now
 
+    configure(flows.sparkSession)
     feats = with_features(flows, cfg)
     path = None
     if materialize:

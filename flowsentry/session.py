@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -42,9 +43,33 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_PKG_ZIP = "flowsentry-pkg.zip"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable by executor Python workers (the forest's
+    grouped-map and scoring functions, the evidence formatter): a zip of
+    ``flowsentry/`` added once per SparkContext with ``addPyFile``, as
+    ``--py-files`` would.  The zip is only a source for Spark's own file
+    distribution."""
+    sc = spark.sparkContext
+    if _PKG_ZIP in (getattr(sc, "_python_includes", None) or []):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="flowsentry-pyfiles-"), _PKG_ZIP)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.  Only when the
     session names none (local tests) is a fresh local folder set."""
