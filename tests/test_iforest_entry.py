@@ -88,3 +88,17 @@ def test_analyze_end_to_end(spark):
     assert sum(r["count"] for r in res.histogram.collect()) == 1000
     assert len(res.threats_over_time.collect()) == 30
     res.release()
+
+
+def test_intent_mode_labels_about_five_percent(spark):
+    from flowsentry.plans.analyze import analyze_and_collect, score_flows
+    from flowsentry.sources.fixture import load_flows
+    cfg = DetectionConfig(n_trees=30)
+    sf = score_flows(load_flows(spark, SF), cfg, ml="intent", materialize=True)
+    r = sf.flows.agg(F.avg("ml_label").alias("share"),
+                     F.count_if(F.col("threat_type").contains("(Rule + ML)")).alias("both"),
+                     F.min("ml_score").alias("lo"), F.max("ml_score").alias("hi")).first()
+    assert 0.01 <= r.share <= 0.10 and r.both > 0 and (r.lo, r.hi) == (0.0, 1.0)
+    res, rows = analyze_and_collect(load_flows(spark, SF), cfg, ml="intent")
+    assert sum(x["count"] for x in rows["histogram"]) == 1000 and rows["stats"][0]["total_flows"] == 1000
+    res.release()
