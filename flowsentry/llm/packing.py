@@ -17,15 +17,15 @@ All randomness is seeded by shard, island and epoch, so a recomputed task
 gives the same packing.  Null text is an empty document (its end token only);
 repeated rows are packed as often as they come; other columns are ignored.
 
-Words are tokenised one by one and remembered (at most ``CACHE_LIMIT`` per
-worker): this tokenizer drops white space and never joins across it, and its
-normalisation is local to a word, so a text's ids are its words' ids in order.
-Only texts split at ASCII white space; any other space stays inside a word and
-is left to the tokenizer.
+Tokenising remembers words (see :class:`WordTokenizer`): the tokenizer merges
+inside the words of its split pattern only, so a text's ids are its words' ids
+in order.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 
@@ -35,33 +35,80 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, stage_table, text_blocks
+from .wordtable import Words, WordValues
 
-CACHE_LIMIT = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordTokenizer:
-    """Ids of whole texts from the remembered ids of their words."""
+_LATIN = [chr(c) for c in range(0x250)]
+_LETTERS = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "L")
+_NUMBERS = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "N")
+#: Not in the plain range (no composition, no context-dependent lower case), or
+#: a control character.
+_NOT_PLAIN = re.compile("[^\t\n\r -~\xa0-\u024f]")
+#: The tokenizer's own split pattern, its two classes spelt out for that range.
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+|\n")
+
 
-    def __init__(self, path: str, limit: int = CACHE_LIMIT):
-        from tokenizers import Tokenizer
-        self.model = Tokenizer.from_file(path)
-        self.limit = limit
-        self.known: dict[str, bytes] = {}
+class WordTokenizer:
+    """Ids of whole texts from the ids of their words, each learnt once.
+
+    A text of Latin letters is lower-cased and cut at white space; a word not
+    met before is split by the tokenizer's pattern, and its parts go through
+    the merges many at once (the last id of each part carries the end-of-word
+    mark).  A text with any other character, or with the start of a special
+    string, is left whole to the tokenizer."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+        self.whole = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.whole.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = self.whole.model.end_of_word_suffix
+        self.ends = np.zeros(self.whole.get_vocab_size(), bool)
+        for token, i in self.whole.get_vocab().items():
+            self.ends[i] = token.endswith(suffix)
+        self.words = WordValues(self._learn, "<u4")
+
+    def _learn(self, words: list[bytes]):
+        found = _PARTS.findall(b"\n".join(words).decode() + "\n")
+        stops = np.flatnonzero(np.fromiter((f == "\n" for f in found), bool, len(found)))
+        per_word = np.diff(np.r_[-1, stops]) - 1
+        parts = [f for f in found if f != "\n"]
+        distinct = {f: k for k, f in enumerate(dict.fromkeys(parts))}
+        names, ids = list(distinct), []
+        for k in range(0, len(names), 200):
+            ids.append(np.array(self.merges.encode(" ".join(names[k:k + 200]), add_special_tokens=False).ids, "<u4"))
+        ids = np.concatenate(ids) if ids else np.zeros(0, "<u4")
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        assert len(stop) == len(names)
+        start = np.r_[0, stop[:-1]]
+        part = np.fromiter(map(distinct.__getitem__, parts), np.int64, len(parts))
+        size = (stop - start)[part]
+        before = np.cumsum(size) - size
+        values = ids[np.repeat(start[part] - before, size) + np.arange(int(size.sum()))]
+        total = np.r_[0, np.cumsum(size)]
+        edges = np.r_[0, np.cumsum(per_word)]
+        return values, total[edges[1:]] - total[edges[:-1]]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.split() if t.isascii() else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-                 for t in texts]
-        known = self.known
-        fresh = list({w for words in split for w in words if w not in known})
-        if fresh:
-            ids = [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(fresh, add_special_tokens=False)]
-            if len(known) + len(fresh) > self.limit:
-                keep = {w for words in split for w in words}
-                self.known = known = {w: b for w, b in known.items() if w in keep}
-            known.update(zip(fresh, ids))
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+        plain = [not (_NOT_PLAIN.search(t) or "<|" in t) for t in texts]
+        words = Words([t.lower().encode() if p else b"" for t, p in zip(texts, plain)])
+        ids, size = self.words.rows(self.words.numbers(words))
+        edge = np.r_[0, np.cumsum(size)][words.first]
+        return [ids[a:b] if p else np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4")
+                for t, p, a, b in zip(texts, plain, edge, edge[1:])]
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """This worker process's tokenizer; its words stay known from task to task."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
 def cut(ids: np.ndarray, capacity: int):
@@ -75,7 +122,7 @@ def _tokenise(path: str, end_id: int, capacity: int):
     def run(batches):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer, end = WordTokenizer(path), np.array([end_id], "<u4")
+        tokenizer, end = worker_tokenizer(path), np.array([end_id], "<u4")
         for batch in batches:
             docs, texts, rows = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), []
             for a, b in text_blocks(texts, 2_000_000):
