@@ -37,6 +37,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns.unionByName(extra)))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import learn, predict_languages, vocabulary
+    docs = read_table(spark, sf_dir, "documents")
+    return predict_languages(docs, learn(docs, vocabulary(_tokenizer("piece_bpe_32k.model"))))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
     found = near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, bound=2)
@@ -48,5 +54,17 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup, op6_best_fit_packing, op9_token_counts, op10_chat_format)}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, score_documents
+    docs = read_table(spark, sf_dir, "documents")
+    return score_documents(docs, learn(docs, read_table(spark, sf_dir, "labels")), threshold=0.7)
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated_pairs
+    return contaminated_pairs(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op4_language_id, op5_simhash_near_dedup, op6_best_fit_packing, op7_toxicity, op8_decontaminate, op9_token_counts, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {}

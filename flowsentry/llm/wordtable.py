@@ -179,3 +179,26 @@ class WordValues:
         before = np.cumsum(size) - size
         total = int(size.sum())
         return self.store[np.repeat(self.start[number] - before, size) + np.arange(total)], size
+
+
+#: Every ASCII byte but letters and digits separates words; bytes of longer
+#: UTF-8 characters belong to words.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def plain_bytes(text: str | None) -> bytes:
+    """Lower-cased UTF-8 of a text; null is empty."""
+    return (text or "").lower().encode("utf-8", "surrogatepass")
+
+
+def spread(counts: np.ndarray):
+    """For runs of the given sizes: the run of each element and its place."""
+    run = np.repeat(np.arange(len(counts)), counts)
+    return run, np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def sum_runs(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums of values[edges[k]:edges[k+1]]; 0 for empty runs."""
+    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
+    return total[edges[1:]] - total[edges[:-1]]
