@@ -37,6 +37,16 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns.unionByName(extra)))
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+    return search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_pages
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import learn, predict_languages, vocabulary
     docs = read_table(spark, sf_dir, "documents")
@@ -66,5 +76,5 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_language_id, op5_simhash_near_dedup, op6_best_fit_packing, op7_toxicity, op8_decontaminate, op9_token_counts, op10_chat_format)}
+    op1_ann, op3_html_extract, op4_language_id, op5_simhash_near_dedup, op6_best_fit_packing, op7_toxicity, op8_decontaminate, op9_token_counts, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {}
