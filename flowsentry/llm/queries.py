@@ -42,6 +42,12 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+    cut = remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract_pages
     return extract_pages(read_table(spark, sf_dir, "pages"))
@@ -76,5 +82,5 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ann, op3_html_extract, op4_language_id, op5_simhash_near_dedup, op6_best_fit_packing, op7_toxicity, op8_decontaminate, op9_token_counts, op10_chat_format)}
+    op1_ann, op2_suffix_dedup, op3_html_extract, op4_language_id, op5_simhash_near_dedup, op6_best_fit_packing, op7_toxicity, op8_decontaminate, op9_token_counts, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {}
