@@ -266,3 +266,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bound: int = 2) -> DataFr
     found = connected_components(links).select(F.col("node").alias("rep"), "component")
     classes = codes.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = 3, bound: int = 2) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is the smallest of its
+    component, one row per id.  Rows without an id are kept as they are."""
+    found = near_duplicates(docs, shingle, bound)
+    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))
