@@ -25,7 +25,7 @@ import hashlib
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,8 +68,14 @@ def turn_segments(template: ChatTemplate, role: str, text: str):
             ("close", template.turn_close, False))
 
 
-def _same(a, b) -> bool:
-    return a == b or (pd.isna(a) and pd.isna(b))
+def _batch(rows: list, names_types):
+    columns = list(zip(*rows)) or [()] * len(names_types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, names_types)],
+                                      names=[n for n, _ in names_types])
+
+
+_SEGMENT_TYPES = [("conv_id", pa.int64()), ("turn_no", pa.int64()), ("segment", pa.int32()), ("kind", pa.string()),
+                  ("text", pa.string()), ("loss", pa.bool_()), ("in_order", pa.bool_())]
 
 
 def _format(template: ChatTemplate):
@@ -77,16 +83,14 @@ def _format(template: ChatTemplate):
         conv, state, number = None, "", 0
         for batch in batches:
             out = []
-            for c, role, text in zip(batch["conv_id"].astype("Int64"), batch["role"], batch["text"]):
-                if number == 0 or not _same(c, conv):
+            for c, role, text in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "role", "text"))):
+                if c != conv:
                     conv, state, number = c, "", 0
                 ok = role in template.next_roles.get(state, ())
                 for k, (kind, s, loss) in enumerate(turn_segments(template, role, text)):
                     out.append((c, number, k, kind, s, loss, ok))
                 state, number = role, number + 1
-            frame = pd.DataFrame(out, columns=["conv_id", "turn_no", "segment", "kind", "text", "loss", "in_order"])
-            frame["conv_id"] = frame["conv_id"].astype("Int64")
-            yield frame
+            yield _batch(out, _SEGMENT_TYPES)
     return run
 
 
@@ -98,7 +102,7 @@ def format_conversations(turns: DataFrame, template: ChatTemplate = DEFAULT_TEMP
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return (rows.repartition(parallelism(spark), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-            .mapInPandas(_format(template), SEGMENTS))
+            .mapInArrow(_format(template), SEGMENTS))
 
 
 class _Reader:
@@ -146,25 +150,24 @@ DIGEST = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
           "formatted_chars long, valid boolean")
 
 
-def _read(template: ChatTemplate):
-    def frame(rows):
-        f = pd.DataFrame(rows, columns=[c.split()[0] for c in DIGEST.split(", ")])
-        f["conv_id"] = f["conv_id"].astype("Int64")
-        return f
+_DIGEST_TYPES = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),
+                 ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_())]
 
+
+def _read(template: ChatTemplate):
     def run(batches):
         conv, reader = None, None
         for batch in batches:
             out = []
-            for c, text, loss, ok in zip(batch["conv_id"].astype("Int64"), batch["text"], batch["loss"], batch["in_order"]):
-                if reader is None or not _same(c, conv):
+            for c, text, loss, ok in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "text", "loss", "in_order"))):
+                if reader is None or c != conv:
                     if reader is not None:
                         out.append(reader.row(conv))
                     conv, reader = c, _Reader(template)
                 reader.add(text, loss, ok)
-            yield frame(out)
+            yield _batch(out, _DIGEST_TYPES)
         if reader is not None:
-            yield frame([reader.row(conv)])
+            yield _batch([reader.row(conv)], _DIGEST_TYPES)
     return run
 
 
@@ -174,4 +177,4 @@ def read_back(segments: DataFrame, template: ChatTemplate = DEFAULT_TEMPLATE) ->
     formatted length and whether the machine accepted it."""
     spark = prepare(segments.sparkSession)
     return (segments.repartition(parallelism(spark), "conv_id")
-            .sortWithinPartitions("conv_id", "turn_no", "segment").mapInPandas(_read(template), DIGEST))
+            .sortWithinPartitions("conv_id", "turn_no", "segment").mapInArrow(_read(template), DIGEST))

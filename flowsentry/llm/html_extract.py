@@ -11,7 +11,8 @@ The weights are learnt from labelled pages: pages that say themselves where
 their content is, by an ``article`` or ``main`` element.  Spark counts over a
 sample of about ``fit_pages`` of them how often each kind is inside and
 outside; a word's weight is the log odds of its kind, a tag's the same but
-never positive, so words pull the region open and tags push it shut.  Kinds
+never positive, so words pull the region open and tags push it shut.  Words of
+boilerplate inside the content weigh nothing (they are left out anyway).  Kinds
 that no labelled page shows keep a default (words positive, tags and words in
 boilerplate negative); without labelled pages all do.
 
@@ -48,6 +49,8 @@ _WORD_SPLIT = re.compile(r"[^a-z0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr q "
                    "s samp small span strike strong sub sup time tt u var wbr".split())
+#: A tag inside an element that says it is the content costs no more than this.
+INSIDE = -0.1
 CONTENT = frozenset(("article", "main"))
 NO_PROSE = frozenset(("form", "button", "head", "dialog", "menu", "fieldset"))
 BOILERPLATE = frozenset(("nav", "footer", "aside"))
@@ -71,7 +74,7 @@ def _hint(name: str, attributes: str, in_content: bool) -> bool:
 
 
 def tokens(page: str):
-    """The tokens of a page, in order: ("tag", kind, 1, None) and
+    """The tokens of a page, in order: ("tag", kind, 1, in content) and
     ("words", kind, number of words, (text, block, boilerplate, labelled
     content)).  ``block`` numbers the block a text belongs to."""
     stack: list[tuple] = []            # (name, boilerplate, in content, linked)
@@ -87,7 +90,7 @@ def tokens(page: str):
         content = bool(stack) and stack[-1][2]
         linked = bool(stack) and stack[-1][3]
         holder = next((s[0] for s in reversed(stack) if s[0] not in INLINE), "body")
-        kind = "w:" + ("boilerplate" if bad else holder + (":link" if linked else ""))
+        kind = "w:" + (("inner" if content else "boilerplate") if bad else holder + (":link" if linked else ""))
         out.append(("words", kind, len(plain.split()), (plain, block, bad, content)))
 
     for m in _TOKEN.finditer(page):
@@ -99,7 +102,9 @@ def tokens(page: str):
         close, attributes = bool(m[2] or m[5]), m[4] or m[7] or ""
         if name not in INLINE:
             block += 1
-        out.append(("tag", "t:" + ("/" if close else "") + name, 1, None))
+        out.append(("tag", "t:" + ("/" if close else "") + name, 1, bool(stack) and stack[-1][2]))
+        if name == "br":
+            out.append(("words", "", 0, (" ", block, True, False)))
         if close:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -130,7 +135,7 @@ def kind_counts(page: str) -> dict:
     inside = False
     for what, kind, n, info in seq:
         if what == "words":
-            if not n:
+            if not n or kind == "w:inner":
                 continue
             inside = info[3] and not info[2]
         row = found.setdefault(kind, [0, 0])
@@ -154,7 +159,7 @@ class Weights:
             return w
         if kind[0] == "t":
             return -1.0
-        return -1.0 if kind in ("w:boilerplate", "") or kind.endswith(":link") else 1.0
+        return 0.0 if kind == "w:inner" else -1.0 if kind == "w:boilerplate" or kind.endswith(":link") else 1.0
 
 
 def extract(page: str | None, weights: Weights) -> str:
@@ -162,10 +167,11 @@ def extract(page: str | None, weights: Weights) -> str:
     seq = tokens(page or "")
     best = total = 0.0
     start, region = 0, None
-    for k, (_, kind, n, _info) in enumerate(seq):
+    for k, (what, kind, n, info) in enumerate(seq):
         if total <= 0.0:
             total, start = 0.0, k
-        total += weights.of(kind) * n
+        weight = weights.of(kind) if n else 0.0
+        total += (max(weight, INSIDE) if what == "tag" and info else weight) * n
         if total > best:
             best, region = total, (start, k + 1)
     if region is None:

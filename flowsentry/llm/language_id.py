@@ -135,7 +135,7 @@ class LanguageModel:
             whole = sum_runs(logs, np.r_[0, np.cumsum([len(s) for s in split])])
             return whole.astype(np.float32).ravel(), np.full(len(words), width)
 
-        return WordValues(learn, np.float32, limit=1_000_000)
+        return WordValues(learn, np.float32)
 
     def log_scores(self, values: WordValues, texts: list[bytes]) -> np.ndarray:
         words = Words(texts, NOT_ALNUM)

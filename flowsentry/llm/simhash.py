@@ -2,7 +2,7 @@
 
 Fingerprints are made in tasks from word shingles.  The distinct ones are
 sorted by Gray rank (neighbours in that order share most bits) and cut into
-groups of equal size.  Each group is described by the bits all its members
+groups, where the leading bits change and at a greatest size.  Each group is described by the bits all its members
 share: a mask and a value.  Those patterns are the index's lower upper-level
 nodes; blocks of them share bits again, and so on to the root.  A search
 walks down from the root: at each node the differing bits under the node's
@@ -147,18 +147,34 @@ def local_components(n: int, u: np.ndarray, v: np.ndarray, label: np.ndarray | N
             return label
 
 
-def _number_groups(size: int):
-    """Members of a sorted partition in groups of ``size``; a group is never
-    shared by two partitions."""
+def _gray_cells(fp: np.ndarray, bits: int) -> np.ndarray:
+    """The leading bits of the Gray rank."""
+    r = fp.view(np.uint64).copy()
+    for s in (1, 2, 4, 8, 16, 32):
+        r ^= r >> np.uint64(s)
+    return (r >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(r), np.int64)
+
+
+def _number_groups(size: int, bits: int):
+    """Members of a sorted partition in groups: a new one where the leading
+    bits change, so its members share them, and after ``size`` members."""
     def run(batches):
         from pyspark import TaskContext
-        base, seen = TaskContext.get().partitionId() << 32, 0
+        group, cell, held = TaskContext.get().partitionId() << 32, None, 0
         for batch in batches:
-            n = batch.num_rows
-            group = base + (np.arange(seen, seen + n) // size)
-            seen += n
-            yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int64)), batch.column("fp"), batch.column("rep")],
-                                             names=["grp", "fp", "rep"])
+            cells = _gray_cells(batch.column("fp").to_numpy(), bits)
+            cuts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+            out = []
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(cells)]):
+                if b > a and cells[a] != cell:
+                    group, cell, held = group + 1, cells[a], 0
+                place = held + np.arange(b - a)
+                out.append(group + place // size)
+                if b > a:
+                    group, held = int(out[-1][-1]), int(place[-1]) % size + 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)), batch.column("fp"), batch.column("rep")],
+                names=["grp", "fp", "rep"])
     return run
 
 
@@ -240,15 +256,16 @@ def near_links(codes: DataFrame, bound: int = 2, group_size: int = 2048, max_gro
     pairs."""
     spark = prepare(codes.sparkSession)
     n = codes.count()
-    size = max(group_size, -(-2 * n // max_groups))
+    size = max(group_size, -(-4 * n // max_groups))
+    bits = int(np.ceil(np.log2(max(1, n / size))))
     parts = max(1, min(parallelism(spark), n // size))
     ordered = codes.repartitionByRange(parts, gray_rank(F.col("fp"))).sortWithinPartitions(gray_rank(F.col("fp")))
-    members = stage_table(ordered.mapInArrow(_number_groups(size), "grp long, fp long, rep long"), "simhash-groups")
+    members = stage_table(ordered.mapInArrow(_number_groups(2 * size, bits), "grp long, fp long, rep long"), "simhash-groups")
     low, high = F.expr("bit_and(fp)"), F.expr("bit_or(fp)")
     patterns = (members.groupBy("grp").agg(low.alias("low"), high.alias("high"))
                 .select("grp", F.bitwise_not(F.col("low").bitwiseXOR(F.col("high"))).alias("mask"), "low")
                 .select("grp", "mask", F.col("low").bitwiseAND(F.col("mask")).alias("value"))
-                .orderBy("grp").collect())          # at most max_groups + partitions rows
+                .orderBy("grp").collect())          # at most max_groups + partitions rows: 2^bits cells, each cut at twice the size
     nodes = spark.sparkContext.broadcast(tuple(np.array([r[k] for r in patterns], np.int64) for k in range(3)))
     visits = members.mapInArrow(_route(nodes, bound), "grp long, fp long, rep long")
     both = members.withColumn("visit", F.lit(False)).unionByName(visits.withColumn("visit", F.lit(True)))

@@ -51,7 +51,9 @@ class PieceCounter:
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         self.by_segment = not any(SPACE in p.lstrip(SPACE) for p in pieces)
         self.limit = limit
-        self.known: dict[str, int] = {}
+        # a last space alone: the empty segment, which by itself would encode to nothing
+        self.space = len(self.model.encode("a ")) - len(self.model.encode("a"))
+        self.known: dict[str, int] = {"": self.space}
 
     def _lengths(self, segments: list[str]) -> list[int]:
         return [len(x) for x in self.model.encode(segments, num_threads=1)]
@@ -78,7 +80,7 @@ class PieceCounter:
             fresh = dict(zip(names, self._lengths(names)))
             if len(self.known) + len(fresh) > self.limit:
                 keep = {s for segments in split if segments for s in segments}
-                self.known = {s: n for s, n in self.known.items() if s in keep}
+                self.known = {s: n for s, n in self.known.items() if s in keep or not s}
             self.known.update(fresh)
         get = self.known.__getitem__
         for text, segments in zip(texts, split):

@@ -31,8 +31,17 @@ def _power(n: int):
     return _powers[0][:n], _powers[1][:n]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the byte runs [start, end) of one block; never 0."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """Hashes of the byte runs [start, end), in order of their starts; never 0.
+    Long data are taken in blocks, so no array is larger than a block and its
+    last run."""
+    if len(data) > block and len(starts) > 1:
+        cuts = np.unique(np.searchsorted(starts, np.arange(0, len(data), block)))
+        parts = [(a, b) for a, b in zip(cuts, [*cuts[1:], len(starts)]) if b > a]
+        if len(parts) > 1:
+            out = [span_hashes(data[starts[a]:int(ends[a:b].max())], starts[a:b] - starts[a], ends[a:b] - starts[a])
+                   for a, b in parts]
+            return np.concatenate(out)
     up, down = _power(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
@@ -104,10 +113,10 @@ class HashTable:
 
     def add(self, h: np.ndarray) -> None:
         """Add distinct unknown hashes."""
-        if 2 * (self.n + len(h)) > len(self.keys):
+        if 3 * (self.n + len(h)) > 2 * len(self.keys):
             known, at = self.keys[self.keys != 0], self.at[self.keys != 0]
             order = np.argsort(at)
-            bits = max(self.bits + 1, int(4 * (self.n + len(h))).bit_length())
+            bits = max(self.bits + 1, int(2 * (self.n + len(h))).bit_length())
             self._clear(bits)
             self._place(known[order], np.arange(len(known), dtype=np.int32))
             self.n = len(known)
@@ -131,7 +140,7 @@ class WordValues:
     arrays or one 2-d array`` for words not met before.  Starts afresh when
     more than ``limit`` words are known; what one block needs is always kept."""
 
-    def __init__(self, learn, dtype, limit: int = 1_500_000):
+    def __init__(self, learn, dtype, limit: int = 800_000):
         self.learn, self.limit, self.dtype = learn, limit, dtype
         self._reset()
 
