@@ -36,7 +36,7 @@ def main() -> None:
         t0 = time.time()
         res, rows = analyze_and_collect(load_flows(spark, path), timings=timings)
         total = time.time() - t0
-        return {"total": total, "alerts": rows["alerts"], "stats": rows["stats"], "hist": rows["histogram"],
+        return {"total": total, "ranked": rows["ranked"], "stats": rows["stats"], "hist": rows["histogram"],
                 "timeline": rows["threats_over_time"], "result": res}
 
     warm_dir = os.path.join(os.path.dirname(sf_dir), "sf0.001")
@@ -50,7 +50,7 @@ def main() -> None:
 
     # follow-on reports on the same run
     res = out["result"]
-    final = spark.createDataFrame(out["alerts"], res.alerts.schema)
+    final = res.alerts
     t = time.time()
     truth = ev.label_ground_truth(labelled_flows(spark, sf_dir))
     acc = ev.accuracy(truth, final).collect()[0]
@@ -69,7 +69,7 @@ def main() -> None:
         "sf": os.path.basename(sf_dir).replace("sf", ""),
         "rows": rows,
         "rows_per_sec": round(rows / out["total"], 1) if out["total"] else None,
-        "alerts": len(out["alerts"]),
+        "alerts": final.count(),
         "threats_detected": out["stats"][0]["threats_detected"],
         "precision": acc["precision"], "recall": acc["recall"],
         "cpus": cpus,

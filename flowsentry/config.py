@@ -69,7 +69,6 @@ EVIDENCE_TEXTS = {
     "flow_duration": "Very short flow duration",
     "fallback": "Multivariate anomaly (Isolation Forest)",
 }
-MAX_UPLOAD_BYTES = 200 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -98,7 +97,6 @@ class DetectionConfig:
     one_rule_confidence: float = 0.50
     multi_rule_confidence: float = 0.85
     # isolation forest
-    train_cap: int = 50000
     seed: int = 42
     n_trees: int = 100
     max_samples: int = 256
@@ -125,7 +123,6 @@ class DetectionConfig:
     # above, an approximate bracket narrows the exact pass
     exact_direct_limit: int = 2_000_000
     approx_accuracy: int = 10_000
-    extra: dict = field(default_factory=dict, compare=False)
 
 
 DEFAULT_CONFIG = DetectionConfig()

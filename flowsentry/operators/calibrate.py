@@ -8,7 +8,7 @@ lets AQE pick broadcast or split a skewed source.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import (DEFAULT_CONFIG, DEFAULT_EVIDENCE_PREFIX, ESCALATION_SUFFIX, SEVERITY_RANK,
@@ -18,33 +18,14 @@ FINAL_COLUMNS = ("src_ip", "dst_ip", "threat_type", "protocol", "flow_count",
                  "confidence", "severity", "evidence")
 
 
-def severity_rank(c: Column) -> Column:
-    out = F.lit(0)
-    for name, rank in sorted(SEVERITY_RANK.items(), key=lambda kv: kv[1]):
-        out = F.when(c == name, F.lit(rank)).otherwise(out)
-    return out
-
-
-def rank_to_severity(c: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for name, rank in SEVERITY_RANK.items():
-        out = F.when(c == rank, F.lit(name)).otherwise(out)
-    return out
-
-
 def join_temporal(alerts: DataFrame, temporal: DataFrame) -> DataFrame:
-    """K1: left join of the per-source temporal flag, default false."""
-    return (alerts.join(temporal.select("src_ip", "temporal"), "src_ip", "left")
+    """K1: left join of the per-source temporal flag, default false; a null
+    source is a source like any other."""
+    flag = temporal.select(F.col("src_ip").alias("__src"), "temporal")
+    return (alerts.join(flag, F.col("src_ip").eqNullSafe(F.col("__src")), "left").drop("__src")
             .withColumn("temporal", F.coalesce(F.col("temporal"), F.lit(False))))
 
 
-def monitor_confidence(c: Column) -> Column:
-    x = (F.when(c < 0.6, 0.40 + 0.05 * (c / 0.6))
-         .when(c < 0.8, 0.45 + 0.10 * ((c - 0.6) / 0.2))
-         .otherwise(0.55 + 0.05 * ((c - 0.8) / 0.2)))
-    return F.least(F.lit(0.60), F.greatest(F.lit(0.40), x))
-
-
 # K2 as Spark SQL text: one expression per column keeps plan building cheap.
 # ``D`` marks double literals (plain decimals would be DECIMAL in Spark SQL).
 _RM = "(contains(threat_type, '(Rule + ML)') OR contains(threat_type, 'Aggregated'))"
@@ -102,7 +83,8 @@ def escalate(calibrated: DataFrame) -> DataFrame:
     Adds ``escalated`` (K7 counts it)."""
     prof = per_source_profile(calibrated)
     top = _NAME_SQL.format(c="max_rank")
-    lifted = calibrated.join(prof, "src_ip", "left").selectExpr(
+    prof = prof.withColumnRenamed("src_ip", "__src")
+    lifted = calibrated.join(prof, F.col("src_ip").eqNullSafe(F.col("__src")), "left").drop("__src").selectExpr(
         "*", f"coalesce(threat_types >= 2 AND severity <> {top}, false) AS lift", f"{top} AS top")
     return lifted.selectExpr(
         "src_ip", "dst_ip", "threat_type", "protocol", "flow_count",

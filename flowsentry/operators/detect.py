@@ -63,9 +63,10 @@ def dedup_flow_alerts(threats: DataFrame, groups: DataFrame | None = None) -> Da
 def first_protocol(rows: DataFrame, flows: DataFrame) -> DataFrame:
     """Protocol of the flow ``first_row`` for the given (already flagged)
     rows.  Aggregates carry only ``min(row_id)`` (hash-aggregatable); the
-    text is looked up afterwards, and AQE broadcasts the flagged side."""
+    text is looked up afterwards.  Every ``first_row`` exists, so this is an
+    inner join, and a small flagged side can be the broadcast one."""
     return rows.join(flows.select(F.col("row_id").alias("first_row"), F.col("protocol").alias("first_protocol")),
-                     "first_row", "left")
+                     "first_row")
 
 
 def _is_icmp() -> Column:
@@ -126,7 +127,7 @@ def destination_lists(pairs: DataFrame, sources: DataFrame) -> DataFrame:
     all of them (``dst_list``) and those reached over ICMP (``icmp_dst_list``).
     Built from the pair rows of flagged sources only (semi join first)."""
     return (pairs.select("src_ip", "dst_ip", "icmp_flows").where(F.col("dst_ip").isNotNull())
-            .join(sources.select("src_ip"), "src_ip", "left_semi")
+            .join(sources.select(F.col("src_ip").alias("__src")), F.col("src_ip").eqNullSafe(F.col("__src")), "left_semi")
             .groupBy("src_ip")
             .agg(F.array_join(F.array_sort(F.collect_list("dst_ip")), ", ").alias("dst_list"),
                  F.array_join(F.array_sort(F.collect_list(F.when(F.col("icmp_flows") > 0, F.col("dst_ip")))),
@@ -152,9 +153,10 @@ def _icmp_hit(cfg: DetectionConfig) -> Column:
 def flagged_sources(pairs: DataFrame, sources: DataFrame, flows: DataFrame, n_rows: int,
                     cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
     """Sources flagged by D3, D4 or D5, with their destination lists and first
-    protocol: one semi join, one aggregate and two joins serve all three."""
+    protocol."""
     hits = sources.where(_horizontal_hit(n_rows, cfg) | _botnet_hit(cfg) | _icmp_hit(cfg))
-    return first_protocol(hits.join(destination_lists(pairs, hits), "src_ip", "left"), flows)
+    lists = destination_lists(pairs, hits).withColumnRenamed("src_ip", "__src")
+    return first_protocol(hits.join(lists, F.col("src_ip").eqNullSafe(F.col("__src")), "left").drop("__src"), flows)
 
 
 def detect_horizontal_scan(flagged: DataFrame, n_rows: int, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:

@@ -1,16 +1,15 @@
 """Distributed isolation forest (M1-M9, M6 threshold).
 
-* M1 training sample: every row when there are at most ``train_cap``, else
-  the rows whose hash ``u(row_id, seed)`` falls below ``train_cap / n`` (a
-  per-row predicate: no global sort, the same rows for any partitioning,
-  ``train_cap`` rows in expectation).
-* M2-M3 moments and standard scaling: one aggregate over the sample, computed
+* M1 training rows: all.  Each tree draws its own small subsample from the
+  whole table by hash (a per-row predicate: no global sort, the same rows for
+  any partitioning).
+* M2-M3 moments and standard scaling: one aggregate over all rows, computed
   only where model evidence needs it.  Trees split on uniform thresholds
   between a node's min and max, so they are unchanged by per-feature affine
   scaling; fitting and scoring use the sanitised features directly.
-* M4 fit, in one job over the table: each sampled row is routed to the trees
-  whose hash ``u(row, tree) < p`` (explode over tree ids, then a filter; no
-  join); each tree keeps its ``psi`` smallest-``u`` rows, so its subsample is
+* M4 fit, in one job over the table: each row is routed to the trees whose
+  hash ``u(row, tree) < p`` (the tree ids are filtered before the explode, so
+  a row that no tree draws makes no rows); each tree keeps its ``psi`` smallest-``u`` rows, so its subsample is
   exactly the psi sampled rows of smallest hash.
   ``groupBy(tree_id).applyInPandas`` grows the trees, one group per tree of
   about ``2 psi`` rows.
@@ -35,6 +34,7 @@ from pyspark.sql.types import DoubleType
 
 from ..config import DEFAULT_CONFIG, FEATURE_COLUMNS, DetectionConfig
 from ..functions.features import feature_vector
+from .thresholds import exact_nearest_quantiles
 
 _EULER = 0.5772156649015329
 
@@ -55,24 +55,12 @@ def _unit_hash(seed: int, *cols) -> F.Column:
     return (h.bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).cast("double")) / F.lit(float(2 ** 63))
 
 
-def sample_predicate(n_rows: int, cfg: DetectionConfig = DEFAULT_CONFIG) -> F.Column:
-    """M1 membership of a row (by ``row_id``)."""
-    if n_rows <= cfg.train_cap:
-        return F.lit(True)
-    return _unit_hash(cfg.seed, F.col("row_id"), F.lit(-1)) < F.lit(cfg.train_cap / n_rows)
-
-
-def training_sample(vec: DataFrame, n_rows: int, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
-    """M1."""
-    return vec.where(sample_predicate(n_rows, cfg))
-
-
-def feature_moments(sample: DataFrame) -> dict:
+def feature_moments(vec: DataFrame) -> dict:
     """M2: mean and population std (+1e-9) per feature."""
     aggs = []
     for c in FEATURE_COLUMNS:
         aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")]
-    row = sample.agg(*aggs).first()
+    row = vec.agg(*aggs).first()
     return {c: (float(row[f"m_{c}"] or 0.0), float(row[f"s_{c}"] or 0.0) + 1e-9) for c in FEATURE_COLUMNS}
 
 
@@ -135,28 +123,28 @@ class ForestModel:
     score_max: float = float("nan")
 
 
-def fit_trees(scaled_sample: DataFrame, m: int, cfg: DetectionConfig = DEFAULT_CONFIG):
-    """M4 over the sample (``m`` rows expected): returns (feature, value, path,
-    psi, depth) arrays."""
-    psi = min(cfg.max_samples, m)
+def fit_trees(vec: DataFrame, n: int, cfg: DetectionConfig = DEFAULT_CONFIG):
+    """M4 over all ``n`` rows: returns (feature, value, path, psi, depth)
+    arrays.  A tree that drew fewer than psi rows makes the draw wider, step
+    by step."""
+    psi = min(cfg.max_samples, n)
     depth = max(1, int(math.ceil(math.log2(max(psi, 2)))))
     trees = cfg.n_trees
 
     def attempt(p: float) -> pd.DataFrame:
-        routed = (scaled_sample
-                  .select("row_id", *FEATURE_COLUMNS,
-                          F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree_id"))
-                  .withColumn("__u", _unit_hash(cfg.seed, F.col("row_id"), F.col("tree_id")))
-                  .where(F.col("__u") < F.lit(p)))
+        drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
+                         lambda t: _unit_hash(cfg.seed, F.col("row_id"), t) < F.lit(p))
+        routed = (vec.select("row_id", *FEATURE_COLUMNS, F.explode(drawn).alias("tree_id"))
+                  .withColumn("__u", _unit_hash(cfg.seed, F.col("row_id"), F.col("tree_id"))))
         nodes = (routed.groupBy("tree_id")
                  .applyInPandas(_grow(psi, depth, cfg.seed), _tree_schema()))
         return nodes.toPandas()   # bounded: trees x (2^(depth+1)-1) rows
 
-    p = 1.0 if m <= 4 * psi else min(1.0, (2.0 * psi + 64.0) / m)
+    p = min(1.0, (2.0 * psi + 64.0) / n) if n > 4 * psi else 1.0
     nodes = attempt(p)
-    short = (nodes.groupby("tree_id")["used"].max() < psi).any() or nodes["tree_id"].nunique() < trees
-    if short and p < 1.0:   # a tree drew fewer than psi rows: redo exactly with every row
-        nodes = attempt(1.0)
+    while p < 1.0 and ((nodes.groupby("tree_id")["used"].max() < psi).any() or nodes["tree_id"].nunique() < trees):
+        p = min(1.0, 2.0 * p)
+        nodes = attempt(p)
     nodes = nodes.sort_values(["tree_id", "node"])
     n_nodes = 2 ** (depth + 1) - 1
     shape = (trees, n_nodes)
@@ -201,18 +189,25 @@ def fit(features: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG, n_rows: int
     vec = feature_vector(features, cfg)
     if n_rows is None:
         n_rows = features.count()
-    sample = training_sample(vec, n_rows, cfg)
-    moments = feature_moments(sample) if with_moments else {}
-    m = min(n_rows, cfg.train_cap)
-    feature, value, path, psi, depth = fit_trees(sample, m, cfg)
+    moments = feature_moments(vec) if with_moments else {}
+    feature, value, path, psi, depth = fit_trees(vec, n_rows, cfg)
     model = ForestModel(moments, feature, value, path, psi, depth)
     if with_threshold:
-        # M6: the contamination cut on training scores (linear interpolation)
-        train = sample.select(raw_scores(model, sample).alias("s"))
-        model.threshold = float(train.agg(F.percentile("s", 1.0 - cfg.contamination)).first()[0])
+        model.threshold = contamination_cut(vec.select(raw_scores(model, vec).alias("s")), n_rows, cfg)
     return model
 
 
+def contamination_cut(scores: DataFrame, n: int, cfg: DetectionConfig = DEFAULT_CONFIG) -> float:
+    """M6: the score that the contamination share of all rows exceeds, with
+    linear interpolation between the two neighbouring ranks."""
+    at = (n - 1) * (1.0 - cfg.contamination)
+    low = int(math.floor(at))
+    if n == 1:
+        return float(exact_nearest_quantiles(scores, ["s"], 0.0, cfg)[0]["s"])
+    a, b = (float(exact_nearest_quantiles(scores, ["s"], k / (n - 1), cfg)[0]["s"]) for k in (low, min(low + 1, n - 1)))
+    return a + (b - a) * (at - low)
+
+
 def anomaly_score(model: ForestModel, spark, cfg: DetectionConfig = DEFAULT_CONFIG) -> F.Column:
     """M5 as a Column over the raw flow features (sanitised inline)."""
     from ..functions.features import sanitize

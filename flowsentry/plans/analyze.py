@@ -79,7 +79,7 @@ def score_flows(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
     ``scores``: optional ``(row_id, ml_score, ml_label)`` frame used instead of
     the forest (joined on ``row_id``); ``inject``: the same as Column
     expressions over the flow row.  Model evidence (M10) then uses the moments
-    of the training sample.
+    of all rows.
 
     ``materialize``: first write the narrow feature table as parquet under the
     session's checkpoint directory and read it back.  Thresholds, the forest
@@ -122,7 +122,7 @@ def score_flows(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
         scored = scored.withColumn(name, col)
     if supplied and thr.n_rows > 0:
         vec = iforest.feature_vector(feats, cfg)
-        moments = iforest.feature_moments(iforest.training_sample(vec, thr.n_rows, cfg))
+        moments = iforest.feature_moments(vec)
     run_forest = not supplied and ml is not None and thr.n_rows > 0
     if run_forest and ml == "intent":
         # labels feed every branch: score once into the verdict table
@@ -152,12 +152,15 @@ def score_flows(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
 
 
 def alerts_before_cut(sf: ScoredFlows, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
-    """Every calibrated and escalated alert (before the top-k)."""
+    """Every calibrated and escalated alert."""
     threats = arb.threat_flows(sf.flows)
     groups = detect.threat_groups(threats)
     raw = detect.union_alerts(sf.flows, threats, sf.thresholds.n_rows, cfg, groups)
     temporal = detect.temporal_correlation(threats, cfg, groups)
-    return cal.escalate(cal.calibrate(raw, temporal))
+    calibrated = cal.calibrate(raw, temporal)
+    if sf.path is not None:   # read by the profile and by the join: evaluated once
+        calibrated, _ = _write_read(calibrated, "calibrated-alerts")
+    return cal.escalate(calibrated)
 
 
 def final_alerts(sf: ScoredFlows, cfg: DetectionConfig = DEFAULT_CONFIG, by: str = "confidence") -> DataFrame:
@@ -168,11 +171,11 @@ def final_alerts(sf: ScoredFlows, cfg: DetectionConfig = DEFAULT_CONFIG, by: str
 @dataclass
 class AnalysisResult:
     stats: DataFrame              # one row (A7)
-    alerts: DataFrame             # final ranked alerts (K8), 8 columns
+    alerts: DataFrame             # every final alert, 8 columns
     histogram: DataFrame          # A8
     threats_over_time: DataFrame  # A9/A10
     scored: ScoredFlows
-    alerts_all: DataFrame = None  # every calibrated alert, before the cut
+    ranked: DataFrame = None      # the first max_alerts by rank (K8), 8 columns
 
     def release(self):
         self.scored.release()
@@ -181,10 +184,11 @@ class AnalysisResult:
 def analyze_and_collect(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG, ml: str | None = "as_shipped",
                         materialize: bool = True, timings: dict | None = None):
     """:func:`analyze`, then the four outputs built and collected
-    concurrently (each is small: 1000 alerts, one record, 20 + 30 bins).
+    concurrently (each is small: the K8 view of 1000 alerts, one record, 20 + 30 bins;
+    all alerts stay a table, ``result.alerts``).
     As shipped, no flow is labelled, so only the histogram depends on the
     forest: fitting and scoring then run alongside the alert job instead of
-    before it.  Returns ``(result, {"alerts": rows, "stats": rows,
+    before it.  Returns ``(result, {"ranked": rows, "stats": rows,
     "histogram": rows, "threats_over_time": rows})``."""
     timings = {} if timings is None else timings
     overlap = ml == "as_shipped" and materialize
@@ -194,9 +198,10 @@ def analyze_and_collect(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
     built = {}
 
     def alerts():
-        built["alerts_all"] = alerts_before_cut(sf, cfg)
-        built["alerts"] = cal.rank_alerts(built["alerts_all"], cfg).select(*cal.FINAL_COLUMNS)
-        return built["alerts"].collect()
+        every = alerts_before_cut(sf, cfg)
+        built["alerts"] = every.select(*cal.FINAL_COLUMNS)
+        built["ranked"] = cal.rank_alerts(every, cfg).select(*cal.FINAL_COLUMNS)
+        return built["ranked"].collect()
 
     def stats():
         built["stats"] = st.run_stats(sf.flows)
@@ -220,14 +225,14 @@ def analyze_and_collect(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
         built["threats_over_time"] = st.threats_over_time(threats, cfg)
         return built["threats_over_time"].collect()
 
-    names = ("alerts", "stats", "histogram", "threats_over_time")
+    names = ("ranked", "stats", "histogram", "threats_over_time")
     rows = dict(zip(names, run_concurrently(alerts, stats, histogram, timeline)))
     timings["outputs"] = round(time.time() - t, 3)
     # the record's processing time (A7), known only once everything is collected
     elapsed = round(sum(v for k, v in timings.items() if isinstance(v, (int, float))), 3)
     rows["stats"] = [dict(r.asDict(), processing_time_sec=elapsed) for r in rows["stats"]]
     res = AnalysisResult(built["stats"], built["alerts"], built["histogram"], built["threats_over_time"],
-                         sf, built["alerts_all"])
+                         sf, built["ranked"])
     return res, rows
 
 
@@ -238,10 +243,11 @@ def analyze(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG, ml: str | N
     sf = score_flows(flows, cfg, ml=ml, materialize=materialize, timings=timings)
     t = time.time()
     every = alerts_before_cut(sf, cfg)
-    alerts = cal.rank_alerts(every, cfg).select(*cal.FINAL_COLUMNS)
+    alerts = every.select(*cal.FINAL_COLUMNS)
+    ranked = cal.rank_alerts(every, cfg).select(*cal.FINAL_COLUMNS)
     threats = arb.threat_flows(sf.flows)
     stats = st.run_stats(sf.flows)
     hist = st.score_histogram(sf.scores, "ml_score", cfg.histogram_bins)
     timeline = st.threats_over_time(threats, cfg)
     timings["plan_outputs"] = round(time.time() - t, 3)
-    return AnalysisResult(stats, alerts, hist, timeline, sf, every)
+    return AnalysisResult(stats, alerts, hist, timeline, sf, ranked)

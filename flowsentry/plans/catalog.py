@@ -288,9 +288,9 @@ def rank_alerts_top1000(spark, sf_dir):
 
 
 def _final(spark, sf_dir) -> DataFrame:
-    """Final ranked alerts; ``confidence`` carries the unrounded value so both
-    engines agree on the cut and on every number derived from it."""
-    return (cal.rank_alerts(_alerts(spark, sf_dir), by="confidence_raw")
+    """Every escalated alert; ``confidence`` carries the unrounded value so both
+    engines agree on every number derived from it."""
+    return (_alerts(spark, sf_dir)
             .select("src_ip", "dst_ip", "threat_type", "protocol", "flow_count",
                     F.col("confidence_raw").alias("confidence"), "severity", "evidence"))
 
@@ -505,8 +505,7 @@ def scaled_timeline(spark, sf_dir):
     """Q9: the timeline scaled by the share of CONFIRMED alerts."""
     sf = _scored(spark, sf_dir)
     final = _final(spark, sf_dir)
-    shown = se.search_alerts(final, severity="CONFIRMED").count()
-    total = final.count()
+    shown, total = final.agg(F.count_if(F.col("severity") == "CONFIRMED"), F.count(F.lit(1))).first()
     return se.scaled_timeline(st.threats_over_time(arb.threat_flows(sf.flows)), shown, total)
 
 
@@ -593,7 +592,7 @@ def scan_flow_csv_headerless(spark, sf_dir):
 
 @register("select_input_files")
 def select_input_files(spark, sf_dir):
-    """.csv files of at most 200 MB in a folder of written flow CSVs
+    """Every .csv file in a folder of written flow CSVs, with its length
     (paths are fresh per run, so only the row count is comparable)."""
     path = scratch_path(spark, "flows-csv-files")
     _write_csv(_flows(spark, sf_dir).drop("row_id"), path, header=True)
@@ -617,6 +616,69 @@ def ledger_latest_alerts(spark, sf_dir):
     return ledger.alerts_of_latest_run().select(*cal.FINAL_COLUMNS)
 
 
+@register("ledger_empty_latest", O.with_ctes(*O.ALERTS_FINAL) + f"select {_FINAL_COLS} from final where false")
+def ledger_empty_latest(spark, sf_dir):
+    """S11, S12 on a store that holds a run and no alerts."""
+    ledger = new_ledger(spark)
+    sf = _scored(spark, sf_dir)
+    ledger.write_run(st.run_stats(sf.flows), st.score_histogram(sf.flows),
+                     st.threats_over_time(arb.threat_flows(sf.flows)), "empty.csv")
+    return ledger.alerts_of_latest_run().select(*cal.FINAL_COLUMNS)
+
+
+@register("ledger_reads", O.with_ctes(*O.ALERTS_FINAL) + """
+select 2 as runs, 2 * (select count(*) from final) as alerts, 2 as recent_runs,
+       least(20, 2 * (select count(*) from final)) as recent_alerts,
+       least(10, 2 * (select count(*) from final where severity = 'CONFIRMED')) as confirmed,
+       1 as found, (select count(*) from arb) as latest_flows, 2 as tables""")
+def ledger_reads(spark, sf_dir):
+    """Two stored runs, read through every store query."""
+    ledger = new_ledger(spark)
+    sf = _scored(spark, sf_dir)
+    stats, final = st.run_stats(sf.flows), _final(spark, sf_dir)
+    hist, timeline = st.score_histogram(sf.flows), st.threats_over_time(arb.threat_flows(sf.flows))
+    for name in ("a.csv", "b.csv"):
+        run = ledger.write_run(stats, hist, timeline, name)
+        ledger.write_alerts(final, run)
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    latest = ledger.latest_or_default_stats().select(F.col("total_flows").alias("latest_flows"))
+    out = ledger.counts()
+    for part in (n(ledger.recent_runs(), "recent_runs"), n(ledger.recent_alerts(), "recent_alerts"),
+                 n(ledger.alerts_by_severity("CONFIRMED"), "confirmed"), n(ledger.run_by_id(run), "found"), latest):
+        out = out.unionByName(part, allowMissingColumns=True)
+    out = out.agg(*[F.max(c).alias(c) for c in out.columns])
+    return out.withColumn("tables", F.lit(len(ledger.register_views())))
+
+
+def _without_some_sources(flows: DataFrame) -> DataFrame:
+    return flows.withColumn("src_ip", F.when(~F.col("src_ip").endswith("7"), F.col("src_ip")))
+
+
+@register("null_source_alerts", O.with_ctes(*O.ALERTS_FINAL).replace("flows as (", "base as (", 1).replace(
+    "f0 as (", "flows as (select * replace (case when not ends_with(src_ip, '7') then src_ip end as src_ip) from base),\nf0 as (", 1)
+    + f"select {_FINAL_COLS} from final")
+def null_source_alerts(spark, sf_dir):
+    """K1, K4-K6, D3-D5 where some flows have no source address: null is a
+    source like any other."""
+    sf = score_flows(_without_some_sources(_flows(spark, sf_dir)), DEFAULT_CONFIG, ml=None, materialize=True)
+    return alerts_before_cut(sf).select(
+        "src_ip", "dst_ip", "threat_type", "protocol", "flow_count", F.col("confidence_raw").alias("confidence"), "severity", "evidence")
+
+
+@register("normalised_scores", "with " + O.flows_cte_duckdb() + """,
+s as (select row_id, ((row_id * 7919) % 1000)::DOUBLE / 1000.0::DOUBLE as a from flows),
+r as (select min(a) as lo, max(a) as hi, quantile_cont(a, 0.95) as cut from s)
+select row_id, (a - lo) / (case when hi > lo then hi - lo else 1.0::DOUBLE end) as ml_score,
+       case when a > cut then 1 else 0 end as ml_label from s, r""")
+def normalised_scores(spark, sf_dir):
+    """M6, M8, M9 on injected raw scores: contamination cut, min-max scaling,
+    labels."""
+    raw = _flows(spark, sf_dir).select("row_id", (F.pmod(F.col("row_id") * 7919, F.lit(1000)).cast("double") / 1000.0).alias("anomaly_score"))
+    model = iforest.ForestModel({}, None, None, None, 0, 0)
+    model.threshold = iforest.contamination_cut(raw.select(F.col("anomaly_score").alias("s")), raw.count())
+    return iforest.normalise_scores(raw, model, "intent").select("row_id", "ml_score", "ml_label")
+
+
 # ---------------------------------------------------------------- M
 
 _SAN = {c: (f"case when {c} is null or isnan({c}) then 0.0::DOUBLE when {c} = 'inf'::DOUBLE then 1e9::DOUBLE "
@@ -629,12 +691,11 @@ _MOM = "mom8 as (select " + ", ".join(
 @register("feature_moments", O.with_ctes(O.FEAT, _VEC, _MOM) + " union all ".join(
     f"select '{c}' as feature, round(m_{c}, 6) as mean, round(s_{c}, 6) as std from mom8" for c in _FC))
 def feature_moments(spark, sf_dir):
-    """M1 + M2: mean and population std (+1e-9) of the training sample (every
-    row up to 50,000; rounded to 6 places, float sums depend on order)."""
+    """M2: mean and population std (+1e-9) over every row (rounded to 6 places,
+    float sums depend on order)."""
     flows = _flows(spark, sf_dir)
     vec = _fv(with_features(flows))
-    n = flows.count()
-    mom = iforest.feature_moments(iforest.training_sample(vec, n))
+    mom = iforest.feature_moments(vec)
     rows = [(c, round(m, 6), round(s, 6)) for c, (m, s) in mom.items()]
     # tiny result frame; the rounding above is Python's, so round again in Spark
     return spark.createDataFrame(rows, "feature string, mean double, std double").select(
@@ -647,7 +708,7 @@ def standard_scale(spark, sf_dir):
     """M3: (x - mean) / std per feature (rounded to 6 places)."""
     flows = _flows(spark, sf_dir)
     vec = _fv(with_features(flows))
-    mom = iforest.feature_moments(iforest.training_sample(vec, flows.count()))
+    mom = iforest.feature_moments(vec)
     return iforest.standard_scale(vec, mom).select("row_id", *[F.round(c, 6).alias(c) for c in _FC])
 
 

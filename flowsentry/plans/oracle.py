@@ -114,7 +114,7 @@ threats as (select * from arb where threat_type is not null)"""
 
 ARB_SHIPPED = _arb(f"0.0{D}", "0", "''")
 
-# Moments of the training sample: every row while n <= 50,000 (true at sf0.01).
+# Moments over every row.
 MOMENTS = f"""
 mom as (select
   avg(packets) as m_pkt, stddev_pop(packets) + 1e-9 as s_pkt,
@@ -209,7 +209,7 @@ k0 as (
          when a.severity = 'CONFIRMED' then 5
          when a.severity = 'HIGH' then 6
          else 7 end as branch
-  from raw_alerts a left join temporal t on a.src_ip = t.src_ip),
+  from raw_alerts a left join temporal t on a.src_ip is not distinct from t.src_ip),
 calibrated as (
   select src_ip, dst_ip, threat_type, protocol, flow_count, branch, tp as temporal,
     case when branch in (1, 3, 5) then 'CONFIRMED' when branch = 4 then 'SUSPICIOUS'
@@ -239,7 +239,7 @@ escalated as (
                                     when 1 then 'MONITOR' end as top,
                coalesce(p.threat_types >= 2 and s.severity <> (case p.max_rank when 4 then 'CONFIRMED'
                    when 3 then 'HIGH' when 2 then 'SUSPICIOUS' when 1 then 'MONITOR' end), false) as lift
-        from sev_rank s left join prof p on s.src_ip = p.src_ip) s),
+        from sev_rank s left join prof p on s.src_ip is not distinct from p.src_ip) s),
 ranked as (
   select src_ip, dst_ip, threat_type, protocol, flow_count, confidence_raw, severity, evidence
   from escalated
@@ -257,10 +257,10 @@ BASE_SHIPPED = (FEAT, P95, THR, RULES, ARB_SHIPPED)
 BASE_INJECTED = (FEAT, P95, THR, RULES, MOMENTS, ARB_INJECTED)
 ALERTS_SHIPPED = BASE_SHIPPED + (DETECT, CALIBRATE)
 
-# final alerts with the unrounded confidence under the library's column name
+# every escalated alert, with the unrounded confidence under the library's column name
 FINAL = """
 final as (select src_ip, dst_ip, threat_type, protocol, flow_count, confidence_raw as confidence,
-                 severity, evidence from ranked)"""
+                 severity, evidence from escalated)"""
 
 TIMELINE = f"""
 tt as (select start_time as t from threats where start_time is not null and not isnan(start_time)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 RUNS = "runs"
 ALERTS = "alerts"
 ALERT_COLUMNS = ("src_ip", "dst_ip", "threat_type", "protocol", "flow_count", "confidence", "severity", "evidence")
+ALERTS_SCHEMA = ("src_ip string, dst_ip string, threat_type string, protocol string, flow_count bigint, "
+                 "confidence double, severity string, evidence string, run_id string")
 
 
 class RunLedger:
@@ -59,10 +61,9 @@ class RunLedger:
         return run_id
 
     def write_alerts(self, alerts: DataFrame, run_id: str) -> None:
-        """Append the alerts with ``run_id`` (nothing written when empty)."""
+        """Append the alerts with ``run_id`` (a run without alerts adds no
+        partition)."""
         tagged = alerts.select(*ALERT_COLUMNS).withColumn("run_id", F.lit(run_id))
-        if tagged.isEmpty():
-            return
         tagged.write.mode("append").partitionBy("run_id").parquet(self.alerts_path)
 
     # ------------------------------------------------------------ reads
@@ -70,16 +71,20 @@ class RunLedger:
         return self.spark.read.parquet(self.runs_path)
 
     def alerts(self) -> DataFrame:
-        return self.spark.read.parquet(self.alerts_path)
+        """Every stored alert; none if no run has written any."""
+        if not self._exists(self.alerts_path):
+            return self.spark.createDataFrame([], ALERTS_SCHEMA)
+        return self.spark.read.schema(ALERTS_SCHEMA).parquet(self.alerts_path)
 
     def latest_run(self) -> DataFrame:
         """The newest run (one row; TakeOrderedAndProject)."""
         return self.runs().orderBy(F.desc("timestamp"), F.desc("run_id")).limit(1)
 
     def alerts_of_latest_run(self) -> DataFrame:
-        """Semi join on ``run_id`` against the one-row latest run; the
-        broadcast one-row side lets Spark prune ``run_id`` partitions."""
-        return self.alerts().join(F.broadcast(self.latest_run().select("run_id")), "run_id", "left_semi")
+        """The newest run's id is one value, fetched first, so the filter on
+        ``run_id`` is a literal and only that run's partition is read."""
+        newest = self.latest_run().select("run_id").first()
+        return self.alerts().where(F.col("run_id") == (newest.run_id if newest else ""))
 
     def latest_or_default_stats(self) -> DataFrame:
         """The newest run's stats, or the empty-store default record
@@ -110,8 +115,9 @@ class RunLedger:
             F.first("runs", ignorenulls=True).alias("runs"), F.first("alerts", ignorenulls=True).alias("alerts"))
 
     def alerts_by_severity(self, severity: str, n: int = 10) -> DataFrame:
-        """Equality filter (pushed to the scan), first n."""
-        return self.alerts().where(F.col("severity") == severity).limit(n)
+        """Equality filter (pushed to the scan), the n most confident."""
+        return (self.alerts().where(F.col("severity") == severity)
+                .orderBy(F.desc("confidence"), "src_ip", "dst_ip", "threat_type", "run_id").limit(n))
 
     def run_by_id(self, run_id: str) -> DataFrame:
         """Point lookup (parquet predicate pushdown)."""
@@ -129,10 +135,8 @@ class RunLedger:
 
 def export_alerts_csv(alerts: DataFrame, path: str) -> None:
     """8 columns, ``flow_count`` named ``flows``, confidence as a whole
-    percentage, every value quoted with doubled quotes; nothing written when
-    there are no alerts."""
-    if alerts.isEmpty():
-        return
+    percentage, every value quoted with doubled quotes; without alerts the
+    file holds the header line alone, and an earlier export is replaced."""
     out = alerts.select(
         F.coalesce(F.col("src_ip"), F.lit("")).alias("src_ip"),
         F.coalesce(F.col("dst_ip"), F.lit("")).alias("dst_ip"),

@@ -17,6 +17,32 @@ def _csv(text):
     return p
 
 
+def test_store_without_alerts_and_export_of_none(spark, make_flows, tmp_path):
+    from flowsentry.sources.ledger import ALERTS_SCHEMA, RunLedger, export_alerts_csv
+    ledger = RunLedger(spark, str(tmp_path / "store"))
+    assert ledger.alerts().count() == 0 and ledger.alerts_by_severity("HIGH").count() == 0
+    none = spark.createDataFrame([], ALERTS_SCHEMA).drop("run_id")
+    one = spark.createDataFrame([("a", "b", "Flood", "TCP", 1, 0.5, "HIGH", "x")], none.schema)
+    path = str(tmp_path / "out.csv")
+    export_alerts_csv(one, path)
+    export_alerts_csv(none, path)
+    assert spark.read.option("header", True).csv(path).count() == 0
+
+
+def test_numbers_and_times_are_read_strictly(spark):
+    from flowsentry.sources.flowcsv import _iso_time, _number
+    text = spark.createDataFrame([(t,) for t in ("5d", "7f", "12", " -3.5e2", "2024", "12:30", "2024-01-02",
+                                                 "2024-01-02 03:04:05", "2024-01-02T03:04:05.5Z")], "v string")
+    rows = text.select(_number("v").alias("n"), F_unix(_iso_time("v")).alias("t")).collect()
+    assert [r.n for r in rows] == [None, None, 12.0, -350.0, 2024.0, None, None, None, None]
+    assert [r.t for r in rows] == [None] * 6 + [1704153600, 1704164645, 1704164645]
+
+
+def F_unix(c):
+    from pyspark.sql import functions as F
+    return F.unix_seconds(c)
+
+
 def test_header_detection_is_case_insensitive_but_validation_is_not(spark):
     p = _csv(HEADER.upper() + "\n1,2,3,4,TCP,0,5,6,7,8,9\n")
     assert flowcsv.detect_header(spark, p)

@@ -1,7 +1,9 @@
 """Scale properties of the physical plans (read from explain output)."""
 
 from flowsentry.plans.analyze import alerts_before_cut, score_flows
+from flowsentry.operators import arbitrate as arb
 from flowsentry.operators import calibrate as cal
+from flowsentry.operators import detect
 from flowsentry.operators import stats as st
 from flowsentry.sources.fixture import load_flows
 
@@ -14,13 +16,18 @@ def _plan(df) -> str:
 
 def test_alert_plan_shapes(spark):
     sf = score_flows(load_flows(spark, SF), ml=None, materialize=True)
-    alerts = cal.rank_alerts(alerts_before_cut(sf))
-    plan = _plan(alerts)
+    # the alerts are worked out once, up to the written calibrated table ...
+    threats = arb.threat_flows(sf.flows)
+    groups = detect.threat_groups(threats)
+    raw = detect.union_alerts(sf.flows, threats, sf.thresholds.n_rows, groups=groups)
+    plan = _plan(cal.calibrate(raw, detect.temporal_correlation(threats, groups=groups)))
     # hash aggregation throughout (no sort-based fallback), no pair explosion
     assert "SortAggregate" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    # the cut is a bounded top-k, not a global sort
-    assert "TakeOrderedAndProject" in plan
+    # ... which profile and escalation read; K8 is a bounded top-k, not a global sort
+    ranked = _plan(cal.rank_alerts(alerts_before_cut(sf)))
+    assert "TakeOrderedAndProject" in ranked and "SortAggregate" not in ranked
+    assert "dst_port" not in ranked and "CartesianProduct" not in ranked
     # scans of the written table are column-pruned per branch: the protocol
     # lookup reads two columns, the pair branch no verdict inputs at all
     import re
@@ -31,7 +38,6 @@ def test_alert_plan_shapes(spark):
 
 def test_partial_aggregation_before_shuffle(spark):
     sf = score_flows(load_flows(spark, SF), ml=None, materialize=True)
-    from flowsentry.operators import detect
     pairs = detect.pair_summary(sf.flows)
     text = pairs._jdf.queryExecution().executedPlan().toString()
     # partial aggregate below each exchange: hot keys collapse map-side
