@@ -119,9 +119,7 @@ class DetectionConfig:
     max_alerts: int = 1000
     histogram_bins: int = 20
     timeline_bins: int = 30
-    # exact quantiles: below this many non-null values, one exact pass;
-    # above, an approximate bracket narrows the exact pass
-    exact_direct_limit: int = 2_000_000
+    # sketch accuracy of the exact quantiles' narrowing rounds
     approx_accuracy: int = 10_000
 
 

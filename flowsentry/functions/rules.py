@@ -5,56 +5,22 @@ The thresholds arrive as Python floats and enter the plan as literals.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BRUTE_FORCE_PORTS, RULE_SLOTS, SUSPICIOUS_PROTOCOLS
 from ..operators.thresholds import Thresholds
 
 
-def rule_predicates(thr: Thresholds) -> dict[str, Column]:
-    """One boolean Column per rule slot (a null predicate counts as not fired)."""
-    cfg = thr.cfg
-    pkt, byt = F.col("packets"), F.col("bytes")
-    pps, bpp = F.col("packets_per_sec"), F.col("bytes_per_packet")
-    return {
-        "flood_score": pkt > F.lit(cfg.flood_packets),
-        "suspicious_protocol_score": F.upper(F.col("protocol")).isin(*SUSPICIOUS_PROTOCOLS),
-        "ddos_score": (pps > F.lit(thr.ddos_pps)) & (pkt > F.lit(thr.ddos_packets)),
-        "udp_flood_score": (F.col("udp_ratio") == 1.0) & (pps > F.lit(thr.udp_flood_pps))
-                           & (pkt > F.lit(cfg.udp_flood_packets)),
-        "exfil_score": (byt > F.lit(thr.exfil_bytes)) & (bpp > F.lit(thr.exfil_bpp)),
-        "brute_score": F.col("dst_port").isin(*[float(p) for p in BRUTE_FORCE_PORTS])
-                       & (pkt > F.lit(thr.brute_packets)),
-        "large_flow_score": (byt > F.lit(thr.large_flow_bytes))
-                            & (F.col("flow_duration") < F.lit(cfg.large_flow_duration)),
-        # flow-level ICMP sweep is disabled; sweeps are found by aggregation
-        "icmp_sweep_score": F.lit(False),
-    }
-
-
-def threat_label(flags: list[Column]) -> Column:
-    """The eight slot names joined by ';' keeping empty slots, then a
-    single pass replacing ';;' by ';', then ';' trimmed from both ends."""
-    slots = [F.when(f > 0, F.lit(name)).otherwise(F.lit(""))
-             for f, (_, name) in zip(flags, RULE_SLOTS)]
-    return F.btrim(F.replace(F.concat_ws(";", *slots), F.lit(";;"), F.lit(";")), F.lit(";"))
-
-
-def rules_fired(flags: list[Column]) -> Column:
-    """Clean list of fired rule names (no separator artefacts)."""
-    return F.filter(F.array(*[F.when(f > 0, F.lit(name)) for f, (_, name) in zip(flags, RULE_SLOTS)]),
-                    lambda x: x.isNotNull())
-
-
 def _d(v: float) -> str:
     """A double literal for Spark SQL text (``repr`` round-trips exactly)."""
     return f"{float(v)!r}D"
 
 
 def rule_sql(thr: Thresholds) -> dict[str, str]:
-    """R1-R8 as Spark SQL text, the same predicates as :func:`rule_predicates`
-    (one expression per column keeps plan building cheap)."""
+    """R1-R8 as Spark SQL text, one 0/1 expression per rule slot (a null predicate
+    counts as not fired; one expression per column keeps plan building cheap).
+    Flow-level ICMP sweep is off: sweeps are found by aggregation (D5)."""
     cfg = thr.cfg
     protos = ", ".join(f"'{p}'" for p in SUSPICIOUS_PROTOCOLS)
     ports = ", ".join(_d(p) for p in BRUTE_FORCE_PORTS)

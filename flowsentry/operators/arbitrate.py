@@ -27,28 +27,6 @@ EVIDENCE_BY_CODE = {
 }
 
 
-def ml_evidence_code(moments: dict | None) -> Column:
-    """M10 as a small integer: first-match cascade on ``feature > mean + 2*std``
-    of the training sample (``moments`` maps feature -> (mean, std)).  An
-    integer keeps "first evidence per group" a hash-aggregatable ``min_by``."""
-    label = F.col("ml_label") == 1
-    if not moments:
-        return F.when(label, F.lit(7)).otherwise(F.lit(0))
-
-    def high(c):
-        m, s = moments[c]
-        return F.col(c) > F.lit(m + 2 * s)
-
-    m, s = moments["flow_duration"]
-    return (F.when(~label, F.lit(0))
-            .when(high("packets"), F.when(high("bytes"), F.lit(1)).otherwise(F.lit(2)))
-            .when(high("bytes"), F.lit(3))
-            .when(high("packets_per_sec"), F.lit(4))
-            .when(high("bytes_per_packet"), F.lit(5))
-            .when(F.col("flow_duration") < F.lit(m - 2 * s), F.lit(6))
-            .otherwise(F.lit(7)))
-
-
 def evidence_text(code: Column) -> Column:
     """Text of an M10 evidence code."""
     out = F.lit(None).cast("string")
@@ -57,17 +35,15 @@ def evidence_text(code: Column) -> Column:
     return out
 
 
-def ml_evidence(moments: dict | None) -> Column:
-    """M10 text ('' when the flow is not labelled)."""
-    return evidence_text(ml_evidence_code(moments))
-
-
 def _d(v: float) -> str:
     return f"{float(v)!r}D"
 
 
 def ml_evidence_code_sql(moments: dict | None) -> str:
-    """:func:`ml_evidence_code` as Spark SQL text."""
+    """M10 as a small integer (Spark SQL text): first-match cascade on
+    ``feature > mean + 2*std`` of all rows (``moments`` maps feature -> (mean,
+    std)).  An integer keeps "first evidence per group" a hash-aggregatable
+    ``min_by``."""
     if not moments:
         return "CASE WHEN ml_label = 1 THEN 7 ELSE 0 END"
 

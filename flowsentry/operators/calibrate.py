@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import (DEFAULT_CONFIG, DEFAULT_EVIDENCE_PREFIX, ESCALATION_SUFFIX, SEVERITY_RANK,
                       DetectionConfig)
+from ..functions.rounding import round2_sql
 
 FINAL_COLUMNS = ("src_ip", "dst_ip", "threat_type", "protocol", "flow_count",
                  "confidence", "severity", "evidence")
@@ -55,16 +56,16 @@ _NAME_SQL = ("CASE {c} " + " ".join(f"WHEN {v} THEN '{k}'" for k, v in SEVERITY_
 
 def calibrate(alerts: DataFrame, temporal: DataFrame) -> DataFrame:
     """K2 + K3.  Adds ``branch`` (1..7), ``confidence_raw`` (capped at .99,
-    unrounded) and ``confidence`` (rounded to 2 places)."""
+    unrounded) and ``confidence`` (``confidence_raw`` rounded to 2 places by its
+    exact binary value)."""
     df = join_temporal(alerts, temporal).selectExpr("*", f"{_BRANCH} AS branch")
     prefix = DEFAULT_EVIDENCE_PREFIX.replace("'", "\\'")
     return df.selectExpr(
         "src_ip", "dst_ip", "threat_type", "protocol", "flow_count",
         f"{_NEW_SEVERITY} AS severity",
         f"{_CONF} AS confidence_raw",
-        f"round({_CONF}, 2) AS confidence",
         f"coalesce(nullif(evidence, ''), concat('{prefix}', threat_type)) AS evidence",
-        "branch", "temporal")
+        "branch", "temporal").selectExpr("*", f"{round2_sql('confidence_raw')} AS confidence")
 
 
 def per_source_profile(calibrated: DataFrame) -> DataFrame:
@@ -100,16 +101,13 @@ def escalated_count(escalated: DataFrame) -> DataFrame:
     return escalated.agg(F.count_if("escalated").alias("escalated_count"))
 
 
-def rank_alerts(escalated: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
-                by: str = "confidence") -> DataFrame:
+def rank_alerts(escalated: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
     """K8: severity rank, then confidence, descending; the first ``max_alerts``.
     Ties are broken on the remaining columns so the cut is deterministic.
     Planned as TakeOrderedAndProject: each task keeps its own top 1000."""
-    keys = [F.desc("severity_rank"), F.desc(by)]
-    if by == "confidence":
-        keys.append(F.desc("confidence_raw"))
     return (escalated
             .selectExpr("*", f"{_RANK_SQL.format(c='severity')} AS severity_rank")
-            .orderBy(*keys, "src_ip", "dst_ip", "threat_type", "protocol", "flow_count", "evidence")
+            .orderBy(F.desc("severity_rank"), F.desc("confidence"), F.desc("confidence_raw"),
+                     "src_ip", "dst_ip", "threat_type", "protocol", "flow_count", "evidence")
             .limit(cfg.max_alerts)
             .drop("severity_rank"))

@@ -1,14 +1,16 @@
 """Alert-raising aggregations.
 
 Every detector is a ``groupBy`` with partial (map-side) aggregation, so a hot
-key is collapsed to one row per map task before the shuffle.  D2, D3 and D4 all
-start from one aggregate keyed by ``(src_ip, dst_ip)``; built once, Spark
-reuses its exchange for every branch of the alert union.  Destination lists
-(D3-D5) are collected only for sources that already passed their count test,
-from the de-duplicated pairs, so the only per-group array is the output itself.
-
-"First" values follow file order through ``min_by(value, row_id)``; distinct
-counts follow the reference in counting a null as one value.
+key is collapsed to one row per map task before the shuffle.  D2-D5 start from
+one aggregate keyed by ``(src_ip, dst_ip)``, which ``analyze()`` writes once.
+Destination lists (D3-D5) are collected only for sources that already passed
+their count test, from the de-duplicated pairs, so the only per-group array is
+the output itself.
+
+"First" values follow file order.  The protocol of a group's first flow travels
+as the 64-bit hash of its upper-case name (fixed width, so the aggregates stay
+hash aggregates) and is looked up among the distinct names of the flows, a
+handful of rows.  Distinct counts take a null as one value.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import py_fixed1
+from ..functions.rounding import fixed1
 from .arbitrate import evidence_text
 from ..config import (BOTNET_TYPE, DEFAULT_CONFIG, HORIZONTAL_SCAN_TYPE, ICMP_SWEEP_TYPE,
                       PORT_SCAN_TYPE, DetectionConfig)
@@ -60,13 +62,19 @@ def dedup_flow_alerts(threats: DataFrame, groups: DataFrame | None = None) -> Da
             .select(*ALERT_COLUMNS))
 
 
-def first_protocol(rows: DataFrame, flows: DataFrame) -> DataFrame:
-    """Protocol of the flow ``first_row`` for the given (already flagged)
-    rows.  Aggregates carry only ``min(row_id)`` (hash-aggregatable); the
-    text is looked up afterwards.  Every ``first_row`` exists, so this is an
-    inner join, and a small flagged side can be the broadcast one."""
-    return rows.join(flows.select(F.col("row_id").alias("first_row"), F.col("protocol").alias("first_protocol")),
-                     "first_row")
+def _protocol_code(name: Column) -> Column:
+    return F.xxhash64(name)
+
+
+def protocol_names(flows: DataFrame) -> DataFrame:
+    """The distinct upper-case protocol names with their codes."""
+    return (flows.select(_upper_text(F.col("protocol")).alias("protocol")).distinct()
+            .withColumn("protocol_code", _protocol_code(F.col("protocol"))))
+
+
+def with_protocol(rows: DataFrame, flows: DataFrame) -> DataFrame:
+    """The eight alert columns of detector rows that carry ``protocol_code``."""
+    return rows.join(protocol_names(flows), "protocol_code").select(*ALERT_COLUMNS)
 
 
 def _is_icmp() -> Column:
@@ -82,27 +90,32 @@ def pair_summary(flows: DataFrame) -> DataFrame:
                  F.max(F.col("dst_port").isNull()).alias("port_null"),
                  F.avg("packets").alias("avg_packets"),
                  F.min("row_id").alias("first_row"),
+                 F.min_by(_protocol_code(_upper_text(F.col("protocol"))), "row_id").alias("protocol_code"),
                  F.count_if(icmp).alias("icmp_flows"),
                  F.sum(F.when(icmp, F.col("packets"))).alias("icmp_packets")))
 
 
+def port_scan_rows(pairs: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
+    """D2 before the protocol lookup."""
+    n = F.col("unique_ports")
+    ports = _nulls_as_one(F.col("ports_non_null"), F.col("port_null"))
+    return (pairs.withColumn("unique_ports", ports)
+            .where((n >= cfg.port_scan_min_ports) & (F.col("avg_packets") < cfg.port_scan_max_avg_packets))
+            .select("src_ip", "dst_ip",
+                    F.lit(PORT_SCAN_TYPE).alias("threat_type"),
+                    F.when(n > cfg.port_scan_high_ports, F.lit("high")).otherwise(F.lit("medium")).alias("severity"),
+                    "protocol_code",
+                    n.cast("long").alias("flow_count"),
+                    F.least(F.lit(0.99), 0.5 + 0.01 * n).alias("confidence"),
+                    F.concat(F.lit("Scanning "), n.cast("string"),
+                             F.lit(" unique destination ports with small average packet size ("),
+                             fixed1(F.col("avg_packets"), cfg.port_scan_max_avg_packets),
+                             F.lit(")")).alias("evidence")))
+
+
 def detect_port_scan(pairs: DataFrame, flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
     """>= 5 distinct destination ports and average packets < 5 per pair."""
-    ports = _nulls_as_one(F.col("ports_non_null"), F.col("port_null"))
-    hits = first_protocol(pairs.withColumn("unique_ports", ports)
-                          .where((F.col("unique_ports") >= cfg.port_scan_min_ports)
-                                 & (F.col("avg_packets") < cfg.port_scan_max_avg_packets)), flows)
-    n = F.col("unique_ports")
-    return hits.select(
-        "src_ip", "dst_ip",
-        F.lit(PORT_SCAN_TYPE).alias("threat_type"),
-        F.when(n > cfg.port_scan_high_ports, F.lit("high")).otherwise(F.lit("medium")).alias("severity"),
-        _upper_text(F.col("first_protocol")).alias("protocol"),
-        n.cast("long").alias("flow_count"),
-        F.least(F.lit(0.99), 0.5 + 0.01 * n).alias("confidence"),
-        F.concat(F.lit("Scanning "), n.cast("string"),
-                 F.lit(" unique destination ports with small average packet size ("),
-                 py_fixed1(F.col("avg_packets")), F.lit(")")).alias("evidence"))
+    return with_protocol(port_scan_rows(pairs, cfg), flows)
 
 
 def source_summary(pairs: DataFrame) -> DataFrame:
@@ -114,7 +127,7 @@ def source_summary(pairs: DataFrame) -> DataFrame:
             .agg(F.sum("pair_flows").alias("src_flows"),
                  F.count("dst_ip").alias("dst_non_null"),
                  F.max(F.col("dst_ip").isNull()).alias("dst_null"),
-                 F.min("first_row").alias("first_row"),
+                 F.min_by("protocol_code", "first_row").alias("protocol_code"),
                  F.count_if(icmp_pair & F.col("dst_ip").isNotNull()).alias("icmp_dst_non_null"),
                  F.max(icmp_pair & F.col("dst_ip").isNull()).alias("icmp_dst_null"),
                  F.sum("icmp_packets").alias("icmp_packets"))
@@ -122,18 +135,6 @@ def source_summary(pairs: DataFrame) -> DataFrame:
             .withColumn("icmp_unique_dsts", _nulls_as_one(F.col("icmp_dst_non_null"), F.col("icmp_dst_null"))))
 
 
-def destination_lists(pairs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Sorted, de-duplicated, comma-joined destinations of the given sources:
-    all of them (``dst_list``) and those reached over ICMP (``icmp_dst_list``).
-    Built from the pair rows of flagged sources only (semi join first)."""
-    return (pairs.select("src_ip", "dst_ip", "icmp_flows").where(F.col("dst_ip").isNotNull())
-            .join(sources.select(F.col("src_ip").alias("__src")), F.col("src_ip").eqNullSafe(F.col("__src")), "left_semi")
-            .groupBy("src_ip")
-            .agg(F.array_join(F.array_sort(F.collect_list("dst_ip")), ", ").alias("dst_list"),
-                 F.array_join(F.array_sort(F.collect_list(F.when(F.col("icmp_flows") > 0, F.col("dst_ip")))),
-                              ", ").alias("icmp_dst_list")))
-
-
 def horizontal_threshold(n_rows: int, cfg: DetectionConfig = DEFAULT_CONFIG) -> int:
     return max(cfg.horizontal_min_dsts, int(n_rows * cfg.horizontal_share))
 
@@ -150,55 +151,89 @@ def _icmp_hit(cfg: DetectionConfig) -> Column:
     return F.col("icmp_unique_dsts") >= cfg.icmp_min_dsts
 
 
-def flagged_sources(pairs: DataFrame, sources: DataFrame, flows: DataFrame, n_rows: int,
-                    cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
-    """Sources flagged by D3, D4 or D5, with their destination lists and first
-    protocol."""
-    hits = sources.where(_horizontal_hit(n_rows, cfg) | _botnet_hit(cfg) | _icmp_hit(cfg))
-    lists = destination_lists(pairs, hits).withColumnRenamed("src_ip", "__src")
-    return first_protocol(hits.join(lists, F.col("src_ip").eqNullSafe(F.col("__src")), "left").drop("__src"), flows)
+_SOURCE_FACTS = ("src_flows", "unique_dsts", "icmp_unique_dsts", "icmp_packets", "protocol_code")
+
+
+def flagged_sources(pairs: DataFrame, n_rows: int, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
+    """Sources flagged by D3, D4 or D5 with their counts and their sorted,
+    comma-joined destinations: all (``dst_list``) and those reached over ICMP
+    (``icmp_dst_list``).  The flagged sources are joined to their own pair rows
+    once; null is a source like any other and is left out of the lists."""
+    hits = (source_summary(pairs).where(_horizontal_hit(n_rows, cfg) | _botnet_hit(cfg) | _icmp_hit(cfg))
+            .select(F.col("src_ip").alias("__src"), *_SOURCE_FACTS))
+    rows = pairs.select("src_ip", "dst_ip", "icmp_flows").join(hits, F.col("src_ip").eqNullSafe(F.col("__src")))
+    icmp_dst = F.when(F.col("icmp_flows") > 0, F.col("dst_ip"))
+    return (rows.groupBy("src_ip", *_SOURCE_FACTS)
+            .agg(F.array_join(F.array_sort(F.collect_list("dst_ip")), ", ").alias("dst_list"),
+                 F.array_join(F.array_sort(F.collect_list(icmp_dst)), ", ").alias("icmp_dst_list")))
 
 
-def detect_horizontal_scan(flagged: DataFrame, n_rows: int, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
+def _alert(hit: Column, dst: str, kind: str, severity: Column, code: Column, count: Column,
+           confidence: Column, evidence: Column) -> Column:
+    """One alert as a struct, null where the source is not hit."""
+    return F.when(hit, F.struct(F.col(dst).alias("dst_ip"), F.lit(kind).alias("threat_type"),
+                                severity.alias("severity"), code.alias("protocol_code"),
+                                count.cast("long").alias("flow_count"),
+                                F.least(F.lit(0.99), confidence).alias("confidence"), evidence.alias("evidence")))
+
+
+def _horizontal_scan(n_rows: int, cfg: DetectionConfig) -> Column:
     """D3: sources reaching >= max(15, int(0.05 * n)) distinct destinations."""
     n = F.col("unique_dsts")
-    return (flagged.where(_horizontal_hit(n_rows, cfg))
-            .select("src_ip", F.coalesce(F.col("dst_list"), F.lit("")).alias("dst_ip"),
-                    F.lit(HORIZONTAL_SCAN_TYPE).alias("threat_type"),
-                    F.when(n > cfg.horizontal_high_dsts, F.lit("high")).otherwise(F.lit("medium")).alias("severity"),
-                    _upper_text(F.col("first_protocol")).alias("protocol"),
-                    n.cast("long").alias("flow_count"),
-                    F.least(F.lit(0.99), 0.5 + 0.001 * n).alias("confidence"),
-                    F.format_string("Scanning %d unique destination IPs", n).alias("evidence")))
+    return _alert(_horizontal_hit(n_rows, cfg), "dst_list", HORIZONTAL_SCAN_TYPE,
+                  F.when(n > cfg.horizontal_high_dsts, F.lit("high")).otherwise(F.lit("medium")),
+                  F.col("protocol_code"), n, 0.5 + 0.001 * n,
+                  F.format_string("Scanning %d unique destination IPs", n))
 
 
-def detect_botnet(flagged: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
+def _botnet(cfg: DetectionConfig) -> Column:
     """Sources with more than 50 flows and more than 30 distinct destinations."""
     flows, n = F.col("src_flows"), F.col("unique_dsts")
-    return (flagged.where(_botnet_hit(cfg))
-            .select("src_ip", F.coalesce(F.col("dst_list"), F.lit("")).alias("dst_ip"),
-                    F.lit(BOTNET_TYPE).alias("threat_type"),
-                    F.lit("confirmed").alias("severity"),
-                    _upper_text(F.col("first_protocol")).alias("protocol"),
-                    flows.cast("long").alias("flow_count"),
-                    F.least(F.lit(0.99), 0.70 + 0.01 * (flows / 10)).alias("confidence"),
-                    F.format_string("High flow count (%d) to %d unique destinations - botnet pattern",
-                                    flows, n).alias("evidence")))
-
-
-def detect_icmp_sweep(flagged: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
+    return _alert(_botnet_hit(cfg), "dst_list", BOTNET_TYPE, F.lit("confirmed"), F.col("protocol_code"), flows,
+                  0.70 + 0.01 * (flows / 10),
+                  F.format_string("High flow count (%d) to %d unique destinations - botnet pattern", flows, n))
+
+
+def _icmp_sweep(cfg: DetectionConfig) -> Column:
     """ICMP flows (any case) by source reaching >= 2 distinct destinations."""
     n = F.col("icmp_unique_dsts")
     total = F.coalesce(F.col("icmp_packets"), F.lit(0.0))
-    return (flagged.where(_icmp_hit(cfg))
-            .select("src_ip", F.coalesce(F.col("icmp_dst_list"), F.lit("")).alias("dst_ip"),
-                    F.lit(ICMP_SWEEP_TYPE).alias("threat_type"),
-                    F.lit("confirmed").alias("severity"),
-                    F.lit("ICMP").alias("protocol"),
-                    n.cast("long").alias("flow_count"),
-                    F.least(F.lit(0.99), 0.70 + 0.01 * n).alias("confidence"),
-                    F.concat(F.lit("ICMP sweep to "), n.cast("string"), F.lit(" unique destinations with "),
-                             _py_float_text(total), F.lit(" total packets")).alias("evidence")))
+    return _alert(_icmp_hit(cfg), "icmp_dst_list", ICMP_SWEEP_TYPE, F.lit("confirmed"),
+                  _protocol_code(F.lit("ICMP")), n, 0.70 + 0.01 * n,
+                  F.concat(F.lit("ICMP sweep to "), n.cast("string"), F.lit(" unique destinations with "),
+                           _py_float_text(total), F.lit(" total packets")))
+
+
+def source_rows(flagged: DataFrame, n_rows: int, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
+    """D3-D5 before the protocol lookup: each flagged source opens into its
+    one to three alerts."""
+    alerts = F.array(_horizontal_scan(n_rows, cfg), _botnet(cfg), _icmp_sweep(cfg))
+    return (flagged.select("src_ip", F.filter(alerts, lambda a: a.isNotNull()).alias("alerts"))
+            .select("src_ip", F.inline("alerts")))
+
+
+def _source_alerts(flows: DataFrame, pairs: DataFrame | None, n_rows: int, cfg: DetectionConfig, kind: str) -> DataFrame:
+    pairs = pair_summary(flows) if pairs is None else pairs
+    rows = source_rows(flagged_sources(pairs, n_rows, cfg), n_rows, cfg)
+    return with_protocol(rows.where(F.col("threat_type") == kind), flows)
+
+
+def detect_horizontal_scan(flows: DataFrame, n_rows: int, cfg: DetectionConfig = DEFAULT_CONFIG,
+                           pairs: DataFrame | None = None) -> DataFrame:
+    """D3 alone."""
+    return _source_alerts(flows, pairs, n_rows, cfg, HORIZONTAL_SCAN_TYPE)
+
+
+def detect_botnet(flows: DataFrame, n_rows: int, cfg: DetectionConfig = DEFAULT_CONFIG,
+                  pairs: DataFrame | None = None) -> DataFrame:
+    """D4 alone."""
+    return _source_alerts(flows, pairs, n_rows, cfg, BOTNET_TYPE)
+
+
+def detect_icmp_sweep(flows: DataFrame, n_rows: int, cfg: DetectionConfig = DEFAULT_CONFIG,
+                      pairs: DataFrame | None = None) -> DataFrame:
+    """D5 alone."""
+    return _source_alerts(flows, pairs, n_rows, cfg, ICMP_SWEEP_TYPE)
 
 
 def temporal_correlation(threats: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
@@ -225,17 +260,10 @@ def temporal_correlation(threats: DataFrame, cfg: DetectionConfig = DEFAULT_CONF
     return per_src.withColumn("temporal", F.coalesce(cond, F.lit(False)))
 
 
-def union_alerts(flows: DataFrame, threats: DataFrame, n_rows: int,
-                 cfg: DetectionConfig = DEFAULT_CONFIG, groups: DataFrame | None = None) -> DataFrame:
-    """UNION ALL of D1-D5 (8 alert columns, ``confidence`` unrounded)."""
-    pairs = pair_summary(flows)
-    flagged = flagged_sources(pairs, source_summary(pairs), flows, n_rows, cfg)
-    parts = [dedup_flow_alerts(threats, groups),
-             detect_port_scan(pairs, flows, cfg),
-             detect_horizontal_scan(flagged, n_rows, cfg),
-             detect_botnet(flagged, cfg),
-             detect_icmp_sweep(flagged, cfg)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*ALERT_COLUMNS))
-    return out
+def union_alerts(flows: DataFrame, threats: DataFrame, n_rows: int, cfg: DetectionConfig = DEFAULT_CONFIG,
+                 groups: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """UNION ALL of D1-D5 (8 alert columns, ``confidence`` unrounded).
+    ``pairs``: the stored :func:`pair_summary`, read by D2 and by D3-D5."""
+    pairs = pair_summary(flows) if pairs is None else pairs
+    found = port_scan_rows(pairs, cfg).unionByName(source_rows(flagged_sources(pairs, n_rows, cfg), n_rows, cfg))
+    return dedup_flow_alerts(threats, groups).unionByName(with_protocol(found, flows))

@@ -121,11 +121,12 @@ class ForestModel:
     threshold: float = float("nan")   # raw-score cut for the contamination share
     score_min: float = float("nan")
     score_max: float = float("nan")
+    used: np.ndarray = None  # (trees,) rows drawn per tree
 
 
 def fit_trees(vec: DataFrame, n: int, cfg: DetectionConfig = DEFAULT_CONFIG):
-    """M4 over all ``n`` rows: returns (feature, value, path, psi, depth)
-    arrays.  A tree that drew fewer than psi rows makes the draw wider, step
+    """M4 over all ``n`` rows: returns (feature, value, path, psi, depth, rows
+    drawn per tree) arrays.  A tree that drew fewer than psi rows makes the draw wider, step
     by step."""
     psi = min(cfg.max_samples, n)
     depth = max(1, int(math.ceil(math.log2(max(psi, 2)))))
@@ -149,7 +150,7 @@ def fit_trees(vec: DataFrame, n: int, cfg: DetectionConfig = DEFAULT_CONFIG):
     n_nodes = 2 ** (depth + 1) - 1
     shape = (trees, n_nodes)
     return (nodes["feature"].to_numpy().reshape(shape), nodes["value"].to_numpy().reshape(shape),
-            nodes["path"].to_numpy().reshape(shape), psi, depth)
+            nodes["path"].to_numpy().reshape(shape), psi, depth, nodes["used"].to_numpy().reshape(shape)[:, 0])
 
 
 def _score_udf(bc, depth: int, psi: int):
@@ -190,8 +191,8 @@ def fit(features: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG, n_rows: int
     if n_rows is None:
         n_rows = features.count()
     moments = feature_moments(vec) if with_moments else {}
-    feature, value, path, psi, depth = fit_trees(vec, n_rows, cfg)
-    model = ForestModel(moments, feature, value, path, psi, depth)
+    feature, value, path, psi, depth, used = fit_trees(vec, n_rows, cfg)
+    model = ForestModel(moments, feature, value, path, psi, depth, used=used)
     if with_threshold:
         model.threshold = contamination_cut(vec.select(raw_scores(model, vec).alias("s")), n_rows, cfg)
     return model
@@ -202,10 +203,10 @@ def contamination_cut(scores: DataFrame, n: int, cfg: DetectionConfig = DEFAULT_
     linear interpolation between the two neighbouring ranks."""
     at = (n - 1) * (1.0 - cfg.contamination)
     low = int(math.floor(at))
-    if n == 1:
-        return float(exact_nearest_quantiles(scores, ["s"], 0.0, cfg)[0]["s"])
-    a, b = (float(exact_nearest_quantiles(scores, ["s"], k / (n - 1), cfg)[0]["s"]) for k in (low, min(low + 1, n - 1)))
-    return a + (b - a) * (at - low)
+    ranks = {"a": low, "b": min(low + 1, n - 1)}
+    got, _ = exact_nearest_quantiles(scores.select(*[F.col("s").alias(c) for c in ranks]), list(ranks),
+                                     {c: k / max(n - 1, 1) for c, k in ranks.items()}, cfg)
+    return got["a"] + (got["b"] - got["a"]) * (at - low)
 
 
 def anomaly_score(model: ForestModel, spark, cfg: DetectionConfig = DEFAULT_CONFIG) -> F.Column:

@@ -1,16 +1,17 @@
 """Adaptive thresholds.
 
 T1 needs the *nearest-rank* 95th percentile of four columns: the element at
-0-based index ``k = floor((n-1)*q + 0.5)`` of the sorted non-null values.
-Spark's ``percentile_disc(f)`` returns index ``k`` exactly when ``f = (k+0.5)/n``,
-so a count comes first.
-
-Scale: ``percentile_disc`` keeps the distinct values it sees in one aggregation
-buffer.  Above ``exact_direct_limit`` values the exact pass is restricted to a
-narrow bracket around the target found with ``percentile_approx`` (a bounded
-sketch), so the buffer only holds about ``8n/accuracy`` values while the result
-stays exact.  All columns share each pass: two scans up to the limit, and two
-more per narrowing round above it (one round up to ~1e11 values).
+0-based index ``k = floor((n-1)*q + 0.5)`` of the sorted non-null values (a NaN
+counts as missing).
+
+Scale: the element is found by narrowing.  A bounded sketch
+(``percentile_approx``) over the open range that still holds the element
+proposes three values around its rank; one count of the rows below, at and
+between them either meets the element or leaves one open gap, which holds at
+most a few parts in ``approx_accuracy`` of the rows before.  So one algorithm
+serves every size: two column-pruned scans a round, all columns together, a
+round for every factor of about ``approx_accuracy / 10`` in the row count, and
+scalars are all that the driver sees.
 """
 
 from __future__ import annotations
@@ -30,86 +31,76 @@ def nearest_rank_index(n: int, q: float) -> int:
     return int(math.floor((n - 1) * q + 0.5))
 
 
-def _bracket(col: str, lo, hi) -> str | None:
-    parts = []
+def _literal(v: float) -> str:
+    return f"double('{float(v)!r}')"
+
+
+def _inside(col: str, lo, hi) -> str:
+    """Rows of ``col`` that take part, strictly between ``lo`` and ``hi``."""
+    parts = [f"`{col}` IS NOT NULL AND NOT isnan(`{col}`)"]
     if lo is not None:
-        parts.append(f"`{col}` >= {float(lo)!r}D")
+        parts.append(f"`{col}` > {_literal(lo)}")
     if hi is not None:
-        parts.append(f"`{col}` <= {float(hi)!r}D")
-    return " AND ".join(parts) or None
+        parts.append(f"`{col}` < {_literal(hi)}")
+    return " AND ".join(parts)
 
 
-def _with_filter(agg_sql: str, where: str | None) -> F.Column:
-    return F.expr(agg_sql + (f" FILTER (WHERE {where})" if where else ""))
+def _proposals(col: str, rank: float, eps: float, accuracy: int, where: str, alias: str) -> F.Column:
+    at = ", ".join(f"{min(1.0, max(0.0, r))!r}D" for r in (rank - eps, rank, rank + eps))
+    return F.expr(f"percentile_approx(`{col}`, array({at}), {accuracy}) FILTER (WHERE {where})").alias(alias)
 
 
-def exact_nearest_quantiles(df: DataFrame, cols, q: float = 0.95,
+def exact_nearest_quantiles(df: DataFrame, cols, q: float | dict = 0.95,
                             cfg: DetectionConfig = DEFAULT_CONFIG) -> tuple[dict, int]:
     """Returns ({col: value or None}, total row count); ``None`` when a column
-    has no non-null value.
-
-    Pass 1 counts.  While a column's candidate range holds more than
-    ``exact_direct_limit`` values, one pass of ``percentile_approx`` restricted
-    to that range brackets the target rank and a second pass counts what lies
-    below and inside the bracket; each round shrinks the range by about
-    ``accuracy/8``.  The last pass is an exact ``percentile_disc`` over the
-    remaining range.  The result is the exact nearest-rank element."""
+    has no value.  ``q`` is one share for all columns or a share per column.
+
+    A round asks the sketch for the values just below, at and just above the
+    wanted rank, then counts the rows up to each of them.  The sketch's rank
+    error is at most ``1 / approx_accuracy``, so the gap that is left holds a
+    small fixed share of the rows, and once that share is under one row the
+    sketch is exact."""
     cols = list(cols)
-    head = df.agg(F.count(F.lit(1)).alias("__rows"),
-                  *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    rows = int(head["__rows"])
-    # per column: [target index k, values below range, values in range, lo, hi]
-    state = {}
-    for i, c in enumerate(cols):
-        n = int(head[f"n{i}"])
-        if n:
-            state[c] = [nearest_rank_index(n, q), 0, n, None, None]
+    share = q if isinstance(q, dict) else dict.fromkeys(cols, q)
     acc = cfg.approx_accuracy
     eps = 4.0 / acc
-    settled: set = set()
-    while True:
-        wide = [c for c, s in state.items()
-                if c not in settled and s[2] > cfg.exact_direct_limit]
-        if not wide:
-            break
-        approx = []
-        for c in wide:
-            k, below, inside, lo, hi = state[c]
-            t = (k - below + 0.5) / inside
-            approx.append(_with_filter(
-                f"percentile_approx(`{c}`, array({max(0.0, t - eps)!r}D, {min(1.0, t + eps)!r}D), {acc})",
-                _bracket(c, lo, hi)).alias(c))
-        got = df.agg(*approx).first()
-        probe = []
-        for j, c in enumerate(wide):
-            k, below, inside, lo, hi = state[c]
-            nlo, nhi = got[c]
-            outer = _bracket(c, lo, hi)
-            probe.append(_with_filter(f"count_if(`{c}` < {float(nlo)!r}D)", outer).alias(f"lt{j}"))
-            probe.append(_with_filter(f"count_if({_bracket(c, nlo, nhi)})", outer).alias(f"in{j}"))
-        cnt = df.agg(*probe).first()
-        for j, c in enumerate(wide):
-            k, below, inside, lo, hi = state[c]
-            nlo, nhi = got[c]
-            lt, inn = int(cnt[f"lt{j}"]), int(cnt[f"in{j}"])
-            if below + lt <= k < below + lt + inn and inn < inside:
-                state[c] = [k, below + lt, inn, nlo, nhi]
-            else:  # the sketch missed, or no progress (one huge tie): finish exactly
-                settled.add(c)
+    first = df.agg(F.count(F.lit(1)).alias("rows"),
+                   *[F.expr(f"count_if({_inside(c, None, None)})").alias(f"n{i}") for i, c in enumerate(cols)],
+                   *[_proposals(c, share[c], eps, acc, _inside(c, None, None), f"p{i}") for i, c in enumerate(cols)]).first()
     out: dict = {c: None for c in cols}
-    exprs = []
-    for i, c in enumerate(cols):
-        if c in state:
-            k, below, inside, lo, hi = state[c][:5]
-            exprs.append(_with_filter(
-                f"percentile_disc({(k - below + 0.5) / inside!r}D) WITHIN GROUP (ORDER BY `{c}`)",
-                _bracket(c, lo, hi)).alias(f"v{i}"))
-    if exprs:
-        res = df.agg(*exprs).first().asDict()
-        for i, c in enumerate(cols):
-            if res.get(f"v{i}") is not None:
-                out[c] = float(res[f"v{i}"])
-    return out, rows
+    # per open column: wanted index among the rows inside (lo, hi), their number, lo, hi
+    state = {c: (nearest_rank_index(first[f"n{i}"], share[c]), first[f"n{i}"], None, None)
+             for i, c in enumerate(cols) if first[f"n{i}"]}
+    proposed = {c: first[f"p{i}"] for i, c in enumerate(cols) if c in state}
+    while state:
+        todo = list(state)
+        if not proposed:
+            got = df.agg(*[_proposals(c, (k + 0.5) / n, eps, acc, _inside(c, lo, hi), f"p{i}")
+                           for i, c in enumerate(todo) for k, n, lo, hi in [state[c]]]).first()
+            proposed = {c: got[f"p{i}"] for i, c in enumerate(todo)}
+        probes = []
+        for i, c in enumerate(todo):
+            _, _, lo, hi = state[c]
+            for j, v in enumerate(proposed[c]):
+                for op, name in (("<", "below"), ("<=", "upto")):
+                    probes.append(F.expr(f"count_if({_inside(c, lo, hi)} AND `{c}` {op} {_literal(v)})")
+                                  .alias(f"{name}{i}_{j}"))
+        counts = df.agg(*probes).first()
+        for i, c in enumerate(todo):
+            k, n, lo, hi = state.pop(c)
+            gap = [0, n, lo, hi]            # rows before the gap, rows before its end, its ends
+            for j, v in enumerate(proposed[c]):
+                below, upto = counts[f"below{i}_{j}"], counts[f"upto{i}_{j}"]
+                if below <= k < upto:
+                    out[c] = float(v)
+                elif upto <= k and upto >= gap[0]:
+                    gap[0], gap[2] = upto, v
+                elif k < below and below < gap[1]:
+                    gap[1], gap[3] = below, v
+            if out[c] is None:
+                state[c] = (k - gap[0], gap[1] - gap[0], gap[2], gap[3])
+        proposed = {}
+    return out, int(first["rows"])
 
 
 @dataclass(frozen=True)

@@ -14,7 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_CONFIG, DetectionConfig
@@ -26,7 +26,9 @@ from ..operators import detect
 from ..operators import iforest
 from ..operators import stats as st
 from ..operators.thresholds import Thresholds, adaptive_thresholds
-from ..session import configure, scratch_path
+from ..session import configure, delete_scratch, scratch_path
+from ..sources.flowcsv import read_flow_csv
+from ..sources.ledger import RunLedger
 
 # columns the thresholds, rules, forest, detectors, statistics and charts read
 FEATURE_TABLE_COLUMNS = ("row_id", "src_ip", "dst_ip", "dst_port", "protocol", "packets", "bytes", "flows",
@@ -42,11 +44,24 @@ class ScoredFlows:
     persisted: list = field(default_factory=list)
     path: str | None = None     # where the feature table was written
     scores: DataFrame | None = None   # ``ml_score`` per flow, for the histogram
+    pairs: DataFrame | None = None    # the stored (src, dst) summary
+    written: list = field(default_factory=list)   # scratch folders of this run
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` to a scratch folder of this run and read it back."""
+        out, path = _write_read(df, name)
+        self.written.append(path)
+        return out
 
     def release(self):
+        """Drop the caches and the scratch tables; the frames built on them end
+        here."""
         for df in self.persisted:
             df.unpersist()
         self.persisted.clear()
+        for path in self.written:
+            delete_scratch(self.flows.sparkSession, path)
+        self.written.clear()
 
 
 def run_concurrently(*tasks):
@@ -70,7 +85,7 @@ def _write_read(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def score_flows(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
                 ml: str | None = "as_shipped", scores: DataFrame | None = None,
                 inject: dict | None = None, persist: bool = True, materialize: bool = False,
-                timings: dict | None = None) -> ScoredFlows:
+                timings: dict | None = None, with_pairs: bool = False) -> ScoredFlows:
     """Per-flow part of the analysis.
 
     ``ml``: ``None`` skips the forest (score 0, label 0); ``"as_shipped"`` runs
@@ -87,6 +102,9 @@ def score_flows(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
     instead of re-deriving features from the source; lineage is cut, so a
     lost executor only costs tasks of the current stage; plans stay small.
     Without it, ``persist`` caches the scored frame instead.
+
+    ``with_pairs``: also write the (src, dst) summary that D2-D5 read, beside
+    the threshold job (neither needs the other).
     """
     timings = {} if timings is None else timings
     clock = [time.time()]
@@ -98,23 +116,30 @@ def score_flows(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
 
     configure(flows.sparkSession)
     feats = with_features(flows, cfg)
-    path = None
+    path, written = None, []
     if materialize:
         feats, path = _write_read(feats.select(*FEATURE_TABLE_COLUMNS), "flow-features")
+        written.append(path)
         mark("features_write")
     model, moments, persisted, hist_scores = None, None, [], None
+    side = [lambda: _write_read(detect.pair_summary(feats), "flow-pairs")] if with_pairs else []
     supplied = scores is not None or inject is not None
     if not supplied and ml is not None:
         # the forest does not depend on the thresholds: fit it alongside them
         n_rows = feats.count()
-        fit = (lambda: iforest.fit(feats, cfg, n_rows=n_rows)) if ml == "intent" else \
-              (lambda: iforest.fit(feats, cfg, n_rows=n_rows, with_threshold=False, with_moments=False))
-        thr, model = run_concurrently(lambda: adaptive_thresholds(feats, cfg),
-                                      (fit if n_rows > 0 else (lambda: None)))
+        def fit():   # the label cut is taken later, from the stored scores
+            return iforest.fit(feats, cfg, n_rows=n_rows, with_threshold=False, with_moments=ml == "intent")
+
+        thr, model, *stored = run_concurrently(lambda: adaptive_thresholds(feats, cfg),
+                                               (fit if n_rows > 0 else (lambda: None)), *side)
         mark("thresholds_and_forest_fit")
     else:
-        thr = adaptive_thresholds(feats, cfg)
+        thr, *stored = run_concurrently(lambda: adaptive_thresholds(feats, cfg), *side)
         mark("thresholds")
+    pairs = None
+    if stored:
+        pairs, pairs_path = stored[0]
+        written.append(pairs_path)
     scored = with_rule_scores(feats, thr)
     if scores is not None:
         scored = scored.join(scores.select("row_id", "ml_score", "ml_label"), "row_id", "left")
@@ -129,10 +154,12 @@ def score_flows(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
         moments = model.moments
         scored = iforest.with_raw_scores(scored, model, cfg)
         if materialize:
-            scored, _ = _write_read(scored, "scored-flows")
+            scored, scored_path = _write_read(scored, "scored-flows")
+            written.append(scored_path)
         else:
             scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
             persisted.append(scored)
+        model.threshold = iforest.contamination_cut(scored.select(F.col("anomaly_score").alias("s")), thr.n_rows, cfg)
         scored = iforest.normalise_scores(scored, model, "intent")
         mark("score_and_range")
     elif run_forest:
@@ -148,24 +175,29 @@ def score_flows(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
         scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
         persisted.append(scored)
     out = arb.arbitrate(scored, cfg, moments=moments)
-    return ScoredFlows(out, thr, model, persisted, path, hist_scores if hist_scores is not None else out)
+    return ScoredFlows(out, thr, model, persisted, path, hist_scores if hist_scores is not None else out,
+                       pairs, written)
 
 
 def alerts_before_cut(sf: ScoredFlows, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
-    """Every calibrated and escalated alert."""
+    """Every calibrated and escalated alert.  The pair summary
+    and the calibrated alerts are read by several branches, so a run that
+    writes its features writes them too, once each."""
     threats = arb.threat_flows(sf.flows)
     groups = detect.threat_groups(threats)
-    raw = detect.union_alerts(sf.flows, threats, sf.thresholds.n_rows, cfg, groups)
+    if sf.path is not None and sf.pairs is None:
+        sf.pairs = sf.store(detect.pair_summary(sf.flows), "flow-pairs")
+    raw = detect.union_alerts(sf.flows, threats, sf.thresholds.n_rows, cfg, groups, sf.pairs)
     temporal = detect.temporal_correlation(threats, cfg, groups)
     calibrated = cal.calibrate(raw, temporal)
-    if sf.path is not None:   # read by the profile and by the join: evaluated once
-        calibrated, _ = _write_read(calibrated, "calibrated-alerts")
+    if sf.path is not None:
+        calibrated = sf.store(calibrated, "calibrated-alerts")
     return cal.escalate(calibrated)
 
 
-def final_alerts(sf: ScoredFlows, cfg: DetectionConfig = DEFAULT_CONFIG, by: str = "confidence") -> DataFrame:
+def final_alerts(sf: ScoredFlows, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
     """K8 on top of :func:`alerts_before_cut`."""
-    return cal.rank_alerts(alerts_before_cut(sf, cfg), cfg, by=by)
+    return cal.rank_alerts(alerts_before_cut(sf, cfg), cfg)
 
 
 @dataclass
@@ -192,7 +224,8 @@ def analyze_and_collect(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
     "histogram": rows, "threats_over_time": rows})``."""
     timings = {} if timings is None else timings
     overlap = ml == "as_shipped" and materialize
-    sf = score_flows(flows, cfg, ml=None if overlap else ml, materialize=materialize, timings=timings)
+    sf = score_flows(flows, cfg, ml=None if overlap else ml, materialize=materialize, timings=timings,
+                     with_pairs=materialize)
     t = time.time()
     threats = arb.threat_flows(sf.flows)
     built = {}
@@ -240,7 +273,7 @@ def analyze(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG, ml: str | N
             materialize: bool = True, timings: dict | None = None) -> AnalysisResult:
     """The whole run on one flow table; outputs are lazy frames."""
     timings = {} if timings is None else timings
-    sf = score_flows(flows, cfg, ml=ml, materialize=materialize, timings=timings)
+    sf = score_flows(flows, cfg, ml=ml, materialize=materialize, timings=timings, with_pairs=materialize)
     t = time.time()
     every = alerts_before_cut(sf, cfg)
     alerts = every.select(*cal.FINAL_COLUMNS)
@@ -251,3 +284,26 @@ def analyze(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG, ml: str | N
     timeline = st.threats_over_time(threats, cfg)
     timings["plan_outputs"] = round(time.time() - t, 3)
     return AnalysisResult(stats, alerts, hist, timeline, sf, ranked)
+
+
+def run_file(spark: SparkSession, path: str, ledger: RunLedger, cfg: DetectionConfig = DEFAULT_CONFIG,
+             ml: str | None = "as_shipped", filename: str | None = None) -> dict:
+    """From a flow CSV (file or folder) to a stored run: ingest, analysis, run
+    record with its processing time, alerts.  Returns the run id and the
+    record's ``total_flows``, ``threats_detected`` and ``processing_time_sec``.
+    The record and both charts are small collected tables; the alerts go from
+    their table to the store without passing the driver."""
+    t = time.time()
+    res, rows = analyze_and_collect(read_flow_csv(spark, path), cfg, ml)
+    seconds = round(time.time() - t, 3)
+    names = res.stats.columns
+    stats = spark.createDataFrame([tuple(r[c] for c in names) for r in rows["stats"]], res.stats.schema)
+    stats = stats.withColumn("processing_time_sec", F.lit(seconds))
+    charts = [spark.createDataFrame(rows[k], df.schema)
+              for k, df in (("histogram", res.histogram), ("threats_over_time", res.threats_over_time))]
+    run_id = ledger.write_run(stats, *charts, filename or path.rstrip("/").rsplit("/", 1)[-1])
+    ledger.write_alerts(res.alerts, run_id)
+    res.release()
+    record = rows["stats"][0]
+    return {"run_id": run_id, "total_flows": record["total_flows"],
+            "threats_detected": record["threats_detected"], "processing_time_sec": seconds}

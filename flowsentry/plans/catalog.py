@@ -13,7 +13,8 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT_CONFIG, FEATURE_COLUMNS
+from ..config import DEFAULT_CONFIG, FEATURE_COLUMNS, FLOW_COLUMNS
+from ..functions.features import feature_vector as model_vector
 from ..functions.features import with_features
 from ..functions.rules import rule_hit_count, with_rule_scores
 from ..operators import arbitrate as arb
@@ -29,10 +30,8 @@ from ..operators import stats as st
 from ..session import scratch_path
 from ..sources import flowcsv
 from ..sources.ledger import new_ledger
-from ..config import FEATURE_COLUMNS as _FC
-from ..functions.features import feature_vector as _fv
 from ..operators import iforest
-from .analyze import ScoredFlows, alerts_before_cut, score_flows
+from .analyze import ScoredFlows, alerts_before_cut, run_file, score_flows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -109,8 +108,7 @@ def flow_features(spark, sf_dir):
     f"when {c} = '-inf'::DOUBLE then -1e9::DOUBLE else {c} end as {c}" for c in FEATURE_COLUMNS) + " from feat")
 def feature_vector(spark, sf_dir):
     """The 8 model features, sanitised."""
-    from ..functions.features import feature_vector as fv
-    return fv(with_features(_flows(spark, sf_dir)))
+    return model_vector(with_features(_flows(spark, sf_dir)))
 
 
 @register("adaptive_p95", O.with_ctes(O.FEAT, O.P95) + "select pkt_p95, byt_p95, bpp_p95, pps_p95 from p")
@@ -207,25 +205,21 @@ def detect_port_scan(spark, sf_dir):
 def detect_horizontal_scan(spark, sf_dir):
     """D3 (threshold from the total row count)."""
     flows = _flows(spark, sf_dir)
-    pairs = detect.pair_summary(flows)
-    n = flows.count()
-    return detect.detect_horizontal_scan(detect.flagged_sources(pairs, detect.source_summary(pairs), flows, n), n)
+    return detect.detect_horizontal_scan(flows, flows.count())
 
 
 @register("detect_botnet", O.with_ctes(*O.BASE_SHIPPED, O.DETECT) + _ALERT_SEL + "d4")
 def detect_botnet(spark, sf_dir):
     """D4."""
     flows = _flows(spark, sf_dir)
-    pairs = detect.pair_summary(flows)
-    return detect.detect_botnet(detect.flagged_sources(pairs, detect.source_summary(pairs), flows, flows.count()))
+    return detect.detect_botnet(flows, flows.count())
 
 
 @register("detect_icmp_sweep", O.with_ctes(*O.BASE_SHIPPED, O.DETECT) + _ALERT_SEL + "d5")
 def detect_icmp_sweep(spark, sf_dir):
     """D5."""
     flows = _flows(spark, sf_dir)
-    pairs = detect.pair_summary(flows)
-    return detect.detect_icmp_sweep(detect.flagged_sources(pairs, detect.source_summary(pairs), flows, flows.count()))
+    return detect.detect_icmp_sweep(flows, flows.count())
 
 
 @register("temporal_correlation", O.with_ctes(*O.BASE_SHIPPED, O.DETECT)
@@ -245,21 +239,22 @@ def union_alerts(spark, sf_dir):
 
 # ---------------------------------------------------------------- K
 @register("calibrate_alerts", O.with_ctes(*O.ALERTS_SHIPPED) + """
-select src_ip, dst_ip, threat_type, protocol, flow_count, severity, confidence_raw, evidence, branch, temporal
+select src_ip, dst_ip, threat_type, protocol, flow_count, severity, confidence, confidence_raw, evidence,
+       branch, temporal
 from calibrated""")
 def calibrate_alerts(spark, sf_dir):
-    """K1-K3 (unrounded confidence, branch number, temporal flag)."""
+    """K1-K3 (rounded and unrounded confidence, branch number, temporal flag)."""
     sf, threats = _detector_inputs(spark, sf_dir)
     raw = detect.union_alerts(sf.flows, threats, sf.thresholds.n_rows)
-    return cal.calibrate(raw, detect.temporal_correlation(threats)).drop("confidence")
+    return cal.calibrate(raw, detect.temporal_correlation(threats))
 
 
 @register("escalate_cross_threat", O.with_ctes(*O.ALERTS_SHIPPED) + """
-select src_ip, dst_ip, threat_type, protocol, flow_count, severity, confidence_raw, evidence, escalated
+select src_ip, dst_ip, threat_type, protocol, flow_count, severity, confidence, confidence_raw, evidence, escalated
 from escalated""")
 def escalate_cross_threat(spark, sf_dir):
     """K4-K6 over all calibrated alerts."""
-    return _alerts(spark, sf_dir).drop("confidence", "branch")
+    return _alerts(spark, sf_dir).drop("branch")
 
 
 @register("escalated_count", O.with_ctes(*O.ALERTS_SHIPPED)
@@ -278,21 +273,16 @@ def calibration_branch_counts(spark, sf_dir):
 
 @register("rank_alerts_top1000", O.with_ctes(*O.ALERTS_SHIPPED) + "select * from ranked")
 def rank_alerts_top1000(spark, sf_dir):
-    """K8 (ordered on unrounded confidence so both engines cut identically)."""
-    return (cal.rank_alerts(_alerts(spark, sf_dir), by="confidence_raw")
-            .select("src_ip", "dst_ip", "threat_type", "protocol", "flow_count", "confidence_raw",
-                    "severity", "evidence"))
+    """K8, the ranking that ``analyze()`` ships."""
+    return cal.rank_alerts(_alerts(spark, sf_dir)).select(*cal.FINAL_COLUMNS)
 
 
 # ---------------------------------------------------------------- A
 
 
-def _final(spark, sf_dir) -> DataFrame:
-    """Every escalated alert; ``confidence`` carries the unrounded value so both
-    engines agree on every number derived from it."""
-    return (_alerts(spark, sf_dir)
-            .select("src_ip", "dst_ip", "threat_type", "protocol", "flow_count",
-                    F.col("confidence_raw").alias("confidence"), "severity", "evidence"))
+def _final(spark, sf_dir, sf: ScoredFlows | None = None) -> DataFrame:
+    """Every escalated alert (of ``sf`` where a query already holds it)."""
+    return alerts_before_cut(sf or _scored(spark, sf_dir)).select(*cal.FINAL_COLUMNS)
 
 
 @register("threats_detected", O.with_ctes(*O.BASE_SHIPPED)
@@ -382,7 +372,7 @@ from (select (select count(*) from arb) as n, (select count(*) from threats) as
 def detection_metrics(spark, sf_dir):
     """E1 + E2 (unrounded)."""
     sf = _scored(spark, sf_dir)
-    return ev.detection_metrics(st.run_stats(sf.flows, with_map=False), _final(spark, sf_dir), rounded=False)
+    return ev.detection_metrics(st.run_stats(sf.flows, with_map=False), _final(spark, sf_dir, sf), rounded=False)
 
 
 @register("severity_distribution", O.with_ctes(*O.ALERTS_FINAL) + """
@@ -504,7 +494,7 @@ from timeline""")
 def scaled_timeline(spark, sf_dir):
     """Q9: the timeline scaled by the share of CONFIRMED alerts."""
     sf = _scored(spark, sf_dir)
-    final = _final(spark, sf_dir)
+    final = _final(spark, sf_dir, sf)
     shown, total = final.agg(F.count_if(F.col("severity") == "CONFIRMED"), F.count(F.lit(1))).first()
     return se.scaled_timeline(st.threats_over_time(arb.threat_flows(sf.flows)), shown, total)
 
@@ -604,8 +594,8 @@ def ledger_latest_alerts(spark, sf_dir):
     """Two runs appended to a fresh ledger (an empty one first), then
     the alerts of the newest run read back through the run_id semi join."""
     ledger = new_ledger(spark)
-    final = _final(spark, sf_dir)
     sf = _scored(spark, sf_dir)
+    final = _final(spark, sf_dir, sf)
     stats = st.run_stats(sf.flows)
     hist = st.score_histogram(sf.flows)
     timeline = st.threats_over_time(arb.threat_flows(sf.flows))
@@ -635,7 +625,7 @@ def ledger_reads(spark, sf_dir):
     """Two stored runs, read through every store query."""
     ledger = new_ledger(spark)
     sf = _scored(spark, sf_dir)
-    stats, final = st.run_stats(sf.flows), _final(spark, sf_dir)
+    stats, final = st.run_stats(sf.flows), _final(spark, sf_dir, sf)
     hist, timeline = st.score_histogram(sf.flows), st.threats_over_time(arb.threat_flows(sf.flows))
     for name in ("a.csv", "b.csv"):
         run = ledger.write_run(stats, hist, timeline, name)
@@ -661,8 +651,7 @@ def null_source_alerts(spark, sf_dir):
     """K1, K4-K6, D3-D5 where some flows have no source address: null is a
     source like any other."""
     sf = score_flows(_without_some_sources(_flows(spark, sf_dir)), DEFAULT_CONFIG, ml=None, materialize=True)
-    return alerts_before_cut(sf).select(
-        "src_ip", "dst_ip", "threat_type", "protocol", "flow_count", F.col("confidence_raw").alias("confidence"), "severity", "evidence")
+    return alerts_before_cut(sf).select(*cal.FINAL_COLUMNS)
 
 
 @register("normalised_scores", "with " + O.flows_cte_duckdb() + """,
@@ -682,19 +671,19 @@ def normalised_scores(spark, sf_dir):
 # ---------------------------------------------------------------- M
 
 _SAN = {c: (f"case when {c} is null or isnan({c}) then 0.0::DOUBLE when {c} = 'inf'::DOUBLE then 1e9::DOUBLE "
-            f"when {c} = '-inf'::DOUBLE then -1e9::DOUBLE else {c} end") for c in _FC}
-_VEC = "vec as (select row_id, " + ", ".join(f"{_SAN[c]} as {c}" for c in _FC) + " from feat)"
+            f"when {c} = '-inf'::DOUBLE then -1e9::DOUBLE else {c} end") for c in FEATURE_COLUMNS}
+_VEC = "vec as (select row_id, " + ", ".join(f"{_SAN[c]} as {c}" for c in FEATURE_COLUMNS) + " from feat)"
 _MOM = "mom8 as (select " + ", ".join(
-    f"avg({c}) as m_{c}, stddev_pop({c}) + 1e-9 as s_{c}" for c in _FC) + " from vec)"
+    f"avg({c}) as m_{c}, stddev_pop({c}) + 1e-9 as s_{c}" for c in FEATURE_COLUMNS) + " from vec)"
 
 
 @register("feature_moments", O.with_ctes(O.FEAT, _VEC, _MOM) + " union all ".join(
-    f"select '{c}' as feature, round(m_{c}, 6) as mean, round(s_{c}, 6) as std from mom8" for c in _FC))
+    f"select '{c}' as feature, round(m_{c}, 6) as mean, round(s_{c}, 6) as std from mom8" for c in FEATURE_COLUMNS))
 def feature_moments(spark, sf_dir):
     """M2: mean and population std (+1e-9) over every row (rounded to 6 places,
     float sums depend on order)."""
     flows = _flows(spark, sf_dir)
-    vec = _fv(with_features(flows))
+    vec = model_vector(with_features(flows))
     mom = iforest.feature_moments(vec)
     rows = [(c, round(m, 6), round(s, 6)) for c, (m, s) in mom.items()]
     # tiny result frame; the rounding above is Python's, so round again in Spark
@@ -703,13 +692,13 @@ def feature_moments(spark, sf_dir):
 
 
 @register("standard_scale", O.with_ctes(O.FEAT, _VEC, _MOM) + "select row_id, " + ", ".join(
-    f"round(({c} - m_{c}) / s_{c}, 6) as {c}" for c in _FC) + " from vec, mom8")
+    f"round(({c} - m_{c}) / s_{c}, 6) as {c}" for c in FEATURE_COLUMNS) + " from vec, mom8")
 def standard_scale(spark, sf_dir):
     """M3: (x - mean) / std per feature (rounded to 6 places)."""
     flows = _flows(spark, sf_dir)
-    vec = _fv(with_features(flows))
+    vec = model_vector(with_features(flows))
     mom = iforest.feature_moments(vec)
-    return iforest.standard_scale(vec, mom).select("row_id", *[F.round(c, 6).alias(c) for c in _FC])
+    return iforest.standard_scale(vec, mom).select("row_id", *[F.round(c, 6).alias(c) for c in FEATURE_COLUMNS])
 
 
 @register("isolation_forest_scores")
@@ -741,3 +730,144 @@ def export_alerts_csv_q(spark, sf_dir):
     export_alerts_csv(_final(spark, sf_dir), path)
     return (spark.read.option("header", True).option("escape", '"').csv(path)
             .select("src_ip", "dst_ip", "protocol", "threat_type", "flows", "confidence", "severity", "evidence"))
+
+
+@register("throughput", O.with_ctes(*O.ALERTS_FINAL) + """
+select th as threats_detected, n as total_flows, na as num_alerts, 2.5::DOUBLE as processing_time_sec,
+       round(n::DOUBLE / 2.5::DOUBLE, 2) as throughput_flows_per_sec
+from (select (select count(*) from arb) as n, (select count(*) from threats) as th,
+             (select count(*) from final) as na)""")
+def throughput(spark, sf_dir):
+    """E5 on a record with a processing time (2.5 s, so that both sides agree)."""
+    sf = _scored(spark, sf_dir)
+    stats = st.run_stats(sf.flows, processing_time_sec=2.5, with_map=False)
+    return ev.detection_metrics(stats, _final(spark, sf_dir, sf)).select(
+        "threats_detected", "total_flows", "num_alerts", "processing_time_sec", "throughput_flows_per_sec")
+
+
+@register("run_file_roundtrip", O.with_ctes(*O.ALERTS_FINAL, O.TIMELINE) + f"""
+select 'flows.csv' as filename, (select count(*) from arb) as total_flows,
+       (select count(*) from threats) as threats_detected, true as timed, 20 as histogram_bins,
+       (select count(*) from timeline) as timeline_bins, f.* from (select {_FINAL_COLS} from final) f""")
+def run_file_roundtrip(spark, sf_dir):
+    """S1-S12 composed: a flow CSV is ingested, analysed (with the forest) and
+    stored by ``run_file``; the newest run's record and alerts are read back."""
+    path = scratch_path(spark, "flows-csv")
+    _write_csv(_flows(spark, sf_dir).orderBy("row_id").drop("row_id"), path, header=True)
+    ledger = new_ledger(spark)
+    reply = run_file(spark, path, ledger, filename="flows.csv")
+    record = ledger.run_by_id(reply["run_id"]).select(
+        "run_id", "filename", "stats.total_flows", "stats.threats_detected",
+        (F.col("stats.processing_time_sec") > 0).alias("timed"),
+        F.size("charts.histogram").alias("histogram_bins"), F.size("charts.threats_over_time").alias("timeline_bins"))
+    return ledger.alerts_of_latest_run().join(F.broadcast(record), "run_id").drop("run_id")
+
+
+@register("ground_truth_csv", "with " + O.flows_cte_duckdb() + """
+select 'threat' as ground_truth, count(distinct src_ip) as sources, count(*) as flows from flows
+where not contains(label, 'BENIGN') union all
+select 'benign', count(distinct src_ip), count(*) from flows where contains(label, 'BENIGN')""")
+def ground_truth_csv(spark, sf_dir):
+    """Labelled flows written as a headered CSV, scanned and classed."""
+    configure(spark)
+    path = scratch_path(spark, "truth-csv")
+    _write_csv(labelled_flows(spark, sf_dir).drop("row_id"), path, header=True)
+    truth = ev.label_ground_truth(flowcsv.scan_ground_truth(spark, path))
+    return truth.groupBy("ground_truth").agg(F.count_distinct("src_ip").alias("sources"), F.count(F.lit(1)).alias("flows"))
+
+
+@register("csv_default_tos", "with " + O.flows_cte_duckdb() + """
+select 0 as tos, protocol, count(*) as flows from flows group by protocol""")
+def csv_default_tos(spark, sf_dir):
+    """Headerless lines that end before the ``tos`` field get it as 0."""
+    path = scratch_path(spark, "flows-csv-tos")
+    _write_csv(_flows(spark, sf_dir).select(*FLOW_COLUMNS[:5]), path, header=False)
+    return flowcsv.scan_flow_csv(spark, path, header=False).groupBy("tos", "protocol").agg(F.count(F.lit(1)).alias("flows"))
+
+
+@register("csv_multi_file_order", "with " + O.flows_cte_duckdb() + """
+select row_number() over (order by least(part, 2), row_id) - 1 as row_id, src_ip, dst_ip, start_time
+from (select *, case when row_id % 100 = 7 then 0 when row_id % 3 > 0 then 1 else 2 end as part from flows)""")
+def csv_multi_file_order(spark, sf_dir):
+    """Row ids of a folder of files of unequal sizes follow the file names,
+    then the lines: a small first file, a large second one, a middling third."""
+    path = scratch_path(spark, "flows-csv-folder")
+    flows = _flows(spark, sf_dir)
+    part = F.when(F.col("row_id") % 100 == 7, 0).when(F.col("row_id") % 3 > 0, 1).otherwise(2)
+    (flows.withColumn("part", part).repartition(8, "part").sortWithinPartitions("part", "row_id").drop("row_id")
+     .write.partitionBy("part").option("header", True).csv(path))
+    files = [f"{path}/part={k}" for k in range(3)]
+    got = flowcsv.read_flow_csv(spark, files, header=True)
+    return got.select("row_id", "src_ip", "dst_ip", "start_time")
+
+
+_TIME_CASES = (("iso", "yyyy-MM-dd'T'HH:mm:ss", 1), ("space", "yyyy-MM-dd HH:mm:ss", 1), ("minutes", "MM/dd/yyyy HH:mm", 60),
+               ("words", None, None))
+
+
+@register("csv_time_formats", "with " + O.flows_cte_duckdb() + ",\n" + """
+r as (select *, row_number() over (order by row_id) - 1 as i from flows)
+select 'iso' as format, i as row_id, floor(start_time) as start_time from r
+union all select 'space', i, floor(start_time) from r
+union all select 'minutes', i, floor(start_time / 60) * 60 from r
+union all select 'words', i, i::DOUBLE from r""")
+def csv_time_formats(spark, sf_dir):
+    """C2 and C3, one CSV per time format; texts that no format reads take the
+    row's index (``12:30`` is no date)."""
+    flows = _flows(spark, sf_dir)
+    out = None
+    for name, pattern, _ in _TIME_CASES:
+        path = scratch_path(spark, f"flows-csv-{name}")
+        text = (F.date_format(F.timestamp_seconds("start_time"), pattern) if pattern
+                else F.date_format(F.timestamp_seconds("start_time"), "HH:mm"))
+        ordered = flows.withColumn("start_time", text).repartition(1).sortWithinPartitions("row_id").drop("row_id")
+        _write_csv(ordered, path, header=True)
+        got = flowcsv.read_flow_csv(spark, path).select(F.lit(name).alias("format"), "row_id", "start_time")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@register("typed_source_casts", "with " + O.flows_cte_duckdb() + """
+select row_id, cast(src_port as bigint)::DOUBLE as src_port, packets, floor(start_time) as start_time,
+       floor(end_time) as end_time from flows""")
+def typed_source_casts(spark, sf_dir):
+    """Integer ports and counters, timestamp and whole-second times of
+    a typed (parquet) source."""
+    path = scratch_path(spark, "typed-flows")
+    typed = _flows(spark, sf_dir).select(
+        "row_id", "src_ip", "dst_ip", F.col("src_port").cast("int").alias("src_port"), "dst_port", "protocol",
+        F.col("packets").cast("long").alias("packets"), "bytes", "flows",
+        F.timestamp_seconds("start_time").alias("start_time"), F.floor("end_time").cast("long").alias("end_time"))
+    typed.write.parquet(path)
+    return (flowcsv.type_flow_columns(spark.read.parquet(path))
+            .select("row_id", "src_port", "packets", "start_time", "end_time"))
+
+
+@register("cached_latest_alerts", O.with_ctes(*O.ALERTS_FINAL)
+          + "select severity, count(*) as alerts from final group by severity")
+def cached_latest_alerts(spark, sf_dir):
+    """The latest alerts, queried by name."""
+    from ..sources.ledger import cache_latest
+    cache_latest(_final(spark, sf_dir), "flowsentry_latest_alerts")
+    return spark.sql("select severity, count(*) as alerts from flowsentry_latest_alerts group by severity")
+
+
+@register("forest_samples", "with " + O.flows_cte_duckdb() + """
+select tree, least(256, (select count(*) from flows)) as rows from (select unnest(range(100)) as tree)""")
+def forest_samples(spark, sf_dir):
+    """M1: every tree draws exactly 256 rows (all, if fewer) of the whole table."""
+    model = iforest.fit(with_features(_flows(spark, sf_dir)), DEFAULT_CONFIG, with_threshold=False, with_moments=False)
+    return spark.createDataFrame([(t, int(n)) for t, n in enumerate(model.used)], "tree int, rows long")
+
+
+@register("forest_facts", "with " + O.flows_cte_duckdb() + """
+select count(*) as scored, true as in_range, true as scaled, true as share from flows""")
+def forest_facts(spark, sf_dir):
+    """M4-M8 by what must hold of any forest: every flow scored in (0, 1],
+    scaled scores filling [0, 1], at most the contamination share labelled."""
+    sf = score_flows(_flows(spark, sf_dir), DEFAULT_CONFIG, ml="intent", materialize=True)
+    raw, ml = F.col("anomaly_score"), F.col("ml_score")
+    return sf.flows.agg(
+        F.count(raw).alias("scored"), ((F.min(raw) > 0) & (F.max(raw) <= 1)).alias("in_range"),
+        ((F.min(ml) == 0) & (F.max(ml) == 1)).alias("scaled"),
+        ((F.sum("ml_label") <= 0.05 * F.count(raw) + 1) & (F.sum("ml_label") > 0)).alias("share"))

@@ -8,6 +8,8 @@ DuckDB does not switch to DECIMAL arithmetic.
 
 from __future__ import annotations
 
+from ..config import RULE_SLOTS
+from ..functions.rounding import cut_points
 from ..sources.fixture import flows_cte_duckdb
 
 D = "::DOUBLE"
@@ -54,10 +56,7 @@ thr as (select
   greatest(byt_p95 * 3.0{D}, 50000.0{D}) as large_flow_bytes
   from p)"""
 
-_LABELS = [("flood_score", "Flood"), ("suspicious_protocol_score", "Suspicious Protocol"),
-           ("ddos_score", "DDoS"), ("udp_flood_score", "UDP Flood"), ("exfil_score", "Data Exfiltration"),
-           ("brute_score", "Brute Force"), ("large_flow_score", "Large Flow"), ("icmp_sweep_score", "ICMP Sweep")]
-_SLOTS = ", ".join(f"case when {c} > 0 then '{n}' else '' end" for c, n in _LABELS)
+_SLOTS = ", ".join(f"case when {c} > 0 then '{n}' else '' end" for c, n in RULE_SLOTS)
 
 RULES = f"""
 r0 as (
@@ -198,6 +197,8 @@ raw_alerts as (
   union all select src_ip, dst_ip, threat_type, severity, protocol, flow_count, confidence, evidence from d4
   union all select src_ip, dst_ip, threat_type, severity, protocol, flow_count, confidence, evidence from d5)"""
 
+_CUTS = "[" + ", ".join(f"{c!r}{D}" for c in cut_points(100, 2)) + "]"
+
 CALIBRATE = f"""
 k0 as (
   select a.*, coalesce(t.temporal, false) as tp,
@@ -210,7 +211,7 @@ k0 as (
          when a.severity = 'HIGH' then 6
          else 7 end as branch
   from raw_alerts a left join temporal t on a.src_ip is not distinct from t.src_ip),
-calibrated as (
+k1 as (
   select src_ip, dst_ip, threat_type, protocol, flow_count, branch, tp as temporal,
     case when branch in (1, 3, 5) then 'CONFIRMED' when branch = 4 then 'SUSPICIOUS'
          when branch = 6 then 'HIGH' else 'MONITOR' end as severity,
@@ -224,6 +225,9 @@ calibrated as (
                else 0.40{D} + 0.20{D} * confidence end, 0.99{D}) as confidence_raw,
     coalesce(nullif(evidence, ''), 'Rule-based detection for ' || threat_type) as evidence
   from k0),
+cuts as (select unnest({_CUTS}) as cut, generate_subscripts({_CUTS}, 1) - 1 as k),
+calibrated as (
+  select k1.*, (select max(k) from cuts where cut <= confidence_raw)::DOUBLE / 100.0{D} as confidence from k1),
 sev_rank as (
   select *, case severity when 'CONFIRMED' then 4 when 'HIGH' then 3 when 'SUSPICIOUS' then 2
                           when 'MONITOR' then 1 else 0 end as rnk from calibrated),
@@ -232,6 +236,7 @@ prof as (select src_ip, count(distinct threat_type) as threat_types, max(rnk) as
 escalated as (
   select s.src_ip, s.dst_ip, s.threat_type, s.protocol, s.flow_count, s.branch,
     case when lift then least(0.99{D}, s.confidence_raw + 0.10{D}) else s.confidence_raw end as confidence_raw,
+    case when lift then least(0.99{D}, s.confidence + 0.10{D}) else s.confidence end as confidence,
     case when lift then top else s.severity end as severity,
     case when lift then s.evidence || ' (Escalated due to cross-threat pattern)' else s.evidence end as evidence,
     lift as escalated
@@ -241,11 +246,11 @@ escalated as (
                    when 3 then 'HIGH' when 2 then 'SUSPICIOUS' when 1 then 'MONITOR' end), false) as lift
         from sev_rank s left join prof p on s.src_ip is not distinct from p.src_ip) s),
 ranked as (
-  select src_ip, dst_ip, threat_type, protocol, flow_count, confidence_raw, severity, evidence
+  select src_ip, dst_ip, threat_type, protocol, flow_count, confidence, severity, evidence
   from escalated
   order by case severity when 'CONFIRMED' then 4 when 'HIGH' then 3 when 'SUSPICIOUS' then 2
                          when 'MONITOR' then 1 else 0 end desc,
-           confidence_raw desc, src_ip, dst_ip, threat_type, protocol, flow_count, evidence
+           confidence desc, confidence_raw desc, src_ip, dst_ip, threat_type, protocol, flow_count, evidence
   limit 1000)"""
 
 
@@ -257,10 +262,9 @@ BASE_SHIPPED = (FEAT, P95, THR, RULES, ARB_SHIPPED)
 BASE_INJECTED = (FEAT, P95, THR, RULES, MOMENTS, ARB_INJECTED)
 ALERTS_SHIPPED = BASE_SHIPPED + (DETECT, CALIBRATE)
 
-# every escalated alert, with the unrounded confidence under the library's column name
+# every escalated alert
 FINAL = """
-final as (select src_ip, dst_ip, threat_type, protocol, flow_count, confidence_raw as confidence,
-                 severity, evidence from escalated)"""
+final as (select src_ip, dst_ip, threat_type, protocol, flow_count, confidence, severity, evidence from escalated)"""
 
 TIMELINE = f"""
 tt as (select start_time as t from threats where start_time is not null and not isnan(start_time)

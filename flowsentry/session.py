@@ -52,7 +52,7 @@ _PKG_ZIP = "flowsentry-pkg.zip"
 
 def ship_package(spark: SparkSession) -> None:
     """Make the package importable by executor Python workers (the forest's
-    grouped-map and scoring functions, the evidence formatter): a zip of
+    grouped-map and scoring functions): a zip of
     ``flowsentry/`` added once per SparkContext with ``addPyFile``, as
     ``--py-files`` would.  The zip is only a source for Spark's own file
     distribution."""
@@ -71,10 +71,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.  Only when the
-    session names none (local tests) is a fresh local folder set."""
+    """The shared folder named by ``spark.checkpoint.dir``.  Only when a local
+    session names none (tests) is a fresh local folder set; on a cluster that
+    is an error, as executors don't share the driver's disk."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="flowsentry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -83,6 +86,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+def delete_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by :func:`scratch_path`, and no other."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    base = checkpoint_dir(spark).removeprefix("file:").rstrip("/")
+    if os.path.dirname(path) != base:
+        raise ValueError(f"{path} is not a scratch folder of this session")
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder under the shared checkpoint directory."""
     base = checkpoint_dir(spark)

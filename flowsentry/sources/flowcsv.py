@@ -2,8 +2,9 @@
 
 Files are scanned with every column as text; typing decisions that depend on
 a whole column (all-or-nothing casts, the first time format that fits every
-value) are taken from one probe aggregate over all columns at once, so the
-input is read once for the probe and once for the data.
+value) are taken from one probe aggregate over all columns at once.  The input
+is read once for the row counts of its splits, once for the probe and once for
+the data.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..config import (FLOW_COLUMNS, HEADER_HINT_COLUMNS, NUMERIC_COLUMNS,
                       REQUIRED_COLUMNS, TIME_COLUMNS, TIME_FORMATS)
@@ -42,9 +44,13 @@ def detect_header(spark: SparkSession, path: str) -> bool:
     return bool(set(fields) & set(HEADER_HINT_COLUMNS))
 
 
+_FILE, _BLOCK = "__file", "__block"   # where a scanned row came from, dropped by with_row_index
+
+
 def _read_text_csv(spark: SparkSession, path: str, header: bool) -> DataFrame:
     return (spark.read.option("header", header).option("mode", "PERMISSIVE")
-            .option("inferSchema", False).csv(path))
+            .option("inferSchema", False).csv(path)
+            .select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_BLOCK)))
 
 
 # ---------------------------------------------------------------- S1, S3, S4, S6, S8
@@ -53,11 +59,16 @@ def trim_strings(df: DataFrame) -> DataFrame:
     every string column."""
     return df.select(*[
         F.regexp_replace(F.col(f.name), r"^\s+|\s+$", "").alias(f.name)
-        if isinstance(f.dataType, T.StringType) else F.col(f.name)
+        if isinstance(f.dataType, T.StringType) and f.name != _FILE else F.col(f.name)
         for f in df.schema.fields])
 
 
 def scan_flow_csv(spark: SparkSession, path: str, header: bool | None = None) -> DataFrame:
+    """S1-S4 + S6 (see :func:`_scan`)."""
+    return _scan(spark, path, header).drop(_FILE, _BLOCK)
+
+
+def _scan(spark: SparkSession, path: str, header: bool | None) -> DataFrame:
     """S1-S4 + S6: text columns named from the header, or by position for a
     headerless file (first ``min(ncols, 11)`` columns; ``tos`` = 0 added
     when absent).  Extra fields are dropped, short lines padded with null."""
@@ -65,9 +76,10 @@ def scan_flow_csv(spark: SparkSession, path: str, header: bool | None = None) ->
         header = detect_header(spark, path)
     df = _read_text_csv(spark, path, header)
     if not header:
-        n = min(len(df.columns), len(FLOW_COLUMNS))
+        fields = [c for c in df.columns if c not in (_FILE, _BLOCK)]
+        n = min(len(fields), len(FLOW_COLUMNS))
         df = df.select(*[F.col(c).alias(FLOW_COLUMNS[i]) if i < n else F.col(c)
-                         for i, c in enumerate(df.columns)])
+                         for i, c in enumerate(fields)], _FILE, _BLOCK)
         if "tos" not in df.columns:
             df = df.withColumn("tos", F.lit(0))
     return trim_strings(df)
@@ -90,24 +102,30 @@ def validate_required_columns(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- row order
+#: Above this many splits the table of their offsets is no longer broadcast.
+BROADCAST_SPLITS = 100_000
+
+
 def with_row_index(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Contiguous 0..n-1 in scan order, without funnelling rows through one
-    task: per-partition counts (one small row per partition) give offsets
-    that are joined back on the partition id (a broadcast of #partitions
-    rows, bounded by the split count, not the data)."""
-    spark = df.sparkSession
+    """Contiguous 0..n-1 in the order of file path, place in the file and line,
+    without funnelling rows through one task.  A split's rows are read in
+    order, so a row's index is the number of rows in earlier splits plus its
+    place in its own.  The counts, one row per split, are summed up by a window
+    over that small table, which is joined back; a frame that does not come
+    from files counts by partition."""
+    if _FILE not in df.columns:
+        pid = F.shiftright(F.monotonically_increasing_id(), 33)
+        df = df.withColumn(_FILE, F.lit("")).withColumn(_BLOCK, pid)
     tagged = df.withColumn("__mid", F.monotonically_increasing_id())
-    tagged = tagged.withColumn("__pid", F.shiftright(F.col("__mid"), 33)) \
-                   .withColumn("__pos", F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n")).collect()
-    offsets, run = [], 0
-    for r in sorted(counts, key=lambda r: r["__pid"]):
-        offsets.append((int(r["__pid"]), run))
-        run += int(r["__n"])
-    off = spark.createDataFrame(offsets or [(0, 0)], "__pid long, __off long")
-    return (tagged.join(F.broadcast(off), "__pid", "left")
-            .withColumn(name, F.col("__off") + F.col("__pos"))
-            .drop("__mid", "__pid", "__pos", "__off"))
+    splits = tagged.groupBy(_FILE, _BLOCK).agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
+    before = Window.orderBy(_FILE, _BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select(F.col(_FILE).alias("__f"), F.col(_BLOCK).alias("__b"), "__first",
+                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")).persist()
+    small = offsets.count() <= BROADCAST_SPLITS
+    return (tagged.join(F.broadcast(offsets) if small else offsets,
+                        (F.col(_FILE) == F.col("__f")) & (F.col(_BLOCK) == F.col("__b")))
+            .withColumn(name, F.col("__off") + F.col("__mid") - F.col("__first"))
+            .drop("__mid", "__first", "__off", "__f", "__b", _FILE, _BLOCK))
 
 
 # ---------------------------------------------------------------- C1-C6
@@ -193,6 +211,6 @@ def type_flow_columns(df: DataFrame, on_bad: str = "null_value") -> DataFrame:
 def read_flow_csv(spark: SparkSession, path: str, header: bool | None = None,
                   on_bad: str = "null_value") -> DataFrame:
     """S1-S6 + C1-C6: a typed flow table with a contiguous ``row_id``."""
-    df = validate_required_columns(scan_flow_csv(spark, path, header))
+    df = validate_required_columns(_scan(spark, path, header))
     df = with_row_index(df)
     return ensure_parallelism(type_flow_columns(df, on_bad))

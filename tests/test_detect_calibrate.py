@@ -28,8 +28,7 @@ def test_port_scan_evidence_rounds_like_python(make_flows):
 
 
 def _flagged(flows):
-    pairs = detect.pair_summary(flows)
-    return detect.flagged_sources(pairs, detect.source_summary(pairs), flows, flows.count())
+    return flows, flows.count()
 
 
 def _port_scan(flows):
@@ -43,28 +42,28 @@ def _horizontal(n_dst, src="10.0.0.9"):
 def test_horizontal_scan_threshold(make_flows):
     for n, want in ((14, 0), (15, 1)):
         flows = make_flows(_horizontal(n))
-        got = detect.detect_horizontal_scan(_flagged(flows), flows.count())
+        got = detect.detect_horizontal_scan(*_flagged(flows))
         assert got.count() == want
     flows = make_flows(_horizontal(15) + [dict(src_ip="10.1.1.1")] * 300)
     # int(0.05 * 315) = 15
-    row = detect.detect_horizontal_scan(_flagged(flows), flows.count()).first()
+    row = detect.detect_horizontal_scan(*_flagged(flows)).first()
     assert row.flow_count == 15 and row.dst_ip.startswith("172.16.0.0, 172.16.0.1, 172.16.0.10")
 
 
 def test_botnet_needs_both(make_flows):
     def run(flows_n, dsts):
         rows = [dict(src_ip="10.0.0.9", dst_ip=f"172.16.1.{i % dsts}") for i in range(flows_n)]
-        return detect.detect_botnet(_flagged(make_flows(rows))).count()
+        return detect.detect_botnet(*_flagged(make_flows(rows))).count()
     assert run(50, 31) == 0 and run(51, 30) == 0 and run(51, 31) == 1
 
 
 def test_icmp_sweep(make_flows):
     one = make_flows([dict(protocol="icmp", dst_ip="1.1.1.1")] * 3)
     two = make_flows([dict(protocol="icmp", dst_ip="1.1.1.1"), dict(protocol="ICMP", dst_ip="1.1.1.2")])
-    assert detect.detect_icmp_sweep(_flagged(one)).count() == 0
+    assert detect.detect_icmp_sweep(*_flagged(one)).count() == 0
     mixed = make_flows([dict(protocol="icmp", dst_ip="1.1.1.1"), dict(protocol="ICMP", dst_ip="1.1.1.2"),
                         dict(protocol="TCP", dst_ip="1.1.1.3")])
-    r = detect.detect_icmp_sweep(_flagged(mixed)).first()
+    r = detect.detect_icmp_sweep(*_flagged(mixed)).first()
     assert r.flow_count == 2 and r.protocol == "ICMP" and r.evidence.endswith("with 20.0 total packets")
     assert r.dst_ip == "1.1.1.1, 1.1.1.2"
 

@@ -55,12 +55,41 @@ def test_nearest_rank_p95(spark, n):
 def test_bracketed_quantile_is_exact(spark):
     vals = [float((i * 104729) % 5003) for i in range(4000)]
     df = spark.createDataFrame([(v,) for v in vals], "v double").repartition(7)
-    cfg = DetectionConfig(exact_direct_limit=100, approx_accuracy=50)
+    cfg = DetectionConfig(approx_accuracy=50)
     got, _ = exact_nearest_quantiles(df, ["v"], 0.95, cfg)
     s = np.sort(vals)
     assert got["v"] == s[int(math.floor((len(vals) - 1) * 0.95 + 0.5))]
 
 
+@pytest.mark.parametrize("kind", ["two values", "one hot value", "heavy tail", "infinite", "nan"])
+def test_quantile_narrowing_on_ties_and_skew(spark, kind):
+    rng = np.random.default_rng(5)
+    n = 3000
+    vals = {"two values": rng.integers(0, 2, n).astype(float),
+            "one hot value": np.where(rng.random(n) < 0.9, 7.0, rng.random(n) * 1000),
+            "heavy tail": np.exp(rng.normal(0, 12, n)) * rng.choice([-1, 1], n),
+            "infinite": np.where(rng.random(n) < 0.1, np.inf, rng.random(n)),
+            "nan": np.where(rng.random(n) < 0.2, np.nan, rng.random(n))}[kind]
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double").repartition(5)
+    for acc, q in ((20, 0.95), (10_000, 0.95), (50, 0.0), (50, 1.0)):
+        got, _ = exact_nearest_quantiles(df, ["v"], q, DetectionConfig(approx_accuracy=acc))
+        s = np.sort(vals[~np.isnan(vals)])
+        assert got["v"] == s[int(math.floor((len(s) - 1) * q + 0.5))]
+
+
+def test_rounding_by_exact_value(spark):
+    from flowsentry.functions.rounding import fixed1, round2_sql
+    xs = sorted({k / 1000 for k in range(1001)} | {0.955, 0.565, 0.125, 0.375, 0.625, 0.875, 0.99, 1.0}
+                | {math.nextafter(k / 200, s) for k in range(201) for s in (0, 2)})
+    df = spark.createDataFrame([(float(x),) for x in xs], "x double")
+    for r in df.selectExpr("x", f"{round2_sql('x')} AS y").collect():
+        assert r.y == round(r.x, 2)
+    more = [x * 5 for x in xs] + [-0.3, -2.25, 2.25, 0.25, 4.95]
+    df = spark.createDataFrame([(float(x),) for x in more], "x double")
+    for r in df.select("x", fixed1(F.col("x"), 5.0).alias("y")).collect():
+        assert r.y == "%.1f" % r.x
+
+
 def test_all_null_column_raises(make_flows):
     df = with_features(make_flows([dict(packets=None), dict(packets=None)]))
     with pytest.raises(ValueError):
@@ -84,12 +113,15 @@ def test_flood_boundary(make_flows):
 
 
 def test_label_separators(make_flows, spark):
-    from flowsentry.functions.rules import threat_label
-    cases = {(1, 5): "Flood;;Data Exfiltration", (1, 7): "Flood;;;Large Flow", (5,): "Data Exfiltration",
-             (1, 2): "Flood;Suspicious Protocol"}
-    for slots, want in cases.items():
-        flags = [F.lit(1 if i + 1 in slots else 0) for i in range(8)]
-        assert spark.range(1).select(threat_label(flags).alias("t")).first().t == want
+    flood, exfil, large, gre = (dict(packets=501.0), dict(bytes=1e6), dict(bytes=1e6), dict(protocol="gre"))
+    cases = [(flood | exfil, dict(byt_p95=1e5, bpp_p95=1e2), "Flood;;Data Exfiltration"),
+             (exfil | dict(packets=1.0), dict(byt_p95=1e5, bpp_p95=1e2), "Data Exfiltration"),
+             (flood | large | dict(start_time=1.0, end_time=1.5), dict(byt_p95=1e5, bpp_p95=1e9), "Flood;;;Large Flow"),
+             (flood | gre, dict(byt_p95=1e12, bpp_p95=1e12), "Flood;Suspicious Protocol")]
+    for flow, cuts, want in cases:
+        thr = Thresholds(1, 1e12, pps_p95=1e12, **cuts)
+        row = with_rule_scores(with_features(make_flows([dict(dict(start_time=0.0, end_time=9.0), **flow)])), thr).first()
+        assert row.rule_threat_type == want
 
 
 def test_severity_and_confidence(make_flows):

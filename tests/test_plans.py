@@ -29,13 +29,44 @@ def test_alert_plan_shapes(spark):
     assert "TakeOrderedAndProject" in ranked and "SortAggregate" not in ranked
     assert "dst_port" not in ranked and "CartesianProduct" not in ranked
     # scans of the written table are column-pruned per branch: the protocol
-    # lookup reads two columns, the pair branch no verdict inputs at all
+    # names read one column, the pair branch no verdict inputs at all
     import re
     schemas = set(re.findall(r"ReadSchema: struct<([^>]*)>", plan))
-    assert "row_id:bigint,protocol:string" in schemas
+    assert "protocol:string" in schemas
     assert any(sch.startswith("src_ip:string,dst_ip:string") and "bytes" not in sch for sch in schemas)
 
 
+def test_alert_plan_at_scale(spark):
+    """With nothing small enough to broadcast: the flow table is never
+    shuffled by row, and the pair summary is aggregated once."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    sf = score_flows(load_flows(spark, SF), ml=None, materialize=True, with_pairs=True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        threats = arb.threat_flows(sf.flows)
+        groups = detect.threat_groups(threats)
+        raw = detect.union_alerts(sf.flows, threats, sf.thresholds.n_rows, groups=groups, pairs=sf.pairs)
+        plan = _plan(cal.calibrate(raw, detect.temporal_correlation(threats, groups=groups)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "hashpartitioning(row_id" not in plan and "hashpartitioning(first_row" not in plan
+    assert "pair_flows" in plan and "avg(packets" not in plan    # the stored summary, not the flows
+    assert "ArrowEvalPython" not in plan and "SortAggregate" not in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_run_leaves_no_scratch(spark):
+    import os
+    from flowsentry.plans.analyze import analyze_and_collect
+    from flowsentry.session import checkpoint_dir
+    base = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(base))
+    res, rows = analyze_and_collect(load_flows(spark, SF))
+    assert rows["stats"][0]["total_flows"] > 0
+    res.release()
+    assert set(os.listdir(base)) <= before
+
+
 def test_partial_aggregation_before_shuffle(spark):
     sf = score_flows(load_flows(spark, SF), ml=None, materialize=True)
     pairs = detect.pair_summary(sf.flows)
