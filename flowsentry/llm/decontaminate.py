@@ -8,18 +8,24 @@ joined to it.  Around each hit the document is aligned with the item, and the
 pair is kept if some stretch of ``overlap`` tokens (the whole item, if
 shorter) agrees in at least ``agreement`` of its tokens.
 
+The masks miss no such stretch (:func:`covering_masks`); items shorter than
+``overlap`` have masks of their own by size.  Masks given by the caller take
+the place of those for whole stretches and find what they hit.
+
 The index sent to all tasks holds at most ``block_tokens`` benchmark tokens; a
 larger benchmark is taken in blocks, each against all documents.  A window
 holding a token no item has cannot hit and is not hashed.
 
-Tokens are lower-cased runs of letters and digits.  An item shorter than a
-mask but of at least ``least`` tokens is sought whole and exactly; a shorter
-one, or a null one, has nothing to match.  Null and empty documents have no
-hits.  Repeated rows are answered row by row; other columns are ignored.
+Tokens are lower-cased runs of letters and digits.  An item of fewer than
+``least`` tokens, or a null one, has nothing to match.  Null and empty
+documents have no hits.  Repeated rows are answered row by row; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +34,11 @@ from pyspark.sql import functions as F
 from .common import prepare, text_blocks
 from .wordtable import NOT_ALNUM, HashTable, Words, plain_bytes, spread
 
-#: Masks of span 12 with 7 counted positions.
-MASKS = ("110100110101", "101011001011", "111001010011")
+#: At most so many masks for one size of stretch.
+MOST_MASKS = 6
+#: Hits looked up, and item tokens compared, at a time.
+HITS = 1 << 18
+TOKENS = 1 << 20
 PAIRS = "doc_id long, item_id long, matched int, aligned int, item_tokens int"
 
 
@@ -37,6 +46,28 @@ def _offsets(mask: str) -> np.ndarray:
     return np.flatnonzero(np.frombuffer(mask.encode(), np.uint8) == ord("1"))
 
 
+def needed(width: int, agreement: float) -> int:
+    """Tokens of a stretch that must agree."""
+    return min(width, max(1, math.ceil(agreement * width - 1e-9)))
+
+
+def covering_masks(width: int, changes: int) -> tuple[str, ...]:
+    """Masks of which one fits in every stretch of ``width`` tokens with up to
+    ``changes`` of them substituted.  Of n equal blocks of the stretch, at
+    least n - changes hold no substitution; there is a mask for every way in
+    which so many blocks can lie apart.  n is chosen for the most counted
+    positions, then for the fewest masks, with ``MOST_MASKS`` at most."""
+    best = None
+    for n in range(changes + 1, width + 1):
+        size, free = width // n, n - changes
+        count = math.comb(n - 1, free - 1)
+        if count <= MOST_MASKS and (best is None or (size * free, -count) > best[0]):
+            best = (size * free, -count), n, size, free
+    _, n, size, free = best
+    return tuple("".join(("1" if b in (0, *rest) else "0") * size for b in range(max((0, *rest)) + 1))
+                 for rest in combinations(range(1, n), free - 1))
+
+
 def _keys(ids: np.ndarray, at: np.ndarray, offsets: np.ndarray, salt: int) -> np.ndarray:
     """Hash of the counted tokens of the windows that start at ``at``."""
     key = np.full(len(at), np.uint64((salt * 2 + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64)))
@@ -49,7 +80,7 @@ def _keys(ids: np.ndarray, at: np.ndarray, offsets: np.ndarray, salt: int) -> np
 class SeedIndex:
     """Masked windows of a bounded set of items."""
 
-    def __init__(self, items, masks=MASKS, overlap: int = 13, agreement: float = 0.8, least: int = 5):
+    def __init__(self, items, masks=None, overlap: int = 13, agreement: float = 0.8, least: int = 5):
         self.overlap, self.agreement = overlap, agreement
         words = Words([plain_bytes(t) for _, t in items], NOT_ALNUM)
         self.vocabulary = HashTable()
@@ -57,18 +88,20 @@ class SeedIndex:
         self.ids = self.vocabulary.find(words.hash).astype(np.int64)
         self.item_ids = [i for i, _ in items]
         self.first = words.first
-        span = len(masks[0])
         sizes = np.diff(self.first)
-        self.kinds = [(_offsets(m), len(m), k) for k, m in enumerate(masks)]
-        self.kinds += [(np.arange(n), n, 100 + n) for n in range(least, span) if (sizes == n).any()]
+        self.kinds = []
         keys, item, place = [], [], []
-        for offsets, width, salt in self.kinds:
-            windows = np.where(sizes >= width, sizes - width + 1, 0) if salt < 100 else (sizes == width).astype(int)
-            run, at = spread(windows)
-            keys.append(_keys(self.ids, self.first[run] + at, offsets, salt))
-            item.append(run)
-            place.append(at)
-        keys, item, place = np.concatenate(keys), np.concatenate(item), np.concatenate(place)
+        for n in np.unique(np.minimum(sizes[sizes >= least], overlap)).tolist():
+            whole = n == overlap
+            for mask in masks if masks and whole else covering_masks(n, n - needed(n, agreement)):
+                offsets, salt = _offsets(mask), len(self.kinds)
+                windows = np.where(sizes >= overlap if whole else sizes == n, np.maximum(sizes - len(mask) + 1, 0), 0)
+                run, at = spread(windows)
+                self.kinds.append((offsets, len(mask), salt))
+                keys.append(_keys(self.ids, self.first[run] + at, offsets, salt))
+                item.append(run)
+                place.append(at)
+        keys, item, place = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (item, np.int64), (place, np.int64)))
         order = np.argsort(keys, kind="stable")
         found, start = np.unique(keys[order], return_index=True)
         self.table = HashTable()
@@ -78,8 +111,9 @@ class SeedIndex:
         self.item, self.place = item[order], place[order]
 
     def hits(self, ids: np.ndarray, last: np.ndarray):
-        """(token, item, place in the item) of all windows of a block that hit;
-        ``last``: for each token, the end of its document."""
+        """(token, item, place in the item) of all windows of a block that hit,
+        about ``HITS`` at a time; ``last``: for each token, the end of its
+        document."""
         near = ids >= 0
         for offsets, width, salt in self.kinds:
             n = len(ids) - width + 1
@@ -91,9 +125,32 @@ class SeedIndex:
             at = np.flatnonzero(ok)
             seed = self.table.find(_keys(ids, at, offsets, salt))
             at, seed = at[seed >= 0], seed[seed >= 0]
-            run, k = spread(self.start[seed + 1] - self.start[seed])
-            where = self.start[seed][run] + k
-            yield at[run], self.item[where], self.place[where]
+            count = self.start[seed + 1] - self.start[seed]
+            part = np.cumsum(count) // HITS
+            for a, b in zip(np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else [],
+                            np.flatnonzero(np.r_[part[1:] != part[:-1], True]) + 1):
+                run, k = spread(count[a:b])
+                where = self.start[seed[a:b]][run] + k
+                yield at[a:b][run], self.item[where], self.place[where]
+
+    def _verified(self, ids, first, text, item, diagonal):
+        """(text, item, matched, aligned) of the lines that agree enough."""
+        size = self.first[item + 1] - self.first[item]
+        width = np.minimum(self.overlap, size)
+        a, b = np.maximum(diagonal, first[text]), np.minimum(diagonal + size, first[text + 1])
+        fits = b - a >= width
+        text, item, diagonal, width, a, b = (x[fits] for x in (text, item, diagonal, width, a, b))
+        run, k = spread(b - a)
+        here = a[run] + k
+        total = np.r_[0, np.cumsum(ids[here] == self.ids[self.first[item][run] + here - diagonal[run]])]
+        start = np.cumsum(b - a) - (b - a)
+        stretches = b - a - width + 1
+        run, k = spread(stretches)
+        same = total[start[run] + k + width[run]] - total[start[run] + k]
+        good = np.zeros(len(text), bool)
+        good[run[same >= self.agreement * width[run] - 1e-9]] = True
+        matched = total[start + b - a] - total[start]
+        return np.stack([text, item, matched, b - a])[:, good]
 
     def pairs(self, texts: list[bytes]):
         """(text, item, matched tokens, aligned tokens) of verified overlaps."""
@@ -101,22 +158,16 @@ class SeedIndex:
         ids = self.vocabulary.find(words.hash).astype(np.int64)
         owner = words.owner()
         last = words.first[1:][owner] if len(owner) else owner
-        lines = set()
+        found = np.zeros((4, 0), np.int64)
         for at, item, place in self.hits(ids, last):
-            lines |= set(zip((at - place).tolist(), owner[at].tolist(), item.tolist()))
-        best: dict = {}
-        for diagonal, text, item in lines:
-            size = int(self.first[item + 1] - self.first[item])
-            a, b = max(diagonal, int(words.first[text])), min(diagonal + size, int(words.first[text + 1]))
-            same = ids[a:b] == self.ids[self.first[item] + a - diagonal:self.first[item] + b - diagonal]
-            width = min(self.overlap, size)
-            if len(same) < width:
-                continue
-            total = np.r_[0, np.cumsum(same)]
-            if (total[width:] - total[:-width]).max() >= self.agreement * width - 1e-9:
-                found = (int(total[-1]), len(same))
-                best[text, item] = max(found, best.get((text, item), found))
-        return [(text, item, *v) for (text, item), v in sorted(best.items())]
+            line = np.unique(np.stack([owner[at], item, at - place]), axis=1)
+            part = np.cumsum(self.first[line[1] + 1] - self.first[line[1]]) // TOKENS
+            for some in np.split(line, np.flatnonzero(part[1:] != part[:-1]) + 1, axis=1):
+                found = np.concatenate([found, self._verified(ids, words.first, *some)], axis=1)
+            found = found[:, np.lexsort(found[::-1])]
+            last_of = np.r_[(found[:2, 1:] != found[:2, :-1]).any(axis=0), True][:found.shape[1]]
+            found = found[:, last_of]
+        return list(zip(*found.tolist()))
 
 
 def _blocks(benchmark: DataFrame, block_tokens: int):
@@ -152,7 +203,7 @@ def _find(index):
     return run
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, masks=MASKS, overlap: int = 13, agreement: float = 0.8,
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, masks=None, overlap: int = 13, agreement: float = 0.8,
                        block_tokens: int = 500_000) -> DataFrame:
     """doc_id, item_id, matched (agreeing tokens on the best alignment),
     aligned (tokens of the item that lie beside the document), item_tokens."""
@@ -179,7 +230,7 @@ def _keep(index):
     return run
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, masks=MASKS, overlap: int = 13, agreement: float = 0.8,
+def clean_documents(docs: DataFrame, benchmark: DataFrame, masks=None, overlap: int = 13, agreement: float = 0.8,
                     block_tokens: int = 500_000) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no passage of the benchmark."""
     spark = prepare(docs.sparkSession)

@@ -280,6 +280,29 @@ def test_decontamination_finds_planted_passages(spark):
     assert clean_documents(docs, benchmark.limit(0)).count() == 10
 
 
+def test_decontamination_equals_the_rule_for_every_substitution(spark):
+    from itertools import combinations
+
+    from flowsentry.llm.decontaminate import contaminated_pairs
+    items = {n: [f"i{n}t{k}" for k in range(n)] for n in (*range(4, 14), 16)}
+    texts = {}
+    for n, item in items.items():
+        for subs in range(4):
+            for places in combinations(range(min(n, 13)), subs):
+                texts[len(texts)] = ["before", "it", *(f"x{k}" if k in places else t for k, t in enumerate(item[:13])), "after"]
+
+    def agrees(doc, item):
+        w = min(13, len(item))
+        return len(item) >= 5 and any(
+            sum(a == b for a, b in zip(doc[i:i + w], item[j:j + w])) >= 0.8 * w - 1e-9
+            for i in range(len(doc) - w + 1) for j in range(len(item) - w + 1))
+    expected = {(d, n) for d, doc in texts.items() for n, item in items.items() if agrees(doc, item)}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string").repartition(4)
+    benchmark = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in contaminated_pairs(docs, benchmark).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
 # ---------------------------------------------------------------- learnt scores
 def test_toxicity_learns_and_locates(spark):
     from pyspark.sql import functions as F
