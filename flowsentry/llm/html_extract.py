@@ -16,8 +16,18 @@ boilerplate inside the content weigh nothing (they are left out anyway).  Kinds
 that no labelled page shows keep a default (words positive, tags and words in
 boilerplate negative); without labelled pages all do.
 
+An element is boilerplate by its own name (nav, footer, ...), by being hidden,
+or by a word in the class, id or role its author gave it.  Such a word says
+nothing about html, body, main and article, nor about an element around the
+content element (the largest main, else article) or around most words;
+articles that stand in smaller elements named as boilerplate are not it.  Inside
+the content only a whole name counts (``share``, not ``share-of-votes``), and a
+header is content.  Names of comments count for any article but the content
+element, and for any size.
+
 Elements that hold no prose (scripts, styles, forms, ...) and comments are
-never tokens.  Character references are decoded; white space inside a block
+never tokens; a form around the content or most words is no such element.  The
+tags of a formula are no tokens, its text is.  Character references are decoded; white space inside a block
 becomes one space; blocks are joined by an empty line.  Null html is the empty
 page, and a page without a positive run has an empty text.  Broken markup is
 read as far as it goes: an element never closed ends with its parent.
@@ -38,17 +48,20 @@ from .common import prepare, unit_hash
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|select|textarea|object|math|title)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|iframe|select|textarea|object|title|annotation(?:-xml)?)(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)"
+    r"|<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+(?:(?<=/)>|>.*?(?:</svg\s*>|\Z))"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>"
     r"|<[!?][^>]*+>", re.S | re.I)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD_SPLIT = re.compile(r"[^a-z0-9]+")
 
 # Element names of HTML, and the names pages give to boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr q "
                    "s samp small span strike strong sub sup time tt u var wbr".split())
+MATH = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow "
+                 "ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 #: A tag inside an element that says it is the content costs no more than this.
 INSIDE = -0.1
 CONTENT = frozenset(("article", "main"))
@@ -61,23 +74,79 @@ HINTS = frozenset(
     "recommended comment comments disqus reply replies search widget copyright skip".split())
 
 
-def _hint(name: str, attributes: str, in_content: bool) -> bool:
+#: Names of what others wrote, which may well be longer than the content.
+OTHERS = frozenset("comment comments disqus reply replies".split())
+
+
+def _attributes(raw: str) -> dict:
+    found: dict = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        found.setdefault(m[1].lower(), (m[2] or "").strip("\"'").lower())
+    return found
+
+
+def _names(attributes: dict) -> set:
+    return {n for key in ("class", "id", "role") for n in attributes.get(key, "").split()}
+
+
+def _hint(name: str, raw: str, in_content: bool, around: bool, most: bool) -> bool:
     """Whether an element is boilerplate by its name or by the names its author
-    gave it."""
-    if name in BOILERPLATE or name in NO_PROSE or (name == "header" and not in_content):
+    gave it; ``around``: it is or encloses the content element; ``most``: it
+    encloses most words."""
+    if name in ("form", "fieldset"):
+        if not (around or most):
+            return True
+    elif name in BOILERPLATE or name in NO_PROSE or (name == "header" and not in_content and not around):
         return True
-    if "=" not in attributes:
+    if not raw or raw == "/":
         return False
-    if re.search(r"\bhidden\b|display\s*:\s*none", attributes, re.I):
+    attributes = _attributes(raw)
+    if name not in ("html", "body") and ("hidden" in attributes or re.search(r"display\s*:\s*none", attributes.get("style", ""))):
         return True
-    return any(w in HINTS for m in _NAMES.finditer(attributes) for w in _WORD_SPLIT.split(m[1].lower()))
+    if around or name in ("html", "body"):
+        return False
+    names = _names(attributes)
+    if most or name in CONTENT:
+        return not names.isdisjoint(OTHERS)
+    if in_content:
+        return not names.isdisjoint(HINTS - {"header"})
+    return any(w in HINTS for n in names for w in _WORD_SPLIT.split(n))
+
+
+def _judged(elements: list, own: list):
+    """(boilerplate, in content) of each element, from (name, attributes,
+    parent) and the number of words right inside it; parents come first."""
+    words = list(own)
+    # words of lists of links, footers and the like don't count for what most words are in
+    plain = [0 if e[0] in BOILERPLATE or (e[0] in NO_PROSE and e[0] not in ("form", "fieldset")) else 1 for e in elements]
+    for k in range(len(elements) - 1, 0, -1):
+        words[elements[k][2]] += words[k] * plain[k]
+    aside = [False] * len(elements)    # in an element named as boilerplate, whole
+    if any(e[0] == "article" for e in elements):
+        for k, (name, raw, parent) in enumerate(elements[1:], 1):
+            aside[k] = aside[parent] or not plain[k] or bool(
+                raw and name not in CONTENT and name not in ("html", "body") and 2 * words[k] <= words[0]
+                and not HINTS.isdisjoint(_names(_attributes(raw))))
+    content = max((k for k, e in enumerate(elements) if words[k] and (e[0] == "main" or (e[0] == "article" and not aside[k]))), default=None,
+                  key=lambda k: (elements[k][0] == "main", words[k], -k))
+    around = set()
+    while content is not None:
+        around.add(content)
+        content = elements[content][2]
+    judged = [(False, False)]
+    for k, (name, raw, parent) in enumerate(elements[1:], 1):
+        bad, inside = judged[parent]
+        bad = bad or _hint(name, raw, inside, k in around, 2 * words[k] > words[0])
+        judged.append((bad, inside or (name in CONTENT and not bad)))
+    return judged
 
 
 def tokens(page: str):
     """The tokens of a page, in order: ("tag", kind, 1, in content) and
     ("words", kind, number of words, (text, block, boilerplate, labelled
     content)).  ``block`` numbers the block a text belongs to."""
-    stack: list[tuple] = []            # (name, boilerplate, in content, linked)
+    stack: list[tuple] = []            # (name, number of the element, linked)
+    elements, own = [("", "", None)], [0]
     out, at, block = [], 0, 0
 
     def text(raw: str) -> None:
@@ -86,12 +155,11 @@ def tokens(page: str):
                 out.append(("words", "", 0, (raw, block, True, False)))
             return
         plain = html.unescape(raw) if "&" in raw else raw
-        bad = bool(stack) and stack[-1][1]
-        content = bool(stack) and stack[-1][2]
-        linked = bool(stack) and stack[-1][3]
-        holder = next((s[0] for s in reversed(stack) if s[0] not in INLINE), "body")
-        kind = "w:" + (("inner" if content else "boilerplate") if bad else holder + (":link" if linked else ""))
-        out.append(("words", kind, len(plain.split()), (plain, block, bad, content)))
+        linked = bool(stack) and stack[-1][2]
+        holder = next((s[0] for s in reversed(stack) if s[0] not in INLINE and s[0] not in MATH), "body")
+        element, n = stack[-1][1] if stack else 0, len(plain.split())
+        own[element] += n
+        out.append(("words", "w:" + holder + (":link" if linked else ""), n, (plain, block, element)))
 
     for m in _TOKEN.finditer(page):
         text(page[at:m.start()])
@@ -100,9 +168,11 @@ def tokens(page: str):
         if not name:
             continue
         close, attributes = bool(m[2] or m[5]), m[4] or m[7] or ""
-        if name not in INLINE:
+        inline = name in INLINE or name in MATH
+        if not inline:
             block += 1
-        out.append(("tag", "t:" + ("/" if close else "") + name, 1, bool(stack) and stack[-1][2]))
+        if name not in MATH:
+            out.append(("tag", "t:" + ("/" if close else "") + name, 1, stack[-1][1] if stack else 0))
         if name == "br":
             out.append(("words", "", 0, (" ", block, True, False)))
         if close:
@@ -113,15 +183,22 @@ def tokens(page: str):
             continue
         if name in VOID or attributes.endswith("/"):
             continue
-        if name not in INLINE:
-            while stack and (stack[-1][0] in INLINE or (stack[-1][0] == "p")):
+        if not inline:
+            while stack and (stack[-1][0] in INLINE or stack[-1][0] in MATH or (stack[-1][0] == "p")):
                 stack.pop()            # a new block ends an open paragraph and its inline elements
             if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
                 stack.pop()
-        bad, content, linked = stack[-1][1:] if stack else (False, False, False)
-        bad = bad or _hint(name, attributes, content)
-        stack.append((name, bad, content or (name in CONTENT and not bad), linked or name == "a"))
+        elements.append((name, attributes, stack[-1][1] if stack else 0))
+        own.append(0)
+        stack.append((name, len(elements) - 1, (bool(stack) and stack[-1][2]) or name == "a"))
     text(page[at:])
+    judged = _judged(elements, own)
+    for k, (what, kind, n, info) in enumerate(out):
+        if what == "tag":
+            out[k] = (what, kind, n, judged[info][1])
+        elif len(info) == 3:
+            bad, content = judged[info[2]]
+            out[k] = (what, ("w:inner" if content else "w:boilerplate") if bad else kind, n, (info[0], info[1], bad, content))
     return out
 
 

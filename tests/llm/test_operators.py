@@ -399,6 +399,30 @@ def test_html_main_text(spark):
     assert extract_pages(frame.limit(0)).count() == 0
 
 
+def test_html_names_say_nothing_about_the_content():
+    from flowsentry.llm.html_extract import Weights, extract
+    one, two = "The first paragraph says a thing or two.", "And so does the second one, here."
+    body, both = f"<p>{one}</p><p>{two}</p>", f"{one}\n\n{two}"
+    pages = {
+        f'<html class="no-js has-banner"><body class="single no-sidebar"><article>{body}</article></body></html>': both,
+        f'<body><main id="search-content">{body}</main><footer>foot</footer></body>': both,
+        f'<article class="post has-comments">{body}</article>': both,
+        f'<div class="sidebar"><article>{body}</article></div>': both,
+        f'<div class="page-with-sidebar">{body}</div><div class="my-sidebar">some links</div>': both,
+        f'<form id="all">{body}</form>': both,
+        f'<article><div class="entry-header"><h1>Headline</h1></div><div class="header">By me</div>{body}</article>': f"Headline\n\nBy me\n\n{both}",
+        f'<article>{body}<div class="tools share">Tweet</div><div id="comments">Nice</div><div class=ad>Buy</div><p class="ad-free">End</p></article>': both + "\n\nEnd",
+        f'<article><div class="overflow-hidden"><p aria-hidden="false" title="a hidden b">{one}</p></div><p>{two}</p></article>': both,
+        f'<article>{body}<p hidden>gone</p><p hidden="">gone</p><p style="color:red; display: none">gone</p></article>': both,
+        f'<article><svg width="1"/><svg-icon x=1></svg-icon><p>{one}</p><svg><text>gone</text></svg><p>{two}</p></article>': both,
+        f'<article><math/><p>{one}</p><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p></article>': f"{one}\n\nLet x=2 hold.",
+        f'<div class="post">{body}</div><div class="related"><article><p>Teaser.</p></article></div>': both,
+        f'<article><p>{one}</p><div id="comments"><p>{"talk " * 40}</p></div></article>': one,
+    }
+    for page, text in pages.items():
+        assert extract(page, Weights({})) == text, page
+
+
 def test_ann_recall_order_and_odd_vectors(spark):
     from pyspark.sql import functions as F
 
