@@ -16,7 +16,8 @@ The index sent to all tasks holds at most ``block_tokens`` benchmark tokens; a
 larger benchmark is taken in blocks, each against all documents.  A window
 holding a token no item has cannot hit and is not hashed.
 
-Tokens are lower-cased runs of letters and digits.  An item of fewer than
+Tokens are lower-cased runs of letters and digits, and the single characters
+of scripts without spaces.  An item of fewer than
 ``least`` tokens, or a null one, has nothing to match.  Null and empty
 documents have no hits.  Repeated rows are answered row by row; other columns are ignored.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, text_blocks
-from .wordtable import NOT_ALNUM, HashTable, Words, plain_bytes, spread
+from .wordtable import NOT_ALNUM, HashTable, Words, spread, word_bytes
 
 #: At most so many masks for one size of stretch.
 MOST_MASKS = 6
@@ -82,7 +83,7 @@ class SeedIndex:
 
     def __init__(self, items, masks=None, overlap: int = 13, agreement: float = 0.8, least: int = 5):
         self.overlap, self.agreement = overlap, agreement
-        words = Words([plain_bytes(t) for _, t in items], NOT_ALNUM)
+        words = Words([word_bytes(t) for _, t in items], NOT_ALNUM)
         self.vocabulary = HashTable()
         self.vocabulary.add(np.unique(words.hash))
         self.ids = self.vocabulary.find(words.hash).astype(np.int64)
@@ -171,12 +172,12 @@ class SeedIndex:
 
 
 def _blocks(benchmark: DataFrame, block_tokens: int):
-    """The benchmark in blocks of a bounded number of tokens (by their count of
-    white-space words, an item longer than that alone)."""
+    """The benchmark in blocks of a bounded number of tokens (taken as four
+    bytes each, an item longer than that alone)."""
     rows, held = [], 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(
             "text IS NOT NULL AND item_id IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
-        n = len(r.text) // 4 + 1
+        n = len(word_bytes(r.text)) // 4 + 1
         if rows and held + n > block_tokens:
             yield rows
             rows, held = [], 0
@@ -190,7 +191,7 @@ def _find(index):
     def run(batches):
         seeds = index.value
         for batch in batches:
-            docs, texts = batch.column("doc_id").to_pylist(), [plain_bytes(t) for t in batch.column("text").to_pylist()]
+            docs, texts = batch.column("doc_id").to_pylist(), [word_bytes(t) for t in batch.column("text").to_pylist()]
             out = []
             for a, b in text_blocks(texts, 1_000_000):
                 for text, item, matched, aligned in seeds.pairs(texts[a:b]):
@@ -221,7 +222,7 @@ def _keep(index):
     def run(batches):
         seeds = index.value
         for batch in batches:
-            texts = [plain_bytes(t) for t in batch.column("text").to_pylist()]
+            texts = [word_bytes(t) for t in batch.column("text").to_pylist()]
             keep = np.ones(len(texts), bool)
             for a, b in text_blocks(texts, 1_000_000):
                 for text, *_ in seeds.pairs(texts[a:b]):

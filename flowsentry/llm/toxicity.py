@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning.
 
-Only documents carry labels.  A sentence's score is a logistic function of its
-words; a document's is the noisy-or of its sentences: it is toxic unless every
-sentence is clean.  The weights are fitted to the document labels through that
+Words are lower-cased runs of letters and digits, and the single characters of
+scripts without spaces.  Only documents carry labels.  A sentence's score is a
+logistic function of its words; a document's is the noisy-or of its sentences:
+it is toxic unless every sentence is clean.  The weights are fitted to the document labels through that
 combination, so the sentences that make a document toxic get the credit, and
 :func:`offending_sentences` can point to them.
 
@@ -22,6 +23,7 @@ get the score of no evidence.  Repeated rows are scored row by row.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, held_out, prepare, stage_table, text_blocks, unit_hash
-from .wordtable import NOT_ALNUM, HashTable, Words, plain_bytes
+from .wordtable import NOT_ALNUM, LINES, STOPS, HashTable, Words, word_bytes
 
 _STOP = np.zeros(256, np.int64)
 _STOP[[ord(c) for c in ".!?\n"]] = 1
+_SENTENCE_END = re.compile(f"[.!?\n{STOPS}{LINES}]")
 
 
 @dataclass
@@ -75,7 +78,7 @@ def _document_counts(batches):
     """Per batch: each word, with the number of toxic and of clean documents
     that hold it."""
     for batch in batches:
-        texts, toxic = [plain_bytes(t) for t in batch.column("text").to_pylist()], batch.column("toxic").to_numpy()
+        texts, toxic = [word_bytes(t) for t in batch.column("text").to_pylist()], batch.column("toxic").to_numpy()
         for a, b in text_blocks(texts, 2_000_000):
             words = Words(texts[a:b], NOT_ALNUM)
             pair = np.unique(np.stack([words.hash, words.owner().astype(np.uint64)]), axis=1)
@@ -94,7 +97,7 @@ def _reduce(hashes: np.ndarray):
         table.add(hashes)
         for batch in batches:
             docs, toxic = batch.column("bag").to_pylist(), batch.column("toxic").to_pylist()
-            texts = [plain_bytes(t) for t in batch.column("text").to_pylist()]
+            texts = [word_bytes(t) for t in batch.column("text").to_pylist()]
             for a, b in text_blocks(texts, 2_000_000):
                 words = Words(texts[a:b], NOT_ALNUM)
                 feature = table.find(words.hash)
@@ -178,7 +181,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, vocabulary:
 def _score(model):
     def run(batches):
         for batch in batches:
-            texts = [plain_bytes(t) for t in batch.column("text").to_pylist()]
+            texts = [word_bytes(t) for t in batch.column("text").to_pylist()]
             out = [model.value.scores(texts[a:b]) for a, b in text_blocks(texts, 1_000_000)]
             score = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
@@ -197,7 +200,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
 def _keep(model, threshold):
     def run(batches):
         for batch in batches:
-            texts = [plain_bytes(t) for t in batch.column("text").to_pylist()]
+            texts = [word_bytes(t) for t in batch.column("text").to_pylist()]
             out = [model.value.scores(texts[a:b]) for a, b in text_blocks(texts, 1_000_000)]
             yield batch.filter(pa.array((np.concatenate(out) if out else np.zeros(0)) < threshold))
     return run
@@ -212,17 +215,20 @@ def clean_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
 def _locate(model, threshold):
     def run(batches):
         for batch in batches:
-            docs, texts = batch.column("doc_id").to_pylist(), [plain_bytes(t) for t in batch.column("text").to_pylist()]
+            docs, plain = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            texts = [word_bytes(t) for t in plain]
             rows = []
             for a, b in text_blocks(texts, 1_000_000):
                 words, text, number, p = model.value.sentences(texts[a:b])
-                stops = np.flatnonzero(_STOP[words.data])
+                before = np.r_[0, np.cumsum(_STOP[words.data])][words.text_starts]
+                number, known = number - before[text], -1
                 for t, s, score in zip(text.tolist(), number.tolist(), p.tolist()):
                     if score >= threshold:
-                        begin = max(int(stops[s - 1]) + 1 if s else 0, int(words.text_starts[t]))
-                        end = min(int(stops[s]) + 1 if s < len(stops) else len(words.raw), int(words.text_starts[t + 1]) - 1)
-                        rows.append((docs[a + t], begin - int(words.text_starts[t]), score,
-                                     words.raw[begin:end].decode("utf-8", "replace").strip()))
+                        if t != known:
+                            known, lower = t, plain[a + t].lower()
+                            ends = [0, *(m.end() for m in _SENTENCE_END.finditer(lower)), len(lower)]
+                        rows.append((docs[a + t], len(lower[:ends[s]].encode("utf-8", "surrogatepass")), score,
+                                     lower[ends[s]:ends[s + 1]].strip()))
             yield pd.DataFrame(rows, columns=["doc_id", "start_byte", "score", "sentence"])
     return lambda batches: (pa.RecordBatch.from_pandas(f, pa.schema([
         ("doc_id", pa.int64()), ("start_byte", pa.int64()), ("score", pa.float64()), ("sentence", pa.string())]),

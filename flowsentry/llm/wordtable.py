@@ -10,6 +10,9 @@ million distinct words the odds of any collision are about 3 in a million.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -191,7 +194,7 @@ class WordValues:
 
 
 #: Every ASCII byte but letters and digits separates words; bytes of longer
-#: UTF-8 characters belong to words.
+#: UTF-8 characters belong to words (see word_bytes).
 NOT_ALNUM = np.ones(256, bool)
 NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -201,6 +204,56 @@ def plain_bytes(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "surrogatepass")
 
 
+#: Characters that end a sentence as ``.`` does, and a line as a newline does.
+STOPS = "。｡．！？؟۔।॥…‼⁇⁈⁉‽։።፧"
+LINES = "\x85\u2028\u2029"
+#: Blocks of the scripts that put no space between words.
+_UNSPACED = ("\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u2e80-\u2fdf\u3005-\u3007\u3021-\u3029\u3031-\u3035"
+             "\u3038-\u303b\u3040-\u30ff\u3100-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaa7f"
+             "\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff")
+_IN_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_AFTER_UNSPACED = re.compile(f"(?<=[{_UNSPACED}])(?=[^{_UNSPACED} ])")
+
+
+class _Letters(dict):
+    """What ``str.translate`` makes of each character met so far."""
+
+    def __missing__(self, code: int):
+        c = chr(code)
+        kind = unicodedata.category(c)
+        if code < 128:
+            self[code] = code
+        elif c in STOPS:
+            self[code] = "."
+        elif c in LINES:
+            self[code] = "\n"
+        elif 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF or (kind == "Cf" and code != 0x200B):
+            self[code] = None                                  # variation selectors, soft hyphens, joiners, ...
+        elif kind[0] not in "LNM":
+            self[code] = " "
+        else:
+            self[code] = f" {c}" if kind[0] != "M" and _IN_UNSPACED.match(c) else c
+        return self[code]
+
+
+_LETTERS = _Letters()
+#: Anything but ASCII and the letters, digits and marks of the first blocks, which stay as they are.
+_ODD = re.compile("[^\\x00-\\x7f%s]" % "".join(chr(k) for k in range(128, 0x530) if unicodedata.category(chr(k))[0] in "LNM"))
+
+
+def word_bytes(text: str | None) -> bytes:
+    """Lower-cased UTF-8 of a text for splitting at NOT_ALNUM; null is empty.
+    Beyond ASCII too, what is no letter, digit or mark becomes a space (or the
+    ASCII sign that ends a sentence or line alike), invisible characters go,
+    and in scripts without spaces every character is a word."""
+    text = (text or "").lower()
+    if not text.isascii() and _ODD.search(text):
+        text = text.translate(_LETTERS)
+        if _IN_UNSPACED.search(text):
+            text = _AFTER_UNSPACED.sub(" ", text)
+    return text.encode("utf-8", "surrogatepass")
+
+
 def spread(counts: np.ndarray):
     """For runs of the given sizes: the run of each element and its place."""
     run = np.repeat(np.arange(len(counts)), counts)

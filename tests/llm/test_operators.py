@@ -336,6 +336,33 @@ def test_toxicity_learns_and_locates(spark):
     assert score_documents(docs.limit(0), learn(docs.limit(0), label.limit(0))).count() == 0
 
 
+def test_words_beyond_ascii(spark):
+    from flowsentry.llm.decontaminate import contaminated_pairs
+    from flowsentry.llm.toxicity import ToxicityModel, offending_sentences, score_documents
+    from flowsentry.llm.wordtable import NOT_ALNUM, Words, word_bytes
+
+    def split(text):
+        w = Words([word_bytes(text)], NOT_ALNUM)
+        return [w.word(k).decode() for k in range(len(w.hash))]
+    assert split("“One”—two\u2026three\u00a0four\u3000don’t «пять» ni\u00adño") == ["one", "two", "three", "four", "don", "t", "пять", "niño"]
+    assert split("这是abc。हिन्दी भाषा।") == ["这", "是", "abc", "हिन्दी", "भाषा"]
+    item = [f"t{k}" for k in range(14)]
+    chinese = "春眠不觉晓处处闻啼鸟夜来风雨"
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, chinese)], "item_id long, text string")
+    typeset = "“" + "” “".join(item[:5]) + "”\u2014" + "\u00a0".join(item[5:9]) + "…" + "\u2013".join(item[9:]) + "’s"
+    docs = spark.createDataFrame([(1, typeset), (2, f"他说{chinese}声。"), (3, "春天来了")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contaminated_pairs(docs, benchmark).collect()} == {(1, 1), (2, 2)}
+
+    model = ToxicityModel(Words([b"blarg"], NOT_ALNUM).hash, np.array([6.0]), -2.0, 0.01)
+    texts = ["a blarg b", "a “blarg” b", "so—blarg—he", "a\u00a0blarg…", "这blarg是", "a blargs b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.predicted for r in score_documents(docs, model).orderBy("doc_id").collect()] == [1, 1, 1, 1, 1, 0]
+    text = "Größe “ok”。这是 İ… Bad «Blarg»！ End. blarg"
+    found = offending_sentences(spark.createDataFrame([(7, "Fine. Text."), (8, text)], "doc_id long, text string"), model).collect()
+    assert [(r.doc_id, r.start_byte, r.sentence) for r in found] == [
+        (8, len(text.lower()[:text.lower().index(" bad")].encode()), "bad «blarg»！"), (8, len(text.lower()[:-6].encode()), "blarg")]
+
+
 def test_forward_sums_all_segmentations():
     from flowsentry.llm.language_id import MARK, UNKNOWN, Lattice, forward
     pieces = [MARK, MARK + "a", "a", "b", "ab", "bc", "abc"]
