@@ -37,10 +37,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-byte strings that an earlier document holds.  A
     character cut in two is dropped, and so is a document of which nothing is
     left; ``n_chars`` follows the text where it changed."""
-    cut = suffix_dedup.remove_repeats(docs.withColumn("__null", F.col("text").isNull()), length=50)
+    cut = suffix_dedup.remove_repeats(docs.withColumn("__null", F.col("text").isNull()), length=50, whole_characters=True)
     valid = F.make_valid_utf8(F.col("kept").cast("string"))
-    text = F.when(F.col("__null"), None).when(F.col("n_removed") > 0, F.regexp_replace(valid, "�", "")).otherwise(valid)
-    left = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes"))).withColumn("text", text)
+    text = F.when(F.col("__null"), None).otherwise(valid)
+    left = cut.where((F.col("n_removed") == 0) | (F.octet_length("kept") > 0)).withColumn("text", text)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

@@ -123,6 +123,18 @@ def plain_components(codes: dict, bound=2):
     return {i: root(i) for i in ids}
 
 
+def test_cuts_keep_replacement_characters_of_the_text(spark):
+    from corpus_pipeline import cut_repeats
+    rng = np.random.default_rng(12)
+    passage = words(rng, 30)
+    # é and ã are C3 A9 and C3 A3: the first byte is shared, the second not; so are the last bytes of é and ©
+    rows = [(1, f"one é{passage}é first"), (2, f"tw\ufffdo ©{passage}ã second \ufffd"), (3, passage), (4, "all \ufffd"), (5, None)]
+    docs = spark.createDataFrame([(k, t, len(t or "")) for k, t in rows], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: r for r in cut_repeats(spark, docs, "").collect()}
+    assert {k: r.text for k, r in got.items()} == {1: rows[0][1], 2: "tw\ufffdo  second \ufffd", 4: "all \ufffd", 5: None}
+    assert all(r.n_chars == len(r.text or "") for r in got.values())
+
+
 def test_near_duplicates_match_brute_force(docs, texts):
     from flowsentry.llm.simhash import near_duplicates, representatives
     got = near_duplicates(docs).collect()
