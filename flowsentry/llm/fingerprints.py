@@ -93,12 +93,11 @@ def signatures(weights: DataFrame, group: str, member: str, samples: int = 64) -
     rows = shared.select(group, "term", F.ln(F.col("weight").cast("double")).alias("ln_w"), "members",
                          F.explode_outer(F.sequence(F.lit(0), F.lit(samples // WIDTH - 1))).alias("part"))
     dim = lambda j: F.col("part") * WIDTH + j
-    drawn = rows.select("*", *[c.alias(f"{n}{j}") for j in range(WIDTH) for n, c in zip("rcb", draws(F.col("term"), dim(j)))])
-    sampled = drawn.select(group, "part", "members", *[
-        sample(F.col("term"), dim(j), F.col("ln_w"), F.col(f"r{j}"), F.col(f"c{j}"), F.col(f"b{j}")).alias(f"s{j}") for j in range(WIDTH)])
     # a lambda keeps this projection out of whole-stage code, where it would be
     # one method too long for the JVM to compile
-    sampled = sampled.withColumn("members", F.when(F.exists(F.array("part"), lambda p: p < 0), None).otherwise(F.col("members")))
+    apart = F.when(F.exists(F.array("part"), lambda p: p < 0), None).otherwise(F.col("members"))
+    sampled = rows.select(group, "part", apart.alias("members"), *[
+        sample(F.col("term"), dim(j), F.col("ln_w"), *draws(F.col("term"), dim(j))).alias(f"s{j}") for j in range(WIDTH)])
     each = sampled.select(group, "part", *[f"s{j}" for j in range(WIDTH)], F.explode_outer("members").alias(member))
     least = each.groupBy(group, member, "part").agg(*[F.min(f"s{j}").alias(f"s{j}") for j in range(WIDTH)])
     return least.select(group, member, "part", F.array(*[F.col(f"s{j}").bitwiseAND(F.lit((1 << BITS) - 1)) for j in range(WIDTH)]).alias("sig"))

@@ -1,6 +1,6 @@
-"""Registered queries of the ten operators, with production parameters, each
-over its whole table.  SQL cannot express these operators; they are tested
-against brute-force versions in ``tests/llm``."""
+"""Registered queries of the operators, with production parameters, each
+over its whole table.  SQL can express the ranked search; the others are
+tested against brute-force versions in ``tests/llm``."""
 
 from __future__ import annotations
 
@@ -81,6 +81,40 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_pairs(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import rank_documents
+    return rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align_documents
+    return align_documents(read_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import neighbour_fingerprints
+    found = neighbour_fingerprints(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2(F.encode("edited_text", "UTF-8"), 256).alias("edited_sha256"),
+                        "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_ann, op2_suffix_dedup, op3_html_extract, op4_language_id, op5_simhash_near_dedup, op6_best_fit_packing, op7_toxicity, op8_decontaminate, op9_token_counts, op10_chat_format)}
-ORACLE_SQL: dict[str, str] = {}
+    op1_ann, op2_suffix_dedup, op3_html_extract, op4_language_id, op5_simhash_near_dedup, op6_best_fit_packing, op7_toxicity, op8_decontaminate, op9_token_counts, op10_chat_format,
+    op11_lexical_search, op12_tokenizer_alignment, op13_fingerprints)}
+
+_TERMS = r"unnest(regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
+         r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+ORACLE_SQL: dict[str, str] = {"op11_lexical_search": f"""
+with docs as (select row_number() over () as d, doc_id, text from documents),
+words as (select d, {_TERMS.format(text="text")} as term from docs),
+tfs as (select d, term, count(*) as tf from words group by d, term),
+lengths as (select d, count(*) as n from words group by d),
+totals as (select count(*) as docs, cast(sum(n) as bigint) as total from lengths),
+weights as (select term, cast(floor(1000 * ln((2.0 * docs + 2) / (2.0 * df + 1))) as bigint) as w
+            from (select term, count(*) as df from tfs group by term), totals),
+asked as (select item_id, term, count(*) as times from (select item_id, {_TERMS.format(text="text")} as term from benchmark) group by item_id, term),
+scores as (select item_id, d, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // total)))) as bigint) as score
+           from asked join weights using (term) join tfs using (term) join lengths using (d), totals group by item_id, d),
+ranked as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank
+           from scores join docs using (d) where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 20"""}
