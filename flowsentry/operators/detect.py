@@ -43,15 +43,31 @@ def _py_float_text(c: Column) -> Column:
     return F.when(whole, F.concat(c.cast("long").cast("string"), F.lit(".0"))).otherwise(c.cast("string"))
 
 
+def _group_facts() -> list[Column]:
+    t = F.col("start_time")
+    finite = F.when(~F.isnan(t) & (F.abs(t) != F.lit(float("inf"))), t)
+    return [F.count(F.lit(1)).alias("flow_count"),
+            F.max("confidence").alias("confidence"),
+            F.min_by("ml_evidence_code", "row_id").alias("evidence_code"),
+            F.min("start_time").alias("first_seen"),
+            F.max("start_time").alias("last_seen"),
+            F.min(finite).alias("first_finite"), F.max(finite).alias("last_finite")]
+
+
 def threat_groups(threats: DataFrame) -> DataFrame:
     """The D1 aggregate, with each group's first and last start time so that
-    D6 can be rolled up from it instead of re-reading the threat flows."""
-    return (threats.groupBy("src_ip", "dst_ip", "threat_type", "severity", "protocol")
-            .agg(F.count(F.lit(1)).alias("flow_count"),
-                 F.max("confidence").alias("confidence"),
-                 F.min_by("ml_evidence_code", "row_id").alias("evidence_code"),
-                 F.min("start_time").alias("first_seen"),
-                 F.max("start_time").alias("last_seen")))
+    D6 and the timeline's range can be rolled up from it instead of re-reading
+    the threat flows."""
+    return threats.groupBy("src_ip", "dst_ip", "threat_type", "severity", "protocol").agg(*_group_facts())
+
+
+def flow_groups(arbitrated: DataFrame) -> DataFrame:
+    """The D1 groups of the threat flows, and of all other flows one group per
+    protocol (no source, destination, type or severity): one pass over the
+    flows from which D1, D6, the run record and the timeline's range follow."""
+    threat = F.col("threat_type").isNotNull()
+    keys = [F.when(threat, F.col(c)).alias(c) for c in ("src_ip", "dst_ip", "threat_type", "severity")]
+    return arbitrated.groupBy(*keys, "protocol").agg(*_group_facts())
 
 
 def dedup_flow_alerts(threats: DataFrame, groups: DataFrame | None = None) -> DataFrame:

@@ -7,10 +7,11 @@
   only where model evidence needs it.  Trees split on uniform thresholds
   between a node's min and max, so they are unchanged by per-feature affine
   scaling; fitting and scoring use the sanitised features directly.
-* M4 fit, in one job over the table: each row is routed to the trees whose
-  hash ``u(row, tree) < p`` (the tree ids are filtered before the explode, so
-  a row that no tree draws makes no rows); each tree keeps its ``psi`` smallest-``u`` rows, so its subsample is
-  exactly the psi sampled rows of smallest hash.
+* M4 fit, in one job over the table: one hash a row picks the rows that any
+  tree may draw, about ``trees`` times a tree's share of them; only these, a number that
+  does not grow with the table, get a hash ``u(row, tree)`` for each tree and go
+  to the trees where it is small.  Each tree keeps its ``psi`` smallest-``u`` rows, so its
+  subsample is exactly the psi picked rows of smallest hash.
   ``groupBy(tree_id).applyInPandas`` grows the trees, one group per tree of
   about ``2 psi`` rows.
 * M5 score: the node table (``n_trees x (2^(depth+1)-1)`` entries, a size fixed
@@ -133,10 +134,13 @@ def fit_trees(vec: DataFrame, n: int, cfg: DetectionConfig = DEFAULT_CONFIG):
     trees = cfg.n_trees
 
     def attempt(p: float) -> pd.DataFrame:
-        drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
-                         lambda t: _unit_hash(cfg.seed, F.col("row_id"), t) < F.lit(p))
-        routed = (vec.select("row_id", *FEATURE_COLUMNS, F.explode(drawn).alias("tree_id"))
-                  .withColumn("__u", _unit_hash(cfg.seed, F.col("row_id"), F.col("tree_id"))))
+        # one hash a row picks the rows that any tree may draw; only these get a
+        # hash per tree, whose share makes p of all rows for each tree
+        some = min(1.0, trees * p)
+        routed = (vec.select("row_id", *FEATURE_COLUMNS)
+                  .where(_unit_hash(cfg.seed, F.col("row_id"), F.lit(trees)) < F.lit(some))
+                  .select("row_id", *FEATURE_COLUMNS, F.explode_outer(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree_id"))
+                  .withColumn("__u", _unit_hash(cfg.seed, F.col("row_id"), F.col("tree_id"))).where(F.col("__u") < F.lit(p / some)))
         nodes = (routed.groupBy("tree_id")
                  .applyInPandas(_grow(psi, depth, cfg.seed), _tree_schema()))
         return nodes.toPandas()   # bounded: trees x (2^(depth+1)-1) rows

@@ -1,8 +1,9 @@
 """Alert search and derived views (Q1-Q13).
 
-Filters are plain predicates, so on stored alerts they reach the parquet scan
-(and ``run_id`` partition pruning) untouched.  Values are compared as text;
-nothing is interpreted as a pattern.
+Values are compared as text; nothing is interpreted as a pattern.  Q1 and Q2
+compare without case: where the frame holds the upper-case texts that the
+ledger stores (``severity_key``, ``protocol_key``) they are equalities on these
+columns, which reach the parquet scan as Q3 does.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ def protocol_is(value: str) -> Column:
 
 
 def threat_type_is(value: str) -> Column:
-    """Q3: exact equality."""
-    return F.coalesce(F.col("threat_type"), F.lit("")) == F.lit(value)
+    """Q3: exact equality, null threat type as ''."""
+    return F.col("threat_type") == value if value else F.coalesce(F.col("threat_type"), F.lit("")) == ""
 
 
 def ip_contains(term: str) -> Column:
@@ -39,10 +40,10 @@ def search_alerts(alerts: DataFrame, severity: str = "", protocol: str = "",
                   threat_type: str = "", ip: str = "") -> DataFrame:
     """Q5: AND of Q1-Q4; an empty filter passes everything."""
     out = alerts
-    if severity:
-        out = out.where(severity_is(severity))
-    if protocol:
-        out = out.where(protocol_is(protocol))
+    for column, value, test in (("severity", severity, severity_is), ("protocol", protocol, protocol_is)):
+        if value:
+            stored = f"{column}_key"
+            out = out.where(F.col(stored) == value.upper() if stored in alerts.columns else test(value))
     if threat_type:
         out = out.where(threat_type_is(threat_type))
     if ip:

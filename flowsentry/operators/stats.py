@@ -1,7 +1,7 @@
 """Summary statistics and chart tables.
 
 All are aggregates with partial aggregation; the one-row run record comes
-from one GROUPING SETS aggregate (one scan, one shuffle) folded into a row.  Chart bins are zero-filled by a union with one zero row per bin
+from one GROUPING SETS aggregate over counts per group, folded into a row.  Chart bins are zero-filled by a union with one zero row per bin
 (a frame sized by the bin count) and a sum - no join.
 """
 
@@ -61,15 +61,21 @@ def top_threat_type(threats: DataFrame) -> DataFrame:
 
 
 def run_stats(arbitrated: DataFrame, processing_time_sec: float | None = None,
-              with_map: bool = True) -> DataFrame:
-    """The one-row record from one scan: a GROUPING SETS aggregate over
-    (src_ip), (threat_type), (protocol name) and () - partial aggregation
-    after the expand, one shuffle - then a fold of that small result.  Top
+              with_map: bool = True, groups: DataFrame | None = None) -> DataFrame:
+    """The one-row record.  The flows are first counted by (source, threat
+    type, protocol name), the source only for threats, so all others fold into
+    one group per protocol; or ``groups`` (``detect.flow_groups``) is taken,
+    which holds these counts already.  The GROUPING SETS over (src_ip),
+    (threat_type), (protocol name) and () expand only that small table.  Top
     values take the largest count, ties to the smallest key."""
-    keyed = arbitrated.select("src_ip", "threat_type", _protocol_key().alias("proto"))
+    source = F.when(F.col("threat_type").isNotNull(), F.col("src_ip")).alias("src_ip")
+    if groups is None:
+        keyed = arbitrated.groupBy(source, "threat_type", _protocol_key().alias("proto")).agg(F.count(F.lit(1)).alias("n"))
+    else:
+        keyed = groups.groupBy(source, "threat_type", _protocol_key().alias("proto")).agg(F.sum("flow_count").alias("n"))
     sets = keyed.sparkSession.sql(
-        "SELECT grouping_id() AS gid, src_ip, threat_type, proto, count(1) AS n, "
-        "count_if(threat_type IS NOT NULL) AS nt FROM {t} "
+        "SELECT grouping_id() AS gid, src_ip, threat_type, proto, sum(n) AS n, "
+        "coalesce(sum(n) FILTER (WHERE threat_type IS NOT NULL), 0) AS nt FROM {t} "
         "GROUP BY GROUPING SETS ((src_ip), (threat_type), (proto), ())", t=keyed)
     # grouping_id bits follow (src_ip, threat_type, proto): 3 = by source,
     # 5 = by type, 6 = by protocol, 7 = grand total
@@ -147,6 +153,12 @@ def time_range(threats: DataFrame) -> tuple:
     return (None, None) if row is None or row["lo"] is None else (float(row["lo"]), float(row["hi"]))
 
 
+def grouped_time_range(groups: DataFrame) -> tuple:
+    """:func:`time_range` from the D1 groups."""
+    row = groups.where(F.col("threat_type").isNotNull()).agg(F.min("first_finite").alias("lo"), F.max("last_finite").alias("hi")).first()
+    return (None, None) if row["lo"] is None else (float(row["lo"]), float(row["hi"]))
+
+
 def threats_over_time(threats: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
                       bounds: tuple | None = None) -> DataFrame:
     """A9 + A10: 30 equal-width bins over [min, max] of threat start times,

@@ -46,6 +46,7 @@ class ScoredFlows:
     scores: DataFrame | None = None   # ``ml_score`` per flow, for the histogram
     pairs: DataFrame | None = None    # the stored (src, dst) summary
     written: list = field(default_factory=list)   # scratch folders of this run
+    groups: DataFrame | None = None   # the stored D1 groups (``detect.flow_groups``)
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` to a scratch folder of this run and read it back."""
@@ -53,6 +54,15 @@ class ScoredFlows:
         self.written.append(path)
         return out
 
+    def flow_groups(self) -> DataFrame:
+        """One pass over the flows for D1, D6, the run record and the range of
+        the timeline; written once where the run writes its features."""
+        if self.groups is None:
+            self.groups = detect.flow_groups(self.flows)
+            if self.path is not None:
+                self.groups = self.store(self.groups, "flow-groups")
+        return self.groups
+
     def release(self):
         """Drop the caches and the scratch tables; the frames built on them end
         here."""
@@ -184,7 +194,7 @@ def alerts_before_cut(sf: ScoredFlows, cfg: DetectionConfig = DEFAULT_CONFIG) ->
     and the calibrated alerts are read by several branches, so a run that
     writes its features writes them too, once each."""
     threats = arb.threat_flows(sf.flows)
-    groups = detect.threat_groups(threats)
+    groups = sf.flow_groups().where(F.col("threat_type").isNotNull())
     if sf.path is not None and sf.pairs is None:
         sf.pairs = sf.store(detect.pair_summary(sf.flows), "flow-pairs")
     raw = detect.union_alerts(sf.flows, threats, sf.thresholds.n_rows, cfg, groups, sf.pairs)
@@ -228,6 +238,9 @@ def analyze_and_collect(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
                      with_pairs=materialize)
     t = time.time()
     threats = arb.threat_flows(sf.flows)
+    groups = sf.flow_groups()
+    timings["groups"] = round(time.time() - t, 3)
+    t = time.time()
     built = {}
 
     def alerts():
@@ -237,7 +250,7 @@ def analyze_and_collect(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
         return built["ranked"].collect()
 
     def stats():
-        built["stats"] = st.run_stats(sf.flows)
+        built["stats"] = st.run_stats(sf.flows, groups=groups)
         return built["stats"].collect()
 
     def histogram():
@@ -255,7 +268,7 @@ def analyze_and_collect(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
         return built["histogram"].collect()
 
     def timeline():
-        built["threats_over_time"] = st.threats_over_time(threats, cfg)
+        built["threats_over_time"] = st.threats_over_time(threats, cfg, st.grouped_time_range(groups))
         return built["threats_over_time"].collect()
 
     names = ("ranked", "stats", "histogram", "threats_over_time")
@@ -279,9 +292,9 @@ def analyze(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG, ml: str | N
     alerts = every.select(*cal.FINAL_COLUMNS)
     ranked = cal.rank_alerts(every, cfg).select(*cal.FINAL_COLUMNS)
     threats = arb.threat_flows(sf.flows)
-    stats = st.run_stats(sf.flows)
+    stats = st.run_stats(sf.flows, groups=sf.flow_groups())
     hist = st.score_histogram(sf.scores, "ml_score", cfg.histogram_bins)
-    timeline = st.threats_over_time(threats, cfg)
+    timeline = st.threats_over_time(threats, cfg, st.grouped_time_range(sf.flow_groups()))
     timings["plan_outputs"] = round(time.time() - t, 3)
     return AnalysisResult(stats, alerts, hist, timeline, sf, ranked)
 
@@ -294,15 +307,16 @@ def run_file(spark: SparkSession, path: str, ledger: RunLedger, cfg: DetectionCo
     The record and both charts are small collected tables; the alerts go from
     their table to the store without passing the driver."""
     t = time.time()
-    res, rows = analyze_and_collect(read_flow_csv(spark, path), cfg, ml)
+    written: list = []
+    res, rows = analyze_and_collect(read_flow_csv(spark, path, written=written), cfg, ml)
+    res.scored.written += written
     seconds = round(time.time() - t, 3)
     names = res.stats.columns
     stats = spark.createDataFrame([tuple(r[c] for c in names) for r in rows["stats"]], res.stats.schema)
     stats = stats.withColumn("processing_time_sec", F.lit(seconds))
     charts = [spark.createDataFrame(rows[k], df.schema)
               for k, df in (("histogram", res.histogram), ("threats_over_time", res.threats_over_time))]
-    run_id = ledger.write_run(stats, *charts, filename or path.rstrip("/").rsplit("/", 1)[-1])
-    ledger.write_alerts(res.alerts, run_id)
+    run_id = ledger.store_run(stats, *charts, res.alerts, filename or path.rstrip("/").rsplit("/", 1)[-1])
     res.release()
     record = rows["stats"][0]
     return {"run_id": run_id, "total_flows": record["total_flows"],

@@ -589,6 +589,48 @@ def select_input_files(spark, sf_dir):
     return flowcsv.select_input_files(spark, path)
 
 
+@register("input_files_summary", "with " + O.flows_cte_duckdb() + """
+select cast(row_id % 3 as varchar) as folder, 1 as files,
+       cast(octet_length(encode('src_ip,dst_ip,bytes')) + 1 + sum(octet_length(encode(src_ip || ',' || dst_ip || ',' || cast(cast(bytes as bigint) as varchar))) + 1) as bigint) as bytes
+from flows group by row_id % 3""")
+def input_files_summary(spark, sf_dir):
+    """S7 by value: a folder of three CSVs (and a file of another kind beside
+    them), the files found and their lengths against the lines written."""
+    path = scratch_path(spark, "flows-csv-sizes")
+    flows = _flows(spark, sf_dir)
+    lines = flows.select((F.col("row_id") % 3).cast("string").alias("folder"), "src_ip", "dst_ip", F.col("bytes").cast("long").alias("bytes"))
+    lines.repartition(3, "folder").write.partitionBy("folder").option("header", True).csv(path)
+    flows.limit(1).select("src_ip").write.text(f"{path}/folder=0/notes")
+    found = flowcsv.select_input_files(spark, path)
+    return (found.groupBy(F.regexp_extract("path", "folder=([0-9]+)", 1).alias("folder"))
+            .agg(F.count(F.lit(1)).cast("int").alias("files"), F.sum("length").alias("bytes")))
+
+
+@register("ledger_search", O.with_ctes(*O.ALERTS_FINAL) + f"""
+select {_FINAL_COLS} from final where upper(coalesce(severity, '')) = 'CONFIRMED' and upper(coalesce(protocol, '')) = 'TCP'""")
+def ledger_search(spark, sf_dir):
+    """Q1, Q2 and Q5 on stored alerts: equalities on the stored columns."""
+    ledger = new_ledger(spark)
+    sf = _scored(spark, sf_dir)
+    ledger.store_run(st.run_stats(sf.flows), st.score_histogram(sf.flows), st.threats_over_time(arb.threat_flows(sf.flows)),
+                     _final(spark, sf_dir, sf), "flows.csv")
+    return ledger.search(severity="confirmed", protocol="tcp").select(*cal.FINAL_COLUMNS)
+
+
+@register("ledger_recent_alerts", O.with_ctes(*O.ALERTS_FINAL) + f"""
+select {_FINAL_COLS} from final order by confidence desc, src_ip, dst_ip, threat_type limit 15""")
+def ledger_recent_alerts(spark, sf_dir):
+    """S15 by contents: an older run's alerts, newer runs without any, then the
+    newest with alerts."""
+    ledger = new_ledger(spark)
+    sf = _scored(spark, sf_dir)
+    stats, final = st.run_stats(sf.flows), _final(spark, sf_dir, sf)
+    charts = st.score_histogram(sf.flows), st.threats_over_time(arb.threat_flows(sf.flows))
+    for name, alerts in (("old.csv", final.limit(0)), ("flows.csv", final), ("none.csv", final.limit(0))):
+        ledger.store_run(stats, *charts, alerts, name)
+    return ledger.recent_alerts(15).select(*cal.FINAL_COLUMNS)
+
+
 @register("ledger_latest_alerts", O.with_ctes(*O.ALERTS_FINAL) + f"select {_FINAL_COLS} from final")
 def ledger_latest_alerts(spark, sf_dir):
     """Two runs appended to a fresh ledger (an empty one first), then
@@ -599,10 +641,8 @@ def ledger_latest_alerts(spark, sf_dir):
     stats = st.run_stats(sf.flows)
     hist = st.score_histogram(sf.flows)
     timeline = st.threats_over_time(arb.threat_flows(sf.flows))
-    first = ledger.write_run(stats, hist, timeline, "empty.csv")
-    ledger.write_alerts(final.limit(0), first)
-    run = ledger.write_run(stats, hist, timeline, "flows.csv")
-    ledger.write_alerts(final, run)
+    ledger.store_run(stats, hist, timeline, final.limit(0), "empty.csv")
+    ledger.store_run(stats, hist, timeline, final, "flows.csv")
     return ledger.alerts_of_latest_run().select(*cal.FINAL_COLUMNS)
 
 
@@ -628,8 +668,7 @@ def ledger_reads(spark, sf_dir):
     stats, final = st.run_stats(sf.flows), _final(spark, sf_dir, sf)
     hist, timeline = st.score_histogram(sf.flows), st.threats_over_time(arb.threat_flows(sf.flows))
     for name in ("a.csv", "b.csv"):
-        run = ledger.write_run(stats, hist, timeline, name)
-        ledger.write_alerts(final, run)
+        run = ledger.store_run(stats, hist, timeline, final, name)
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     latest = ledger.latest_or_default_stats().select(F.col("total_flows").alias("latest_flows"))
     out = ledger.counts()
@@ -710,6 +749,41 @@ def isolation_forest_scores(spark, sf_dir):
     return sf.flows.select("row_id", "anomaly_score", "ml_score", "ml_label", "threat_type", "severity")
 
 
+#: Two small trees over the model's features, as heaps: (feature, value) of inner nodes, path of leaves.
+_GIVEN_TREES = (
+    {0: ("packets", 20.0), 1: ("bytes_per_packet", 300.0), 2: ("flow_duration", 5.0), 3: 2.0, 4: 3.5, 5: 4.0, 6: 2.25},
+    {0: ("bytes", 5000.0), 1: 1.0, 2: ("packets_per_sec", 50.0), 5: 2.0, 6: ("udp_ratio", 0.5), 13: 3.0, 14: 5.25},
+)
+
+
+def _given_path(tree: dict, node: int = 0) -> str:
+    """The path of a flow through a given tree as SQL."""
+    at = tree[node]
+    if not isinstance(at, tuple):
+        return f"{at!r}::DOUBLE"
+    return f"case when {at[0]} <= {at[1]!r}::DOUBLE then {_given_path(tree, 2 * node + 1)} else {_given_path(tree, 2 * node + 2)} end"
+
+
+@register("given_forest_scores", O.with_ctes(O.FEAT, _VEC) + "select row_id, round(pow(2.0::DOUBLE, -(("
+          + " + ".join(_given_path(t) for t in _GIVEN_TREES)
+          + ") / 2.0::DOUBLE) / (2.0::DOUBLE * (ln(255.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2.0::DOUBLE * 255 / 256)), 9) as score from vec")
+def given_forest_scores(spark, sf_dir):
+    """M5 by value: every flow scored with two given trees of psi 256."""
+    import numpy as np
+    depth = 3
+    shape = (len(_GIVEN_TREES), 2 ** (depth + 1) - 1)
+    feature, value, path = np.full(shape, -1, "int32"), np.zeros(shape), np.zeros(shape)
+    for k, tree in enumerate(_GIVEN_TREES):
+        for node, at in tree.items():
+            if isinstance(at, tuple):
+                feature[k, node], value[k, node] = FEATURE_COLUMNS.index(at[0]), at[1]
+            else:
+                path[k, node] = at
+    vec = model_vector(with_features(_flows(spark, sf_dir)))
+    model = iforest.ForestModel({}, feature, value, path, 256, depth)
+    return vec.select("row_id", F.round(iforest.raw_scores(model, vec), 9).alias("score"))
+
+
 @register("ml_hit_count", O.with_ctes(*O.BASE_INJECTED) + """
 select cast(sum(ml_label) as bigint) as ml_hits,
        coalesce(sum(ml_label)::DOUBLE * 100.0::DOUBLE / count(*)::DOUBLE, 0.0::DOUBLE) as ml_hit_percent from arb""")

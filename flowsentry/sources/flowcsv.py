@@ -2,13 +2,16 @@
 
 Files are scanned with every column as text; typing decisions that depend on
 a whole column (all-or-nothing casts, the first time format that fits every
-value) are taken from one probe aggregate over all columns at once.  The input
-is read once for the row counts of its splits, once for the probe and once for
-the data.
+value) are taken from one probe over all columns at once, an aggregate per
+split that counts its rows for the row index as well.  So the input is read
+twice, for the probe and for the data, and a third time only where a time
+column holds neither numbers nor ISO times and some format has the right shape.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +19,7 @@ from pyspark.sql.window import Window
 
 from ..config import (FLOW_COLUMNS, HEADER_HINT_COLUMNS, NUMERIC_COLUMNS,
                       REQUIRED_COLUMNS, TIME_COLUMNS, TIME_FORMATS)
+from ..session import scratch_path
 from .partitioning import ensure_parallelism
 
 
@@ -106,28 +110,51 @@ def validate_required_columns(df: DataFrame) -> DataFrame:
 BROADCAST_SPLITS = 100_000
 
 
-def with_row_index(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Contiguous 0..n-1 in the order of file path, place in the file and line,
-    without funnelling rows through one task.  A split's rows are read in
-    order, so a row's index is the number of rows in earlier splits plus its
-    place in its own.  The counts, one row per split, are summed up by a window
-    over that small table, which is joined back; a frame that does not come
-    from files counts by partition."""
+def _tagged(df: DataFrame) -> DataFrame:
+    """Rows with the split they came from and a number rising inside it; a
+    frame that does not come from files counts by partition."""
     if _FILE not in df.columns:
         pid = F.shiftright(F.monotonically_increasing_id(), 33)
         df = df.withColumn(_FILE, F.lit("")).withColumn(_BLOCK, pid)
-    tagged = df.withColumn("__mid", F.monotonically_increasing_id())
-    splits = tagged.groupBy(_FILE, _BLOCK).agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
+    return df.withColumn("__mid", F.monotonically_increasing_id())
+
+
+def _stored_splits(tagged: DataFrame, probes: list[Column], written: list | None) -> tuple[DataFrame, dict, int]:
+    """One read of the rows: how many each split has, written as a table of one
+    row per split, the sums of the probes, and the number of splits."""
+    spark = tagged.sparkSession
+    path = scratch_path(spark, "csv-splits")
+    counted = tagged.groupBy(_FILE, _BLOCK).agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"), *probes)
+    counted.write.parquet(path)
+    if written is not None:
+        written.append(path)
+    splits = spark.read.schema(counted.schema).parquet(path)
+    names = [c for c in counted.columns if c not in (_FILE, _BLOCK, "__n", "__first")]
+    sums = splits.agg(F.count(F.lit(1)).alias("__splits"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first().asDict()
+    return splits.select(_FILE, _BLOCK, "__n", "__first"), sums, sums.pop("__splits")
+
+
+def _indexed(tagged: DataFrame, splits: DataFrame, n_splits: int, name: str) -> DataFrame:
     before = Window.orderBy(_FILE, _BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(F.col(_FILE).alias("__f"), F.col(_BLOCK).alias("__b"), "__first",
-                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")).persist()
-    small = offsets.count() <= BROADCAST_SPLITS
-    return (tagged.join(F.broadcast(offsets) if small else offsets,
+                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    return (tagged.join(F.broadcast(offsets) if n_splits <= BROADCAST_SPLITS else offsets,
                         (F.col(_FILE) == F.col("__f")) & (F.col(_BLOCK) == F.col("__b")))
             .withColumn(name, F.col("__off") + F.col("__mid") - F.col("__first"))
             .drop("__mid", "__first", "__off", "__f", "__b", _FILE, _BLOCK))
 
 
+def with_row_index(df: DataFrame, name: str = "row_id", written: list | None = None) -> DataFrame:
+    """Contiguous 0..n-1 in the order of file path, place in the file and line,
+    without funnelling rows through one task.  A split's rows are read in
+    order, so a row's index is the number of rows in earlier splits plus its
+    place in its own.  The counts, one row per split, are summed up by a window
+    over that small table, which is joined back."""
+    tagged = _tagged(df)
+    splits, _, n = _stored_splits(tagged, [], written)
+    return _indexed(tagged, splits, n, name)
+
+
 # ---------------------------------------------------------------- C1-C6
 #: Plain decimal numbers: the cast alone would also take type suffixes ("5d").
 _NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?([iI]nf(inity)?|INF(INITY)?)$|^[nN]a[nN]$"
@@ -145,24 +172,61 @@ def _iso_time(c: str) -> Column:
     return F.when(F.trim(F.col(c)).rlike(_ISO), F.expr(f"try_cast(`{c}` as timestamp)"))
 
 
+_FIELD = {"yyyy": r"[0-9]{4}", "MM": r"[0-9]{2}", "dd": r"[0-9]{2}", "HH": r"[0-9]{2}", "mm": r"[0-9]{2}", "ss": r"[0-9]{2}"}
+
+
+def format_shape(fmt: str) -> str:
+    """A pattern that every text in a time format matches: digits for fields,
+    quoted and other signs as they are, bracketed parts left out or there."""
+    parts = re.findall(r"'[^']*'|\[|\]|[A-Za-z]+|.", fmt)
+    out = []
+    for p in parts:
+        if p in "[]":
+            out.append("(?:" if p == "[" else ")?")
+        elif p[0] == "'":
+            out.append(re.escape(p[1:-1]))
+        elif p.isalpha():
+            out.append(_FIELD.get(p) or f"[0-9]{{{len(p)}}}")
+        else:
+            out.append(re.escape(p))
+    return "^" + "".join(out) + "$"
+
+
+def _text_columns(df: DataFrame) -> list[str]:
+    return [c for c in TIME_COLUMNS + NUMERIC_COLUMNS if c in df.columns and isinstance(df.schema[c].dataType, T.StringType)]
+
+
 def _probe_exprs(df: DataFrame) -> list[Column]:
+    """Per text column how many values are no numbers; per time column also how
+    many are no ISO times, and how many of these lack each format's shape
+    (looked at only where a value is neither)."""
     exprs = []
-    for c in TIME_COLUMNS + NUMERIC_COLUMNS:
-        if c not in df.columns or not isinstance(df.schema[c].dataType, T.StringType):
-            continue
+    for c in _text_columns(df):
         col = F.col(c)
-        exprs.append(F.count_if(col.isNotNull() & _number(c).isNull())
-                     .alias(f"{c}__num"))
+        no_number = col.isNotNull() & _number(c).isNull()
+        exprs.append(F.count_if(no_number).alias(f"{c}__num"))
         if c in TIME_COLUMNS:
-            exprs.append(F.count_if(col.isNotNull() & _iso_time(c).isNull())
-                         .alias(f"{c}__auto"))
-            for i, fmt in enumerate(TIME_FORMATS):
-                exprs.append(F.count_if(col.isNotNull() & F.try_to_timestamp(col, F.lit(fmt)).isNull())
-                             .alias(f"{c}__f{i}"))
+            exprs.append(F.count_if(col.isNotNull() & _iso_time(c).isNull()).alias(f"{c}__auto"))
+            exprs += [F.count_if(no_number & _iso_time(c).isNull() & ~col.rlike(format_shape(fmt))).alias(f"{c}__shape{i}")
+                      for i, fmt in enumerate(TIME_FORMATS)]
     return exprs
 
 
-def type_flow_columns(df: DataFrame, on_bad: str = "null_value") -> DataFrame:
+def _fitting_formats(df: DataFrame, probe: dict) -> dict[str, str]:
+    """The first format that parses every value of each time column that needs
+    one.  Only formats whose shape no value lacks are tried, in one read; none
+    is made where there are none."""
+    open_ = {c: [fmt for i, fmt in enumerate(TIME_FORMATS) if not probe[f"{c}__shape{i}"]] for c in TIME_COLUMNS
+             if probe.get(f"{c}__num") and probe.get(f"{c}__auto")}
+    tries = [F.count_if(F.col(c).isNotNull() & F.try_to_timestamp(F.col(c), F.lit(fmt)).isNull()).alias(f"{c}__{k}")
+             for c, fmts in open_.items() for k, fmt in enumerate(fmts)]
+    if not tries:
+        return {}
+    failed = df.agg(*tries).first()
+    return {c: fmts[fits[0]] for c, fmts in open_.items() if (fits := [k for k in range(len(fmts)) if not failed[f"{c}__{k}"]])}
+
+
+def type_flow_columns(df: DataFrame, on_bad: str = "null_value", probe: dict | None = None) -> DataFrame:
     """C1-C6 on the scanned text columns (or typed columns of a parquet source).
 
     Times: numeric text -> double (C1); else the first of automatic ISO
@@ -171,9 +235,12 @@ def type_flow_columns(df: DataFrame, on_bad: str = "null_value") -> DataFrame:
     timestamps/dates -> epoch seconds (C5).  Counters and ports: numeric text
     -> double; a column with a non-numeric value becomes all 0.0 with
     ``on_bad="zero_column"`` (the reference's behaviour) or null in that row
-    only with ``on_bad="null_value"`` (C6)."""
-    exprs = _probe_exprs(df)
-    probe = df.agg(*exprs).first().asDict() if exprs else {}
+    only with ``on_bad="null_value"`` (C6).  ``probe``: the counts of
+    :func:`_probe_exprs` over the same rows, if they are known."""
+    if probe is None:
+        exprs = _probe_exprs(df)
+        probe = df.agg(*exprs).first().asDict() if exprs else {}
+    formats = _fitting_formats(df, probe)
     out = []
     for f in df.schema.fields:
         c, dt = f.name, f.dataType
@@ -185,7 +252,7 @@ def type_flow_columns(df: DataFrame, on_bad: str = "null_value") -> DataFrame:
                 elif probe[f"{c}__auto"] == 0:
                     out.append(F.unix_seconds(_iso_time(c)).cast("double").alias(c))
                 else:
-                    fmt = next((fm for i, fm in enumerate(TIME_FORMATS) if probe[f"{c}__f{i}"] == 0), None)
+                    fmt = formats.get(c)
                     if fmt is not None:
                         out.append(F.unix_seconds(F.try_to_timestamp(col, F.lit(fmt))).cast("double").alias(c))
                     else:
@@ -209,8 +276,11 @@ def type_flow_columns(df: DataFrame, on_bad: str = "null_value") -> DataFrame:
 
 
 def read_flow_csv(spark: SparkSession, path: str, header: bool | None = None,
-                  on_bad: str = "null_value") -> DataFrame:
-    """S1-S6 + C1-C6: a typed flow table with a contiguous ``row_id``."""
-    df = validate_required_columns(_scan(spark, path, header))
-    df = with_row_index(df)
-    return ensure_parallelism(type_flow_columns(df, on_bad))
+                  on_bad: str = "null_value", written: list | None = None) -> DataFrame:
+    """S1-S6 + C1-C6: a typed flow table with a contiguous ``row_id``.
+    ``written`` collects the scratch folder that the frame reads, for the
+    caller to delete when done with it."""
+    tagged = _tagged(validate_required_columns(_scan(spark, path, header)))
+    splits, probe, n = _stored_splits(tagged, _probe_exprs(tagged), written)
+    df = _indexed(tagged, splits, n, "row_id")
+    return ensure_parallelism(type_flow_columns(df, on_bad, probe))

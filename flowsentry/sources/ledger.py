@@ -4,6 +4,11 @@ Two tables under one base folder: ``runs`` (one row per analysis: run_id,
 timestamp, filename, stats struct, charts struct) and ``alerts`` (the final
 alerts plus ``run_id``, partitioned by ``run_id`` so reading one run prunes
 every other partition).  Both are append-only; reads pick the newest run.
+
+A run's alerts are written first and its record last: the record is the commit
+mark.  Alerts whose run has no record (their writer failed, or is not done) are
+seen by no reader.  The alerts are stored with the upper-case severity and
+protocol that searches compare, so these filters reach the parquet scan.
 """
 
 from __future__ import annotations
@@ -13,11 +18,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.search import search_alerts
+
 RUNS = "runs"
 ALERTS = "alerts"
 ALERT_COLUMNS = ("src_ip", "dst_ip", "threat_type", "protocol", "flow_count", "confidence", "severity", "evidence")
 ALERTS_SCHEMA = ("src_ip string, dst_ip string, threat_type string, protocol string, flow_count bigint, "
                  "confidence double, severity string, evidence string, run_id string")
+#: As stored: with the texts that searches compare (null as '').
+STORED_SCHEMA = ALERTS_SCHEMA.replace("run_id string", "severity_key string, protocol_key string, run_id string")
 
 
 class RunLedger:
@@ -62,19 +71,43 @@ class RunLedger:
 
     def write_alerts(self, alerts: DataFrame, run_id: str) -> None:
         """Append the alerts with ``run_id`` (a run without alerts adds no
-        partition)."""
-        tagged = alerts.select(*ALERT_COLUMNS).withColumn("run_id", F.lit(run_id))
+        partition).  They are seen once the run's record is there."""
+        key = lambda c: F.upper(F.coalesce(F.col(c), F.lit(""))).alias(f"{c}_key")
+        tagged = alerts.select(*ALERT_COLUMNS, key("severity"), key("protocol")).withColumn("run_id", F.lit(run_id))
         tagged.write.mode("append").partitionBy("run_id").parquet(self.alerts_path)
 
+    def store_run(self, stats: DataFrame, histogram: DataFrame, timeline: DataFrame, alerts: DataFrame,
+                  filename: str, run_id: str | None = None) -> str:
+        """S9 + S10: the alerts, then the record that makes them seen."""
+        run_id = run_id or uuid.uuid4().hex
+        self.write_alerts(alerts, run_id)
+        return self.write_run(stats, histogram, timeline, filename, run_id)
+
     # ------------------------------------------------------------ reads
     def runs(self) -> DataFrame:
         return self.spark.read.parquet(self.runs_path)
 
-    def alerts(self) -> DataFrame:
-        """Every stored alert; none if no run has written any."""
+    def _stored(self) -> DataFrame:
+        """The alerts table as written, runs without a record too."""
         if not self._exists(self.alerts_path):
-            return self.spark.createDataFrame([], ALERTS_SCHEMA)
-        return self.spark.read.schema(ALERTS_SCHEMA).parquet(self.alerts_path)
+            return self.spark.createDataFrame([], STORED_SCHEMA)
+        return self.spark.read.schema(STORED_SCHEMA).parquet(self.alerts_path)
+
+    def _committed(self, stored: DataFrame) -> DataFrame:
+        if not self._exists(self.runs_path):
+            return stored.where(F.lit(False))
+        return stored.join(self.runs().select("run_id"), "run_id", "left_semi")
+
+    def _as_alerts(self, stored: DataFrame) -> DataFrame:
+        return stored.select(*ALERT_COLUMNS, "run_id")
+
+    def alerts(self) -> DataFrame:
+        """Every alert of a run with a record; none if no run has written any."""
+        return self._as_alerts(self._committed(self._stored()))
+
+    def search(self, severity: str = "", protocol: str = "", threat_type: str = "", ip: str = "") -> DataFrame:
+        """Q5 over the stored alerts; Q1-Q3 are equalities on stored columns."""
+        return self._as_alerts(self._committed(search_alerts(self._stored(), severity, protocol, threat_type, ip)))
 
     def latest_run(self) -> DataFrame:
         """The newest run (one row; TakeOrderedAndProject)."""
@@ -83,8 +116,8 @@ class RunLedger:
     def alerts_of_latest_run(self) -> DataFrame:
         """The newest run's id is one value, fetched first, so the filter on
         ``run_id`` is a literal and only that run's partition is read."""
-        newest = self.latest_run().select("run_id").first()
-        return self.alerts().where(F.col("run_id") == (newest.run_id if newest else ""))
+        newest = self.latest_run().select("run_id").first() if self._exists(self.runs_path) else None
+        return self._as_alerts(self._stored().where(F.col("run_id") == (newest.run_id if newest else "")))
 
     def latest_or_default_stats(self) -> DataFrame:
         """The newest run's stats, or the empty-store default record
@@ -102,8 +135,21 @@ class RunLedger:
         return self.runs().orderBy(F.desc("timestamp"), F.desc("run_id")).limit(n)
 
     def recent_alerts(self, n: int = 20) -> DataFrame:
-        """Alerts carry no timestamp, so order by their run's."""
-        return (self.alerts().join(self.runs().select("run_id", "timestamp"), "run_id")
+        """Alerts carry no timestamp, so order by their run's.  The newest
+        runs are walked, twice as many each time, until ``n`` alerts are found
+        or no run is left, and only their partitions are read."""
+        take, ids, stored = 4, [], self._stored()
+        while self._exists(self.runs_path):
+            newest = self.runs().orderBy(F.desc("timestamp"), F.desc("run_id")).select("run_id").limit(take).collect()
+            ids = [r.run_id for r in newest]
+            # ids by the count of alerts wanted, not by the runs stored, bound this list
+            if len(ids) < take or stored.where(F.col("run_id").isin(ids)).limit(n).count() >= n:
+                break
+            take *= 2
+        if not ids:
+            return self._as_alerts(stored).withColumn("timestamp", F.current_timestamp()).limit(0)
+        times = self.runs().where(F.col("run_id").isin(ids)).select("run_id", "timestamp")
+        return (self._as_alerts(stored.where(F.col("run_id").isin(ids))).join(times, "run_id")
                 .orderBy(F.desc("timestamp"), F.desc("confidence"), "src_ip", "dst_ip", "threat_type")
                 .limit(n))
 
@@ -116,7 +162,7 @@ class RunLedger:
 
     def alerts_by_severity(self, severity: str, n: int = 10) -> DataFrame:
         """Equality filter (pushed to the scan), the n most confident."""
-        return (self.alerts().where(F.col("severity") == severity)
+        return (self._as_alerts(self._committed(self._stored().where(F.col("severity") == severity)))
                 .orderBy(F.desc("confidence"), "src_ip", "dst_ip", "threat_type", "run_id").limit(n))
 
     def run_by_id(self, run_id: str) -> DataFrame:
@@ -126,9 +172,9 @@ class RunLedger:
     def register_views(self) -> list[str]:
         """Expose both tables to SQL and list them."""
         names = []
-        for name, path in ((f"analysis_{RUNS}", self.runs_path), (f"analysis_{ALERTS}", self.alerts_path)):
+        for name, path, rows in ((f"analysis_{RUNS}", self.runs_path, self.runs), (f"analysis_{ALERTS}", self.alerts_path, self.alerts)):
             if self._exists(path):
-                self.spark.read.parquet(path).createOrReplaceTempView(name)
+                rows().createOrReplaceTempView(name)
                 names.append(name)
         return [t.name for t in self.spark.catalog.listTables() if t.name in names]
 

@@ -103,10 +103,8 @@ def test_ledger_roundtrip_and_export(spark):
     alerts = spark.createDataFrame([("1.1.1.1", "2.2.2.2", "Flood", "TCP", 2, 0.55, "HIGH", 'say "hi", ok')],
                                    "src_ip string, dst_ip string, threat_type string, protocol string, "
                                    "flow_count long, confidence double, severity string, evidence string")
-    r1 = led.write_run(stats, hist, tl, "a.csv")
-    led.write_alerts(alerts, r1)
-    r2 = led.write_run(stats, hist, tl, "b.csv")
-    led.write_alerts(alerts.limit(0), r2)                            # empty: nothing written
+    r1 = led.store_run(stats, hist, tl, alerts, "a.csv")
+    r2 = led.store_run(stats, hist, tl, alerts.limit(0), "b.csv")     # empty: nothing written
     assert led.latest_run().first().run_id == r2
     assert led.alerts_of_latest_run().count() == 0
     assert led.run_by_id(r1).first().filename == "a.csv"
@@ -128,3 +126,71 @@ def test_typed_sources_cast(spark):
         "bytes int, flows int, start_time timestamp, end_time long")
     r = flowcsv.type_flow_columns(df).first()
     assert r.start_time == 1719837000.0 and r.end_time == 1719837060.0 and r.packets == 3.0
+
+
+def _charts(spark):
+    stats = spark.createDataFrame([(1, 1)], "total_flows long, threats_detected long")
+    hist = spark.createDataFrame([(0, 0.0, 1.0, 1)], "bin int, bin_start double, bin_end double, count long")
+    return stats, hist, spark.createDataFrame([(0, "N/A", 0)], "bin int, time string, threat_count long")
+
+
+def _alerts(spark, *sources):
+    return spark.createDataFrame([(s, "b", "Flood", "tcp", 1, 0.5, "High", "x") for s in sources],
+                                 "src_ip string, dst_ip string, threat_type string, protocol string, flow_count long, "
+                                 "confidence double, severity string, evidence string")
+
+
+def test_a_run_that_fails_between_the_writes_is_seen_by_no_reader(spark, tmp_path):
+    ledger = RunLedger(spark, str(tmp_path / "store"))
+    ledger.write_alerts(_alerts(spark, "lost"), "first-try")            # no record follows
+    assert ledger.alerts().count() == 0 and ledger.alerts_of_latest_run().count() == 0 and ledger.recent_alerts().count() == 0
+    done = ledger.store_run(*_charts(spark), _alerts(spark, "old"), "a.csv")
+    ledger.write_alerts(_alerts(spark, "new"), "failed")
+    assert ledger.latest_run().first().run_id == done
+    for rows in (ledger.alerts(), ledger.alerts_of_latest_run(), ledger.recent_alerts(), ledger.search(severity="high"),
+                 ledger.alerts_by_severity("High")):
+        assert [r.src_ip for r in rows.collect()] == ["old"]
+    assert ledger.counts().first().alerts == 1
+
+
+def _plan(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_searches_reach_the_scan(spark, tmp_path):
+    ledger = RunLedger(spark, str(tmp_path / "store"))
+    run = ledger.store_run(*_charts(spark), _alerts(spark, "a"), "a.csv")
+    plan = _plan(ledger.search("high", "TCP", "Flood"))
+    for column, value in (("severity_key", "HIGH"), ("protocol_key", "TCP"), ("threat_type", "Flood")):
+        assert f"EqualTo({column},{value})" in plan
+    assert [r.src_ip for r in ledger.search("high", "TCP", "Flood", "a").collect()] == ["a"]
+    assert run in _plan(ledger.recent_alerts()).split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_recent_alerts_walk_past_runs_without_alerts(spark, tmp_path):
+    ledger = RunLedger(spark, str(tmp_path / "store"))
+    ledger.store_run(*_charts(spark), _alerts(spark, "a", "b"), "old.csv")
+    for k in range(6):
+        ledger.store_run(*_charts(spark), _alerts(spark, "c").limit(0), f"{k}.csv")
+    assert [r.src_ip for r in ledger.recent_alerts(5).collect()] == ["a", "b"]
+
+
+def test_csv_is_read_twice_and_formats_are_told_by_shape(spark, monkeypatch):
+    import re
+
+    from flowsentry.config import TIME_FORMATS
+    shapes = [re.compile(flowcsv.format_shape(f)) for f in TIME_FORMATS]
+    fits = lambda t: [k for k, s in enumerate(shapes) if s.match(t)]
+    assert fits("2024-01-02 03:04:05") == [0, 2] and fits("2024-01-02T03:04:05.5") == [3]
+    assert fits("01/02/2024 03:04") == [4] and fits("31/12/2024 03:04:05") == [5] and fits("12:30") == []
+    reads = []
+    real = flowcsv._fitting_formats
+    monkeypatch.setattr(flowcsv, "_fitting_formats", lambda df, probe: reads.append(real(df, probe)) or reads[-1])
+    line = "1.1.1.1,2.2.2.2,3,4,TCP,0,5,6,7,{},{}\n"
+    for text, expected in (("1700000000", {}), ("2024-01-02 03:04:05", {}), ("12:30", {}),
+                           ("31/12/2024 03:04:05", {"start_time": TIME_FORMATS[5], "end_time": TIME_FORMATS[5]})):
+        written = []
+        df = flowcsv.read_flow_csv(spark, _csv(HEADER + "\n" + line.format(text, text) * 3), written=written)
+        assert reads[-1] == expected and len(written) == 1 and df.count() == 3
+        assert [r.row_id for r in df.select("row_id").orderBy("row_id").collect()] == [0, 1, 2]

@@ -79,4 +79,10 @@ def test_partial_aggregation_before_shuffle(spark):
 def test_run_stats_single_scan(spark):
     sf = score_flows(load_flows(spark, SF), ml=None, materialize=True)
     plan = _plan(st.run_stats(sf.flows))
-    assert plan.count("FileScan parquet") == 1 and "Expand" in plan
+    assert plan.count("FileScan parquet") == 1
+    # the sets expand what is left of the flows after a first count, from the stored groups no flow at all
+    assert plan.index("Expand") < plan.rindex("HashAggregate(keys=[_groupingexpression" if "keys=[_groupingexpression" in plan else "HashAggregate")
+    grouped = _plan(st.run_stats(sf.flows, groups=sf.flow_groups()))
+    assert grouped.count("FileScan parquet") == 1 and "flow-groups" in grouped
+    assert st.run_stats(sf.flows, groups=sf.flow_groups()).collect() == st.run_stats(sf.flows).collect()
+    assert st.grouped_time_range(sf.flow_groups()) == st.time_range(arb.threat_flows(sf.flows))
