@@ -46,6 +46,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(fold(doc_id) == 1, F.lit(False))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def unit_hash(*cols, seed: int = 0) -> Column:
     """A uniform number in [0, 1) fixed by the values of ``cols``."""
     h = F.xxhash64(F.lit(seed), *cols)

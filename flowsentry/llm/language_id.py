@@ -12,16 +12,20 @@ Only those sums (at most vocabulary x languages numbers) reach the driver.
 The fit uses about ``fit_rows`` labelled documents per language, chosen by a
 hash of the id; labels decide nothing else.
 
-Words are lower-cased runs of letters and digits after the vocabulary's word
-mark, taken in parts of ``PART`` characters if longer.  A character no piece
-covers costs the same in every language.  Null text and text without a letter
+Words are whole lower-cased runs of letters and digits after the vocabulary's
+word mark.  Those of up to ``SHORT`` characters are worked out many at once;
+longer ones, of any length, one by one in logarithms, in blocks of positions
+with the sums of the last places carried on.  A character no piece covers costs
+the same in every language.  Null text and text without a letter
 are ``und`` with score 0; without any label all texts are.  Ties go to the
 language that sorts first.  Documents are scored row by row.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
+from math import exp, inf
 
 import numpy as np
 import pandas as pd
@@ -33,18 +37,24 @@ from .common import fold, held_out, prepare, stage_table, text_blocks, unit_hash
 from .wordtable import NOT_ALNUM, HashTable, Words, WordValues, plain_bytes, span_hashes, sum_runs
 
 MARK = "▁"
-PART = 20
-LONGEST = 8
+#: Up to this many characters a product of probabilities stays within doubles.
+SHORT = 32
 UNKNOWN = 1e-6
 
 
+def _spells(piece: str) -> bool:
+    """Whether a piece is letters, digits and their marks after word marks."""
+    rest = piece.strip(MARK)
+    return bool(rest) and all(unicodedata.category(c)[0] in "LNM" for c in rest)
+
+
 def vocabulary(path: str) -> list[str]:
-    """The pieces of up to ``LONGEST`` characters that hold a letter or digit,
-    as they are lower-cased; the word mark stays."""
+    """The pieces of letters, digits and their marks, as they are lower-cased;
+    the word mark stays."""
     from sentencepiece import SentencePieceProcessor
     model = SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not model.is_control(i)}
-    return sorted(p for p in pieces if p == p.lower() and 0 < len(p) <= LONGEST and p.strip(MARK).isalnum()) + [MARK]
+    return sorted(p for p in pieces if p == p.lower() and _spells(p)) + [MARK]
 
 
 class Lattice:
@@ -53,6 +63,7 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
+        self.longest = max(map(len, pieces))
         raw = [p.encode() for p in pieces]
         sizes = np.array([len(r) for r in raw])
         data = np.frombuffer(b"".join(raw), np.uint8)
@@ -74,7 +85,7 @@ class Lattice:
         place = np.arange(len(char)) - first[word]
         edge = np.r_[char, len(data)]
         found = {}
-        for length in range(1, LONGEST + 1):
+        for length in range(1, min(self.longest, int(n.max(initial=0))) + 1):
             start = np.flatnonzero(place + length <= n[word])
             piece = self.table.find(span_hashes(data, edge[start], edge[start + length]))
             keep = (piece >= 0) | (length == 1)
@@ -88,6 +99,61 @@ class Lattice:
                     found[k + 1, length] = (word[start[some]], piece[some])
         return n, found
 
+    def places(self, word: str, block: int = 65_536):
+        """The characters' number, and by blocks of starting places the piece of
+        each length (-1: none) as a list of rows, through ``rows(first place)``."""
+        raw = (MARK + word).encode("utf-8", "surrogatepass")
+        data = np.frombuffer(raw, np.uint8)
+        edge = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]
+        n = len(edge) - 1
+
+        def rows(at: int) -> list:
+            stop = min(at + block, n)
+            table = np.full((stop - at, self.longest), -1, np.int32)
+            for length in range(1, self.longest + 1):
+                start = np.arange(at, min(stop, n - length + 1))
+                if len(start):
+                    table[:len(start), length - 1] = self.table.find(span_hashes(data, edge[start], edge[start + length]))
+            return [[(k + 1, piece) for k, piece in enumerate(row) if piece >= 0 or k == 0] for row in table.tolist()]
+
+        return n, range(0, n, block), rows
+
+    def log_sum(self, word: str, logs: np.ndarray) -> np.ndarray:
+        """Log of the sum over all segmentations of a word of any length, per
+        column of ``logs`` (log probabilities of the pieces)."""
+        n, blocks, rows = self.places(word)
+        ring = np.full((self.longest + 1, logs.shape[1]), -inf)
+        ring[0] = 0.0
+        for at in blocks:
+            for start, row in enumerate(rows(at), at):
+                here = ring[start % len(ring)].copy()
+                ring[start % len(ring)] = -inf
+                for length, piece in row:
+                    to = (start + length) % len(ring)
+                    ring[to] = np.logaddexp(ring[to], here + logs[piece])
+        return ring[n % len(ring)]
+
+    def log_uses(self, word: str, logs: np.ndarray):
+        """(piece, expected uses) over the segmentations of a word of any
+        length, for one language's log probabilities."""
+        n, blocks, rows = self.places(word)
+        logs = logs.tolist()
+        alpha = np.full(n + 1, -inf)
+        alpha[0] = 0.0
+        for at in blocks:
+            for start, row in enumerate(rows(at), at):
+                for length, piece in row:
+                    alpha[start + length] = np.logaddexp(alpha[start + length], alpha[start] + logs[piece])
+        beta = np.full(n + 1, -inf)
+        beta[n] = 0.0
+        for at in reversed(blocks):
+            table = rows(at)
+            for start in range(at + len(table) - 1, at - 1, -1):
+                for length, piece in table[start - at]:
+                    step = logs[piece] + beta[start + length]
+                    beta[start] = np.logaddexp(beta[start], step)
+                    yield piece, exp(min(alpha[start] + step - alpha[n], 0.0))
+
 
 def forward(n, edges, p, own=None):
     """Sums over segmentations of the words' beginnings; ``p`` is one row of
@@ -109,10 +175,6 @@ def backward(n, edges, p, own):
     return beta
 
 
-def parts(word: str) -> list[str]:
-    return [word[k:k + PART] for k in range(0, len(word), PART)]
-
-
 @dataclass
 class LanguageModel:
     languages: list
@@ -124,16 +186,21 @@ class LanguageModel:
         """Log probabilities of whole texts, words remembered by this worker."""
         lattice, width = Lattice(self.pieces), len(self.languages)
 
+        logp = np.log(self.p)
+
         def learn(words: list[bytes]):
-            split = [parts(w.decode("utf-8", "replace")) or [""] for w in words]
-            flat = [s for part in split for s in part]
-            logs = np.zeros((len(flat), width))
-            for k in range(0, len(flat), 20_000):
-                n, edges = lattice.edges(flat[k:k + 20_000])
+            names = [w.decode("utf-8", "replace") for w in words]
+            logs = np.zeros((len(names), width))
+            short = [k for k, w in enumerate(names) if len(w) <= SHORT]
+            for b in range(0, len(short), 20_000):
+                some = short[b:b + 20_000]
+                n, edges = lattice.edges([names[k] for k in some])
                 alpha = forward(n, edges, self.p)
-                logs[k:k + 20_000] = np.log(np.maximum(alpha[n, np.arange(len(n))], 1e-300))
-            whole = sum_runs(logs, np.r_[0, np.cumsum([len(s) for s in split])])
-            return whole.astype(np.float32).ravel(), np.full(len(words), width)
+                logs[some] = np.log(np.maximum(alpha[n, np.arange(len(n))], 1e-300))
+            for k, w in enumerate(names):
+                if len(w) > SHORT:
+                    logs[k] = lattice.log_sum(w, logp)
+            return logs.astype(np.float32).ravel(), np.full(len(words), width)
 
         return WordValues(learn, np.float32)
 
@@ -165,7 +232,12 @@ def _expected(shared):
         for batch in batches:
             total = np.zeros(p.shape)
             lang, words, times = (batch.column(c).to_pylist() for c in ("lang", "word", "n"))
-            flat = [(code[x], s, c) for x, w, c in zip(lang, words, times) for s in parts(w)]
+            flat = [(code[x], w, c) for x, w, c in zip(lang, words, times) if len(w) <= SHORT]
+            logs = np.log(p)
+            for x, w, c in zip(lang, words, times):
+                if len(w) > SHORT:
+                    for piece, use in lattice.log_uses(w, logs[:, code[x]]):
+                        total[piece, code[x]] += use * c
             for k in range(0, len(flat), 20_000):
                 block = flat[k:k + 20_000]
                 own = np.array([x[0] for x in block])

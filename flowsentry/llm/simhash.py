@@ -18,9 +18,10 @@ components are found by distributed star contraction, so dense groups of
 near copies cost neither all pairs nor one large task.
 
 Texts with fewer words than a shingle use the whole word sequence; no words
-or null text gives fingerprint zero, linked like any other.  Null ids get a
-fingerprint and their component, but never name one.  Repeated rows share
-their fingerprint; other columns are ignored.
+or null text gives fingerprint zero, linked like any other.  The graph's nodes
+are fingerprints, so rows that share an id, or have none, are told apart by
+their texts; a component is named by the smallest id in it, and by null where
+it has none.  Repeated rows share their fingerprint; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, prepare, stage_table
+from .common import fresh, parallelism, prepare, stage_table
 from .components import connected_components
 
 FANOUT = 64
@@ -273,22 +274,37 @@ def near_links(codes: DataFrame, bound: int = 2, group_size: int = 2048, max_gro
     return spread.mapInArrow(_link(bound), "u long, v long")
 
 
+def _classes(docs: DataFrame, shingle: int, bound: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, node, component_id) of every
+    fingerprint; ``node`` is a fingerprint that names the component."""
+    marked = stage_table(fingerprints(docs, shingle), "simhash-fingerprints")
+    codes = stage_table(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-codes")
+    found = connected_components(near_links(codes.select("fp", F.col("fp").alias("rep")), bound))
+    nodes = codes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("node"))
+    named = nodes.groupBy("node").agg(F.min("least").alias("component_id"))
+    return marked, nodes.select("fp", "node").join(named, "node")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, bound: int = 2) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links of at
     most ``bound`` differing bits."""
-    marked = stage_table(fingerprints(docs, shingle), "simhash-fingerprints")
-    reps = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    codes = stage_table(reps, "simhash-codes")
-    links = near_links(codes.where("rep IS NOT NULL"), bound)
-    found = connected_components(links).select(F.col("node").alias("rep"), "component")
-    classes = codes.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    marked, classes = _classes(docs, shingle, bound)
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = 3, bound: int = 2) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of its
-    component, one row per id.  Rows without an id are kept as they are."""
-    found = near_duplicates(docs, shingle, bound)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each component, all columns: that of the smallest id (a null
+    id is larger than any), then of the smallest hash of its text, then of the
+    smallest hash of all its columns."""
+    row = fresh(docs, "row")
+    numbered = stage_table(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    keys = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"),
+                           F.xxhash64(*[c.cast("string") for c in own]).alias("all_hash"))
+    # fingerprints are made of (id, text); here the row's number stands for the id
+    marked, classes = _classes(numbered.select(F.col(row).alias("doc_id"), "text"), shingle, bound)
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "all_hash", "row")
+    first = (marked.join(classes, "fp").select(F.col("doc_id").alias("row"), "node").join(keys, "row")
+             .groupBy("node").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row)))
+    return numbered.join(first, row, "left_semi").select(*own)

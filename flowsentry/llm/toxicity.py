@@ -11,7 +11,7 @@ Learning: Spark counts, over a sample of at most ``fit_rows`` labelled
 documents of each class, in how many documents of either class each word
 occurs; the words that toxic documents hold most out of proportion
 (log-likelihood ratio, and at least ``least_lift`` times as often) are the
-model's vocabulary of at most ``vocabulary`` words.  The sample's sentences,
+model's vocabulary, all words that tell the classes apart.  The sample's sentences,
 reduced to those words, are what the driver fits the weights on.  A sentence
 without any such word scores zero, so length alone never adds up to toxicity.
 
@@ -131,9 +131,11 @@ def fit_noisy_or(doc, sentence, feature, y, n_features: int, rounds: int = 400,
     return w, float(bias), rate
 
 
-def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, vocabulary: int = 400,
+def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000,
           least_gain: float = 20.0, least_lift: float = 4.0) -> ToxicityModel:
-    """Fit on at most about ``fit_rows`` labelled documents of each class."""
+    """Fit on at most about ``fit_rows`` labelled documents of each class, on
+    all their words that tell the classes apart by ``least_gain`` and are
+    ``least_lift`` times as frequent in toxic documents."""
     spark = prepare(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
         "doc_id IS NOT NULL AND toxic IN (0, 1)").where(fold() != 1)
@@ -161,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, vocabulary:
     rate = (a + b) / (n1 + n0)
     gain = 2 * (part(a, n1, n1 * rate) + part(b, n0, n0 * rate)
                 + part(n1 - a, n1, n1 * (1 - rate)) + part(n0 - b, n0, n0 * (1 - rate)))
-    best = words.withColumn("gain", gain).where((F.col("gain") >= least_gain) & (a / n1 >= least_lift * b / n0)).orderBy(F.desc("gain"), "word").limit(vocabulary)
+    best = words.withColumn("gain", gain).where((F.col("gain") >= least_gain) & (a / n1 >= least_lift * b / n0)).orderBy(F.desc("gain"), "word")
     hashes = np.array([r.word for r in best.select("word").collect()], np.int64).view(np.uint64)
     if not len(hashes):
         return ToxicityModel(hashes, np.zeros(0), 0.0, n1 / (n1 + n0))
