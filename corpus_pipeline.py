@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsentry.llm import decontaminate, packing, simhash, suffix_dedup, toxicity
-from flowsentry.llm.common import read_table, stage_table
+from flowsentry.llm.common import fresh, read_table, stage_table
 
 ORACLE_SQL = None
 
@@ -37,9 +37,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-byte strings that an earlier document holds.  A
     character cut in two is dropped, and so is a document of which nothing is
     left; ``n_chars`` follows the text where it changed."""
-    cut = suffix_dedup.remove_repeats(docs.withColumn("__null", F.col("text").isNull()), length=50, whole_characters=True)
+    null = fresh(docs, "null_text")
+    cut = suffix_dedup.remove_repeats(docs.withColumn(null, F.col("text").isNull()), length=50, whole_characters=True)
     valid = F.make_valid_utf8(F.col("kept").cast("string"))
-    text = F.when(F.col("__null"), None).otherwise(valid)
+    text = F.when(F.col(null), None).otherwise(valid)
     left = cut.where((F.col("n_removed") == 0) | (F.octet_length("kept") > 0)).withColumn("text", text)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
