@@ -117,10 +117,9 @@ def _same(a: Column, b: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """The share of equal samples of two fingerprints (strings)."""
     size = BITS // 4
-    places = F.sequence(F.lit(0), F.length(a) / size - 1)
-    at = lambda s, k: F.substr(s, (k * size + 1).cast("int"), F.lit(size))
-    return F.aggregate(F.transform(places.cast("array<int>"), lambda k: (at(a, k) == at(b, k)).cast("int")),
-                       F.lit(0), lambda n, x: n + x) / (F.length(a) / size)
+    number = F.floor(F.length(a) / size).cast("int")
+    at = lambda s, k: F.substr(s, k * size + 1, F.lit(size))
+    return F.size(F.filter(F.sequence(F.lit(0), number - 1), lambda k: at(a, k) == at(b, k))) / number
 
 
 def _assemble(parts: Column) -> Column:
