@@ -7,8 +7,10 @@ Prints one JSON line.  ``value`` is the wall time of one complete run
 write, detectors, calibration, ranking, run record and both chart tables, all
 collected) in a warm session: a first run on the smallest table warms the JVM
 and the Python workers, as a long-lived service would be.  ``queries`` holds
-the phases of that run, the follow-on reports, and ``csv_to_stored_run``: the
-same flows from a CSV through ingest and analysis into the run store.
+the phases of that run, the follow-on reports, ``csv_to_stored_run``: the
+same flows from a CSV through ingest and analysis into the run store, and
+``analyze_ten_times_the_rows``: the analysis of these flows ten times over, under new
+row ids, which tells the cost of a row from the fixed cost of the jobs.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ sys.path.insert(0, ROOT)
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
+    from pyspark.sql import functions as F
+
     from flowsentry.operators import evaluate as ev
     from flowsentry.operators import search as se
     from flowsentry.plans.analyze import analyze_and_collect, run_file
@@ -69,6 +73,16 @@ def main() -> None:
     run_file(spark, csv, new_ledger(spark, "bench-ledger"))
     queries["csv_to_stored_run"] = round(time.time() - t, 3)
 
+    tenfold = scratch_path(spark, "bench-tenfold")
+    flows = load_flows(spark, sf_dir)
+    flows.crossJoin(spark.range(10).withColumnRenamed("id", "copy")).withColumn(
+        "row_id", F.col("row_id") * 10 + F.col("copy")).drop("copy").write.parquet(tenfold)
+    t = time.time()
+    big, big_rows = analyze_and_collect(spark.read.parquet(tenfold))
+    queries["analyze_ten_times_the_rows"] = round(time.time() - t, 3)
+    queries["ten_times_rows_per_sec"] = round(big_rows["stats"][0]["total_flows"] / queries["analyze_ten_times_the_rows"], 1)
+    big.release()
+
     rows = out["stats"][0]["total_flows"]
     print(json.dumps({
         "metric": "end_to_end_analysis_wall_time",

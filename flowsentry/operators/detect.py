@@ -173,15 +173,36 @@ _SOURCE_FACTS = ("src_flows", "unique_dsts", "icmp_unique_dsts", "icmp_packets",
 def flagged_sources(pairs: DataFrame, n_rows: int, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
     """Sources flagged by D3, D4 or D5 with their counts and their sorted,
     comma-joined destinations: all (``dst_list``) and those reached over ICMP
-    (``icmp_dst_list``).  The flagged sources are joined to their own pair rows
+    (``icmp_dst_list``), put together from parts.  The flagged sources are joined to their own pair rows
     once; null is a source like any other and is left out of the lists."""
     hits = (source_summary(pairs).where(_horizontal_hit(n_rows, cfg) | _botnet_hit(cfg) | _icmp_hit(cfg))
             .select(F.col("src_ip").alias("__src"), *_SOURCE_FACTS))
     rows = pairs.select("src_ip", "dst_ip", "icmp_flows").join(hits, F.col("src_ip").eqNullSafe(F.col("__src")))
+    return joined_lists(destination_parts(rows, _SOURCE_FACTS), _SOURCE_FACTS)
+
+
+#: Destinations that share so many first characters are listed together.  An
+#: IPv4 address has at most 15, so a part holds few thousand of these.
+PART_PREFIX = 10
+
+
+def destination_parts(rows: DataFrame, facts=()) -> DataFrame:
+    """src_ip, facts, part, dst_list, icmp_dst_list: the destinations of each
+    source in parts by their first characters, so that a source of any number
+    of destinations is many groups' work.  Parts in order, and the texts in
+    them, are in the order of the whole list, as equal beginnings sort together."""
     icmp_dst = F.when(F.col("icmp_flows") > 0, F.col("dst_ip"))
-    return (rows.groupBy("src_ip", *_SOURCE_FACTS)
-            .agg(F.array_join(F.array_sort(F.collect_list("dst_ip")), ", ").alias("dst_list"),
-                 F.array_join(F.array_sort(F.collect_list(icmp_dst)), ", ").alias("icmp_dst_list")))
+    # null where a part has none
+    text = lambda c: F.when(F.size(F.collect_list(c)) > 0, F.array_join(F.array_sort(F.collect_list(c)), ", "))
+    return (rows.groupBy("src_ip", *facts, F.substring("dst_ip", 1, PART_PREFIX).alias("part"))
+            .agg(text(F.col("dst_ip")).alias("dst_list"), text(icmp_dst).alias("icmp_dst_list")))
+
+
+def joined_lists(parts: DataFrame, facts=()) -> DataFrame:
+    """One row per source: the parts' texts put together in order."""
+    whole = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(
+        F.col(c).isNotNull(), F.struct("part", F.col(c).alias("text"))))), lambda p: p.text), ", ").alias(c)
+    return parts.groupBy("src_ip", *facts).agg(whole("dst_list"), whole("icmp_dst_list"))
 
 
 def _alert(hit: Column, dst: str, kind: str, severity: Column, code: Column, count: Column,

@@ -9,7 +9,8 @@ Scale: the element is found by narrowing.  A bounded sketch
 proposes three values around its rank; one count of the rows below, at and
 between them either meets the element or leaves one open gap, which holds at
 most a few parts in ``approx_accuracy`` of the rows before.  So one algorithm
-serves every size: two column-pruned scans a round, all columns together, a
+serves every size: two column-pruned scans a round (one in the first, where the job
+that wrote the rows has observed its sketch), all columns together, a
 round for every factor of about ``approx_accuracy / 10`` in the row count, and
 scalars are all that the driver sees.
 """
@@ -47,11 +48,21 @@ def _inside(col: str, lo, hi) -> str:
 
 def _proposals(col: str, rank: float, eps: float, accuracy: int, where: str, alias: str) -> F.Column:
     at = ", ".join(f"{min(1.0, max(0.0, r))!r}D" for r in (rank - eps, rank, rank + eps))
-    return F.expr(f"percentile_approx(`{col}`, array({at}), {accuracy}) FILTER (WHERE {where})").alias(alias)
+    return F.expr(f"percentile_approx(CASE WHEN {where} THEN `{col}` END, array({at}), {accuracy})").alias(alias)
+
+
+def first_round(cols, q: float | dict = 0.95, cfg: DetectionConfig = DEFAULT_CONFIG) -> list[F.Column]:
+    """What the first round asks of all rows: their number, each column's number
+    of values, and the sketch's proposals.  A job that writes the rows can
+    observe these aggregates on the way (``DataFrame.observe``)."""
+    share = q if isinstance(q, dict) else dict.fromkeys(cols, q)
+    return [F.count(F.lit(1)).alias("rows"),
+            *[F.expr(f"count_if({_inside(c, None, None)})").alias(f"n{i}") for i, c in enumerate(cols)],
+            *[_proposals(c, share[c], 4.0 / cfg.approx_accuracy, cfg.approx_accuracy, _inside(c, None, None), f"p{i}") for i, c in enumerate(cols)]]
 
 
 def exact_nearest_quantiles(df: DataFrame, cols, q: float | dict = 0.95,
-                            cfg: DetectionConfig = DEFAULT_CONFIG) -> tuple[dict, int]:
+                            cfg: DetectionConfig = DEFAULT_CONFIG, first: dict | None = None) -> tuple[dict, int]:
     """Returns ({col: value or None}, total row count); ``None`` when a column
     has no value.  ``q`` is one share for all columns or a share per column.
 
@@ -59,14 +70,14 @@ def exact_nearest_quantiles(df: DataFrame, cols, q: float | dict = 0.95,
     wanted rank, then counts the rows up to each of them.  The sketch's rank
     error is at most ``1 / approx_accuracy``, so the gap that is left holds a
     small fixed share of the rows, and once that share is under one row the
-    sketch is exact."""
+    sketch is exact.  ``first``: the results of :func:`first_round` over the
+    same rows, if they are known."""
     cols = list(cols)
     share = q if isinstance(q, dict) else dict.fromkeys(cols, q)
     acc = cfg.approx_accuracy
     eps = 4.0 / acc
-    first = df.agg(F.count(F.lit(1)).alias("rows"),
-                   *[F.expr(f"count_if({_inside(c, None, None)})").alias(f"n{i}") for i, c in enumerate(cols)],
-                   *[_proposals(c, share[c], eps, acc, _inside(c, None, None), f"p{i}") for i, c in enumerate(cols)]).first()
+    if first is None:
+        first = df.agg(*first_round(cols, share, cfg)).first().asDict()
     out: dict = {c: None for c in cols}
     # per open column: wanted index among the rows inside (lo, hi), their number, lo, hi
     state = {c: (nearest_rank_index(first[f"n{i}"], share[c]), first[f"n{i}"], None, None)
@@ -159,11 +170,11 @@ class Thresholds:
                 "large_flow_bytes": self.large_flow_bytes}
 
 
-def adaptive_thresholds(features: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG) -> Thresholds:
+def adaptive_thresholds(features: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG, first: dict | None = None) -> Thresholds:
     """T1 + T2 on a frame that carries the P-features.  The four values come
     back to the driver as scalars and re-enter plans as literals, so every rule
     predicate is constant-folded and can reach the scan."""
-    vals, rows = exact_nearest_quantiles(features, P95_COLUMNS, cfg.quantile, cfg)
+    vals, rows = exact_nearest_quantiles(features, P95_COLUMNS, cfg.quantile, cfg, first)
     defaults = dict(cfg.empty_p95)
     if rows == 0:
         vals = dict(defaults)

@@ -14,7 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_CONFIG, DetectionConfig
@@ -25,7 +25,7 @@ from ..operators import calibrate as cal
 from ..operators import detect
 from ..operators import iforest
 from ..operators import stats as st
-from ..operators.thresholds import Thresholds, adaptive_thresholds
+from ..operators.thresholds import P95_COLUMNS, Thresholds, adaptive_thresholds, first_round
 from ..session import configure, delete_scratch, scratch_path
 from ..sources.flowcsv import read_flow_csv
 from ..sources.ledger import RunLedger
@@ -126,9 +126,12 @@ def score_flows(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
 
     configure(flows.sparkSession)
     feats = with_features(flows, cfg)
-    path, written = None, []
+    path, written, first = None, [], None
     if materialize:
-        feats, path = _write_read(feats.select(*FEATURE_TABLE_COLUMNS), "flow-features")
+        seen = Observation()
+        feats, path = _write_read(feats.select(*FEATURE_TABLE_COLUMNS).observe(seen, *first_round(P95_COLUMNS, cfg.quantile, cfg)),
+                                  "flow-features")
+        first = seen.get
         written.append(path)
         mark("features_write")
     model, moments, persisted, hist_scores = None, None, [], None
@@ -136,15 +139,15 @@ def score_flows(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
     supplied = scores is not None or inject is not None
     if not supplied and ml is not None:
         # the forest does not depend on the thresholds: fit it alongside them
-        n_rows = feats.count()
+        n_rows = feats.count() if first is None else first["rows"]
         def fit():   # the label cut is taken later, from the stored scores
             return iforest.fit(feats, cfg, n_rows=n_rows, with_threshold=False, with_moments=ml == "intent")
 
-        thr, model, *stored = run_concurrently(lambda: adaptive_thresholds(feats, cfg),
+        thr, model, *stored = run_concurrently(lambda: adaptive_thresholds(feats, cfg, first),
                                                (fit if n_rows > 0 else (lambda: None)), *side)
         mark("thresholds_and_forest_fit")
     else:
-        thr, *stored = run_concurrently(lambda: adaptive_thresholds(feats, cfg), *side)
+        thr, *stored = run_concurrently(lambda: adaptive_thresholds(feats, cfg, first), *side)
         mark("thresholds")
     pairs = None
     if stored:

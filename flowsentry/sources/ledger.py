@@ -198,7 +198,11 @@ def export_alerts_csv(alerts: DataFrame, path: str) -> None:
 
 
 def cache_latest(alerts: DataFrame, view: str = "latest_alerts") -> DataFrame:
-    """Keep the latest result in memory and queryable by name."""
+    """Keep the latest result in memory and queryable by name; the result
+    kept under that name before is let go."""
+    spark = alerts.sparkSession
+    if spark.catalog.tableExists(view):
+        spark.table(view).unpersist()
     cached = alerts.persist()
     cached.createOrReplaceTempView(view)
     return cached

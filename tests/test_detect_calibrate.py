@@ -139,3 +139,22 @@ def test_top_k_is_total(spark):
     assert len(top) == 1000
     again = cal.rank_alerts(esc.repartition(7)).collect()
     assert [r.src_ip for r in top] == [r.src_ip for r in again]
+
+
+def test_lists_of_a_source_of_many_destinations_come_from_small_parts(spark):
+    from pyspark.sql import functions as F
+
+    from flowsentry.operators import detect
+    n = 200_000
+    ip = F.concat_ws(".", F.lit("10"), *[F.shiftright("id", k).bitwiseAND(255).cast("string") for k in (16, 8, 0)])
+    pairs = spark.range(n).select(F.lit("hot").alias("src_ip"), ip.alias("dst_ip"), F.when(F.col("id") % 2 == 0, 1).otherwise(0).alias("icmp_flows"))
+    odd = spark.createDataFrame([("a", d, f) for d, f in (("2", 1), ("10.0.0.1", 1), (None, 1), ("", 0), ("10.0.0.10", 0), ("10.0.0.1 ", 1), ("10.0.0", 1))],
+                                "src_ip string, dst_ip string, icmp_flows int")
+    rows = pairs.unionByName(odd)
+    parts = detect.destination_parts(rows)
+    assert parts.agg(F.max(F.size(F.split("dst_list", ", ")))).first()[0] <= 3000
+    got = {r.src_ip: r for r in detect.joined_lists(parts).collect()}
+    whole = sorted(f"10.{k >> 16 & 255}.{k >> 8 & 255}.{k & 255}" for k in range(n))
+    assert got["hot"].dst_list == ", ".join(whole)
+    assert got["a"].icmp_dst_list == ", ".join(sorted(["2", "10.0.0.1", "10.0.0.1 ", "10.0.0"]))
+    assert got["a"].dst_list == ", ".join(sorted(["2", "10.0.0.1", "", "10.0.0.10", "10.0.0.1 ", "10.0.0"]))
