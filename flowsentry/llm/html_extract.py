@@ -141,29 +141,48 @@ def _judged(elements: list, own: list):
     return judged
 
 
-def tokens(page: str):
-    """The tokens of a page, in order: ("tag", kind, 1, in content) and
-    ("words", kind, number of words, (text, block, boilerplate, labelled
-    content)).  ``block`` numbers the block a text belongs to."""
-    stack: list[tuple] = []            # (name, number of the element, linked)
+def _open_ended(m) -> bool:
+    """Whether a match that should hold its element or comment whole has not
+    come to its end."""
+    if m[0].startswith("<!--"):
+        return not m[0].endswith("-->")
+    name = m[1] or ("svg" if not m[3] and not m[6] and m[0][1:4].lower() == "svg" and not m[0].endswith("/>") else "")
+    return bool(name) and not re.search(rf"</{name}\s*+>\Z", m[0][-len(name) - 200:], re.I)
+
+
+def _parsed(page: str):
+    """The tokens of a page (see :func:`tokens`) with the number of the element
+    they are in, and the elements as (name, attributes, parent, last inside).
+
+    Time grows with the page whatever its markup: all tags end with a ``>``, so
+    none is looked for behind the last one; an element knows its nearest block;
+    and an end tag looks for its element only where one is open, and closes all
+    that it passes."""
+    stack: list[tuple] = []            # (name, number of the element, linked, holder)
+    is_open: dict = {}
     elements, own = [("", "", None)], [0]
     out, at, block = [], 0, 0
 
     def text(raw: str) -> None:
         if not raw or raw.isspace():
             if raw:
-                out.append(("words", "", 0, (raw, block, True, False)))
+                out.append(("words", "", 0, (raw, block, True, False, -1)))
             return
         plain = html.unescape(raw) if "&" in raw else raw
-        linked = bool(stack) and stack[-1][2]
-        holder = next((s[0] for s in reversed(stack) if s[0] not in INLINE and s[0] not in MATH), "body")
+        linked, holder = (stack[-1][2], stack[-1][3]) if stack else (False, "body")
         element, n = stack[-1][1] if stack else 0, len(plain.split())
         own[element] += n
         out.append(("words", "w:" + holder + (":link" if linked else ""), n, (plain, block, element)))
 
-    for m in _TOKEN.finditer(page):
+    def leave() -> str:
+        name = stack.pop()[0]
+        is_open[name] -= 1
+        return name
+
+    last = page.rfind(">") + 1
+    for m in _TOKEN.finditer(page, 0, last):
         text(page[at:m.start()])
-        at = m.end()
+        at = m.end() if m.end() < last or not _open_ended(m) else len(page)
         name = (m[3] or m[6] or "").lower()
         if not name:
             continue
@@ -174,32 +193,44 @@ def tokens(page: str):
         if name not in MATH:
             out.append(("tag", "t:" + ("/" if close else "") + name, 1, stack[-1][1] if stack else 0))
         if name == "br":
-            out.append(("words", "", 0, (" ", block, True, False)))
+            out.append(("words", "", 0, (" ", block, True, False, -1)))
         if close:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if is_open.get(name):
+                while leave() != name:
+                    pass
             continue
         if name in VOID or attributes.endswith("/"):
             continue
         if not inline:
             while stack and (stack[-1][0] in INLINE or stack[-1][0] in MATH or (stack[-1][0] == "p")):
-                stack.pop()            # a new block ends an open paragraph and its inline elements
+                leave()                # a new block ends an open paragraph and its inline elements
             if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-                stack.pop()
+                leave()
         elements.append((name, attributes, stack[-1][1] if stack else 0))
         own.append(0)
-        stack.append((name, len(elements) - 1, (bool(stack) and stack[-1][2]) or name == "a"))
-    text(page[at:])
+        is_open[name] = is_open.get(name, 0) + 1
+        stack.append((name, len(elements) - 1, (bool(stack) and stack[-1][2]) or name == "a",
+                      name if not inline else stack[-1][3] if stack else "body"))
+    rest = page[at:]
+    text(rest[:rest.find("<!--")] if "<!--" in rest else rest)
     judged = _judged(elements, own)
     for k, (what, kind, n, info) in enumerate(out):
         if what == "tag":
             out[k] = (what, kind, n, judged[info][1])
         elif len(info) == 3:
             bad, content = judged[info[2]]
-            out[k] = (what, ("w:inner" if content else "w:boilerplate") if bad else kind, n, (info[0], info[1], bad, content))
-    return out
+            out[k] = (what, ("w:inner" if content else "w:boilerplate") if bad else kind, n, (info[0], info[1], bad, content, info[2]))
+    inside = list(range(len(elements)))
+    for k in range(len(elements) - 1, 0, -1):
+        inside[elements[k][2]] = max(inside[elements[k][2]], inside[k])
+    return out, [(*e, x) for e, x in zip(elements, inside)]
+
+
+def tokens(page: str):
+    """The tokens of a page, in order: ("tag", kind, 1, in content) and
+    ("words", kind, number of words, (text, block, boilerplate, labelled
+    content, element)).  ``block`` numbers the block a text belongs to."""
+    return _parsed(page)[0]
 
 
 def kind_counts(page: str) -> dict:
@@ -239,20 +270,48 @@ class Weights:
         return 0.0 if kind == "w:inner" else -1.0 if kind == "w:boilerplate" or kind.endswith(":link") else 1.0
 
 
-def extract(page: str | None, weights: Weights) -> str:
-    """The text of the best contiguous run of tokens."""
-    seq = tokens(page or "")
+def best_run(scores: list[float]):
+    """(start, end) of the contiguous run of the largest sum, None if no sum is
+    over 0: one pass."""
     best = total = 0.0
     start, region = 0, None
-    for k, (what, kind, n, info) in enumerate(seq):
+    for k, score in enumerate(scores):
         if total <= 0.0:
             total, start = 0.0, k
-        weight = weights.of(kind) if n else 0.0
-        total += (max(weight, INSIDE) if what == "tag" and info else weight) * n
+        total += score
         if total > best:
             best, region = total, (start, k + 1)
+    return region
+
+
+def _whole_container(seq: list, elements: list, region: tuple) -> tuple:
+    """The run grown to all words of the smallest element that encloses its
+    words, unless that is the page as a whole: short blocks after the best run
+    belong to it where they stand in the same element."""
+    held = [info[4] for what, _, n, info in seq[region[0]:region[1]] if what == "words" and n and not info[2]]
+    if not held:
+        return region
+    around, end = min(held), max(held)
+    while elements[around][3] < end:
+        around = elements[around][2]
+    if elements[around][0] in ("", "html", "body"):
+        return region
+    start, stop = region
+    for k, (what, _, n, info) in enumerate(seq):
+        if what == "words" and n and around <= info[4] <= elements[around][3]:
+            start, stop = min(start, k), max(stop, k + 1)
+    return start, stop
+
+
+def extract(page: str | None, weights: Weights) -> str:
+    """The text of the best contiguous run of tokens, with the blocks around it
+    that stand in the same element."""
+    seq, elements = _parsed(page or "")
+    region = best_run([(max(weights.of(kind), INSIDE) if what == "tag" and info else weights.of(kind)) * n if n else 0.0
+                       for what, kind, n, info in seq])
     if region is None:
         return ""
+    region = _whole_container(seq, elements, region)
     blocks: dict[int, list[str]] = {}
     for what, _, _, info in seq[region[0]:region[1]]:
         if what == "words" and (not info[2] or not info[0].strip()):

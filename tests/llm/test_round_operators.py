@@ -279,3 +279,42 @@ def test_pipeline_runs_whole(spark, tmp_path):
     for name, columns in (("documents", schema), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], columns).write.parquet(str(empty / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+# ---------------------------------------------------------------- pages
+def test_best_run_matches_all_runs():
+    from flowsentry.llm.html_extract import best_run
+    rnd = random.Random(8)
+    for _ in range(300):
+        scores = [rnd.choice([-3.0, -1.0, -0.5, 0.0, 1.0, 2.5]) for _ in range(rnd.randint(0, 14))]
+        every = [sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+        found = best_run(scores)
+        if not every or max(every) <= 0:
+            assert found is None
+        else:
+            assert sum(scores[slice(*found)]) == max(every)
+
+
+@pytest.mark.parametrize("piece", ["<b>x ", "<div>", "</p>", "<div></p>", '<a href="x', "<svg a='", "<script ", "<i a='>", "<i a=\"'>", "<p>x<b>", "<!-- ", "<li>y"])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    from flowsentry.llm.html_extract import Weights, extract
+    weights = Weights({})
+    for end in ("", ">"):
+        took = []
+        for n in (8_000, 64_000):
+            started = time.process_time()
+            extract(piece * n + end, weights)
+            took.append(time.process_time() - started)
+        assert took[1] < 8 * 4 * max(took[0], 0.05)                    # eight times the page; a quadratic reader takes 64 times as long
+
+
+def test_blocks_after_the_best_run_stay_where_they_share_its_element():
+    from flowsentry.llm.html_extract import Weights, extract
+    body = "<h1>Head line</h1><p>" + "long words here " * 30 + "</p><ul><li>one</li></ul><table><tr><td>cell</td></tr></table><p>End.</p>"
+    got = extract(f"<body><div class='menu'><a>Home</a></div><div>{body}</div><div class='footer'>Foot</div></body>", Weights({}))
+    assert got.split("\n\n")[0] == "Head line" and got.endswith("one\n\ncell\n\nEnd.") and "Foot" not in got and "Home" not in got
+    # an unclosed script or comment at the end swallows the rest
+    for tail in ("<script>never closed", "<!-- never > closed", "<!-- never closed", "<script >a < b"):
+        assert extract(f"<article><p>{'some words ' * 9}</p></article>{tail}", Weights({})) == ("some words " * 9).strip()
