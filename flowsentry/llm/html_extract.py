@@ -62,6 +62,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
                    "s samp small span strike strong sub sup time tt u var wbr".split())
 MATH = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow "
                  "ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+#: Elements that hold one block or the parts of one, not a text of several.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption".split())
 #: A tag inside an element that says it is the content costs no more than this.
 INSIDE = -0.1
 CONTENT = frozenset(("article", "main"))
@@ -285,14 +287,14 @@ def best_run(scores: list[float]):
 
 
 def _whole_container(seq: list, elements: list, region: tuple) -> tuple:
-    """The run grown to all words of the smallest element that encloses its
-    words, unless that is the page as a whole: short blocks after the best run
+    """The run grown to all words of the smallest element for several blocks that
+    encloses its words, unless that is the page as a whole: short blocks after the best run
     belong to it where they stand in the same element."""
     held = [info[4] for what, _, n, info in seq[region[0]:region[1]] if what == "words" and n and not info[2]]
     if not held:
         return region
     around, end = min(held), max(held)
-    while elements[around][3] < end:
+    while elements[around][3] < end or elements[around][0] in INLINE or elements[around][0] in MATH or elements[around][0] in PARTS:
         around = elements[around][2]
     if elements[around][0] in ("", "html", "body"):
         return region
