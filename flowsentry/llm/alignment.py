@@ -2,12 +2,13 @@
 
 Both tokenizers say where their tokens lie: ``tokenizers`` by character
 offsets, sentencepiece by the byte spans of its proto (the installed release
-offers ``proto`` in the place of the older immutable proto).  Ends that both
-have in common are coarse cuts.  Where a token ends inside a character (a
-multibyte character that the byte-level tokenizer splits, or the byte pieces of
-a character unknown to the piece model), spans cannot tell the parts apart, so
-the stretch between two coarse cuts is refined by the tokens' decoded bytes:
-their running lengths give the exact ends, and every end in common is a cut.
+offers ``proto`` in the place of the older immutable proto).  Where every
+character is one byte these are the tokens' exact ends.  Where a token may end
+inside a character (a multibyte character that the byte-level tokenizer splits,
+or the byte pieces of one that the piece model doesn't know) all its parts
+claim the whole character, so the ends are refined by the tokens' decoded bytes,
+whose running lengths tell the parts apart.  Ends that both sides have in
+common are cuts.
 
 What lies between two cuts is a group: some tokens of A and some of B that
 stand for the same bytes.  All pairs of a group are links.  How many documents
@@ -38,6 +39,7 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -73,80 +75,98 @@ class Aligner:
         self.a_bytes = {}
         for token, i in self.a.get_vocab().items():
             self.a_bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
-        self.b_bytes, self.b_fallback = [], set()
+        self.b_bytes = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             if self.b.is_byte(i):
-                self.b_fallback.add(i)
                 self.b_bytes.append(bytes([int(piece[3:5], 16)]))
             else:
                 self.b_bytes.append(piece.replace(SPACE, " ").encode())
         pieces = (self.b.id_to_piece(i) for i in range(self.b.get_piece_size()))
         self.by_segment = not any(SPACE in p.lstrip(SPACE) for p in pieces)
 
-    def align(self, pieces: list[str]) -> list[list[tuple[list[int], list[int]]] | None]:
-        """The groups (A ids, B ids) of each piece of text, None where the
-        tokens of either don't spell it."""
+    def align(self, pieces: list[str]) -> "Aligned":
+        """The groups of each piece of text."""
         own = self.a.encode_batch(pieces, add_special_tokens=False)
-        other = self.b.encode([p[1:] for p in pieces], return_type="proto", num_threads=1)
-        return [self._groups(p, e, q) for p, e, q in zip(pieces, own, other)]
-
-    def _groups(self, text: str, own, other):
-        raw = text.encode()
-        a, b = own.ids, [p.id for p in other.pieces]
-        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
-            return None
-        # ends in bytes, as the offsets and spans tell; the first byte is the space before the text
-        if len(raw) == len(text):
-            a_ends = [e for _, e in own.offsets]
-        else:
-            at = np.r_[0, np.cumsum([len(c.encode()) for c in text])].tolist()
-            a_ends = [at[e] for _, e in own.offsets]
-        b_ends = [p.end + 1 for p in other.pieces]
-        groups, i, j = [], 0, 0
-        for cut in sorted(set(a_ends) & set(b_ends)):
-            # the tokens up to a coarse cut: all that end there, the parts of one character too
-            i1, j1 = i, j
-            while i1 < len(a) and a_ends[i1] <= cut:
-                i1 += 1
-            while j1 < len(b) and b_ends[j1] <= cut:
-                j1 += 1
-            # parts of characters have the ends of whole ones: lengths tell whether both end here
-            if i1 > i and j1 > j and self._length(self.a_bytes, a[i:i1]) == self._length(self.b_bytes, b[j:j1]):
-                groups += self._refine(a, b, a_ends, b_ends, i, i1, j, j1)
-                i, j = i1, j1
-        if i < len(a) or j < len(b):                                # spans that say nothing of a common end
-            groups += self._by_bytes(a[i:], b[j:])
-        return groups
-
-    @staticmethod
-    def _length(known, ids) -> int:
-        return sum(len(known[k]) for k in ids)
-
-    def _refine(self, a, b, a_ends, b_ends, i, i1, j, j1):
-        """The groups between two coarse cuts."""
-        exact = (i1 - i == 1 or j1 - j == 1
-                 or len(set(a_ends[i:i1])) == i1 - i and len(set(b_ends[j:j1])) == j1 - j and not self.b_fallback.intersection(b[j:j1]))
-        return [(a[i:i1], b[j:j1])] if exact else self._by_bytes(a[i:i1], b[j:j1])
-
-    def _by_bytes(self, a, b):
-        groups, i, j, i0, j0, x, y = [], 0, 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if x <= y and i < len(a):
-                x += len(self.a_bytes[a[i]])
-                i += 1
+        other = [x.pieces for x in self.b.encode([p[1:] for p in pieces], return_type="proto", num_threads=1)]
+        out = Aligned(len(pieces))
+        kept, sizes, ids, ends = [], [], ([], []), ([], [])
+        of_a, of_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        for k, (piece, e, x) in enumerate(zip(pieces, own, other)):
+            raw, a, b = piece.encode(), e.ids, [t.id for t in x]
+            bytes_a, bytes_b = list(map(of_a, a)), list(map(of_b, b))
+            if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
+                continue
+            if len(raw) == len(piece):
+                # all characters are bytes: offsets and spans (after the space) are exact
+                found = [end for _, end in e.offsets], [t.end + 1 for t in x]
             else:
-                y += len(self.b_bytes[b[j]])
-                j += 1
-            if x == y:
-                groups.append((a[i0:i], b[j0:j]))
-                i0, j0 = i, j
-        return groups
+                # tokens may end inside characters, where only their bytes tell
+                found = list(accumulate(map(len, bytes_a))), list(accumulate(map(len, bytes_b)))
+            kept.append(k)
+            sizes.append(len(raw))
+            for side, values, stops in zip((0, 1), (a, b), found):
+                ids[side].append(values)
+                ends[side].append(stops)
+        if kept:
+            out.cut(kept, sizes, *ids, *ends)
+        return out
 
 
-def spell(groups) -> bytes:
-    """``a1,a2|b1;a3|b2,b3``"""
-    return ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups).encode()
+class Aligned:
+    """What is known of each of ``n`` pieces of text: numbers (n_a, n_b,
+    n_groups, n_links), spelling (None: no tokens), and distinct pairs with
+    their times."""
+
+    def __init__(self, n: int):
+        self.facts = np.zeros((n, 4), np.int64)
+        self.spelt: list[bytes | None] = [None] * n
+        self.pairs, self.times = [np.zeros(0, np.int64)] * n, [np.zeros(0, np.int64)] * n
+
+    def cut(self, pieces, sizes, a_ids, b_ids, a_ends, b_ends) -> None:
+        """Many pieces at once, from the exact ends of their tokens: ends in
+        common cut both sides alike."""
+        base = np.cumsum(sizes) - sizes
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a_ids, b_ids))
+        a_flat, b_flat = [i for x in a_ids for i in x], [i for x in b_ids for i in x]
+        a_at, b_at = (np.fromiter((e for x in ends for e in x), np.int64, int(n.sum())) + np.repeat(base, n)
+                      for ends, n in ((a_ends, n_a), (b_ends, n_b)))
+        cuts = np.intersect1d(a_at, b_at, assume_unique=True)
+        a_stop, b_stop = np.searchsorted(a_at, cuts, "right"), np.searchsorted(b_at, cuts, "right")
+        in_a, in_b = np.diff(np.r_[0, a_stop]), np.diff(np.r_[0, b_stop])
+        piece = np.searchsorted(base, cuts, "left") - 1               # a cut is the end of a token, so over its piece's base
+        groups = np.bincount(piece, minlength=len(pieces))
+        links = np.bincount(piece, in_a * in_b, minlength=len(pieces)).astype(np.int64)
+        self.facts[pieces] = np.stack([n_a, n_b, groups, links], axis=1)
+
+        names_a, names_b = list(map(str, a_flat)), list(map(str, b_flat))
+        spelt = [names_a[i1 - i] + "|" + names_b[j1 - j] if i == j == 1 else ",".join(names_a[i1 - i:i1]) + "|" + ",".join(names_b[j1 - j:j1])
+                 for i, i1, j, j1 in zip(in_a.tolist(), a_stop.tolist(), in_b.tolist(), b_stop.tolist())]
+        last = np.cumsum(groups)
+        # groups of many tokens on both sides are counted by themselves: their links are no rows
+        wide = in_a * in_b > 4096
+        some = ~wide
+        first_a, first_b, of = (a_stop - in_a)[some], (b_stop - in_b)[some], piece[some]
+        size = (in_a * in_b)[some]
+        group = np.repeat(np.arange(len(size)), size)
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        a, b = np.array(a_flat, np.int64), np.array(b_flat, np.int64)
+        wb = in_b[some][group]
+        key = a[first_a[group] + place // wb] << 32 | b[first_b[group] + place % wb]
+        owner, times = of[group], np.ones(len(key), np.int64)
+        for g in np.flatnonzero(wide):
+            more, much = pair_counts(a[a_stop[g] - in_a[g]:a_stop[g]], b[b_stop[g] - in_b[g]:b_stop[g]])
+            key, times, owner = np.r_[key, more], np.r_[times, much], np.r_[owner, np.full(len(more), piece[g])]
+        order = np.lexsort((key, owner))
+        key, owner, times = key[order], owner[order], times[order]
+        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
+        key, owner, times = key[new], owner[new], np.add.reduceat(times, new)
+        edge = np.searchsorted(owner, np.arange(len(pieces) + 1)).tolist()
+        begin = 0
+        for k, p in enumerate(pieces):
+            self.spelt[p] = ";".join(spelt[begin:last[k]]).encode()
+            begin = last[k]
+            self.pairs[p], self.times[p] = key[edge[k]:edge[k + 1]], times[edge[k]:edge[k + 1]]
 
 
 #: Bytes that may follow a space at which segments are cut: no white space, and
@@ -166,7 +186,7 @@ def segment_starts(data: np.ndarray) -> np.ndarray:
 class Segments:
     """What is known per distinct segment: its numbers, spelling and pairs."""
 
-    def __init__(self, aligner: Aligner, limit: int = 300_000):
+    def __init__(self, aligner: Aligner, limit: int = 500_000):
         self.aligner, self.limit = aligner, limit
         self.clear()
 
@@ -177,23 +197,21 @@ class Segments:
         self.pairs, self.times, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
     def _learn(self, texts: list[str]) -> None:
-        for groups in self.aligner.align(texts):
-            n = len(self.spelt)
-            if n == len(self.facts):
-                self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
-            if groups is None:
-                self.spelt.append(None)
-                self.facts[n] = 0
-                continue
-            keys, times = pair_counts(groups)
-            while self.used + len(keys) > len(self.pairs):
-                self.pairs = np.concatenate([self.pairs, np.zeros_like(self.pairs)])
-                self.times = np.concatenate([self.times, np.zeros_like(self.times)])
-            self.pairs[self.used:self.used + len(keys)] = keys
-            self.times[self.used:self.used + len(keys)] = times
-            self.spelt.append(spell(groups))
-            self.facts[n] = (sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), int(times.sum()), self.used, len(keys))
-            self.used += len(keys)
+        for k in range(0, len(texts), 20_000):
+            self._add(self.aligner.align(texts[k:k + 20_000]))
+
+    def _add(self, found: Aligned) -> None:
+        n, size = len(self.spelt), np.array([len(p) for p in found.pairs], np.int64)
+        while n + len(size) > len(self.facts):
+            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
+        while self.used + size.sum() > len(self.pairs):
+            self.pairs = np.concatenate([self.pairs, np.zeros_like(self.pairs)])
+            self.times = np.concatenate([self.times, np.zeros_like(self.times)])
+        self.pairs[self.used:self.used + size.sum()] = np.concatenate(found.pairs)
+        self.times[self.used:self.used + size.sum()] = np.concatenate(found.times)
+        self.facts[n:n + len(size)] = np.column_stack([found.facts, self.used + np.cumsum(size) - size, size])
+        self.used += int(size.sum())
+        self.spelt += found.spelt
 
     def numbers(self, data: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of every segment, learning what is new."""
@@ -211,16 +229,11 @@ class Segments:
         return number
 
 
-def pair_counts(groups) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs (A id << 32 | B id) linked by groups, in order, and
-    how often each is."""
-    keys, times = [], []
-    for a, b in groups:
-        ua, na = np.unique(a, return_counts=True)
-        ub, nb = np.unique(b, return_counts=True)
-        keys.append((ua[:, None].astype(np.int64) << 32 | ub[None, :]).ravel())
-        times.append((na[:, None] * nb[None, :]).ravel())
-    return sum_by(np.concatenate(keys), np.concatenate(times)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+def pair_counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs (A id << 32 | B id) of a group, and how often each is linked."""
+    ua, na = np.unique(a, return_counts=True)
+    ub, nb = np.unique(b, return_counts=True)
+    return (ua[:, None] << 32 | ub[None, :]).ravel(), (na[:, None] * nb[None, :]).ravel()
 
 
 def sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
