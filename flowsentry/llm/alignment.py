@@ -15,9 +15,10 @@ stand for the same bytes.  All pairs of a group are links.  How many documents
 hold a pair linked is counted over the corpus, and every document learns how
 many of its links are their A id's most frequent.
 
-Neither tokenizer joins what stands on the two sides of a lone space before a
-character that is no white space (for the piece model it is checked when the
-model is loaded that no piece continues past its space mark), so the groups of
+Neither tokenizer joins what stands on the two sides of a lone space, or of a
+newline, before a character that is no white space (for the piece model it is
+checked when the model is loaded that no piece continues past its space mark
+and none holds a newline), so the groups of
 a text are those of its segments in order.  Segments repeat, so each is aligned
 once per worker and remembered in a table of bounded size; texts cost array
 work only.  Pairs of a group are kept as distinct ids with multiplicities.
@@ -82,24 +83,30 @@ class Aligner:
                 self.b_bytes.append(bytes([int(piece[3:5], 16)]))
             else:
                 self.b_bytes.append(piece.replace(SPACE, " ").encode())
-        pieces = (self.b.id_to_piece(i) for i in range(self.b.get_piece_size()))
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.by_segment = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self.by_line = SPACE in pieces and not any("\n" in p for p in pieces)
 
     def align(self, pieces: list[str]) -> "Aligned":
-        """The groups of each piece of text."""
+        """The groups of each piece of text, which begins with a space or, where
+        ``by_line``, a newline (to which the piece model then adds a space of
+        its own that joins nothing)."""
         own = self.a.encode_batch(pieces, add_special_tokens=False)
-        other = [x.pieces for x in self.b.encode([p[1:] for p in pieces], return_type="proto", num_threads=1)]
+        other = [x.pieces for x in self.b.encode([p if p[0] == "\n" else p[1:] for p in pieces], return_type="proto", num_threads=1)]
         out = Aligned(len(pieces))
         kept, sizes, ids, ends = [], [], ([], []), ([], [])
         of_a, of_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
         for k, (piece, e, x) in enumerate(zip(pieces, own, other)):
+            space = piece[0] != "\n"
+            if not space:
+                x = x[1:]
             raw, a, b = piece.encode(), e.ids, [t.id for t in x]
             bytes_a, bytes_b = list(map(of_a, a)), list(map(of_b, b))
             if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
                 continue
             if len(raw) == len(piece):
                 # all characters are bytes: offsets and spans (after the space) are exact
-                found = [end for _, end in e.offsets], [t.end + 1 for t in x]
+                found = [end for _, end in e.offsets], [t.end + space for t in x]
             else:
                 # tokens may end inside characters, where only their bytes tell
                 found = list(accumulate(map(len, bytes_a))), list(accumulate(map(len, bytes_b)))
@@ -175,11 +182,12 @@ _GO = np.ones(256, bool)
 _GO[[*range(9, 14), 32, 0x85, 0xA0, 0xE1, 0xE2, 0xE3, *range(28, 32)]] = False
 
 
-def segment_starts(data: np.ndarray) -> np.ndarray:
+def segment_starts(data: np.ndarray, by_line: bool) -> np.ndarray:
     """Where segments begin in the bytes of texts, each with a space before it:
-    at lone spaces that stand before a character that is no white space."""
-    space = data == 32
-    inside = space[1:-2] & ~space[:-3] & _GO[data[2:-1]] & ~((data[2:-1] == 0xC2) & np.isin(data[3:], (0x85, 0xA0)))
+    at a space, and with ``by_line`` a newline, that comes after no space and
+    stands before a character that is no white space."""
+    mark = (data == 32) | (data == 10) if by_line else data == 32
+    inside = mark[1:-2] & (data[:-3] != 32) & _GO[data[2:-1]] & ~((data[2:-1] == 0xC2) & np.isin(data[3:], (0x85, 0xA0)))
     return np.flatnonzero(inside) + 1
 
 
@@ -253,11 +261,11 @@ def _rows_of(texts: list[bytes | None], segments: Segments):
     out = [(0, 0, 0, 0, "", empty, empty)] * len(texts)
     if not whole:
         return out
-    raw = b" " + b"\n ".join(texts[i] for i in whole) + b"\n\n\n"
+    raw = b" " + b"\n ".join(texts[i] for i in whole) + b"\n\n\n"        # the newlines between stand before spaces
     data = np.frombuffer(raw, np.uint8)
     sizes = np.array([len(texts[i]) + 2 for i in whole])
     text_starts = np.r_[0, np.cumsum(sizes)]
-    starts = np.unique(np.r_[text_starts[:-1], segment_starts(data) if segments.aligner.by_segment else empty])
+    starts = np.unique(np.r_[text_starts[:-1], segment_starts(data, segments.aligner.by_line) if segments.aligner.by_segment else empty])
     starts = starts[starts < text_starts[-1] - 1]
     first = np.searchsorted(starts, text_starts)
     ends = np.r_[starts[1:], text_starts[-1]]
