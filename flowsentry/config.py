@@ -34,6 +34,11 @@ TIME_FORMATS = (
     "MM/dd/yyyy HH:mm",
     "dd/MM/yyyy HH:mm:ss",
 )
+# The sentences that alerts give as evidence.
+PORT_SCAN_EVIDENCE = "Scanning %s unique destination ports with small average packet size (%s)"
+HORIZONTAL_SCAN_EVIDENCE = "Scanning %d unique destination IPs"
+BOTNET_EVIDENCE = "High flow count (%d) to %d unique destinations - botnet pattern"
+ICMP_SWEEP_EVIDENCE = "ICMP sweep to %s unique destinations with %s total packets"
 FEATURE_COLUMNS = (
     "bytes_per_packet", "packets_per_sec", "flow_duration",
     "udp_ratio", "dst_port_flag", "packets", "bytes", "flows",

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import fixed1
 from .arbitrate import evidence_text
-from ..config import (BOTNET_TYPE, DEFAULT_CONFIG, HORIZONTAL_SCAN_TYPE, ICMP_SWEEP_TYPE,
-                      PORT_SCAN_TYPE, DetectionConfig)
+from ..config import (BOTNET_EVIDENCE, BOTNET_TYPE, DEFAULT_CONFIG, HORIZONTAL_SCAN_EVIDENCE, HORIZONTAL_SCAN_TYPE,
+                      ICMP_SWEEP_EVIDENCE, ICMP_SWEEP_TYPE, PORT_SCAN_EVIDENCE, PORT_SCAN_TYPE, DetectionConfig)
 
 ALERT_COLUMNS = ("src_ip", "dst_ip", "threat_type", "severity", "protocol",
                  "flow_count", "confidence", "evidence")
@@ -123,10 +123,8 @@ def port_scan_rows(pairs: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG) -> D
                     "protocol_code",
                     n.cast("long").alias("flow_count"),
                     F.least(F.lit(0.99), 0.5 + 0.01 * n).alias("confidence"),
-                    F.concat(F.lit("Scanning "), n.cast("string"),
-                             F.lit(" unique destination ports with small average packet size ("),
-                             fixed1(F.col("avg_packets"), cfg.port_scan_max_avg_packets),
-                             F.lit(")")).alias("evidence")))
+                    F.format_string(PORT_SCAN_EVIDENCE, n.cast("string"),
+                                    fixed1(F.col("avg_packets"), cfg.port_scan_max_avg_packets)).alias("evidence")))
 
 
 def detect_port_scan(pairs: DataFrame, flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
@@ -220,7 +218,7 @@ def _horizontal_scan(n_rows: int, cfg: DetectionConfig) -> Column:
     return _alert(_horizontal_hit(n_rows, cfg), "dst_list", HORIZONTAL_SCAN_TYPE,
                   F.when(n > cfg.horizontal_high_dsts, F.lit("high")).otherwise(F.lit("medium")),
                   F.col("protocol_code"), n, 0.5 + 0.001 * n,
-                  F.format_string("Scanning %d unique destination IPs", n))
+                  F.format_string(HORIZONTAL_SCAN_EVIDENCE, n))
 
 
 def _botnet(cfg: DetectionConfig) -> Column:
@@ -228,7 +226,7 @@ def _botnet(cfg: DetectionConfig) -> Column:
     flows, n = F.col("src_flows"), F.col("unique_dsts")
     return _alert(_botnet_hit(cfg), "dst_list", BOTNET_TYPE, F.lit("confirmed"), F.col("protocol_code"), flows,
                   0.70 + 0.01 * (flows / 10),
-                  F.format_string("High flow count (%d) to %d unique destinations - botnet pattern", flows, n))
+                  F.format_string(BOTNET_EVIDENCE, flows, n))
 
 
 def _icmp_sweep(cfg: DetectionConfig) -> Column:
@@ -237,8 +235,7 @@ def _icmp_sweep(cfg: DetectionConfig) -> Column:
     total = F.coalesce(F.col("icmp_packets"), F.lit(0.0))
     return _alert(_icmp_hit(cfg), "icmp_dst_list", ICMP_SWEEP_TYPE, F.lit("confirmed"),
                   _protocol_code(F.lit("ICMP")), n, 0.70 + 0.01 * n,
-                  F.concat(F.lit("ICMP sweep to "), n.cast("string"), F.lit(" unique destinations with "),
-                           _py_float_text(total), F.lit(" total packets")))
+                  F.format_string(ICMP_SWEEP_EVIDENCE, n.cast("string"), _py_float_text(total)))
 
 
 def source_rows(flagged: DataFrame, n_rows: int, cfg: DetectionConfig = DEFAULT_CONFIG) -> DataFrame:
