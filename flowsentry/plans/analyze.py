@@ -12,6 +12,7 @@ from __future__ import annotations
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from threading import Lock
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -241,19 +242,22 @@ def analyze_and_collect(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
                      with_pairs=materialize)
     t = time.time()
     threats = arb.threat_flows(sf.flows)
-    groups = sf.flow_groups()
-    timings["groups"] = round(time.time() - t, 3)
-    t = time.time()
-    built = {}
+    built, lock = {}, Lock()
+
+    def groups():
+        """Written by the first that needs them; the histogram does not wait."""
+        with lock:
+            return sf.flow_groups()
 
     def alerts():
+        groups()
         every = alerts_before_cut(sf, cfg)
         built["alerts"] = every.select(*cal.FINAL_COLUMNS)
         built["ranked"] = cal.rank_alerts(every, cfg).select(*cal.FINAL_COLUMNS)
         return built["ranked"].collect()
 
     def stats():
-        built["stats"] = st.run_stats(sf.flows, groups=groups)
+        built["stats"] = st.run_stats(sf.flows, groups=groups())
         return built["stats"].collect()
 
     def histogram():
@@ -271,7 +275,7 @@ def analyze_and_collect(flows: DataFrame, cfg: DetectionConfig = DEFAULT_CONFIG,
         return built["histogram"].collect()
 
     def timeline():
-        built["threats_over_time"] = st.threats_over_time(threats, cfg, st.grouped_time_range(groups))
+        built["threats_over_time"] = st.threats_over_time(threats, cfg, st.grouped_time_range(groups()))
         return built["threats_over_time"].collect()
 
     names = ("ranked", "stats", "histogram", "threats_over_time")
