@@ -21,7 +21,7 @@ checked when the model is loaded that no piece continues past its space mark
 and none holds a newline), so the groups of
 a text are those of its segments in order.  Segments repeat, so each is aligned
 once per worker and remembered in a table of bounded size; texts cost array
-work only.  Pairs of a group are kept as distinct ids with multiplicities.
+work only.  For the same reason new segments are encoded side by side as one text.  Pairs of a group are kept as distinct ids with multiplicities.
 
 1. Each document's numbers, digest, distinct pairs and multiplicities are
    written as a table.
@@ -40,6 +40,7 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -87,69 +88,100 @@ class Aligner:
         self.by_segment = not any(SPACE in p.lstrip(SPACE) for p in pieces)
         self.by_line = SPACE in pieces and not any("\n" in p for p in pieces)
 
+    def runs(self, numbers: list[int], pieces: list[str], longest: int = 8192) -> list[list[int]]:
+        """Pieces that may stand side by side in one text and still be encoded
+        as if each were alone; those of one byte a character apart from others."""
+        out, opened = [], {}
+        for k in numbers:
+            p = pieces[k]
+            kind = p.isascii()
+            run, room = opened.get(kind, (None, 0))
+            # as segment_starts cuts: no white space after the mark, no space before it
+            if run is None or room < len(p) or not (len(p) > 1 and p[1] < "\u1000" and not p[1].isspace()):
+                run, room = [], longest
+                out.append(run)
+            run.append(k)
+            opened[kind] = (run, room - len(p) if p[-1] != " " else 0)
+        return out
+
     def align(self, pieces: list[str]) -> "Aligned":
         """The groups of each piece of text, which begins with a space or, where
         ``by_line``, a newline (to which the piece model then adds a space of
-        its own that joins nothing)."""
-        own = self.a.encode_batch(pieces, add_special_tokens=False)
-        other = [x.pieces for x in self.b.encode([p if p[0] == "\n" else p[1:] for p in pieces], return_type="proto", num_threads=1)]
+        its own that joins nothing).  Pieces are encoded in runs; a run that
+        doesn't spell its text, or isn't cut between its pieces, is encoded
+        again piece by piece."""
         out = Aligned(len(pieces))
-        kept, sizes, ids, ends = [], [], ([], []), ([], [])
+        everything = list(range(len(pieces)))
+        runs = self.runs(everything, pieces) if self.by_segment and self.by_line else [[k] for k in everything]
+        while runs:
+            runs = self._align_runs(runs, pieces, out)
+        return out
+
+    def _align_runs(self, runs: list[list[int]], pieces: list[str], out: "Aligned") -> list[list[int]]:
+        texts = ["".join([pieces[k] for k in run]) for run in runs]
+        own = self.a.encode_batch(texts, add_special_tokens=False)
+        other = [x.pieces for x in self.b.encode([t if t[0] == "\n" else t[1:] for t in texts], return_type="proto", num_threads=1)]
+        kept, sizes, ids, ends, base, again = [], [], ([], []), ([], []), 0, []
         of_a, of_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        for k, (piece, e, x) in enumerate(zip(pieces, own, other)):
-            space = piece[0] != "\n"
+        for run, text, e, x in zip(runs, texts, own, other):
+            space = text[0] != "\n"
             if not space:
                 x = x[1:]
-            raw, a, b = piece.encode(), e.ids, [t.id for t in x]
+            raw, a, b = text.encode(), e.ids, [t.id for t in x]
             bytes_a, bytes_b = list(map(of_a, a)), list(map(of_b, b))
-            if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
+            spells = b"".join(bytes_a) == raw and b"".join(bytes_b) == raw
+            exact = len(raw) == len(text)
+            if spells:
+                if exact:
+                    # all characters are bytes: offsets and spans (after the space) are exact
+                    found = [end for _, end in e.offsets], [t.end + space for t in x]
+                else:
+                    # tokens may end inside characters, where only their bytes tell
+                    found = list(accumulate(map(len, bytes_a))), list(accumulate(map(len, bytes_b)))
+                found = [np.array(f, np.int64) for f in found]
+                size = np.fromiter((len(pieces[k]) if exact else len(pieces[k].encode()) for k in run), np.int64, len(run))
+                stop = np.cumsum(size)
+                spells = len(run) == 1 or all((f[np.searchsorted(f, stop)] == stop).all() for f in found)
+            if not spells:
+                if len(run) > 1:
+                    again += [[k] for k in run]
                 continue
-            if len(raw) == len(piece):
-                # all characters are bytes: offsets and spans (after the space) are exact
-                found = [end for _, end in e.offsets], [t.end + space for t in x]
-            else:
-                # tokens may end inside characters, where only their bytes tell
-                found = list(accumulate(map(len, bytes_a))), list(accumulate(map(len, bytes_b)))
-            kept.append(k)
-            sizes.append(len(raw))
+            kept += run
+            sizes.append(size)
             for side, values, stops in zip((0, 1), (a, b), found):
-                ids[side].append(values)
-                ends[side].append(stops)
+                ids[side].extend(values)
+                ends[side].append(stops + base)
+            base += len(raw)
         if kept:
-            out.cut(kept, sizes, *ids, *ends)
-        return out
+            out.cut(kept, np.concatenate(sizes), *ids, *map(np.concatenate, ends))
+        return again
 
 
 class Aligned:
     """What is known of each of ``n`` pieces of text: numbers (n_a, n_b,
-    n_groups, n_links), spelling (None: no tokens), and distinct pairs with
-    their times."""
+    n_groups, n_links, and where its pairs begin and how many they are),
+    spelling (None: no tokens), and the distinct pairs of all with their times."""
 
     def __init__(self, n: int):
-        self.facts = np.zeros((n, 4), np.int64)
+        self.facts = np.zeros((n, 6), np.int64)
         self.spelt: list[bytes | None] = [None] * n
-        self.pairs, self.times = [np.zeros(0, np.int64)] * n, [np.zeros(0, np.int64)] * n
-
-    def cut(self, pieces, sizes, a_ids, b_ids, a_ends, b_ends) -> None:
-        """Many pieces at once, from the exact ends of their tokens: ends in
-        common cut both sides alike."""
-        base = np.cumsum(sizes) - sizes
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a_ids, b_ids))
-        a_flat, b_flat = [i for x in a_ids for i in x], [i for x in b_ids for i in x]
-        a_at, b_at = (np.fromiter((e for x in ends for e in x), np.int64, int(n.sum())) + np.repeat(base, n)
-                      for ends, n in ((a_ends, n_a), (b_ends, n_b)))
+        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def cut(self, pieces, sizes, a_flat, b_flat, a_at, b_at) -> None:
+        """Many pieces at once, as if they were one text, from the exact ends of
+        their tokens: ends in common cut both sides alike."""
+        stop = np.cumsum(sizes)
+        n_a, n_b = (np.diff(np.r_[0, np.searchsorted(at, stop, "right")]) for at in (a_at, b_at))
         cuts = np.intersect1d(a_at, b_at, assume_unique=True)
         a_stop, b_stop = np.searchsorted(a_at, cuts, "right"), np.searchsorted(b_at, cuts, "right")
         in_a, in_b = np.diff(np.r_[0, a_stop]), np.diff(np.r_[0, b_stop])
-        piece = np.searchsorted(base, cuts, "left") - 1               # a cut is the end of a token, so over its piece's base
+        piece = np.searchsorted(stop, cuts, "left")
         groups = np.bincount(piece, minlength=len(pieces))
         links = np.bincount(piece, in_a * in_b, minlength=len(pieces)).astype(np.int64)
-        self.facts[pieces] = np.stack([n_a, n_b, groups, links], axis=1)
 
         names_a, names_b = list(map(str, a_flat)), list(map(str, b_flat))
-        spelt = [names_a[i1 - i] + "|" + names_b[j1 - j] if i == j == 1 else ",".join(names_a[i1 - i:i1]) + "|" + ",".join(names_b[j1 - j:j1])
+        spelt = [names_a[i1 - 1] + "|" + names_b[j1 - 1] if i == j == 1 else ",".join(names_a[i1 - i:i1]) + "|" + ",".join(names_b[j1 - j:j1])
                  for i, i1, j, j1 in zip(in_a.tolist(), a_stop.tolist(), in_b.tolist(), b_stop.tolist())]
-        last = np.cumsum(groups)
         # groups of many tokens on both sides are counted by themselves: their links are no rows
         wide = in_a * in_b > 4096
         some = ~wide
@@ -168,12 +200,13 @@ class Aligned:
         key, owner, times = key[order], owner[order], times[order]
         new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
         key, owner, times = key[new], owner[new], np.add.reduceat(times, new)
-        edge = np.searchsorted(owner, np.arange(len(pieces) + 1)).tolist()
+        edge = np.searchsorted(owner, np.arange(len(pieces) + 1))
+        self.facts[pieces] = np.stack([n_a, n_b, groups, links, edge[:-1] + len(self.pairs), np.diff(edge)], axis=1)
+        self.pairs, self.times = np.r_[self.pairs, key], np.r_[self.times, times]
         begin = 0
-        for k, p in enumerate(pieces):
-            self.spelt[p] = ";".join(spelt[begin:last[k]]).encode()
-            begin = last[k]
-            self.pairs[p], self.times[p] = key[edge[k]:edge[k + 1]], times[edge[k]:edge[k + 1]]
+        for p, end in zip(pieces, np.cumsum(groups).tolist()):
+            self.spelt[p] = ";".join(spelt[begin:end]).encode()
+            begin = end
 
 
 #: Bytes that may follow a space at which segments are cut: no white space, and
@@ -209,16 +242,17 @@ class Segments:
             self._add(self.aligner.align(texts[k:k + 20_000]))
 
     def _add(self, found: Aligned) -> None:
-        n, size = len(self.spelt), np.array([len(p) for p in found.pairs], np.int64)
-        while n + len(size) > len(self.facts):
+        n, size, more = len(self.spelt), len(found.spelt), len(found.pairs)
+        while n + size > len(self.facts):
             self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
-        while self.used + size.sum() > len(self.pairs):
+        while self.used + more > len(self.pairs):
             self.pairs = np.concatenate([self.pairs, np.zeros_like(self.pairs)])
             self.times = np.concatenate([self.times, np.zeros_like(self.times)])
-        self.pairs[self.used:self.used + size.sum()] = np.concatenate(found.pairs)
-        self.times[self.used:self.used + size.sum()] = np.concatenate(found.times)
-        self.facts[n:n + len(size)] = np.column_stack([found.facts, self.used + np.cumsum(size) - size, size])
-        self.used += int(size.sum())
+        self.pairs[self.used:self.used + more] = found.pairs
+        self.times[self.used:self.used + more] = found.times
+        found.facts[:, 4] += self.used
+        self.facts[n:n + size] = found.facts
+        self.used += more
         self.spelt += found.spelt
 
     def numbers(self, data: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -231,8 +265,12 @@ class Segments:
                 number[:] = -1
             new = np.flatnonzero(number < 0)
             fresh, first = np.unique(h[new], return_index=True)
-            self.table.add(fresh)
-            self._learn([raw[starts[k]:ends[k]].decode() for k in new[first]])
+            try:
+                self.table.add(fresh)
+                self._learn([raw[starts[k]:ends[k]].decode() for k in new[first]])
+            except BaseException:
+                self.clear()                                        # no half-known segments for the worker's next task
+                raise
             number = self.table.find(h)
         return number
 
@@ -265,7 +303,9 @@ def _rows_of(texts: list[bytes | None], segments: Segments):
     data = np.frombuffer(raw, np.uint8)
     sizes = np.array([len(texts[i]) + 2 for i in whole])
     text_starts = np.r_[0, np.cumsum(sizes)]
-    starts = np.unique(np.r_[text_starts[:-1], segment_starts(data, segments.aligner.by_line) if segments.aligner.by_segment else empty])
+    cuts = segment_starts(data, segments.aligner.by_line) if segments.aligner.by_segment else empty
+    starts = np.sort(np.r_[text_starts[:-1], cuts], kind="stable")
+    starts = starts[np.r_[True, starts[1:] != starts[:-1]]]
     starts = starts[starts < text_starts[-1] - 1]
     first = np.searchsorted(starts, text_starts)
     ends = np.r_[starts[1:], text_starts[-1]]
@@ -286,11 +326,17 @@ def _rows_of(texts: list[bytes | None], segments: Segments):
     return out
 
 
+@lru_cache(maxsize=1)
+def worker_segments(byte_path: str, piece_path: str) -> Segments:
+    """What this worker knows, kept from task to task."""
+    return Segments(Aligner(byte_path, piece_path))
+
+
 def _align(byte_path: str, piece_path: str):
     def run(batches):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        segments = Segments(Aligner(byte_path, piece_path))
+        segments = worker_segments(byte_path, piece_path)
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             start = 0
