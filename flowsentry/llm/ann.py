@@ -11,11 +11,13 @@ How many leaves that is, is calibrated: a sample of queries is answered by
 brute force over all rows, in Spark, and the number of leaves is widened until
 the true neighbours lie in the visited leaves as often as ``recall`` asks.
 
-Searching is a join of (query, leaf) with the leaves' rows.  A leaf is stored
-as blocks of at most ``block_rows`` rows, so a leaf of any size - even one
-vector copied without end - is many tasks' work, and queries reach every block
-of it.  Block results are the exact inner products in double precision; the
-best of each block meet in one small aggregation per query.
+Neighbouring leaves are put together to cells of at most ``block_rows`` rows,
+and searching is a join of queries and cells: a query reaches a cell once, with
+the numbers of the leaves it visits there.  A larger leaf - even one vector
+copied without end - is a cell of several blocks, and queries reach every block
+of it; a cell that very many queries visit is met by them in parts of about
+``part_queries`` each.  Block results are the exact inner products in double
+precision; the best of each block meet in one small aggregation per query.
 
 Vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, nor do null ids.  Repeated rows are
@@ -139,17 +141,34 @@ def _to_leaves(shared):
     return run
 
 
+def cells_of(sizes: np.ndarray, block_rows: int) -> np.ndarray:
+    """The cell of each leaf: leaves that follow each other in the tree, with at
+    most ``block_rows`` rows together; a larger leaf is alone."""
+    cells, cell, room = np.zeros(len(sizes), np.int32), -1, -1
+    for leaf, n in enumerate(sizes.tolist()):
+        if cell < 0 or n > room:
+            cell, room = cell + 1, block_rows
+        cells[leaf] = cell
+        room -= n
+    return cells
+
+
+VISITS = "query_id long, query array<double>, cells array<struct<cell:int,leaves:array<int>>>"
+
+
 def _to_visits(shared, leaves):
+    """Each query with the cells it visits, and the leaves in each."""
     def run(batches):
+        tree, cells = shared.value
         for batch in batches:
-            ids, own, order = batch.column("vec_id").to_pylist(), [], []
-            for i, q in enumerate(_vectors(batch.column("vec"))) if ids else ():
-                found = shared.value.visit(q, leaves)
-                own += [i] * len(found)
-                order += found
-            rows = batch.take(pa.array(own, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(order, pa.int32()), rows.column("vec_id"), rows.column("vec")],
-                                             names=["leaf", "query_id", "query"])
+            visits = []
+            for q in _vectors(batch.column("vec")) if batch.num_rows else ():
+                found = np.sort(np.array(tree.visit(q, leaves), np.int32))        # leaves of a cell follow each other
+                edge = np.flatnonzero(np.diff(cells[found])) + 1
+                visits.append([{"cell": cells[x[0]], "leaves": x} for x in np.split(found, edge)])
+            kind = pa.list_(pa.struct([("cell", pa.int32()), ("leaves", pa.list_(pa.int32()))]))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), pa.array(visits, kind)],
+                                             names=["query_id", "query", "cells"])
     return run
 
 
@@ -176,14 +195,19 @@ def _search(k):
         import pandas as pd
         out = []
         if len(rows) and len(visits):
-            x, ids = np.stack(rows["vec"].to_numpy()), rows["vec_id"].to_numpy()
-            for query, q in zip(visits["query_id"], visits["query"]):
-                other = np.flatnonzero(ids != query)
-                score = inner_products(x, q)[other]
+            rows = rows.sort_values("leaf", kind="stable")
+            x, ids, leaf = np.stack(rows["vec"].to_numpy()), rows["vec_id"].to_numpy(), rows["leaf"].to_numpy()
+            held = np.unique(leaf)
+            for query, q, leaves in zip(visits["query_id"], visits["query"], visits["leaves"]):
+                seen = ids != query
+                if len(leaves) < len(held) or not np.isin(held, leaves).all():
+                    seen &= np.isin(leaf, leaves)
+                other = np.flatnonzero(seen)
+                score = inner_products(x[other], q)
                 at = best_rows(score, ids[other], k)
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[other][at], "score": score[at]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(
-            {"query_id": "int64", "vec_id": "int64"})
+                out.append((np.full(len(at), query, np.int64), ids[other[at]], score[at]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
     return run
 
 
@@ -239,7 +263,7 @@ def calibrate(tree: KMeansTree, rows: DataFrame, queries: DataFrame, k: int, rec
 
 
 def search(table: DataFrame, is_query, k: int = 20, recall: float = 0.96, fit_rows: int = 20_000, branch: int = 16,
-           leaf_rows: int = 40, block_rows: int = 2000) -> DataFrame:
+           leaf_rows: int = 40, block_rows: int = 2000, part_queries: int = 5000) -> DataFrame:
     """Nearest rows of ``table`` (vec_id, embedding) for its rows that satisfy
     ``is_query``: query_id, rank, vec_id, score."""
     spark = prepare(table.sparkSession)
@@ -255,11 +279,25 @@ def search(table: DataFrame, is_query, k: int = 20, recall: float = 0.96, fit_ro
     queries = rows.where(is_query)
     leaves = calibrate(tree, placed, queries, k, recall)
 
-    sizes = placed.groupBy("leaf").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    # one small row per leaf of the bounded tree
-    blocked = placed.join(F.broadcast(sizes), "leaf").withColumn(
-        "block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("blocks")).cast("int")).drop("blocks")
-    visits = (queries.mapInArrow(_to_visits(shared, leaves), "leaf int, query_id long, query array<double>")
-              .join(F.broadcast(sizes), "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"))
-    found = blocked.groupBy("leaf", "block").cogroup(visits.groupBy("leaf", "block")).applyInPandas(_search(k), BEST)
+    # on the driver: one number per leaf of the bounded tree, one per cell
+    sizes = np.zeros(tree.leaves, np.int64)
+    for r in placed.groupBy("leaf").count().collect():
+        sizes[r.leaf] = r["count"]
+    cells = cells_of(sizes, block_rows)
+    visits = stage_table(queries.mapInArrow(_to_visits(spark.sparkContext.broadcast((tree, cells)), leaves), VISITS), "ann-visits")
+    asked = dict(visits.select(F.explode("cells.cell").alias("cell")).groupBy("cell").count().collect())
+    deal = spark.createDataFrame(
+        [(leaf, int(c), max(1, -(-int(n) // block_rows)), max(1, -(-asked.get(c, 0) // part_queries)))
+         for leaf, (c, n) in enumerate(zip(cells.tolist(), sizes))], "leaf int, cell int, blocks int, parts int")
+    # a cell of several leaves is one block
+    own = F.broadcast(deal.groupBy("cell").agg(F.max("blocks").alias("blocks"), F.max("parts").alias("parts")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    blocked = placed.join(F.broadcast(deal), "leaf").withColumn(
+        "block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("blocks")).cast("int")).withColumn(
+        "part", every("parts")).select("cell", "block", "part", "leaf", "vec_id", "vec")
+    met = (visits.select("query_id", "query", F.explode("cells").alias("at"))
+           .select("query_id", "query", F.col("at.cell").alias("cell"), F.col("at.leaves").alias("leaves")).join(own, "cell")
+           .withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
+           .withColumn("block", every("blocks")).select("cell", "block", "part", "query_id", "query", "leaves"))
+    found = blocked.groupBy("cell", "block", "part").cogroup(met.groupBy("cell", "block", "part")).applyInPandas(_search(k), BEST)
     return top_k(found, k)

@@ -487,11 +487,21 @@ def test_ann_recall_order_and_odd_vectors(spark):
         score[q] = -np.inf
         hits += sum(f[2] >= np.sort(score)[-20] - 1e-9 for f in found)
     assert hits >= 0.9 * 20 * len(got)
+    # cells of one leaf or of many, queries in parts or together: the same rows
+    for block_rows, part_queries in ((100, 7), (5000, 5000)):
+        again = search(table, F.col("vec_id") % 20 == 0, k=20, block_rows=block_rows, part_queries=part_queries, leaf_rows=30).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in again) == [(q, *f) for q in sorted(got) for f in got[q]]
     few = search(table.where("vec_id < 5"), F.col("vec_id") % 20 == 0).collect()
     assert [r["rank"] for r in few] == [1, 2, 3, 4]
     assert search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_cells_hold_neighbouring_leaves():
+    from flowsentry.llm.ann import cells_of
+    assert cells_of(np.array([3, 4, 5, 0, 20, 0, 1, 9, 1]), 10).tolist() == [0, 0, 1, 1, 2, 3, 3, 3, 4]
+    assert cells_of(np.array([0]), 10).tolist() == [0]
+
+
 # ---------------------------------------------------------------- empty tables
 def test_empty_documents(spark, nothing, tmp_path):
     import public_tokenizers
