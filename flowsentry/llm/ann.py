@@ -153,22 +153,36 @@ def cells_of(sizes: np.ndarray, block_rows: int) -> np.ndarray:
     return cells
 
 
-VISITS = "query_id long, query array<double>, cells array<struct<cell:int,leaves:array<int>>>"
+VISITS = "query_id long, query array<double>, floor double, cells array<struct<cell:int,leaves:array<int>>>"
 
 
-def _to_visits(shared, leaves):
-    """Each query with the cells it visits, and the leaves in each."""
+def kth_best(query: int, q: np.ndarray, leaves: np.ndarray, known, k: int) -> float:
+    """A score that k rows in these leaves reach without the query's id, as the
+    known rows (ids, vectors, leaves) tell; minus infinity if they are fewer."""
+    ids, x, leaf = known
+    some = np.isin(leaf, leaves) & (ids != query)
+    if some.sum() < k:
+        return -np.inf
+    # sums in another order differ in their last digits
+    least = np.partition((x @ q)[some], -k)[-k] - 1e-9 * np.abs(q).sum() * np.abs(x).max()
+    return least if np.isfinite(least) else -np.inf
+
+
+def _to_visits(shared, leaves, k):
+    """Each query with the cells it visits, the leaves in each, and the score
+    that its results reach."""
     def run(batches):
-        tree, cells = shared.value
+        tree, cells, known = shared.value
         for batch in batches:
-            visits = []
-            for q in _vectors(batch.column("vec")) if batch.num_rows else ():
+            visits, floors, ids = [], [], batch.column("vec_id").to_pylist()
+            for query, q in zip(ids, _vectors(batch.column("vec"))):
                 found = np.sort(np.array(tree.visit(q, leaves), np.int32))        # leaves of a cell follow each other
                 edge = np.flatnonzero(np.diff(cells[found])) + 1
                 visits.append([{"cell": cells[x[0]], "leaves": x} for x in np.split(found, edge)])
+                floors.append(kth_best(query, q, found, known, k))
             kind = pa.list_(pa.struct([("cell", pa.int32()), ("leaves", pa.list_(pa.int32()))]))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), pa.array(visits, kind)],
-                                             names=["query_id", "query", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), pa.array(floors, pa.float64()), pa.array(visits, kind)],
+                                             names=["query_id", "query", "floor", "cells"])
     return run
 
 
@@ -198,12 +212,13 @@ def _search(k):
             rows = rows.sort_values("leaf", kind="stable")
             x, ids, leaf = np.stack(rows["vec"].to_numpy()), rows["vec_id"].to_numpy(), rows["leaf"].to_numpy()
             held = np.unique(leaf)
-            for query, q, leaves in zip(visits["query_id"], visits["query"], visits["leaves"]):
+            for query, q, least, leaves in zip(visits["query_id"], visits["query"], visits["floor"], visits["leaves"]):
                 seen = ids != query
                 if len(leaves) < len(held) or not np.isin(held, leaves).all():
                     seen &= np.isin(leaf, leaves)
                 other = np.flatnonzero(seen)
                 score = inner_products(x[other], q)
+                other, score = other[score >= least], score[score >= least]
                 at = best_rows(score, ids[other], k)
                 out.append((np.full(len(at), query, np.int64), ids[other[at]], score[at]))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
@@ -271,7 +286,8 @@ def search(table: DataFrame, is_query, k: int = 20, recall: float = 0.96, fit_ro
     n = rows.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = rows.where(unit_hash("vec_id", seed=9) < fit_rows / n).limit(2 * fit_rows).select("vec").toPandas()
+    sample = rows.where(unit_hash("vec_id", seed=9) < fit_rows / n).limit(2 * fit_rows).toPandas()
+    ids = sample["vec_id"].to_numpy(np.int64)
     sample = np.stack(sample["vec"].to_numpy()) if len(sample) else np.array([rows.first().vec])
     tree = KMeansTree(sample, branch, leaf_rows)
     shared = spark.sparkContext.broadcast(tree)
@@ -284,7 +300,9 @@ def search(table: DataFrame, is_query, k: int = 20, recall: float = 0.96, fit_ro
     for r in placed.groupBy("leaf").count().collect():
         sizes[r.leaf] = r["count"]
     cells = cells_of(sizes, block_rows)
-    visits = stage_table(queries.mapInArrow(_to_visits(spark.sparkContext.broadcast((tree, cells)), leaves), VISITS), "ann-visits")
+    known = ids, sample[:len(ids)], tree.assign(sample[:len(ids)])      # the bounded sample
+    walk = spark.sparkContext.broadcast((tree, cells, known))
+    visits = stage_table(queries.mapInArrow(_to_visits(walk, leaves, k), VISITS), "ann-visits")
     asked = dict(visits.select(F.explode("cells.cell").alias("cell")).groupBy("cell").count().collect())
     deal = spark.createDataFrame(
         [(leaf, int(c), max(1, -(-int(n) // block_rows)), max(1, -(-asked.get(c, 0) // part_queries)))
@@ -295,9 +313,9 @@ def search(table: DataFrame, is_query, k: int = 20, recall: float = 0.96, fit_ro
     blocked = placed.join(F.broadcast(deal), "leaf").withColumn(
         "block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("blocks")).cast("int")).withColumn(
         "part", every("parts")).select("cell", "block", "part", "leaf", "vec_id", "vec")
-    met = (visits.select("query_id", "query", F.explode("cells").alias("at"))
-           .select("query_id", "query", F.col("at.cell").alias("cell"), F.col("at.leaves").alias("leaves")).join(own, "cell")
+    met = (visits.select("query_id", "query", "floor", F.explode("cells").alias("at"))
+           .select("query_id", "query", "floor", F.col("at.cell").alias("cell"), F.col("at.leaves").alias("leaves")).join(own, "cell")
            .withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
-           .withColumn("block", every("blocks")).select("cell", "block", "part", "query_id", "query", "leaves"))
+           .withColumn("block", every("blocks")).select("cell", "block", "part", "query_id", "query", "floor", "leaves"))
     found = blocked.groupBy("cell", "block", "part").cogroup(met.groupBy("cell", "block", "part")).applyInPandas(_search(k), BEST)
     return top_k(found, k)

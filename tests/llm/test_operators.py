@@ -502,6 +502,20 @@ def test_cells_hold_neighbouring_leaves():
     assert cells_of(np.array([0]), 10).tolist() == [0]
 
 
+def test_floor_is_reached_by_k_rows():
+    from flowsentry.llm.ann import inner_products, kth_best
+    rng = np.random.default_rng(3)
+    x, leaf, ids = rng.normal(size=(300, 8)), rng.integers(0, 10, 300), np.arange(300)
+    for query in range(0, 300, 20):
+        leaves = np.unique(rng.integers(0, 10, 4))
+        there = np.isin(leaf, leaves) & (ids != query)
+        best = np.sort(inner_products(x[there], x[query]))[::-1]
+        floor = kth_best(query, x[query], leaves, (ids, x, leaf), 5)
+        assert floor <= best[4] < floor + 1e-6 and (best >= floor).sum() >= 5
+    assert kth_best(0, x[0], np.array([99]), (ids, x, leaf), 5) == -np.inf
+    assert kth_best(-1, x[0] * 1e300, np.arange(10), (ids, x * 1e300, leaf), 5) == -np.inf
+
+
 # ---------------------------------------------------------------- empty tables
 def test_empty_documents(spark, nothing, tmp_path):
     import public_tokenizers
