@@ -550,6 +550,18 @@ def _write_csv(df: DataFrame, path: str, header: bool) -> None:
      .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
+#: Rows sorted and written by one task where a CSV keeps an order.
+ROWS_PER_FILE = 250_000
+
+
+def _in_file_order(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows in ranges of the keys, each sorted by its own task, so the files
+    written from it are in order by name.  The ranges grow in number with the
+    rows, not in size, up to the 100,000 that the names' five digits order."""
+    n = min(max(1, -(-df.count() // ROWS_PER_FILE)), 100_000)
+    return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+
+
 @register("scan_flow_csv", "with " + O.flows_cte_duckdb() + "\nselect " + ", ".join(_FLOW_OUT) + " from flows")
 def scan_flow_csv(spark, sf_dir):
     """The flows written as a headered CSV (numbers in
@@ -894,8 +906,7 @@ def csv_time_formats(spark, sf_dir):
         path = scratch_path(spark, f"flows-csv-{name}")
         text = (F.date_format(F.timestamp_seconds("start_time"), pattern) if pattern
                 else F.date_format(F.timestamp_seconds("start_time"), "HH:mm"))
-        ordered = flows.withColumn("start_time", text).repartition(1).sortWithinPartitions("row_id").drop("row_id")
-        _write_csv(ordered, path, header=True)
+        _write_csv(_in_file_order(flows.withColumn("start_time", text), "row_id").drop("row_id"), path, header=True)
         got = flowcsv.read_flow_csv(spark, path).select(F.lit(name).alias("format"), "row_id", "start_time")
         out = got if out is None else out.unionByName(got)
     return out

@@ -194,3 +194,31 @@ def test_csv_is_read_twice_and_formats_are_told_by_shape(spark, monkeypatch):
         df = flowcsv.read_flow_csv(spark, _csv(HEADER + "\n" + line.format(text, text) * 3), written=written)
         assert reads[-1] == expected and len(written) == 1 and df.count() == 3
         assert [r.row_id for r in df.select("row_id").orderBy("row_id").collect()] == [0, 1, 2]
+
+
+def _ordered_flows(monkeypatch, make_flows, tmp_path, n=1200):
+    """The catalog on flows of its own, in files of about 100 rows under tmp_path."""
+    from flowsentry.plans import catalog
+    rows = [dict(row_id=3 * i + 5, src_ip=f"10.0.0.{i}", dst_ip=f"10.1.0.{i}", start_time=1.7e9 + 61.0 * i, end_time=1.7e9 + 62.0 * i)
+            for i in range(n)]
+    flows = make_flows([rows[i * 7 % n] for i in range(n)]).repartition(5)
+    monkeypatch.setattr(catalog, "_flows", lambda spark, sf_dir: flows)
+    monkeypatch.setattr(catalog, "scratch_path", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(catalog, "ROWS_PER_FILE", 100, raising=False)
+    return catalog.queries(), rows
+
+
+def _rows_per_file(folder):
+    return [len(p.read_text().splitlines()) - 1 for p in sorted(folder.rglob("*.csv"))]
+
+
+def test_time_format_files_are_ordered_parts(spark, make_flows, monkeypatch, tmp_path):
+    queries, rows = _ordered_flows(monkeypatch, make_flows, tmp_path)
+    got = queries["csv_time_formats"](spark, "").collect()
+    step = {"iso": 1, "space": 1, "minutes": 60}
+    assert len(got) == 4 * len(rows)
+    for name in (*step, "words"):
+        times = [r.start_time for r in sorted((r for r in got if r.format == name), key=lambda r: r.row_id)]
+        assert times == [r["start_time"] // step[name] * step[name] if name in step else i for i, r in enumerate(rows)]
+        sizes = _rows_per_file(tmp_path / f"flows-csv-{name}")
+        assert sum(sizes) == len(rows) and max(sizes) < 250      # no task sorts the whole table
