@@ -876,11 +876,12 @@ select row_number() over (order by least(part, 2), row_id) - 1 as row_id, src_ip
 from (select *, case when row_id % 100 = 7 then 0 when row_id % 3 > 0 then 1 else 2 end as part from flows)""")
 def csv_multi_file_order(spark, sf_dir):
     """Row ids of a folder of files of unequal sizes follow the file names,
-    then the lines: a small first file, a large second one, a middling third."""
+    then the lines: a small first file, a large second one, a middling third
+    (each several files in order where it has many rows)."""
     path = scratch_path(spark, "flows-csv-folder")
     flows = _flows(spark, sf_dir)
     part = F.when(F.col("row_id") % 100 == 7, 0).when(F.col("row_id") % 3 > 0, 1).otherwise(2)
-    (flows.withColumn("part", part).repartition(8, "part").sortWithinPartitions("part", "row_id").drop("row_id")
+    (_in_file_order(flows.withColumn("part", part), "part", "row_id").drop("row_id")
      .write.partitionBy("part").option("header", True).csv(path))
     files = [f"{path}/part={k}" for k in range(3)]
     got = flowcsv.read_flow_csv(spark, files, header=True)

@@ -199,7 +199,7 @@ def test_csv_is_read_twice_and_formats_are_told_by_shape(spark, monkeypatch):
 def _ordered_flows(monkeypatch, make_flows, tmp_path, n=1200):
     """The catalog on flows of its own, in files of about 100 rows under tmp_path."""
     from flowsentry.plans import catalog
-    rows = [dict(row_id=3 * i + 5, src_ip=f"10.0.0.{i}", dst_ip=f"10.1.0.{i}", start_time=1.7e9 + 61.0 * i, end_time=1.7e9 + 62.0 * i)
+    rows = [dict(row_id=i + i // 5, src_ip=f"10.0.0.{i}", dst_ip=f"10.1.0.{i}", start_time=1.7e9 + 61.0 * i, end_time=1.7e9 + 62.0 * i)
             for i in range(n)]
     flows = make_flows([rows[i * 7 % n] for i in range(n)]).repartition(5)
     monkeypatch.setattr(catalog, "_flows", lambda spark, sf_dir: flows)
@@ -222,3 +222,14 @@ def test_time_format_files_are_ordered_parts(spark, make_flows, monkeypatch, tmp
         assert times == [r["start_time"] // step[name] * step[name] if name in step else i for i, r in enumerate(rows)]
         sizes = _rows_per_file(tmp_path / f"flows-csv-{name}")
         assert sum(sizes) == len(rows) and max(sizes) < 250      # no task sorts the whole table
+
+
+def test_files_of_a_folder_are_ordered_parts(spark, make_flows, monkeypatch, tmp_path):
+    queries, rows = _ordered_flows(monkeypatch, make_flows, tmp_path)
+    got = queries["csv_multi_file_order"](spark, "").orderBy("row_id").collect()
+    part = lambda k: 0 if k % 100 == 7 else 1 if k % 3 > 0 else 2
+    want = sorted(rows, key=lambda r: (part(r["row_id"]), r["row_id"]))
+    assert [tuple(r) for r in got] == [(i, r["src_ip"], r["dst_ip"], r["start_time"]) for i, r in enumerate(want)]
+    for k in range(3):
+        sizes = _rows_per_file(tmp_path / "flows-csv-folder" / f"part={k}")
+        assert sum(sizes) == sum(part(r["row_id"]) == k for r in rows) and max(sizes, default=0) < 250
