@@ -233,3 +233,15 @@ def test_files_of_a_folder_are_ordered_parts(spark, make_flows, monkeypatch, tmp
     for k in range(3):
         sizes = _rows_per_file(tmp_path / "flows-csv-folder" / f"part={k}")
         assert sum(sizes) == sum(part(r["row_id"]) == k for r in rows) and max(sizes, default=0) < 250
+
+
+def test_summed_files_are_written_without_a_sort(spark, make_flows, monkeypatch, tmp_path):
+    from pyspark.sql.readwriter import DataFrameWriter
+    queries, rows = _ordered_flows(monkeypatch, make_flows, tmp_path)
+    partitioned = []
+    real = DataFrameWriter.partitionBy
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda self, *c: partitioned.append(c) or real(self, *c))
+    got = {r.folder: (r.files, r.bytes) for r in queries["input_files_summary"](spark, "").collect()}
+    lines = {str(k): [f"{r['src_ip']},{r['dst_ip']},1000\n" for r in rows if r["row_id"] % 3 == k] for k in range(3)}
+    assert got == {k: (1, len("src_ip,dst_ip,bytes\n") + sum(map(len, v))) for k, v in lines.items()}
+    assert not partitioned      # such a write sorts a task's rows by folder first
