@@ -98,6 +98,36 @@ def test_repeats_match_brute_force(docs, small):
     assert any(r[2] for r in rows)
 
 
+def test_slices_without_rivals_stay_out_of_the_suffix_array(monkeypatch):
+    """A slice whose anchor no other distinct slice has goes without an array;
+    every window's smallest source is still found."""
+    import pandas as pd
+
+    from flowsentry.llm import suffix_dedup as S
+    rng = np.random.default_rng(17)
+    passage, other, length = words(rng, 200, 5000), words(rng, 9), 50
+    raw = [f"{words(rng, 40)} {passage} {words(rng, 40)}".encode() for _ in range(6)]
+    raw += [raw[2], f"{passage[:333]}{other} {passage[400:]}".encode(), b"ab" * 300]
+    data = [np.frombuffer(t, np.uint8) for t in raw]
+    of = [S.Slices(d, np.array([len(d)]), length) for d in data]
+    frame = pd.DataFrame({"chunk": range(len(raw)), "shard": 0, "windows": [s.windows.astype(np.uint8).tobytes() for s in of],
+                          "source": [np.full(len(s.begin), 100 + i, np.int64).tobytes() for i, s in enumerate(of)],
+                          "data": [b"".join(t[b:b + w + length - 1] for b, w in zip(s.begin, s.windows)) for t, s in zip(raw, of)]})
+    seen, arrays = [], S.smaller_sources
+    monkeypatch.setattr(S, "smaller_sources", lambda text, *a: seen.append(len(text)) or arrays(text, *a))
+    hits = S._match(length)(frame)["hits"]
+    least = {}
+    for i, t in enumerate(raw):
+        for k in range(len(t) - length + 1):
+            least.setdefault(t[k:k + length], i)
+    for i, (t, s) in enumerate(zip(raw, of)):
+        places = np.concatenate([b + np.arange(w) for b, w in zip(s.begin, s.windows)])
+        want = [least[t[k:k + length]] < i for k in places]
+        assert np.unpackbits(np.frombuffer(hits[i], np.uint8))[:len(want)].tolist() == want
+    distinct = {t[b:b + w + length - 1] for t, s in zip(raw, of) for b, w in zip(s.begin, s.windows)}
+    assert 0 < sum(seen) < 0.5 * sum(map(len, distinct))
+
+
 # ---------------------------------------------------------------- SimHash
 def plain_fingerprint(text, shingle=3):
     import xxhash
