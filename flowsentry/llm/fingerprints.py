@@ -27,7 +27,8 @@ shuffle; only the finished fingerprints are joined to their rows.
 The bucket bounds are approximate quantiles of the ids at two levels, at most
 a thousand bounds each.  Rows that share an id (or have none) and fill several
 buckets are spread over them by the hash of their texts, which is also their
-order.  Null text is empty.  Null ids come after all others.  Repeated rows are
+order.  The buckets are dealt to tasks of about ``TASK_BUCKETS`` each, however
+many rows there are, as a task holds the words of its buckets in memory.  Null text is empty.  Null ids come after all others.  Repeated rows are
 answered row by row.  An empty table gives no rows; columns other than
 ``doc_id`` and ``text`` are ignored.
 """
@@ -39,7 +40,7 @@ from math import ceil, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import parallelism, stage_table
 
 #: What lies between words, and its complement, for the JVM's patterns, which
 #: look single characters of a class up in a table but try its ranges in turn.
@@ -48,6 +49,8 @@ GAP, WORD = f"[{_GAPS}]", f"[^{_GAPS}]"
 #: Dimensions that share one row while samples are drawn.
 WIDTH = 16
 BITS = 16
+#: Buckets that one task works on.
+TASK_BUCKETS = 2
 
 
 def words(text: Column) -> Column:
@@ -132,7 +135,7 @@ def fingerprints(docs: DataFrame, samples: int = 64, bucket_rows: int = 500) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # whole-row order makes the numbers the same in both uses below
     line = Window.partitionBy("bucket").orderBy(F.asc_nulls_last("doc_id"), "text")
-    placed = bucketed(rows, bucket_rows).select("bucket", F.row_number().over(line).alias("member"), "doc_id", "text")
+    placed = dealt_by_bucket(*bucketed(rows, bucket_rows)).select("bucket", F.row_number().over(line).alias("member"), "doc_id", "text")
     found = placed.select("bucket", "member", F.explode_outer(_terms(words("text"), F.col("text"))).alias("word"))
     weights = found.where("word <> ''").groupBy("bucket", "member", F.xxhash64(F.lower("word")).alias("term")).agg(F.count("*").alias("weight"))
     parts = signatures(weights, "bucket", "member", samples)
@@ -161,9 +164,10 @@ def _side(place: Column, spread: Column, cuts: Column) -> Column:
     return least + F.floor(spread * (most - least + 1)).cast("int")
 
 
-def bucketed(docs: DataFrame, bucket_rows: int = 500) -> DataFrame:
+def bucketed(docs: DataFrame, bucket_rows: int = 500) -> tuple[DataFrame, int]:
     """doc_id, text, text_hash, bucket: buckets of about ``bucket_rows`` rows in
-    descending order of (doc_id, and rising text_hash); at most a million."""
+    descending order of (doc_id, and rising text_hash); and how many there are
+    at most, which is never over a million."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = rows.select(_PLACE.alias("place"))
     n = ids.count()
@@ -171,7 +175,7 @@ def bucketed(docs: DataFrame, bucket_rows: int = 500) -> DataFrame:
     inner = [k / per_level for k in range(1, per_level)]
     keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     if not inner:
-        return keyed.withColumn("bucket", F.lit(0))
+        return keyed.withColumn("bucket", F.lit(0)), 1
     # at most 999 numbers
     outer_cuts = F.array(*[F.lit(c).cast("long") for c in ids.agg(F.percentile_approx("place", inner).alias("cuts")).first().cuts])
     # in [0, 1), rising with the hash
@@ -181,14 +185,19 @@ def bucketed(docs: DataFrame, bucket_rows: int = 500) -> DataFrame:
     # at most LEVEL rows of LEVEL numbers; an outer range that one id's rows alone fill is not cut further
     placed = keyed.withColumn("outer", _side(_PLACE, spread, outer_cuts)).join(F.broadcast(by_outer), "outer", "left")
     step = F.coalesce(_side(_PLACE, spread, F.col("cuts")), F.lit(0))
-    return placed.select("doc_id", "text", "text_hash", (F.col("outer") * per_level + step).alias("bucket"))
+    return placed.select("doc_id", "text", "text_hash", (F.col("outer") * per_level + step).alias("bucket")), per_level ** 2
+
+
+def dealt_by_bucket(rows: DataFrame, buckets: int) -> DataFrame:
+    """The rows in as many partitions as keep each to a few buckets."""
+    return rows.repartition(max(parallelism(rows.sparkSession), ceil(buckets / TASK_BUCKETS)), "bucket")
 
 
 def with_next(docs: DataFrame, bucket_rows: int = 500) -> DataFrame:
     """bucket, seq, guest, doc_id, text, next_text: every row with the text of
     the row that follows it in descending order of ids, the first after the
     last.  Rows with ``guest`` are copies of the next bucket's first row."""
-    rows = bucketed(docs, bucket_rows)
+    rows, buckets = bucketed(docs, bucket_rows)
     firsts = rows.groupBy("bucket").agg(F.min(F.struct(_PLACE.alias("place"), F.col("doc_id").isNull().alias("no_id"), "text_hash")).alias("first"))
     every = Window.orderBy("bucket")   # one narrow row per bucket
     back = stage_table(firsts.select(
@@ -201,7 +210,7 @@ def with_next(docs: DataFrame, bucket_rows: int = 500) -> DataFrame:
     dealt = met.select("doc_id", "text", "text_hash", F.explode_outer(
         F.when(F.col("guest_of").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("to"))
     line = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("doc_id"), "text_hash")
-    return dealt.select("to.bucket", "to.guest", "doc_id", "text", "text_hash").select(
+    return dealt_by_bucket(dealt.select("to.bucket", "to.guest", "doc_id", "text", "text_hash"), buckets).select(
         "bucket", F.row_number().over(line).alias("seq"), "guest", "doc_id", "text", F.lead("text").over(line).alias("next_text"))
 
 

@@ -185,6 +185,18 @@ def test_fingerprints_run_no_python(spark):
     assert not re.search("Python|Pandas|Arrow", plan) and "CartesianProduct" not in plan
 
 
+def test_fingerprint_tasks_hold_a_few_buckets_each(spark):
+    """More rows make more tasks, not larger ones."""
+    from pyspark.sql import functions as F
+
+    from flowsentry.llm.fingerprints import TASK_BUCKETS, with_next
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    small, large = (with_next(docs.limit(n), bucket_rows=10) for n in (300, 3000))
+    assert large.rdd.getNumPartitions() >= 300 / TASK_BUCKETS > small.rdd.getNumPartitions()
+    held = large.groupBy(F.spark_partition_id()).agg(F.count_distinct("bucket").alias("n")).agg(F.max("n")).first()[0]
+    assert held <= 8 * TASK_BUCKETS and large.where("not guest").count() == 3000
+
+
 # ---------------------------------------------------------------- mended operators
 def test_long_words_sum_all_segmentations():
     import public_tokenizers
